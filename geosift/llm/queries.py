@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geosift.llm import decontaminate, jaccard, mixing
+from geosift.llm import decontaminate, jaccard, mixing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_mix_sources": mixing.op10_mix_sources,
