@@ -32,6 +32,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ from geosift.llm.common import stage
 FIT_ROWS = 10_000  # labelled rows of each class that the fit reads at most
 MAX_ENTRIES = 5_000  # lexicon entries and exceptions that a model holds at most
 PREFIXES = range(4, 8)  # lengths of word beginnings
-MIN_WEIGHT, MIN_DOCS = 2.5, 4
+MIN_WEIGHT = 2.5  # log-odds of an entry at least
+MIN_DOCS, MIN_SHARE = 4, 0.004  # toxic documents of the sample that an entry needs: a number and a share
 
 # Letters that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
@@ -123,25 +125,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     known = known.groupBy("lid").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.col("lid").cast("string")))
     pick = [known.where(F.col("toxic") == y).orderBy("h", "lid").limit(rows) for y in (0, 1)]
     pick = stage(pick[0].unionByName(pick[1]).select("lid", "toxic"), "tox-ids")
-    # At most 2 * rows ids: bounded, so broadcast.
-    return stage(docs.join(F.broadcast(pick), docs["doc_id"] == pick["lid"]).select("toxic", "text"), "tox-rows")
+    # At most 2 * rows ids: bounded, so broadcast. Near copies would count their every word several times
+    # over, so of the texts with the same smallest shingle hash one is kept.
+    found = docs.join(F.broadcast(pick), docs["doc_id"] == pick["lid"]).select("toxic", "text")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = []
+            for t in b.column("text"):
+                w = fold(t.as_py()).split()
+                low.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("text"), pa.array(low, pa.int64())], names=["toxic", "text", "low"])
+
+    return stage(found.mapInArrow(mark, "toxic int, text string, low long").dropDuplicates(["toxic", "low"]).drop("low"), "tox-rows")
 
 
-def _counts(rows: DataFrame, terms_of) -> dict[str, tuple[int, int]]:
-    """Documents of each class that hold each term; terms_of: folded text -> set of terms."""
+def _counts(rows: DataFrame, terms_of, wanted: Column) -> dict[str, tuple[int, int]]:
+    """Documents of each class that hold each term, p toxic and n clean, where wanted; terms_of: folded text -> terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for b in batches:
             for y, t in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seen[y].update(terms_of(fold(t)))
-        terms = [t for t in seen[1] | seen[0] if t in seen[1] or seen[0][t] > 1]
+        terms = list(seen[1] | seen[0])
         yield pa.RecordBatch.from_pydict({"term": terms, "p": [seen[1][t] for t in terms], "n": [seen[0][t] for t in terms]},
                                          schema=pa.schema([("term", pa.string()), ("p", pa.int64()), ("n", pa.int64())]))
 
     sums = rows.mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    # The rows are a bounded sample, and only terms of several documents come back.
-    return {r["term"]: (r["p"], r["n"]) for r in sums.where(F.col("p") + F.col("n") >= MIN_DOCS).toLocalIterator()}
+    return {r["term"]: (r["p"], r["n"]) for r in sums.where(wanted).collect()}  # of a bounded sample
 
 
 def word_terms(folded: str) -> set[str]:
@@ -158,8 +170,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Lexicon:
     if not size.get(0) or not size.get(1):
         return Lexicon({f" {w}": 4.0 for w in SEEDS})
     weigh = lambda p, n: float(np.log((p + 0.5) / (size[1] + 1)) - np.log((n + 0.5) / (size[0] + 1)))
-    counted = _counts(train, word_terms)
-    weights = {t: weigh(p, n) for t, (p, n) in counted.items() if p >= MIN_DOCS and weigh(p, n) >= MIN_WEIGHT}
+    odds = F.log((F.col("p") + 0.5) / (size[1] + 1)) - F.log((F.col("n") + 0.5) / (size[0] + 1))
+    support = max(MIN_DOCS, int(MIN_SHARE * size[1]))
+    counted = _counts(train, word_terms, (F.col("p") >= support) & (odds >= MIN_WEIGHT))
+    # A beginning stands for several words; one that a single word accounts for adds nothing to that word.
+    top: dict[str, int] = {}
+    for t, (p, _) in counted.items():
+        if t.endswith(" "):
+            for k in PREFIXES:
+                top[t[: k + 1]] = max(top.get(t[: k + 1], 0), p)
+    weights = {t: weigh(p, n) for t, (p, n) in counted.items() if t.endswith(" ") or top.get(t, 0) <= p / 2}
     best = sorted(weights, key=lambda t: (-weights[t] * np.log1p(counted[t][0]), t))[:MAX_ENTRIES]
     lexicon = Lexicon({t: weights[t] for t in best})
     entries = lexicon.entries
@@ -177,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Lexicon:
                 out.add(f" {words[i]} {words[i + 1]} ")
         return out
 
-    clean = {t: weigh(p, n) for t, (p, n) in _counts(train, phrases).items() if n >= MIN_DOCS and weigh(p, n) < 0.5 and t not in entries}
+    spared = _counts(train, phrases, (F.col("n") >= MIN_DOCS) & (odds < 0.5))
+    clean = {t: weigh(p, n) for t, (p, n) in spared.items() if t not in entries}
     lexicon.exceptions = sorted(clean, key=lambda t: (clean[t], t))[:MAX_ENTRIES]
     scored = sums(train, lexicon, "toxic").select("toxic", "total", "words").toPandas()  # at most 2 * rows rows
     _fit_curve(lexicon, scored["toxic"].to_numpy(float), scored["total"].to_numpy(float), scored["words"].to_numpy(float))
