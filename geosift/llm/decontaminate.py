@@ -5,8 +5,9 @@ has fewer). A document contains a window only if it contains each of the window'
 the whole window if shorter), so it is enough to look for one of them: the rarest by its count over all
 documents. These are the necessary tokens ("anchors"). Documents are matched on anchor hashes alone; each
 match gives an alignment of a document with an item, whose equal run is measured word by word to both
-sides within the item's bounds (length and position bound the slices that are read). A run as long as a
-window is exact containment; every occurrence of a window contains its anchor, so none is missed.
+sides, no further than a window with that anchor can reach (length and position bound the words that are
+read). A run as long as a window is exact containment; every occurrence of a window contains its anchor,
+so none is missed.
 
 Defined results:
 - words are runs of letters, digits and non-ASCII characters after lower-casing A-Z; null and empty texts
@@ -39,7 +40,7 @@ def _shingle_at(words: Column, pos: Column, n: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
-    """item (row number as text), item_id, iwords, m (words), w (window width), k (shingle length)."""
+    """item_id, iwords, m (words), w (window width), k (shingle length) of each item with words."""
     words = words_of(F.col(text_col))
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words.alias("iwords"))
     items = items.where(F.size("iwords") > 0).dropDuplicates(["item_id", "iwords"])
@@ -68,14 +69,14 @@ def doc_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def equal_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two arrays of equal length."""
-    same = F.zip_with(a, b, lambda x, y: x == y)
+    """Length of the common prefix of two arrays."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, F.lit(False))
     return F.when(first == 0, F.size(a)).otherwise((first - 1).cast("int"))
 
 
 def contained_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (key, words): key, start, end (word positions), item_id for every maximal run that holds a window."""
+    """docs (key, words): key, start, end (word positions), item_id of runs that hold a window; together they cover all."""
     shingles = stage(item_shingles(items), "decon-shingles")
     lengths = [r[0] for r in shingles.select("k").distinct().orderBy("k").collect()]  # at most SHINGLE values
     if not lengths:
@@ -89,19 +90,23 @@ def contained_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     first, last = F.greatest(F.lit(0), F.col("ipos") - (F.col("w") - F.col("k"))), F.least(F.col("ipos"), F.col("m") - F.col("w"))
     windows = ranked.select("item_id", "iwords", "m", "w", "h", "ipos", "n", F.explode(F.sequence(first, last)).alias("wstart"))
     rarest = windows.groupBy("item_id", "iwords", "m", "w", "wstart").agg(F.min(F.struct("n", "ipos", "h")).alias("a"))
-    anchors = rarest.where(F.col("a.n") > 0).select("item_id", "iwords", "m", "w", F.col("a.ipos").alias("ipos"), F.col("a.h").alias("h")).distinct()
-    anchors = stage(anchors, "decon-anchors")
-    # The probe carries hashes only; items' words come after.
-    probes = small(anchors.select("h", F.struct("ipos", "item_id", "iwords", "w").alias("a")), 500_000)
+    # An anchor carries the words around it that windows with it can reach: fewer than w to either side.
+    ipos, w = F.col("a.ipos"), F.col("w")
+    back = F.least(ipos, w - 1)
+    anchors = rarest.where(F.col("a.n") > 0).select(F.col("a.h").alias("h"), F.struct(
+        "item_id", "w", F.reverse(F.slice("iwords", ipos - back + 1, back)).alias("before"),
+        F.slice("iwords", ipos + 1, F.least(F.col("m") - ipos, w)).alias("after")).alias("a")).distinct()
+    probes = small(stage(anchors, "decon-anchors"), 500_000)
     hit = doc_shingles(docs, lengths).join(probes, "h")
-    pos, ipos, iwords, words = F.col("pos"), F.col("a.ipos"), F.col("a.iwords"), F.col("words")
-    back = F.least(pos, ipos)
-    ahead = F.least(F.size(words) - pos, F.size(iwords) - ipos)
-    before = lambda arr, p: F.reverse(F.slice(arr, p - back + 1, back))
-    after = lambda arr, p: F.slice(arr, p + 1, ahead)
+    # The explode keeps whole texts out of the rows that leave this step: only the words around the match do.
+    pos, words = F.col("pos"), F.col("words")
+    back = F.least(pos, F.size("a.before"))
+    around = F.struct(F.slice(words, pos - back + 1, back).alias("before"),
+                      F.slice(words, pos + 1, F.least(F.size(words) - pos, F.size("a.after"))).alias("after"))
+    hit = hit.select("key", "pos", "a", F.explode(F.array(around)).alias("d"))
     hit = hit.select("key", F.col("a.item_id").alias("item_id"), F.col("a.w").alias("w"), "pos",
-                     equal_prefix(before(words, pos), before(iwords, ipos)).alias("left"),
-                     equal_prefix(after(words, pos), after(iwords, ipos)).alias("right"))
+                     equal_prefix(F.reverse("d.before"), F.col("a.before")).alias("left"),
+                     equal_prefix(F.col("d.after"), F.col("a.after")).alias("right"))
     return hit.where(F.col("left") + F.col("right") >= F.col("w")).select(
         "key", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"), "item_id")
 
