@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from geosift.llm import decontaminate, jaccard, mixing, toxicity
+from geosift.llm import decontaminate, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
 
 QUERIES = {
+    "op4_token_counts": wordpiece.op4_token_counts,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op8_token_ids": token_output.op8_token_ids,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
@@ -12,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_license_scan": licenses.OP9_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
