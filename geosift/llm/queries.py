@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from geosift.llm import decontaminate, embeddings, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
+from geosift.llm import decontaminate, embeddings, html_text, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
 
 QUERIES = {
+    "op6_html_text": html_text.op6_html_text,
     "op2_embedding_duplicates": embeddings.op2_embedding_duplicates,
     "op4_token_counts": wordpiece.op4_token_counts,
     "op9_license_scan": licenses.op9_license_scan,
