@@ -1,45 +1,13 @@
-"""What the operators of this subpackage share: staging tables, size-checked broadcasts, row keys."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (a few hundred bytes a row) may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="geosift-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/geosift/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is (Spark then shuffles).
+from geosift.staging import new_path, scratch_dir, small, stage
 
-    The count stops at rows + 1, so the check costs no more than the table it allows.
-    """
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+__all__ = ["ascii_lower", "new_path", "row_key", "scratch_dir", "small", "stage"]
 
 
 def ascii_lower(c: Column) -> Column:
