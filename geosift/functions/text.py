@@ -51,8 +51,9 @@ def decode_entities(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit(r"(&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});|&|[^&]+)"), 1)
 
     def code(n: Column) -> Column:
-        """A code point as text, by way of UTF-32."""
-        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32BE")
+        """A code point as text, by way of big-endian UTF-32; null where it is not a character."""
+        ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(F.when(ok, n).otherwise(63)), 8, "0")), "UTF-32"))
 
     def one(p: Column) -> Column:
         body = F.substring(p, 2, F.length(p) - 2)
@@ -60,7 +61,7 @@ def decode_entities(text: Column) -> Column:
         out = out.when(body.startswith("#"), code(F.substring(body, 2, 7).cast("long")))
         for k, v in named.items():
             out = out.when(body == k, F.lit(v))
-        return F.when(p.endswith(";") & p.startswith("&"), out).otherwise(p)
+        return F.when(p.endswith(";") & p.startswith("&"), F.coalesce(out, p)).otherwise(p)
 
     return F.array_join(F.transform(parts, one), "")
 
