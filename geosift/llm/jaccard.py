@@ -47,7 +47,8 @@ MEET = 3  # lists in which a pair must meet
 LEAST = 6  # smaller sets with a Jaccard of 0.85 are equal; see prefix_size
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
 SHARED = 2_000  # a shingle is widely shared from one in so many documents on
-CACHE = 1_000_000  # words a task remembers
+CACHE = 300_000  # words a task remembers
+HELD = 4_000_000  # shingles a task counts at a time
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # odd multipliers of a 64-bit finaliser
 
 
@@ -121,22 +122,27 @@ def common_words(docs: DataFrame) -> dict[bytes, int]:
     Each task counts all its words and sends those with at least half that share of its own words.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         total = 0
-        for pdf in batches:
-            for t in pdf["text"]:
-                w = words_of(t)
+
+        def flush() -> pa.RecordBatch:
+            rows = [(w, n) for w, n in seen.items() if n * COMMON_WORD * 2 >= total]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in rows] + [b""], pa.binary()), pa.array([n for _, n in rows] + [0], pa.int64()),
+                 pa.array([0] * len(rows) + [total], pa.int64())], names=["w", "n", "total"])
+
+        for batch in batches:
+            for t in batch.column("text"):
+                w = words_of(t.as_py())
                 total += len(w)
                 seen.update(w)
-            if len(seen) > CACHE:
-                yield pd.DataFrame([(w, n, 0) for w, n in seen.items() if n * COMMON_WORD * 2 >= total], columns=["w", "n", "total"])
-                yield pd.DataFrame({"w": [b""], "n": [0], "total": [total]})
-                seen, total = Counter(), 0
-        rows = [(w, n, 0) for w, n in seen.items() if n * COMMON_WORD * 2 >= total] + [(b"", 0, total)]
-        yield pd.DataFrame(rows, columns=["w", "n", "total"])
-
-    counted = docs.select("text").mapInPandas(count, "w binary, n long, total long")
+                if len(seen) > CACHE:
+                    yield flush()
+                    seen, total = Counter(), 0
+        yield flush()
+
+    counted = docs.select("text").mapInArrow(count, "w binary, n long, total long")
     sums = stage(counted.groupBy("w").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "jac-words")
     total = sums.agg(F.max("total")).first()[0] or 0
     rows = sums.where((F.col("n") * COMMON_WORD >= total) & (F.col("n") > 0)).collect()  # at most COMMON_WORD rows
@@ -150,27 +156,30 @@ def shared_shingles(docs: DataFrame, width: int, n_docs: int) -> np.ndarray:
     Their number is bounded by SHARED times the mean set size.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width, {}, np.empty(0, np.uint64))
         held, size, n = [], 0, 0
 
-        def flush() -> pd.DataFrame:
-            h, k = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
+            held.clear()
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            k = np.diff(first, append=len(h))
             keep = k >= max(2, n // (2 * SHARED))
-            return pd.DataFrame({"h": h[keep].astype(np.int64), "n": k[keep]})
+            return pa.RecordBatch.from_arrays([pa.array(h[first[keep]].astype(np.int64)), pa.array(k[keep].astype(np.int64))], names=["h", "n"])
 
-        for pdf in batches:
-            for t in pdf["text"]:
-                h = np.unique(shingler.hashes_of(words_of(t))[0])
+        for batch in batches:
+            for t in batch.column("text"):
+                h = np.unique(shingler.hashes_of(words_of(t.as_py()))[0])
                 held.append(h)
                 size += len(h)
                 n += 1
-                if size > 8_000_000:
+                if size > HELD:
                     yield flush()
-                    held, size, n = [], 0, 0
+                    size, n = 0, 0
         yield flush()
 
-    counted = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counted.where(F.col("n") >= max(8, n_docs // SHARED)).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
 
