@@ -244,6 +244,20 @@ def _similar(percent: int):
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, comp) after further links (a, b): components of components, which are few."""
+    for x in ("a", "b"):
+        links = links.join(comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
+    links = stage(links.where("a <> b").distinct(), "jac-merge")
+    if links.isEmpty():
+        return comp
+    over = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    moved = comp.join(over, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    # Ids that had no link before stand for themselves.
+    new = over.select(F.col("comp").alias("id"), F.col("to").alias("comp")).join(comp.select("id"), "id", "left_anti")
+    return stage(moved.unionByName(new), "jac-comp")
+
+
 def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> signatures (doc_id, text_hash, n, digest) and classes (cid, digest, owner, comp).
 
@@ -286,10 +300,9 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     across = across.groupBy("star1", "star2", "comp1", "comp2").agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
     across = stage(across.select(F.col("star1").alias("a"), F.col("star2").alias("b"), "comp1", "comp2"), "jac-across")
     second = stage(overlaps(across, classes, docs, shingler), "jac-second")
-    links = first.select("a", "b").unionByName(second.where(_similar(percent)).select("a", "b"))
+    comp = _merged(comp, second.where(_similar(percent)).select("a", "b"))
 
     # 3. Members of stars that may still hold a link between components.
-    comp = stage(components(links), "jac-comp2")
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
     near = second.where(~_similar(percent)).withColumn("d", distance)
     for x in ("a", "b"):
@@ -307,8 +320,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
         todo = todo.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}")), x)
     todo = stage(todo.where(fits(F.col("na"), F.col("nb"))).select("a", "b"), "jac-todo")
     if not todo.isEmpty():
-        third = overlaps(todo, classes, docs, shingler).where(_similar(percent)).select("a", "b")
-        comp = stage(components(links.unionByName(third)), "jac-comp3")
+        comp = _merged(comp, overlaps(todo, classes, docs, shingler).where(_similar(percent)).select("a", "b"))
     out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
     return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps")
 
