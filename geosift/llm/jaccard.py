@@ -10,8 +10,9 @@ join:
   pivots are not already in one component.
 
 Index lists hold the first tokens of each set in a global order, rare ones first. A list entry carries the
-set's size, and entries are skipped by position: a set indexes only its first n - ceil(t n) + L tokens,
-and a pair is a candidate only if it meets in at least L = 3 lists and its sizes allow the threshold.
+set's size and the token's position, and is skipped by position: a set indexes only its first n - ceil(t n) + L
+tokens; for a partner of known size still fewer count (see _overlap_needed); and a pair is a candidate only
+if it meets in at least L = 3 lists and its sizes allow the threshold.
 
 The order decides cost, never results. A shingle's place comes from the frequencies of its words and, for
 shingles of widely shared passages, from its document count; both are counted over all documents.
@@ -37,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosift.llm.common import stage
@@ -240,7 +241,16 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingler: tu
                        common("ka", "kb").alias("both"))
 
 
-def _similar(percent: int):
+def _overlap_needed(n1: Column, n2: Column, percent: int) -> Column:
+    """Tokens that sets of these sizes share at least if they are partners.
+
+    A set of n has at most n - need tokens of its own, so MEET of the shared ones are among its first
+    n - need + MEET: an entry further back is skipped for this partner.
+    """
+    return F.ceil((n1 + n2) * percent / (100 + percent))
+
+
+def _similar(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
 
 
@@ -272,13 +282,15 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     # Index lists of classes: one entry a token, with the set's size.
     owners = sig.where("size(prefix) > 0").select("digest", "doc_id", "n", "prefix").join(
         classes.select(F.col("owner").alias("doc_id"), "digest", "cid"), ["doc_id", "digest"])
-    entries = owners.select("cid", "n", F.explode("prefix").alias("token"))
-    heads = entries.groupBy("token").agg(F.min("cid").alias("head"), F.max("cid").alias("tail")).where("head <> tail").select("token", "head")
-    lists = stage(entries.join(heads, "token").distinct(), "jac-lists")
+    entries = owners.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+    heads = entries.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("head"), F.max("cid").alias("tail")).where("head.cid <> tail")
+    lists = stage(entries.join(heads.select("token", "head"), "token"), "jac-lists")
 
     # 1. Every set against the head of its lists: near copies find their pivot without meeting each other.
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    met = lists.where("cid <> head").groupBy("cid", "head").agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
+    need = _overlap_needed(F.col("n"), F.col("head.n"), percent)
+    near_front = (F.col("pos") < F.col("n") - need + MEET) & (F.col("head.pos") < F.col("head.n") - need + MEET)
+    met = lists.where((F.col("cid") != F.col("head.cid")) & near_front).groupBy("cid", F.col("head.cid").alias("head")).agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
     best = met.groupBy("cid").agg(F.max(F.struct("k", "head")).alias("m")).select(F.col("cid").alias("a"), F.col("m.head").alias("b"))
     first = stage(overlaps(stage(best, "jac-best"), classes, docs, shingler).where(_similar(percent)), "jac-first")
     comp = stage(components(first), "jac-comp1")
@@ -289,13 +301,15 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     members = first.join(pivots.withColumnRenamed("cid", "a"), "a", "left_anti").select(
         F.col("a").alias("cid"), F.col("b").alias("star"), distance.alias("d"))
     members = stage(members, "jac-members")
-    placed = lists.select("cid", "n", "token").join(members, "cid", "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "token", "n", F.coalesce("star", "cid").alias("star"), F.coalesce("comp", "cid").alias("comp"))
-    stars = placed.groupBy("token", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    placed = lists.select("cid", "n", "pos", "token").join(members, "cid", "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "token", "n", "pos", F.coalesce("star", "cid").alias("star"), F.coalesce("comp", "cid").alias("comp"))
+    stars = placed.groupBy("token", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     open_ = stars.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     stars = stage(stars.join(open_, "token", "left_semi"), "jac-stars")
-    l, r = (stars.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi")]) for i in (1, 2))
+    l, r = (stars.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi", "rest")]) for i in (1, 2))
+    need = _overlap_needed(F.col("lo1"), F.col("lo2"), percent)
     can = (F.col("lo1") * percent <= F.col("hi2") * 100) & (F.col("lo2") * percent <= F.col("hi1") * 100)
+    can = can & (need < F.col("rest1") + MEET) & (need < F.col("rest2") + MEET)
     across = l.join(r, "token").where((F.col("star1") > F.col("star2")) & (F.col("comp1") != F.col("comp2")) & can)
     across = across.groupBy("star1", "star2", "comp1", "comp2").agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
     across = stage(across.select(F.col("star1").alias("a"), F.col("star2").alias("b"), "comp1", "comp2"), "jac-across")
