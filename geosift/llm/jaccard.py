@@ -45,6 +45,7 @@ from geosift.llm.common import stage
 from geosift.llm.graph import components
 
 MEET = 3  # lists in which a pair must meet
+ROUNDS = 2  # of comparing each star with one other before all are compared
 LEAST = 6  # smaller sets with a Jaccard of 0.85 are equal; see prefix_size
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
 SHARED = 2_000  # a shingle is widely shared from one in so many documents on
@@ -207,11 +208,8 @@ def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
         sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, digest binary, prefix array<long>")
 
 
-def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
-    """pairs (a, b) of class ids -> a, b, na, nb, both: exact intersection sizes.
-
-    Sets are made again from the texts of the classes concerned, and only those are moved.
-    """
+def class_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
+    """ids (cid) -> cid, keys: the sets, made again from the texts of the classes concerned; only those are moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(*shingler)
@@ -221,12 +219,19 @@ def overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingler: tu
                 [batch.column("cid"), batch.column("digest"), pa.array(keys, pa.binary()),
                  pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary())], names=["cid", "want", "keys", "digest"])
 
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     owners = classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("owner").alias("doc_id"))
     texts = docs.join(owners, "doc_id").select("cid", "digest", "text")
     # Other rows with the owner's id may hold other sets.
     sets = texts.mapInArrow(make, "cid long, want binary, keys binary, digest binary").where("want = digest")
-    sets = stage(sets.select("cid", "keys").dropDuplicates(["cid"]), "jac-sets")
+    return stage(sets.select("cid", "keys").dropDuplicates(["cid"]), "jac-sets")
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) of class ids -> a, b, na, nb, both: exact intersection sizes."""
 
     @F.pandas_udf("long")
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -254,6 +259,14 @@ def _similar(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are in different components of comp (id, comp)."""
+    out = pairs
+    for x in ("a", "b"):
+        out = out.join(comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return out.where("ca <> cb").select(*pairs.columns)
+
+
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (id, comp) after further links (a, b): components of components, which are few."""
     for x in ("a", "b"):
@@ -292,7 +305,9 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     near_front = (F.col("pos") < F.col("n") - need + MEET) & (F.col("head.pos") < F.col("head.n") - need + MEET)
     met = lists.where((F.col("cid") != F.col("head.cid")) & near_front).groupBy("cid", F.col("head.cid").alias("head")).agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
     best = met.groupBy("cid").agg(F.max(F.struct("k", "head")).alias("m")).select(F.col("cid").alias("a"), F.col("m.head").alias("b"))
-    first = stage(overlaps(stage(best, "jac-best"), classes, docs, shingler).where(_similar(percent)), "jac-first")
+    best = stage(best, "jac-best")
+    sets = class_sets(both_ends(best), classes, docs, shingler)
+    first = stage(overlaps(best, sets).where(_similar(percent)), "jac-first")
     comp = stage(components(first), "jac-comp1")
 
     # 2. Stars of pivots: a pivot's own star, else the star of the pivot found.
@@ -311,10 +326,27 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     can = (F.col("lo1") * percent <= F.col("hi2") * 100) & (F.col("lo2") * percent <= F.col("hi1") * 100)
     can = can & (need < F.col("rest1") + MEET) & (need < F.col("rest2") + MEET)
     across = l.join(r, "token").where((F.col("star1") > F.col("star2")) & (F.col("comp1") != F.col("comp2")) & can)
-    across = across.groupBy("star1", "star2", "comp1", "comp2").agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
-    across = stage(across.select(F.col("star1").alias("a"), F.col("star2").alias("b"), "comp1", "comp2"), "jac-across")
-    second = stage(overlaps(across, classes, docs, shingler), "jac-second")
-    comp = _merged(comp, second.where(_similar(percent)).select("a", "b"))
+    across = across.groupBy(F.col("star1").alias("a"), F.col("star2").alias("b")).agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
+    across = stage(across, "jac-across")
+    missing = both_ends(across).join(sets.select("cid"), "cid", "left_anti")
+    sets = sets.unionByName(class_sets(missing, classes, docs, shingler))
+    # Each star is compared with the star it meets most often, as long as that unites components: what is
+    # united already needs no comparison. Then all that is left is compared.
+    tested: list[DataFrame] = []
+    left = across
+    while True:
+        left = stage(_apart(left, comp), "jac-left")
+        last = len(tested) == ROUNDS
+        pick = left if last else left.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        tested.append(stage(overlaps(pick.select("a", "b"), sets), "jac-second"))
+        if last:
+            break
+        left = left.join(pick, ["a", "b"], "left_anti")
+        comp = _merged(comp, tested[-1].where(_similar(percent)).select("a", "b"))
+    second = tested[0]
+    for t in tested[1:]:
+        second = second.unionByName(t)
+    comp = _merged(comp, tested[-1].where(_similar(percent)).select("a", "b"))
 
     # 3. Members of stars that may still hold a link between components.
     radius = members.groupBy("star").agg(F.max("d").alias("r"))
@@ -334,7 +366,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
         todo = todo.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}")), x)
     todo = stage(todo.where(fits(F.col("na"), F.col("nb"))).select("a", "b"), "jac-todo")
     if not todo.isEmpty():
-        comp = _merged(comp, overlaps(todo, classes, docs, shingler).where(_similar(percent)).select("a", "b"))
+        comp = _merged(comp, overlaps(todo, sets).where(_similar(percent)).select("a", "b"))
     out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
     return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps")
 
