@@ -12,7 +12,8 @@ join:
 Index lists hold the first tokens of each set in a global order, rare ones first. A list entry carries the
 set's size and the token's position, and is skipped by position: a set indexes only its first n - ceil(t n) + L
 tokens; for a partner of known size still fewer count (see _overlap_needed); and a pair is a candidate only
-if it meets in at least L = 3 lists and its sizes allow the threshold.
+if it meets in at least L = 3 lists (fewer at thresholds under 2/3) and its sizes allow the threshold. Sets too
+small for an unequal partner at the threshold (least_shared) are in no list.
 
 The order decides cost, never results. A shingle's place comes from the frequencies of its words and, for
 shingles of widely shared passages, from its document count; both are counted over all documents.
@@ -44,9 +45,8 @@ from pyspark.sql import functions as F
 from geosift.llm.common import stage
 from geosift.llm.graph import components
 
-MEET = 3  # lists in which a pair must meet
+MEET = 3  # lists in which a pair must meet; fewer at low thresholds, see meetings
 ROUNDS = 2  # of comparing each star with one other before all are compared
-LEAST = 6  # smaller sets with a Jaccard of 0.85 are equal; see prefix_size
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
 SHARED = 2_000  # a shingle is widely shared from one in so many documents on
 CACHE = 300_000  # words a task remembers
@@ -112,10 +112,29 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
 
 
+def least_shared(percent: int) -> int | None:
+    """Tokens that unequal partners share at least: of o shared ones in a union of o + 1 or more, o / (o + 1) >= t.
+
+    Smaller sets have equal partners only. None: all sets do.
+    """
+    return -(-percent // (100 - percent)) if percent < 100 else None
+
+
+def meetings(percent: int) -> int:
+    """Lists in which unequal partners meet at least: MEET, or all they share if that may be less."""
+    return max(1, min(MEET, least_shared(percent) or MEET))
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """Tokens a set of n indexes. Partners share at least ceil(t n) >= MEET tokens, so at least MEET of them here."""
+    """Tokens a set of n indexes: none where only equal sets can be partners.
+
+    Partners share at least ceil(t n) tokens and meetings(percent) at least, so that many of them are here.
+    """
+    least = least_shared(percent)
+    if least is None or n < least:
+        return 0
     need = -(-percent * n // 100)
-    return min(n, n - need + MEET)
+    return min(n, n - need + meetings(percent))
 
 
 def common_words(docs: DataFrame) -> dict[bytes, int]:
@@ -197,7 +216,7 @@ def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
                 k = s.keys(t.as_py())
                 n.append(len(k))
                 digest.append(xxhash.xxh3_128_digest(k.tobytes()))
-                prefix.append(k[: prefix_size(len(k), percent) if len(k) >= LEAST else 0].astype(np.int64))
+                prefix.append(k[: prefix_size(len(k), percent)].astype(np.int64))
             ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays(
@@ -249,8 +268,8 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _overlap_needed(n1: Column, n2: Column, percent: int) -> Column:
     """Tokens that sets of these sizes share at least if they are partners.
 
-    A set of n has at most n - need tokens of its own, so MEET of the shared ones are among its first
-    n - need + MEET: an entry further back is skipped for this partner.
+    A set of n has at most n - need tokens of its own, so L = meetings(percent) of the shared ones are among its
+    first n - need + L: an entry further back is skipped for this partner.
     """
     return F.ceil((n1 + n2) * percent / (100 + percent))
 
@@ -287,7 +306,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     A class is a set; cid is 64 bits of its digest, owner the smallest id that has it, comp the smallest cid
     that links reach from it.
     """
-    n_docs = docs.count()
+    n_docs, meet = docs.count(), meetings(percent)
     shingler = (width, common_words(docs), shared_shingles(docs, width, n_docs))
     sig = stage(signatures(docs, shingler, percent), "jac-sig")
     classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("owner"))
@@ -302,8 +321,8 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     # 1. Every set against the head of its lists: near copies find their pivot without meeting each other.
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     need = _overlap_needed(F.col("n"), F.col("head.n"), percent)
-    near_front = (F.col("pos") < F.col("n") - need + MEET) & (F.col("head.pos") < F.col("head.n") - need + MEET)
-    met = lists.where((F.col("cid") != F.col("head.cid")) & near_front).groupBy("cid", F.col("head.cid").alias("head")).agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
+    near_front = (F.col("pos") < F.col("n") - need + meet) & (F.col("head.pos") < F.col("head.n") - need + meet)
+    met = lists.where((F.col("cid") != F.col("head.cid")) & near_front).groupBy("cid", F.col("head.cid").alias("head")).agg(F.count("*").alias("k")).where(F.col("k") >= meet)
     best = met.groupBy("cid").agg(F.max(F.struct("k", "head")).alias("m")).select(F.col("cid").alias("a"), F.col("m.head").alias("b"))
     best = stage(best, "jac-best")
     sets = class_sets(both_ends(best), classes, docs, shingler)
@@ -324,9 +343,9 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     l, r = (stars.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi", "rest")]) for i in (1, 2))
     need = _overlap_needed(F.col("lo1"), F.col("lo2"), percent)
     can = (F.col("lo1") * percent <= F.col("hi2") * 100) & (F.col("lo2") * percent <= F.col("hi1") * 100)
-    can = can & (need < F.col("rest1") + MEET) & (need < F.col("rest2") + MEET)
+    can = can & (need < F.col("rest1") + meet) & (need < F.col("rest2") + meet)
     across = l.join(r, "token").where((F.col("star1") > F.col("star2")) & (F.col("comp1") != F.col("comp2")) & can)
-    across = across.groupBy(F.col("star1").alias("a"), F.col("star2").alias("b")).agg(F.count("*").alias("k")).where(F.col("k") >= MEET)
+    across = across.groupBy(F.col("star1").alias("a"), F.col("star2").alias("b")).agg(F.count("*").alias("k")).where(F.col("k") >= meet)
     across = stage(across, "jac-across")
     missing = both_ends(across).join(sets.select("cid"), "cid", "left_anti")
     sets = sets.unionByName(class_sets(missing, classes, docs, shingler))

@@ -197,6 +197,24 @@ def test_jaccard_join(spark, width, percent, seed):
     assert kept.count() == len(linked) + alone
 
 
+@pytest.mark.parametrize("width, percent", [(5, 80), (4, 85), (3, 60), (2, 50), (1, 40), (3, 100)])
+def test_jaccard_join_of_short_texts(spark, width, percent):
+    """Every length of short texts, with copies that have a word more at either end or another one."""
+    texts = []
+    for n in range(1, 15):
+        base = [f"t{n}x{k}" for k in range(n)]
+        texts += [" ".join(w) for w in (base, [*base, f"more{n}"])]
+        base = [f"u{n}x{k}" for k in range(n)]
+        texts += [" ".join(w) for w in (base, [f"first{n}", *base], base[:-1] + [f"other{n}"], base)]
+    rows = list(enumerate(texts))
+    random.Random(percent).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_join(df, width=width, percent=percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == jaccard_truth(rows, width, percent)
+    kept = {r.doc_id for r in jaccard.keep_one(df, width=width, percent=percent).collect()}
+    assert kept == {r.component_id for r in got}
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(df).count() == 0 and jaccard.keep_one(df).count() == 0
