@@ -78,14 +78,14 @@ def hash_thresholds(base: DataFrame, targets: DataFrame) -> DataFrame:
     """base (skey, size, h); targets (skey, rest) -> skey, threshold: rows with h <= threshold are taken once more.
 
     One nested histogram a level; `prefix` and `left` hold each source's boundary bucket and what of the
-    budget remains for it.
+    budget remains for it. A budget that ends with a bucket leaves 0 for the next one, which is divided
+    like any other: the threshold comes out just below its first words.
     """
-    state = targets.select("skey", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
+    state = targets.where("rest > 0").select("skey", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
     run = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
-        inside = base.join(small(state.select("skey", "prefix", "left")), "skey").where(
-            (F.shiftright("h", shift + BITS) == F.col("prefix")) & (F.col("left") > 0))
+        inside = base.join(small(state.select("skey", "prefix", "left")), "skey").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
         hist = inside.groupBy("skey", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         over = hist.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") > F.col("left"))
         first = over.groupBy("skey", "left").agg(F.min(F.struct("bucket", "upto", "words")).alias("b"))

@@ -445,3 +445,26 @@ def test_mixing(spark):
     assert out.columns == df.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.times for r in rows if r.times})
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.repeat_rows(df.limit(0)).count() == 0
+
+
+def test_mixing_budget_ends_with_a_document(spark):
+    """The rest of a source equals the words of its first documents in hash order, of one or more words each."""
+    rng = random.Random(4)
+    ids = spark.range(1200).select("id", mixing.id_hash(F.col("id")).alias("h")).collect()
+    rows, rest, want = [], [], {}
+    for k in range(20):
+        mine = sorted((r.h, rng.randint(1, 30) if k % 2 else 1) for r in ids[k * 60 : k * 60 + 60])
+        n = (1, 59, 7, 31)[k // 2 % 4]
+        rows += [(f"s{k}", size, h) for h, size in mine]
+        rest.append((f"s{k}", float(sum(size for _, size in mine[:n]))))
+        want[f"s{k}"] = n
+    base = spark.createDataFrame(rows, "skey string, size long, h long")
+    cut = {r.skey: r.threshold for r in mixing.hash_thresholds(base, spark.createDataFrame(rest, "skey string, rest double")).collect()}
+    assert {s: sum(1 for k, _, h in rows if k == s and h <= cut.get(s, -1)) for s in want} == want
+
+    one_word = table(spark, ["word"] * 2400)
+    taken, target = Counter(), {}
+    for r in mixing.mix(one_word).collect():
+        taken[r.doc_id % 3] += r.taken
+        target[r.doc_id % 3] = r.target
+    assert taken == target == {0: 1500, 1: 600, 2: 300}
