@@ -7,6 +7,11 @@ other pages decide. The token streams of everything outside articles are concate
 array finds runs of at least RUN tokens that stand on MIN_PAGES distinct pages or more, covered tokens are
 removed from open blocks and the unique runs are kept.
 
+Names of classes and ids judge less than elements and roles do. An article or main element is never furniture by its
+name, nor is what holds the page's main element or its only articles. A whole class or id (`sidebar`) makes furniture; one with a
+part that tells of a layout (`no-sidebar`) says nothing; another with a part of that kind (`main-widget`) makes furniture in
+an article that has other text, and is open on a page without an article.
+
 Repeats inside articles are not removed: pages hold copies of the same article, and cutting what is repeated
 would take away their main text.
 
@@ -52,16 +57,25 @@ NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside cookie cookies consent notice banner ad ads advert adverts "
     "advertisement advertising sponsor sponsored promo promotion comment comments disqus respond newsletter subscribe share sharing "
     "social related breadcrumb breadcrumbs popup modal overlay login signup widget toolbar pagination pager skip".split())
+LAYOUT = frozenset("no not with without has have is open opened closed enabled disabled layout".split())
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
 class _Page(HTMLParser):
-    """Collects blocks as (kind, text): 'main' in an article, 'open' outside, 'furniture' where the page's frame is."""
+    """Collects blocks as (kind, text): 'main' in an article, 'open' outside, 'furniture' where the page's frame is;
+    'soft main' and 'soft open' where only a part of a name speaks for furniture.
+
+    spared: numbers of elements that their names do not judge.
+    """
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []  # (tag, state): what the element makes of its content
+        # (tag, state, why): what the element makes of its content; why it is furniture: its number if by name, else -1.
+        self.stack: list[tuple[str, str, int | None]] = []
+        self.spared, self.count = spared, 0
+        self.round_main: set[int] = set()  # elements, furniture by name, that hold a main element
+        self.round_article: set[int] = set()  # or an article
         self.blocks: list[tuple[str, str]] = []
         self.held: list[str] = []
         self.has_article = False
@@ -88,20 +102,50 @@ class _Page(HTMLParser):
             self._close(SIBLINGS[tag], {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
         if tag in VOID:
             return
-        self.stack.append((tag, self._state(tag, dict(attrs))))
+        self.count += 1
+        a = dict(attrs)
+        state = self._state(tag, a)
+        hard = tag in FURNITURE or (a.get("role") or "").lower() in ROLES
+        by_name = state == "furniture" and self._named(tag, a) == "whole" and self.count not in self.spared
+        self.stack.append((tag, state, -1 if hard else self.count if by_name else None))
+
+    def _named(self, tag: str, attrs: dict[str, str | None]) -> str:
+        """'whole' if a class or the id is a name of furniture, 'part' if a part of one is, else ''."""
+        if tag in ("html", "body"):
+            return ""
+        found = ""
+        for token in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            parts = {n.lower() for n in _NAME.findall(token)}
+            if token.lower() in NAMES:
+                return "whole"
+            if parts & NAMES and not parts & LAYOUT:
+                found = "part"
+        return found
 
     def _state(self, tag: str, attrs: dict[str, str | None]) -> str:
         now = self.state
+        role = (attrs.get("role") or "").lower()
+        is_main, is_article = tag == "main" or role == "main", tag == "article" or role == "article"
         if now == "gone" or tag in INVISIBLE or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
             return "gone"
         if now == "furniture":
-            return "main" if tag in HEADINGS and any(t == "header" for t, _ in self.stack) and any(s == "main" for _, s in self.stack) else now
-        names = {n.lower() for n in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
-        if tag in FURNITURE or (attrs.get("role") or "").lower() in ROLES or (names & NAMES and tag not in ("html", "body")):
+            why = {w for _, s, w in self.stack if s == "furniture" and w is not None}
+            if -1 not in why and is_main and not any(s == "main" for _, s, _ in self.stack):
+                self.round_main |= why
+            elif -1 not in why and is_article and self._named(tag, attrs) != "whole":
+                self.round_article |= why
+            return "main" if tag in HEADINGS and any(t == "header" for t, _, _ in self.stack) and any(s == "main" for _, s, _ in self.stack) else now
+        if tag in FURNITURE or role in ROLES:
             return "furniture"
-        if tag in ("article", "main") or (attrs.get("role") or "").lower() in ("main", "article"):
+        inside = now in ("main", "soft main")
+        if is_main or (is_article and not inside):
             self.has_article = True
             return "main"
+        named = "" if self.count in self.spared else self._named(tag, attrs)
+        if named == "whole":
+            return "furniture"
+        if named == "part":
+            return "soft main" if inside else "soft open"
         return now
 
     def _close(self, tags: set[str], stop: frozenset[str] | set[str]) -> None:
@@ -143,13 +187,23 @@ def parse(html: str | None) -> tuple[list[str], list[str], list[str]]:
     """Main, open and furniture blocks; a page with an article has no open blocks, its loose text is furniture."""
     if not html:
         return [], [], []
-    page = _Page()
-    page.feed(_CUT.sub("", html))  # a tag that the end of the input cuts off is markup, not text
-    page.close()
-    of = lambda kind: [t for k, t in page.blocks if k == kind]
+    html = _CUT.sub("", html)  # a tag that the end of the input cuts off is markup, not text
+    page = _read(html)
+    spared = page.round_main if page.has_article else page.round_main | page.round_article
+    if spared:
+        page = _read(html, frozenset(spared))
+    of = lambda *kinds: [t for k, t in page.blocks if k in kinds]
     if page.has_article:
-        return of("main"), [], [t for k, t in page.blocks if k != "main"]
-    return [], of("open"), of("furniture")
+        main = "main" if of("main") else "soft main"
+        return of(main), [], [t for k, t in page.blocks if k != main]
+    return [], of("open", "soft open"), of("furniture")
+
+
+def _read(html: str, spared: frozenset[int] = frozenset()) -> _Page:
+    page = _Page(spared)
+    page.feed(html)
+    page.close()
+    return page
 
 
 def token_hashes(words: list[str]) -> np.ndarray:

@@ -284,6 +284,21 @@ def test_html_parse():
     assert html_text.parse("<body><div>Loose  one</div><p>x")[1] == ["Loose one", "x"]
 
 
+def test_html_names_do_not_take_articles():
+    main = lambda h: "\n".join(html_text.parse(h)[0])
+    for page in ('<main class="content with-sidebar"><p>text</main>', '<article class="post comments-open"><p>text</article>',
+                 '<div class="layout no-sidebar"><div class="sidebar">s</div><article><p>text</article></div>', '<article class="comments"><p>text</article>',
+                 '<div class="social"><nav>n</nav><article><p>text</article></div>', '<div id="main-widget"><main><p>text</main></div>',
+                 '<main><div id="main-widget"><p>text</div></main>', '<div class="page overlay"><div role="main">text</div></div>'):
+        assert main(page) == "text", page
+    # What names rightly mark still goes: in articles, and readers' comments that are articles themselves.
+    assert main('<main><p>text<div class="related-posts">more</div><div id="comments"><article class="comment-body">me too</article></div></main>') == "text"
+    assert main('<main><p>text<article class="comment">me too</article></main>') == "text"
+    assert main('<article><p>text</article><div class="sidebar"><article>teaser</article></div>') == "text"
+    # Without an article the host's other pages decide about what only a part of a name marks.
+    assert html_text.parse('<div id="main-widget">own</div><div class="sidebar">s</div>') == ([], ["own"], ["s"])
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(0)
     for _ in range(30):
