@@ -17,12 +17,14 @@ Defined results:
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosift.llm.common import small
 
-# Known notices. Full texts can be added as rows of (license, text).
+# Known notices; full texts are in license_texts/, a file a license.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -42,6 +44,8 @@ SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("creative commons", "cc"), ("attribution", "by"),
     ("noncommercial", "nc"), ("sharealike", "sa"), ("v 2 0", "version 2 0"), ("v2 0", "version 2 0"), ("v2", "version 2"), ("v3", "version 3"),
 )
+TEXTS = Path(__file__).parent / "license_texts"
+END = "END OF TERMS AND CONDITIONS"
 COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
 
 
@@ -56,10 +60,22 @@ def canonical(text: Column, *, keep_copyright: bool = False) -> Column:
     return F.trim(F.regexp_replace(t, " +", " "))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of the full texts: as they are, without a title line, and without what follows the terms."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8")
+        title, rest = text.split("\n\n", 1)
+        forms = [text] if "\n" in title.strip() else [text, rest]
+        forms += [f[: f.index(END) + len(END)] for f in forms if END in f]
+        out += [(path.stem, f) for f in forms]
+    return out
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """digest, license of the known texts (license, text); one row a digest."""
     if known is None:
-        known = spark.createDataFrame(list(KNOWN), "license string, text string")
+        known = spark.createDataFrame([*KNOWN, *full_texts()], "license string, text string")
     c = canonical(F.col("text"))
     rows = known.where("license is not null and text is not null").where(c != "")
     return rows.select(F.sha2(c, 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))

@@ -427,6 +427,15 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_full_license_texts(spark):
+    full = {p.stem: p.read_text("utf-8") for p in licenses.TEXTS.glob("*.txt")}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0"} <= set(full)
+    names = sorted(full)
+    texts = [full[n] for n in names] + [full["MIT"].split("\n\n", 1)[1].replace("<year> <copyright holders>", "2020 me"), full["MIT"] + "\nand more"]
+    rows = {r.doc_id: r.license for r in licenses.scan_licenses(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [*names, "MIT", None]
+
+
 # Mixing.
 
 
