@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geosift.schema import META, POLYGON, Elements
+from geosift.staging import small, stage
+
+TOP = ("node", "way", "relation")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_TAG_NAME = re.compile(r"<(/?)([^\s/<>]+)")
 
 _S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
 
@@ -25,11 +34,6 @@ _WAY = _struct(**_ATTRS, nd=T.ArrayType(_struct(_ref=_L)), tag=_TAG)
 _REL = _struct(**_ATTRS, member=T.ArrayType(_struct(_type=_S, _ref=_L, _role=_S)), tag=_TAG)
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    options = {"rowTag": tag, "mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "nullValue": "\0"}
-    return spark.read.format("xml").options(**options).schema(schema).load(path)
-
-
 def _tags() -> Column:
     return F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")).alias("tags")
 
@@ -42,27 +46,204 @@ def _id() -> Column:
     return F.coalesce("_id", F.lit(0).cast("long")).alias("id")
 
 
-def read_root(spark: SparkSession, path: str, size: int = 65_536) -> dict[str, str]:
-    """The root element's attributes, from the first bytes of the (first) file."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, size)).first()
-    if head is None:
-        return {}
-    parser = ET.XMLPullParser(["start"])
-    parser.feed(bytes(head[0]))
-    for _, element in parser.read_events():
-        return dict(element.attrib)
-    return {}
+def _unbalanced(tag: str) -> bool:
+    """Whether a quote is open at the end: a '>' in an attribute's value has cut the tag."""
+    return ("'" in tag or tag.count('"') % 2 == 1) and bool(re.search("[\"']", _QUOTED.sub("", tag)))
+
+
+def _name(tag: str) -> tuple[str, str]:
+    m = _TAG_NAME.match(tag)
+    if not m:
+        raise ValueError(f"map file: cannot read tag {tag[:100]!r}")
+    return m[1], m[2]
+
+
+class _Split:
+    """Puts the tags of one split together to top-level elements; each tag comes without its '>'.
+
+    What a split's ends cut is left for _stitch in rows of their own: "lead", text before the first tag; "head", tags
+    before the first element (the rest of one that began before); "tail", an element that is still open; "cut", the
+    start of a tag; "void", the split began in a comment: rows with a smaller seq are no elements. The last row is
+    "comment" if the split ends in one, else "end".
+    """
+
+    def __init__(self, path: str, block: int):
+        self.path, self.block, self.seq = path, block, 0
+        self.rows: list[tuple[str, int, int, str, str]] = []
+        self.comment, self.cut, self.begun = False, "", False
+        self.lead: list[str] = []
+        self.restart()
+
+    def restart(self) -> None:
+        self.head: list[str] = []
+        self.open, self.parts, self.started = "", [], False
+
+    def put(self, tag: str, xml: str) -> None:
+        self.rows.append((self.path, self.block, self.seq, tag, xml))
+        self.seq += 1
+
+    def take(self, text: str) -> None:
+        if self.cut:
+            text, self.cut = f"{self.cut}>{text}", ""
+        if self.comment:
+            self.comment = not text.endswith("--")
+            return
+        i = text.find("<")
+        if not self.begun and i < 0:
+            self.lead.append(text)
+        self.begun = self.begun or i >= 0
+        t = text[i:] if i >= 0 else ""
+        if t.startswith("<!--"):
+            self.comment = not (t.endswith("--") and len(t) >= 6)
+        elif t and not t.startswith(("<!", "<?")) and _unbalanced(t):
+            self.cut = t
+        elif text.endswith("--"):
+            self.put("void", "")
+            self.restart()
+        elif t and not t.startswith(("<!", "<?")):
+            self.tag(t)
+
+    def tag(self, t: str) -> None:
+        closing, name = _name(t)
+        if name == "osm":
+            if not closing:
+                self.put("osm", t.rstrip("/") + "/>")
+        elif name in TOP and not closing:
+            if self.open:
+                raise ValueError(f"map file: {name} in {self.open}")
+            self.started = True
+            if t.endswith("/"):
+                self.put(name, t + ">")
+            else:
+                self.open, self.parts = name, [t + ">"]
+        elif self.open:
+            self.parts.append(t + ">")
+            if closing and name == self.open:
+                self.put(name, "".join(self.parts))
+                self.open = ""
+        elif not self.started:
+            self.head.append(t + ">")
+
+    def close(self) -> None:
+        for tag, xml in (("lead", ">".join(self.lead)), ("head", "".join(self.head)), ("tail", "".join(self.parts) if self.open else ""), ("cut", self.cut)):
+            if xml:
+                self.put(tag, xml)
+        self.put("comment" if self.comment else "end", "")
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    split = None
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def rows() -> pa.RecordBatch:
+        columns = list(zip(*split.rows, strict=True)) or [()] * 5
+        split.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "block", "seq", "tag", "xml"])
+
+    for b in batches:
+        for path, block, value in zip(*(b.column(c).to_pylist() for c in ("path", "block", "value")), strict=True):
+            if split is None or (path, block) != (split.path, split.block):
+                if split is not None:
+                    split.close()
+                    yield rows()
+                split = _Split(path, block)
+            split.take(value)
+        if split is not None and split.rows:
+            yield rows()
+    if split is not None:
+        split.close()
+        yield rows()
+
+
+def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One file's loose ends, a few a split, in order: the elements that splits cut, and "void" rows up to a seq.
+
+    A split that is wholly in a comment is void as a whole.
+    """
+    out: list[tuple] = []
+    pending: list | None = None  # an open element
+    cut: list | None = None  # an open tag
+
+    def add(tags: str, closed: bool) -> None:
+        nonlocal pending
+        if pending:
+            pending[4] += tags
+            if closed:
+                out.append(tuple(pending))
+                pending = None
+
+    in_comment = False
+    for block, rows in pdf.sort_values(["block", "seq"]).groupby("block", sort=True):
+        path, last = rows["path"].iloc[0], rows["tag"].iloc[-1]
+        of = {tag: (seq, xml) for tag, seq, xml in zip(rows["tag"], rows["seq"], rows["xml"], strict=True)}
+        if cut:
+            cut[4] += ">" + of.get("lead", (0, ""))[1]
+            if not _unbalanced(cut[4]):
+                t, (closing, name) = cut[4], _name(cut[4])
+                if name not in TOP or closing:
+                    add(t + ">", bool(closing) and pending is not None and name == pending[3])
+                elif t.endswith("/"):
+                    out.append((*cut[:3], name, t + ">"))
+                else:
+                    pending = [*cut[:3], name, t + ">"]
+                cut = None
+        elif "void" in of:
+            out.append((path, block, of["void"][0], "void", ""))
+        elif in_comment:
+            out.append((path, block, 2**62, "void", ""))
+            continue
+        if "head" in of:
+            add(of["head"][1], pending is not None and f"</{pending[3]}" in of["head"][1])
+        if "tail" in of:
+            pending = [path, block, of["tail"][0], _name(of["tail"][1])[1], of["tail"][1]]
+        if "cut" in of:
+            cut = [path, block, *of["cut"][:1], "", of["cut"][1]]
+        in_comment = last == "comment"
+    if pending or cut:
+        raise ValueError(f"map file {(pending or cut)[0]}: an element is not closed: {(pending or cut)[4][:100]!r}")
+    return pd.DataFrame(out, columns=["path", "block", "seq", "tag", "xml"]).astype({"block": "int64", "seq": "int64"})
+
+
+_ELEMENT = "path string, block long, seq long, tag string, xml string"
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """path, block, seq (place in the file), tag, xml of the root tag and of every node, way and relation: one parallel pass.
+
+    The text source cuts files at '>' into splits of any size, so a row is a tag; each task puts its own tags
+    together, and what splits cut is joined by file (one loose end a split). Other elements are dropped.
+    """
+    tags = spark.read.text(path, lineSep=">").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    rows = stage(tags.mapInArrow(_assemble, _ELEMENT), "map-elements")
+    whole = F.col("tag").isin("osm", *TOP)
+    ends = stage(rows.where(~whole).groupBy("path").applyInPandas(_stitch, _ELEMENT), "map-ends")
+    out = rows.where(whole)
+    voids = ends.where("tag = 'void'").select("path", "block", F.col("seq").alias("upto"))
+    if not voids.isEmpty():  # a split that began in a comment
+        out = out.join(small(voids), ["path", "block"], "left").where("upto is null or seq > upto").drop("upto")
+    return out.unionByName(ends.where("tag <> 'void'"))
+
+
+def _parsed(elements: DataFrame, tag: str, schema: T.StructType) -> DataFrame:
+    options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "nullValue": "\0"}
+    place = F.struct("path", "block", "seq").alias("pos")
+    return elements.where(F.col("tag") == tag).select(place, F.from_xml("xml", schema, options).alias("e")).select("pos", "e.*")
 
 
 def read_osm_xml(spark: SparkSession, path: str) -> Elements:
-    """A map file. Relations get `pos`, their order in the file: files in name order, splits and rows in theirs."""
-    nodes = _read(spark, path, "node", _NODE).select(_id(), F.col("_lon").alias("x"), F.col("_lat").alias("y"), *_meta(), _tags())
-    ways = _read(spark, path, "way", _WAY).select(
+    """Map files: every file a document. Relations get `pos`, their order: files in name order, then place in the file.
+
+    The files are read once; their elements are staged, so that each use of the map reads those.
+    """
+    elements = read_elements(spark, path)
+    nodes = _parsed(elements, "node", _NODE).select(_id(), F.col("_lon").alias("x"), F.col("_lat").alias("y"), *_meta(), _tags())
+    ways = _parsed(elements, "way", _WAY).select(
         _id(), F.coalesce(F.transform("nd", lambda n: n["_ref"]), F.array().cast("array<bigint>")).alias("nodes"), *_meta(), _tags())
     member = F.transform("member", lambda m: F.struct(m["_type"].alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role")))
-    relations = _read(spark, path, "relation", _REL).withColumn("pos", F.monotonically_increasing_id()).select(
+    relations = _parsed(elements, "relation", _REL).select(
         _id(), F.coalesce(member, F.array().cast("array<struct<type:string,ref:bigint,role:string>>")).alias("members"), *_meta(), _tags(), "pos")
-    return Elements(nodes, ways, relations, read_root(spark, path))
+    root = elements.where("tag = 'osm'").orderBy("path", "block", "seq").select("xml").first()
+    return Elements(nodes, ways, relations, dict(ET.fromstring(root["xml"]).attrib) if root else {})
 
 
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,23 +54,40 @@ def render_relations(relations: DataFrame) -> DataFrame:
     return relations.select("id", element("relation", _attributes(), F.concat(members, _tags())).alias("value"))
 
 
+def root_tag(root: dict[str, str]) -> str:
+    esc = lambda v: v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    return "<osm" + "".join(f' {k}="{esc(v)}"' for k, v in root.items()) + ">"
+
+
 def render_xml(map_: Elements) -> DataFrame:
     """rank, id, value: header 0, nodes 1, ways 2, relations 3, footer 9."""
-    spark = map_.nodes.sparkSession
-    esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
-    root = "".join(f' {k}="{esc(v)}"' for k, v in map_.root.items())
-    ends = spark.createDataFrame([(0, None, f"{HEADER}\n<osm{root}>"), (9, None, "\n</osm>\n")], "rank int, id long, value string")
+    ends = map_.nodes.sparkSession.createDataFrame([(0, None, f"{HEADER}\n{root_tag(map_.root)}"), (9, None, "\n</osm>\n")], "rank int, id long, value string")
     parts = [render_nodes(map_.nodes), render_ways(map_.ways), render_relations(map_.relations)]
     for rank, part in enumerate(parts, 1):
         ends = ends.unionByName(part.withColumn("rank", F.lit(rank)))
     return ends.select("rank", "id", "value")
 
 
-def write_osm(map_: Elements, path: str) -> None:
-    """A map as XML text files in path: ordered by rank and id, so the parts in name order are one document.
+def write_osm(map_: Elements, path: str, *, files: int | None = None) -> None:
+    """A map as XML text files in path, ordered by rank and id over the files in name order.
 
-    The order comes from a range partitioning, not from one task; a part alone is not a document, the XML reader
-    reads them all.
+    Every file is a document with the root's attributes: tasks write apart, and any of the files can be read alone.
+    files: how many at most; 1 makes one document, which one task writes.
     """
-    lines = render_xml(map_).orderBy("rank", "id").select(F.regexp_replace("value", r"\A\n|\n\z", "").alias("value"))
-    lines.write.text(path)  # the writer ends each element with a line break
+    start, end = f"{HEADER}\n{root_tag(map_.root)}", "</osm>"
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda text: pa.RecordBatch.from_arrays([pa.array([text])], names=["value"])
+        empty = True
+        for b in batches:
+            if b.num_rows and empty:
+                yield line(start)
+                empty = False
+            yield pa.RecordBatch.from_arrays([b.column("value").filter(b.column("body"))], names=["value"])
+        if not empty:
+            yield line(end)
+
+    # The header's row makes a document of an empty map, too; the writer ends each line.
+    lines = render_xml(map_).where("rank < 9").select("rank", "id", F.regexp_replace("value", r"\A\n", "").alias("value"), (F.col("rank") > 0).alias("body"))
+    lines = lines.repartitionByRange(files, "rank", "id").sortWithinPartitions("rank", "id") if files else lines.orderBy("rank", "id")
+    lines.select("value", "body").mapInArrow(document, "value string").write.text(path)

@@ -1,6 +1,10 @@
 """The extract in both modes on a small map, from XML and from tables."""
 
+import xml.etree.ElementTree as ET
+from pathlib import Path
+
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from geosift.operators import closure, extract, idset
@@ -80,6 +84,70 @@ def test_round_trip(spark, path, tmp_path):
     assert again.root == m.root
 
 
+def same_map(a, b):
+    for x, y in ((a.nodes, b.nodes), (a.ways, b.ways), (a.relations.drop("pos"), b.relations.drop("pos"))):
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    assert a.root == b.root
+
+
+def test_parts_are_documents(spark, tmp_path):
+    nodes = spark.range(4000).selectExpr("id", "id / 8 x", "id / 4 y", "1L version", "'2010' timestamp", "2L uid", "'a > \"b\"' user", "3L changeset", "array(struct('k' k, '<>' v)) tags")
+    ways = spark.range(500).selectExpr("id", "sequence(id, id + 5) nodes", "1L version", "'2010' timestamp", "2L uid", "\"it's\" user", "3L changeset",
+                                       "cast(array() as array<struct<k:string,v:string>>) tags")
+    m = Elements(nodes, ways, spark.createDataFrame([], RELATION), {"version": "0.6"})
+    out, one = str(tmp_path / "many"), str(tmp_path / "one")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_osm(m, out)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sinks.write_osm(m, one, files=1)
+    files = sorted(Path(out).glob("part-*"))
+    assert len(files) >= 8 and len(list(Path(one).glob("part-*"))) == 1
+    ids_ = [int(e.get("id")) for f in files for e in ET.parse(f).getroot().iter("node")]  # each file is well-formed
+    assert ids_ == list(range(4000))
+    same_map(osm_xml.read_osm_xml(spark, out), m)
+    same_map(osm_xml.read_osm_xml(spark, one), m)
+    assert osm_xml.read_osm_xml(spark, str(files[3])).nodes.count() < 4000
+
+
+TRICKY = MAP.replace('  <way id="2">', '  <!-- <node id="777"/> > - ' + " ".join(f'<node id="{900 + k}"/>' for k in range(30)) + " -->\n  <way id=\"2\">").replace(
+    'user="a &amp; b"', "user='a > \" --' ")
+
+
+@pytest.mark.parametrize("size", [40, 333])
+def test_splits_cut_anywhere(spark, tmp_path, size):
+    """Elements, attributes' values and comments that splits cut are read as a whole."""
+    f = tmp_path / "t.osm"
+    f.write_text(TRICKY)
+    whole = ET.fromstring(TRICKY)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        m = osm_xml.read_osm_xml(spark, str(f))
+        assert spark.read.text(str(f), lineSep=">").rdd.getNumPartitions() > len(TRICKY) // size // 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.id for r in m.nodes.collect()) == sorted(int(e.get("id")) for e in whole.iter("node"))
+    assert {r.user for r in m.nodes.where("id = 1").collect()} == {'a > " --'}
+    assert {r.id: r.nodes for r in m.ways.collect()} == {int(w.get("id")): [int(n.get("ref")) for n in w.iter("nd")] for w in whole.iter("way")}
+    assert [r.id for r in m.relations.orderBy("pos").collect()] == [int(r.get("id")) for r in whole.iter("relation")]
+    assert members(m.relations) == {int(r.get("id")): [(e.get("type"), int(e.get("ref")), e.get("role")) for e in r.iter("member")] for r in whole.iter("relation")}
+    assert m.root == dict(whole.attrib)
+
+
+def test_malformed_maps(spark, tmp_path):
+    for k, text in enumerate(("<osm><way id='1'><nd ref='1'/>", "<osm><way id='1'><node id='2'/></way></osm>", "<osm><node id='x'/></osm>")):
+        f = tmp_path / f"{k}.osm"
+        f.write_text(text)
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            m = osm_xml.read_osm_xml(spark, str(f))
+            m.nodes.collect(), m.ways.collect()
+
+
 def test_empty_maps(spark):
     empty = Elements(spark.createDataFrame([], NODE), spark.createDataFrame([], WAY), spark.createDataFrame([], RELATION), {})
     for mode in ("complete", "simple"):
