@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.staging import new_path, scratch_dir, small, stage
+from geosift.staging import new_path, scratch_dir, small, stage, temporary, unused
 
-__all__ = ["ascii_lower", "new_path", "row_key", "scratch_dir", "small", "stage"]
+__all__ = ["ascii_lower", "new_path", "row_key", "scratch_dir", "small", "small_batches", "stage", "temporary", "unused"]
+
+#: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, if they are larger."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,26 +1,27 @@
 """Exact n-gram Jaccard self-join by set relations.
 
-A text's set is its distinct word shingles. Two relations between sets save most of the work of a prefix
-join:
+A text's set is its distinct word shingles. Relations between sets save most of the work of a prefix join:
 
 - Equal sets have equal answers: they become one class, and the join runs over classes.
-- A set that is highly similar to another one (its pivot) inherits the pivot's answers. With d = 1 -
-  Jaccard, a metric, a link between x (of pivot p) and y (of pivot q) needs d(p, q) <= t + d(x, p) + d(y, q).
-  So the join compares pivots; members are looked at only where that bound leaves room and the two
-  pivots are not already in one component.
+- A set that is highly similar to another one (its pivot) is described by the difference to it: the shingles it
+  has besides, and those it lacks. Shingles of the pivots of long lists come last in the global order, so a
+  set that is no partner of its pivot is indexed by what it does not share with it; and for two sets of one
+  pivot the overlap is derived from the pivot's answers and the two differences, without the sets.
 
 Index lists hold the first tokens of each set in a global order, rare ones first. A list entry carries the
-set's size and the token's position, and is skipped by position: a set indexes only its first n - ceil(t n) + L
-tokens; for a partner of known size still fewer count (see _overlap_needed); and a pair is a candidate only
-if it meets in at least L = 3 lists (fewer at thresholds under 2/3) and its sizes allow the threshold. Sets too
-small for an unequal partner at the threshold (least_shared) are in no list.
+set's size and the token's position. A set indexes its first n - ceil(t n) + L tokens only; lists are cut into
+blocks by size, and a set skips the blocks of sizes for which its token stands too far back (its n - need +
+L first tokens meet all partners that share `need`, see _needed). A pair is a candidate if it meets in at
+least L = 3 lists (fewer at thresholds under 2/3) and the tokens that are left at its last meeting suffice.
+Sets too small for an unequal partner at the threshold (least_shared) are in no list.
 
-The order decides cost, never results. A shingle's place comes from the frequencies of its words and, for
-shingles of widely shared passages, from its document count; both are counted over all documents.
+The order decides cost, never results. A shingle's place comes from the frequencies of its words, counted over all
+documents, and from the pivots: in a list of HOT sets or more, the set in which the token stands furthest
+in front is the pivot (the list's head).
 
-Only pairs of candidates are ever formed, never all pairs of a list of near copies: in each list the sets
-are first compared with the list's smallest set alone, which absorbs them, and what stays is compared
-between different components.
+Sets are first compared with the heads of their lists, which unites near copies without comparing them with each
+other. Then pairs of sets in different components are, those that meet most often first. No pair of
+two sets that are already in one component is compared.
 
 Defined results:
 - null, empty and blank texts: n_shingles 0, linked with nothing, component_id = own id.
@@ -31,34 +32,35 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import stage
+from geosift.llm.common import small, small_batches, stage, temporary, unused
 from geosift.llm.graph import components
 
 MEET = 3  # lists in which a pair must meet; fewer at low thresholds, see meetings
-ROUNDS = 2  # of comparing each star with one other before all are compared
+HOT = 16  # sets of a list from which on its head's shingles come last
+ROUNDS = 4  # of looking for such lists
+TOKENS = 500_000  # shingles (8 bytes each) up to which those that come last are sent to all tasks
+BAND = 1.05  # sizes of a block differ by this factor at most
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
-SHARED = 2_000  # a shingle is widely shared from one in so many documents on
-CACHE = 300_000  # words a task remembers
-HELD = 4_000_000  # shingles a task counts at a time
+CACHE = 200_000  # words a task remembers
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # odd multipliers of a 64-bit finaliser
 
 
 class Shingler:
     """Texts to sorted arrays of shingle keys: 7 bits of frequency class above 56 bits of hash."""
 
-    def __init__(self, width: int, common: dict[bytes, int], shared: np.ndarray):
-        self.width, self.common, self.shared = width, common, shared  # shared: sorted hashes
+    def __init__(self, width: int, common: dict[bytes, int]):
+        self.width, self.common = width, common
         self.powers = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(width)]
         self._forget()
 
@@ -78,10 +80,11 @@ class Shingler:
             out[i] = k
         return out
 
-    def hashes_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes and information (bits) in text order; fewer words than the width: one shingle."""
+    def keys(self, text: str | None) -> np.ndarray:
+        """Distinct keys in ascending order, rare shingles first; fewer words than the width: one shingle."""
+        words = words_of(text)
         if not words:
-            return np.empty(0, np.uint64), np.empty(0, np.uint8)
+            return np.empty(0, np.int64)
         if len(self.at) > CACHE:
             self._forget()
         k = self._index(words)
@@ -95,16 +98,8 @@ class Shingler:
         total ^= total >> np.uint64(31)
         total *= np.uint64(MIX[1])
         total ^= total >> np.uint64(33)
-        return total >> np.uint64(8), bits
-
-    def keys(self, text: str | None) -> np.ndarray:
-        """Distinct keys in ascending order, rare shingles first."""
-        h, bits = self.hashes_of(words_of(text))
         level = np.clip(64 - bits, 0, 64).astype(np.uint64)
-        if len(self.shared) and len(h):
-            i = np.minimum(np.searchsorted(self.shared, h), len(self.shared) - 1)
-            level[self.shared[i] == h] = 100
-        return np.unique(h | level << np.uint64(56))
+        return np.unique(total >> np.uint64(8) | level << np.uint64(56)).astype(np.int64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -170,39 +165,9 @@ def common_words(docs: DataFrame) -> dict[bytes, int]:
     return {bytes(r["w"]): min(16, int(np.log2(total / r["n"]))) for r in rows}
 
 
-def shared_shingles(docs: DataFrame, width: int, n_docs: int) -> np.ndarray:
-    """Hashes of shingles that at least 1 / SHARED of the documents hold (and 8 documents at least).
-
-    Each task counts all its shingles and sends those that reach half that share of its own documents.
-    Their number is bounded by SHARED times the mean set size.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width, {}, np.empty(0, np.uint64))
-        held, size, n = [], 0, 0
-
-        def flush() -> pa.RecordBatch:
-            h = np.sort(np.concatenate([*held, np.empty(0, np.uint64)]))
-            held.clear()
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-            k = np.diff(first, append=len(h))
-            keep = k >= max(2, n // (2 * SHARED))
-            return pa.RecordBatch.from_arrays([pa.array(h[first[keep]].astype(np.int64)), pa.array(k[keep].astype(np.int64))], names=["h", "n"])
-
-        for batch in batches:
-            for t in batch.column("text"):
-                h = np.unique(shingler.hashes_of(words_of(t.as_py()))[0])
-                held.append(h)
-                size += len(h)
-                n += 1
-                if size > HELD:
-                    yield flush()
-                    size, n = 0, 0
-        yield flush()
-
-    counted = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= max(8, n_docs // SHARED)).select("h").toPandas()
-    return np.sort(rows["h"].to_numpy(np.int64).astype(np.uint64))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]), pa.int64()))
 
 
 def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
@@ -216,56 +181,89 @@ def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
                 k = s.keys(t.as_py())
                 n.append(len(k))
                 digest.append(xxhash.xxh3_128_digest(k.tobytes()))
-                prefix.append(k[: prefix_size(len(k), percent)].astype(np.int64))
-            ends = np.cumsum([0, *map(len, prefix)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*prefix, np.empty(0, np.int64)])))
+                prefix.append(k[: prefix_size(len(k), percent)].copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(prefix)],
                 names=["doc_id", "text_hash", "n", "digest", "prefix"])
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, digest binary, prefix array<long>")
 
 
-def class_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
-    """ids (cid) -> cid, keys: the sets, made again from the texts of the classes concerned; only those are moved."""
+def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
+    """owners (cid, digest, doc_id, text_hash) -> cid, n, keys: the sets, made again from these texts; no others are moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(*shingler)
         for batch in batches:
-            keys = [s.keys(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), batch.column("digest"), pa.array(keys, pa.binary()),
-                 pa.array([xxhash.xxh3_128_digest(k) for k in keys], pa.binary())], names=["cid", "want", "keys", "digest"])
-
-    owners = classes.join(ids, "cid", "left_semi").select("cid", "digest", F.col("owner").alias("doc_id"))
-    texts = docs.join(owners, "doc_id").select("cid", "digest", "text")
-    # Other rows with the owner's id may hold other sets.
-    sets = texts.mapInArrow(make, "cid long, want binary, keys binary, digest binary").where("want = digest")
-    return stage(sets.select("cid", "keys").dropDuplicates(["cid"]), "jac-sets")
-
-
-def both_ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-
-
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) of class ids -> a, b, na, nb, both: exact intersection sizes."""
-
-    @F.pandas_udf("long")
-    def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        sizes = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
-                 for p, q in zip(x, y, strict=True)]
-        return pd.Series(sizes, dtype="int64")
-
-    # One set moves to its pivot; a pivot with many partners is split by the join (AQE).
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("keys").alias("ka")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("keys").alias("kb")), "b")
-    return both.select("a", "b", (F.length("ka") / 8).cast("long").alias("na"), (F.length("kb") / 8).cast("long").alias("nb"),
-                       common("ka", "kb").alias("both"))
+            cid, keys = [], []
+            for c, want, t in zip(*(batch.column(x) for x in ("cid", "digest", "text")), strict=True):
+                k = s.keys(t.as_py())
+                if xxhash.xxh3_128_digest(k.tobytes()) == want.as_py():
+                    cid.append(c.as_py())
+                    keys.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(list(map(len, keys)), pa.int64()), _lists(keys)], names=["cid", "n", "keys"])
+
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(owners, ["doc_id", "text_hash"])
+    once = rows.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("cid", "digest", "text")])  # repeated rows
+    return once.select("cid", "digest", "text").mapInArrow(make, "cid long, n long, keys array<long>")
+
+
+def _entries(prefixes: DataFrame) -> DataFrame:
+    """prefixes (cid, n, prefix) -> cid, n, pos, token."""
+    return prefixes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
+
+
+def _shared(entries: DataFrame) -> DataFrame:
+    """Entries of lists with more than one set."""
+    more = entries.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1").select("token")
+    return entries.join(more, "token", "left_semi")
+
+
+def _prefixes(sets: DataFrame, last: DataFrame, n_last: int, percent: int) -> DataFrame:
+    """cid, n, prefix of sets (cid, n, keys) in the order in which the shingles of last (token) come last."""
+    if n_last <= TOKENS:
+        late = np.sort(last.toPandas()["token"].to_numpy(np.int64))
+
+        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for k in b.column("keys"):
+                    v = k.values.to_numpy(zero_copy_only=False)
+                    is_late = late[np.minimum(np.searchsorted(late, v), max(0, len(late) - 1))] == v if len(late) else np.zeros(len(v), bool)
+                    rows.append(np.concatenate([v[~is_late], v[is_late]])[: prefix_size(len(v), percent)])
+                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), _lists(rows)], names=["cid", "n", "prefix"])
+
+        return sets.mapInArrow(order, "cid long, n long, prefix array<long>")
+    none = F.array().cast("array<bigint>")
+    early = sets.select("cid", F.explode("keys").alias("token")).join(last, "token", "left_anti")
+    early = early.groupBy("cid").agg(F.array_sort(F.collect_list("token")).alias("early"))  # one set, no more
+    size = F.when(F.col("n") < (least_shared(percent) or 2**62), F.lit(0)).otherwise(
+        F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + meetings(percent)))
+    both = sets.join(early, "cid", "left").withColumn("early", F.coalesce("early", none))
+    return both.select("cid", "n", F.slice(F.concat("early", F.array_except("keys", "early")), F.lit(1), size.cast("int")).alias("prefix"))
+
+
+def ordered_prefixes(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """prefixes in the order in which the shingles of the heads of long lists come last; see the module's text."""
+    last, n_last = None, 0
+    for _ in range(ROUNDS):
+        entries = _entries(prefixes)
+        if last is not None:
+            entries = entries.join(small(last, TOKENS), "token", "left_anti")
+        hot = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("pos", "n", "cid")).alias("head")).where(F.col("sets") >= HOT)
+        heads = hot.select("head.cid").distinct()
+        tokens = sets.join(heads, "cid", "left_semi").select(F.explode("keys").alias("token"))
+        tokens = stage((tokens if last is None else tokens.unionByName(last)).distinct(), "jac-last")
+        n = tokens.count()
+        if n == n_last:
+            break
+        last, n_last = tokens, n
+        prefixes = stage(_prefixes(sets, last, n, percent), "jac-prefixes")
+    return prefixes
 
 
-def _overlap_needed(n1: Column, n2: Column, percent: int) -> Column:
+def _needed(n1: Column, n2: Column, percent: int) -> Column:
     """Tokens that sets of these sizes share at least if they are partners.
 
     A set of n has at most n - need tokens of its own, so L = meetings(percent) of the shared ones are among its
@@ -278,6 +276,81 @@ def _similar(percent: int) -> Column:
     return F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
 
 
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """met (a, na, pa, b, nb, pb), a row a meeting -> a, b, k: pairs that meet often enough and have enough tokens left."""
+    k = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return k.where((F.col("k") >= meetings(percent)) & (F.col("k") + left >= _needed(F.col("na"), F.col("nb"), percent))).select("a", "b", "k")
+
+
+def head_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidates a, b, k of each set with the heads of its lists."""
+    meet = meetings(percent)
+    heads = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("h"))
+    met = lists.join(heads, "token").select(
+        F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("h.cid").alias("b"), F.col("h.n").alias("nb"), F.col("h.pos").alias("pb"))
+    need = _needed(F.col("na"), F.col("nb"), percent)
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    front = (need < F.col("na") - F.col("pa") + meet) & (need < F.col("nb") - F.col("pb") + meet)
+    return _candidates(met.where((F.col("a") != F.col("b")) & fits & front), percent)
+
+
+def block_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Candidates a, b, k of sets in different components; a is the larger set of the two.
+
+    A block is a list's entries of one size band that can meet a set of their size or more. The larger set looks
+    into the blocks of those sizes for which its own entry is in front enough.
+    """
+    meet = meetings(percent)
+    band = lambda size: F.floor(F.log(size) / math.log(BAND)).cast("int")
+    placed = lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    open_ = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+    placed = stage(placed.join(open_, "token", "left_semi"), "jac-open")
+    n, pos = F.col("n"), F.col("pos")
+    blocks = placed.where(_needed(n, n, percent) < n - pos + meet).select(
+        "token", band(n).alias("band"), F.col("cid").alias("b"), n.alias("nb"), pos.alias("pb"), F.col("comp").alias("cb"))
+    most = F.floor((n - pos + meet - 1) * (100 + percent) / percent) - n  # the largest partner that this entry can meet
+    least = F.ceil(n * percent / 100)
+    probes = placed.withColumn("most", F.least(n, most)).where(F.col("most") >= least).select(
+        "token", F.explode(F.sequence(band(least), band(F.col("most")))).alias("band"), F.col("cid").alias("a"), n.alias("na"), pos.alias("pa"), F.col("comp").alias("ca"))
+    na, nb = F.col("na"), F.col("nb")
+    need = _needed(na, nb, percent)
+    larger = (na > nb) | ((na == nb) & (F.col("a") > F.col("b")))
+    front = (need < na - F.col("pa") + meet) & (need < nb - F.col("pb") + meet)
+    met = probes.join(blocks, ["token", "band"]).where((F.col("ca") != F.col("cb")) & larger & (nb * 100 >= na * percent) & front)
+    return _candidates(met.select("a", "na", "pa", "b", "nb", "pb"), percent)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) of class ids -> a, b, na, nb, both (exact intersection sizes), own, lost (a without b, b without a).
+
+    With pivots (cid, pivot, n, size, own, lost): two sets x, y of one pivot p share what p has and neither lacks,
+    |p| - |lost x + lost y|, and what they have in common besides; own and lost are null then.
+    """
+    pairs = pairs.select("a", "b")
+    array_ = "array<bigint>"
+    if pivots is not None:
+        for x in ("a", "b"):
+            pairs = pairs.join(pivots.select(F.col("cid").alias(x), F.col("pivot").alias(f"p{x}")), x, "left")
+        pairs = stage(pairs.select("a", "b", F.coalesce(F.col("pa") == F.col("pb"), F.lit(False)).alias("one")), "jac-pairs")
+        derived = pairs.where("one").select("a", "b")
+        for x in ("a", "b"):
+            derived = derived.join(pivots.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "size", "own", "lost")]), x)
+        both = F.col("sizea") - F.size(F.array_union("losta", "lostb")) + F.size(F.array_intersect("owna", "ownb"))
+        none = F.lit(None).cast(array_)
+        derived = derived.select("a", "b", "na", "nb", both.cast("long").alias("both"), none.alias("own"), none.alias("lost"))
+        pairs = pairs.where("not one").select("a", "b")
+    # A pivot's set moves to each of its partners; a pivot with many of them is split by the join (AQE).
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}")), x)
+    pairs = pairs.withColumn("both", F.size(F.array_intersect("ka", "kb")).cast("long"))
+    if pivots is not None:
+        none = F.lit(None).cast(array_)
+        return pairs.select("a", "b", "na", "nb", "both", none.alias("own"), none.alias("lost")).unionByName(derived)
+    alike = F.col("both") * 2 >= F.greatest("na", "nb")  # else the difference is no shorter than the set
+    return pairs.select("a", "b", "na", "nb", "both", F.when(alike, F.array_except("ka", "kb")).alias("own"), F.when(alike, F.array_except("kb", "ka")).alias("lost"))
+
+
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose ends are in different components of comp (id, comp)."""
     out = pairs
@@ -300,94 +373,59 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(new), "jac-comp")
 
 
+def settle(pairs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, pivots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """comp after all links among pairs (a, b, k), and what the first comparison found (as overlaps).
+
+    Each set is compared with the one it meets most often; then all pairs that are still in two components are.
+    """
+    first = None
+    for last in (False, True):
+        pairs = stage(_apart(pairs, comp), "jac-apart")
+        pick = pairs if last else pairs.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        found = stage(overlaps(pick, sets, pivots), "jac-overlaps")
+        first = found if first is None else first
+        comp = _merged(comp, found.where(_similar(percent)).select("a", "b"))
+        pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
+    return comp, first
+
+
+def class_components(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
+    """owners (cid, digest, doc_id, text_hash, n, prefix) -> id, comp of the classes that have links (see components)."""
+    spark = docs.sparkSession
+    comp = spark.createDataFrame([], "id long, comp long")
+    often = _shared(_entries(owners)).groupBy("cid").agg(F.count("*").alias("k")).where(F.col("k") >= meetings(percent))
+    owners = stage(owners.join(often.select("cid"), "cid", "left_semi"), "jac-owners")
+    if owners.isEmpty():
+        return comp
+    sets = stage(class_sets(owners.select("cid", "digest", "doc_id", "text_hash"), docs, shingler), "jac-sets")
+    prefixes = ordered_prefixes(owners.select("cid", "n", "prefix"), sets, percent)
+    lists = stage(_shared(_entries(prefixes)), "jac-lists")
+    heads = stage(head_pairs(lists, percent), "jac-heads")
+    comp, first = settle(heads, comp, sets, percent)
+    pivots = first.where("own is not null").select(
+        F.col("a").alias("cid"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("nb").alias("size"), "own", "lost")
+    # Every pair of heads is compared, or in one component.
+    ends = lambda df: df.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    pairs = block_pairs(lists, comp, percent).withColumns({"hi": F.greatest("a", "b"), "lo": F.least("a", "b")})
+    pairs = stage(pairs.join(ends(heads), ["hi", "lo"], "left_anti").select("a", "b", "k"), "jac-pairs")
+    return settle(pairs, comp, sets, percent, pivots)[0]
+
+
 def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> signatures (doc_id, text_hash, n, digest) and classes (cid, digest, owner, comp).
 
-    A class is a set; cid is 64 bits of its digest, owner the smallest id that has it, comp the smallest cid
-    that links reach from it.
+    A class is a set, owner the smallest id that has it, comp a cid that all classes share which links connect.
     """
-    n_docs, meet = docs.count(), meetings(percent)
-    shingler = (width, common_words(docs), shared_shingles(docs, width, n_docs))
-    sig = stage(signatures(docs, shingler, percent), "jac-sig")
-    classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("owner"))
-    classes = stage(classes.withColumn("cid", F.xxhash64("digest")), "jac-classes")
-    # Index lists of classes: one entry a token, with the set's size.
-    owners = sig.where("size(prefix) > 0").select("digest", "doc_id", "n", "prefix").join(
-        classes.select(F.col("owner").alias("doc_id"), "digest", "cid"), ["doc_id", "digest"])
-    entries = owners.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    heads = entries.groupBy("token").agg(F.min(F.struct("cid", "n", "pos")).alias("head"), F.max("cid").alias("tail")).where("head.cid <> tail")
-    lists = stage(entries.join(heads.select("token", "head"), "token"), "jac-lists")
-
-    # 1. Every set against the head of its lists: near copies find their pivot without meeting each other.
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    need = _overlap_needed(F.col("n"), F.col("head.n"), percent)
-    near_front = (F.col("pos") < F.col("n") - need + meet) & (F.col("head.pos") < F.col("head.n") - need + meet)
-    met = lists.where((F.col("cid") != F.col("head.cid")) & near_front).groupBy("cid", F.col("head.cid").alias("head")).agg(F.count("*").alias("k")).where(F.col("k") >= meet)
-    best = met.groupBy("cid").agg(F.max(F.struct("k", "head")).alias("m")).select(F.col("cid").alias("a"), F.col("m.head").alias("b"))
-    best = stage(best, "jac-best")
-    sets = class_sets(both_ends(best), classes, docs, shingler)
-    first = stage(overlaps(best, sets).where(_similar(percent)), "jac-first")
-    comp = stage(components(first), "jac-comp1")
-
-    # 2. Stars of pivots: a pivot's own star, else the star of the pivot found.
-    pivots = first.select(F.col("b").alias("cid")).distinct()
-    distance = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    members = first.join(pivots.withColumnRenamed("cid", "a"), "a", "left_anti").select(
-        F.col("a").alias("cid"), F.col("b").alias("star"), distance.alias("d"))
-    members = stage(members, "jac-members")
-    placed = lists.select("cid", "n", "pos", "token").join(members, "cid", "left").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "token", "n", "pos", F.coalesce("star", "cid").alias("star"), F.coalesce("comp", "cid").alias("comp"))
-    stars = placed.groupBy("token", "star", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    open_ = stars.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    stars = stage(stars.join(open_, "token", "left_semi"), "jac-stars")
-    l, r = (stars.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("star", "comp", "lo", "hi", "rest")]) for i in (1, 2))
-    need = _overlap_needed(F.col("lo1"), F.col("lo2"), percent)
-    can = (F.col("lo1") * percent <= F.col("hi2") * 100) & (F.col("lo2") * percent <= F.col("hi1") * 100)
-    can = can & (need < F.col("rest1") + meet) & (need < F.col("rest2") + meet)
-    across = l.join(r, "token").where((F.col("star1") > F.col("star2")) & (F.col("comp1") != F.col("comp2")) & can)
-    across = across.groupBy(F.col("star1").alias("a"), F.col("star2").alias("b")).agg(F.count("*").alias("k")).where(F.col("k") >= meet)
-    across = stage(across, "jac-across")
-    missing = both_ends(across).join(sets.select("cid"), "cid", "left_anti")
-    sets = sets.unionByName(class_sets(missing, classes, docs, shingler))
-    # Each star is compared with the star it meets most often, as long as that unites components: what is
-    # united already needs no comparison. Then all that is left is compared.
-    tested: list[DataFrame] = []
-    left = across
-    while True:
-        left = stage(_apart(left, comp), "jac-left")
-        last = len(tested) == ROUNDS
-        pick = left if last else left.groupBy("a").agg(F.max(F.struct("k", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        tested.append(stage(overlaps(pick.select("a", "b"), sets), "jac-second"))
-        if last:
-            break
-        left = left.join(pick, ["a", "b"], "left_anti")
-        comp = _merged(comp, tested[-1].where(_similar(percent)).select("a", "b"))
-    second = tested[0]
-    for t in tested[1:]:
-        second = second.unionByName(t)
-    comp = _merged(comp, tested[-1].where(_similar(percent)).select("a", "b"))
-
-    # 3. Members of stars that may still hold a link between components.
-    radius = members.groupBy("star").agg(F.max("d").alias("r"))
-    near = second.where(~_similar(percent)).withColumn("d", distance)
-    for x in ("a", "b"):
-        near = near.join(radius.select(F.col("star").alias(x), F.col("r").alias(f"r{x}")), x, "left")
-        near = near.join(comp.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), x, "left")
-    reach = (100 - percent) / 100 + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9
-    wide = F.col("ra").isNotNull() | F.col("rb").isNotNull()
-    near = stage(near.where(wide & (F.col("d") <= reach) & (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).select("a", "b"), "jac-near")
-    inside = members.select("star", F.col("cid").alias("m")).unionByName(members.select("star", F.col("star").alias("m")).distinct())
-    for x in ("a", "b"):
-        near = near.join(inside.select(F.col("star").alias(x), F.col("m").alias(f"m{x}")), x, "left").withColumn(x, F.coalesce(f"m{x}", x))
-    sizes = sig.select("digest", "n").join(classes.select("digest", "cid"), "digest").select("cid", "n").distinct()
-    todo = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    for x in ("a", "b"):
-        todo = todo.join(sizes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}")), x)
-    todo = stage(todo.where(fits(F.col("na"), F.col("nb"))).select("a", "b"), "jac-todo")
-    if not todo.isEmpty():
-        comp = _merged(comp, overlaps(todo, sets).where(_similar(percent)).select("a", "b"))
-    out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
-    return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps")
+    small_batches(docs.sparkSession)
+    with temporary(docs.sparkSession):
+        shingler = (width, common_words(docs))
+        sig = stage(signatures(docs, shingler, percent).withColumn("row", F.monotonically_increasing_id()), "jac-sig", keep=True)
+        classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("o"))
+        classes = stage(classes.select("digest", F.col("o.doc_id").alias("owner"), F.col("o.row").alias("row"), F.monotonically_increasing_id().alias("cid")), "jac-classes")
+        owners = sig.where("size(prefix) > 0").select("row", "digest", "doc_id", "text_hash", "n", "prefix").join(classes.select("row", "cid"), "row")
+        comp = class_components(stage(owners.drop("row"), "jac-owners"), docs, shingler, percent)
+        out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
+        return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps", keep=True)
 
 
 def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -415,15 +453,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("kept_hash"), F.count("*").alias("k"))
     kept = stage(kept, "jac-kept")
     gone = rows.join(kept.select(F.col("component_id").alias("doc_id"), F.col("kept_hash").alias("text_hash")), ["doc_id", "text_hash"], "left_anti")
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    id_, hash_ = unused("gone_id", docs), unused("gone_hash", docs)
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
     key = F.xxhash64(docs[text_col])
-    stay = docs.join(gone, (docs[id_col] == F.col("__id")) & (key == F.col("__hash")), "left_anti")
-    twice = kept.where("k > 1").select(F.col("component_id").alias("__id"))
+    stay = docs.join(gone, (docs[id_col] == F.col(id_)) & (key == F.col(hash_)), "left_anti")
+    twice = kept.where("k > 1").select(F.col("component_id").alias(id_))
     if twice.isEmpty():
         return stay
     # Repeated rows: ids are not unique here.
-    once = stay.join(twice, stay[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(twice, stay[id_col] == F.col("__id"), "left_anti").unionByName(once)
+    once = stay.join(twice, stay[id_col] == F.col(id_), "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(twice, stay[id_col] == F.col(id_), "left_anti").unionByName(once)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
