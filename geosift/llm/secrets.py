@@ -3,9 +3,9 @@
 A scan of every whole text finds base spans by pattern and, besides, candidates: tokens of known
 issuers, key blocks and long random-looking strings that no base span covers. The value of every base span
 and candidate is hashed and counted over the corpus by distinct repositories and distinct owners. A value
-that several owners hold is a widely copied example; one that a single owner holds looks live. Base spans
-stay in any case; a candidate becomes a span only if it looks live. Here a document is a repository and its
-source the owner, by default.
+that several owners hold, or that one owner has in many repositories, is a widely copied example; another
+one is specific to its owner and looks live. Base spans stay in any case; a candidate becomes a span only if it
+looks live. Here a document is a repository and its source the owner, by default.
 
 Counts are pre-aggregated by (value, owner) before they are counted by value, so a value that a third of
 all rows hold is no hot group; the join back is one that Spark splits. Values themselves never leave the
@@ -23,15 +23,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import stage
+from geosift.llm.common import small_batches, stage
 
 # The base patterns and how long a match must be. The tested length is that of the group.
 BASE = (
@@ -57,16 +59,27 @@ def scan(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) of base spans, then of candidates that overlap none of them."""
     base = [(kind, m.start(), m.end(), m[group]) for kind, pattern, group, least in BASE
             for m in pattern.finditer(text) if len(m[group]) >= least]
-    taken = sorted((a, b) for _, a, b, _ in base)
-    more = []
+    out = list(base)
     for kind, pattern in (("issued", ISSUED), ("random", RANDOM)):
+        starts, ends = _merged([(a, b) for _, a, b, _ in out])
         for m in pattern.finditer(text):
-            if kind == "random" and not _random_looking(m[0]):
-                continue
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                more.append((kind, m.start(), m.end(), m[0]))
-        taken += [(a, b) for _, a, b, _ in more]
-    return base + more
+            i = bisect_right(ends, m.start())  # the first span that ends behind the match's start
+            if (i == len(ends) or starts[i] >= m.end()) and (kind == "issued" or _random_looking(m[0])):
+                out.append((kind, m.start(), m.end(), m[0]))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _listed(spans: list[tuple[str, int, int]]) -> str:
@@ -81,17 +94,20 @@ def find_spans(rows: DataFrame) -> DataFrame:
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
         for b in batches:
-            counts, digests, found = [], [], []
+            counts, digests, flat, ends = [], [], [], [0]
             for t in b.column("text"):
                 spans = scan(t.as_py() or "")
                 counts.append(Counter(k for k, *_ in spans))
                 digests.append(hashlib.sha256(_listed([s[:3] for s in spans if s[0] in KINDS[:3]]).encode()).hexdigest())
-                found.append([{"kind": k, "start": a, "end": e, "value": xxhash.xxh3_64_intdigest(v) - 2**63} for k, a, e, v in spans])
+                flat += [(k, a, e, xxhash.xxh3_64_intdigest(v) - 2**63) for k, a, e, v in spans]
+                ends.append(len(flat))
+            columns = list(zip(*flat, strict=True)) or [(), (), (), ()]
+            kinds_ = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+            span = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["kind", "start", "end", "value"])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("owner"), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS[:3]),
-                 pa.array(digests, pa.string()), pa.array(found, pa.list_(span))],
+                 pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), span)],
                 names=["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, owner {kinds['owner']}, n_assign long, n_access long, n_hex long, "
@@ -107,12 +123,13 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 example_owners: int = 2) -> DataFrame:
+                 example_owners: int = 2, example_repositories: int = 10) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every row of docs.
 
-    n_live and n_example count the row's base spans and candidates by their values' ownership: a value of
-    at least `example_owners` owners is an example.
+    n_live and n_example count the row's base spans and candidates by their values' ownership: a value of at
+    least `example_owners` owners, or in at least `example_repositories` repositories, is an example.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
     # Staged: the texts are read once, and every row gets a number of its own that later steps agree on.
     found = stage(find_spans(rows).withColumn("row", F.monotonically_increasing_id()), "sec-found")
@@ -120,7 +137,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         "row", "doc_id", "owner", "s.*")
     owners = ownership(each.select("value", "doc_id", "owner"))
     judged = each.select("row", "kind", "start", "end", "value").join(owners, "value")
-    live = F.col("owners") < example_owners
+    live = (F.col("owners") < example_owners) & (F.col("repositories") < example_repositories)
     base = F.col("kind").isin(*KINDS[:3])
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "end", F.concat_ws(":", "kind", "start", "end").alias("text"))

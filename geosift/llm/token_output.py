@@ -7,9 +7,11 @@ temporary name and renamed, so a task that runs again after a lost executor repl
 one. A manifest (one row a file) is a Parquet table beside them; a document's global start is its file's
 start, the running sum of the manifest's totals, plus its place in the file.
 
-Tokenizing: the tokenizers library encodes pieces that end before a space which is not inside a run of
-white space. Its pre-tokenizer always splits there, so pieces are independent, and a worker remembers the ids
-of up to CACHE pieces.
+Tokenizing: the tokenizers library encodes pieces of the text. Its byte-level pre-tokenizer always splits before a space
+that has a character other than white space on either side, so the pieces are independent, and a
+worker remembers the ids of short ones, up to MEMORY bytes in two generations (the older one goes when the newer is
+full). A tokenizer file with another pre-tokenizer, a normalizer or a post-processor is never cut: there the
+library encodes whole texts.
 
 Defined results:
 - null and empty texts: the end id alone. null ids come first; repeated rows are kept, each with its own start.
@@ -19,6 +21,7 @@ Defined results:
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -33,25 +36,47 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geosift.llm import rans
-from geosift.llm.common import new_path, stage
+from geosift.llm.common import BATCH_ROWS, new_path, small_batches, stage
 
 FILE_IDS = 4_000_000
-CACHE = 600_000
+MEMORY = 24 << 20  # bytes of a generation of remembered pieces, all kinds together
+SHORT = 48  # characters of a piece that is remembered at most
+_SPACE = re.compile(r"(?<!\s) | (?=\S)")  # spaces that always begin a pre-token
 _RUN = re.compile(r"\s (?:\s|\Z)")
 _PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)(?:(\n)([^\W\d_]+)([^\w\s']*))?")
 
 
-def _memory(make: Callable[[str], bytes]) -> dict[str, bytes]:
-    """A dict that makes missing values, and starts anew at CACHE of them."""
+class _Budget:
+    """The bytes that several memories hold together."""
 
-    class Memory(dict):
-        def __missing__(self, key: str) -> bytes:
-            if len(self) >= CACHE:
-                self.clear()
-            out = self[key] = make(key)
-            return out
+    def __init__(self, most: int):
+        self.most, self.held, self.memories = most, 0, []
 
-    return Memory()
+    def add(self, size: int) -> None:
+        self.held += size
+        if self.held > self.most:
+            self.held = 0
+            for m in self.memories:
+                m.old = dict(m)
+                m.clear()
+
+
+class _Memory(dict):
+    """A dict that makes missing values; what both generations have lost is made again."""
+
+    def __init__(self, make: Callable[[str], bytes], budget: _Budget):
+        super().__init__()
+        self.make, self.budget, self.old = make, budget, {}
+        budget.memories.append(self)
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= SHORT:
+            self.budget.add(200 + len(key) + len(out))  # a str, a bytes object and their entry
+            self[key] = out
+        return out
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,6 +86,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def is_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file (as JSON) splits as PieceEncoder does: byte-level with its own pattern, and nothing around it."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = not spec.get("normalizer") and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "unk_token"))
+    special = all(t.get("special") for t in spec.get("added_tokens") or [])  # others would be matched in texts
+    return bool(plain and level and bpe and special)
+
+
 class PieceEncoder:
     """text -> ids as little-endian uint32 bytes; equal to encode(text, add_special_tokens=False)."""
 
@@ -71,9 +106,11 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, letters = self.tokenizer.model, byte_letters()
         self.letters = {i: letters[i] for i in range(256)}
-        self.pieces = _memory(self._piece)  # with the space before it
-        self.words = _memory(lambda w: self._word(w, ""))  # without
-        self.marks = _memory(self._encode)
+        budget = _Budget(MEMORY)
+        self.pieces = _Memory(self._piece, budget)  # with the space before it
+        self.words = _Memory(lambda w: self._word(w, ""), budget)  # without
+        self.marks = _Memory(self._encode, budget)
+        self.splits = is_byte_level(json.loads(self.tokenizer.to_str()))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -100,20 +137,24 @@ class PieceEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _RUN.search(text):
+        if not self.splits:
             return self._encode(text)
-        first, *rest = text.split(" ")
+        # Without a run of white space every space is a place to cut.
+        first, *rest = _SPACE.split(text) if _RUN.search(text) else text.split(" ")
         return (self._encode(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
 
 @functools.cache
 def encoder_of(tokenizer_path: str) -> PieceEncoder:
-    """One encoder a worker process: its memory of pieces outlives a task."""
+    """One encoder a worker process: its memory of pieces, which is bounded, outlives a task."""
     return PieceEncoder(tokenizer_path)
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system: one without a scheme is in Spark's default one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)
 
 
 MANIFEST = "path string, part int, piece int, n_docs long, n_ids long, n_bytes long"
@@ -122,12 +163,14 @@ MANIFEST = "path string, part int, piece int, n_docs long, n_ids long, n_bytes l
 def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Write docs' ids to files below path; the manifest, with each file's global start."""
+    small_batches(docs.sparkSession)
+    path = _qualified(docs.sparkSession, path)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     slim = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _filesystem(path)
+        fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -173,7 +216,7 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                fs, name = _filesystem(path)
+                fs, name = pafs.FileSystem.from_uri(path)
                 with fs.open_input_stream(name, compression=None) as f:
                     file = rans.File(f.read())
                 ids = file.ids().astype("<u4")
@@ -186,7 +229,9 @@ def read_tokens(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     columns.append(pa.array([c.tolist() for c in cut], pa.list_(pa.int64())))
                     names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                whole = pa.RecordBatch.from_arrays(columns, names=names)
+                del file, ids, cut, columns
+                yield from (whole.slice(a, BATCH_ROWS) for a in range(0, whole.num_rows, BATCH_ROWS))
 
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, text_hash long" + (", ids array<long>" if with_ids else ""))
 
