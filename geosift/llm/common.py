@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from geosift.staging import new_path, scratch_dir, small, stage, temporary, unused
 
-__all__ = ["ascii_lower", "new_path", "row_key", "scratch_dir", "small", "small_batches", "stage", "temporary", "unused"]
+__all__ = ["ascii_lower", "new_path", "qualified", "row_key", "scratch_dir", "small", "small_batches", "stage", "temporary", "unused"]
 
 #: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
@@ -30,3 +32,10 @@ def row_key(id_col: str, text_col: str) -> Column:
     """A key of (id, text) that is never null: rows that agree in both are the same document."""
     return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.lit("\n"),
                            F.coalesce(F.concat(F.lit("t"), F.col(text_col)), F.lit("n"))), 256)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system: one without a scheme is in Spark's default one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full)

@@ -1,23 +1,24 @@
-"""HTML extraction: structure first, a suffix array per host for what structure leaves open.
+"""HTML extraction: blocks by structure, boilerplate by a suffix array per host.
 
 A page is parsed into blocks. Blocks inside an article (or main) element that are not furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) are the main text and are kept whole.
-Furniture goes. On a page without an article, blocks that are not furniture are open: there the host's
-other pages decide. The token streams of everything outside articles are concatenated per host, a suffix
-array finds runs of at least RUN tokens that stand on MIN_PAGES distinct pages or more, covered tokens are
-removed from open blocks and the unique runs are kept.
+footers, sidebars, notices, adverts, forms, scripts, reader comments) are main text. On a page without
+an article, blocks that are not furniture are open. The token streams of everything outside articles are
+concatenated per host, and a suffix array finds runs of at least RUN tokens that stand on MIN_PAGES distinct pages or
+more: the host's boilerplate. In open blocks covered tokens are removed and the unique runs are kept.
+
+Covered blocks inside articles are not removed, not even those that are boilerplate elsewhere: pages share articles,
+and sidebars and teasers quote whole sentences of them, so that would take away main text (see README for figures).
 
 Names of classes and ids judge less than elements and roles do. An article or main element is never furniture by its
 name, nor is what holds the page's main element or its only articles. A whole class or id (`sidebar`) makes furniture; one with a
-part that tells of a layout (`no-sidebar`) says nothing; another with a part of that kind (`main-widget`) makes furniture in
-an article that has other text, and is open on a page without an article.
-
-Repeats inside articles are not removed: pages hold copies of the same article, and cutting what is repeated
-would take away their main text.
+part that tells of a layout (`no-sidebar`) says nothing; another with a part of that kind (`main-widget`) makes furniture of a
+container (not of a paragraph, a heading or an inline element) in an article that has other text, and is open on a page without an article.
 
-A host's pages are dealt by hash into shards of about PAGES pages, and each shard gets a suffix array of
+A host's pages are dealt by number into shards of about PAGES pages, and each shard gets a suffix array of
 its own. Its classes of equal run prefixes are merged over the shards by their content hash, with page counts
-that add up as shards share no page. So a host with a third of all pages is no hot group.
+that add up as shards share no page. So a host with a third of all pages is no hot group. Pages are parsed twice: for
+the streams, and for the result; their texts are never moved. Only if the boilerplate runs are more than RUNS
+are pages dealt by (host, shard) to their host's runs.
 
 Defined results:
 - null and empty html: text '', 0 characters. null url: a host of its own (''). null ids are kept; repeated
@@ -38,9 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import stage
+from geosift.llm.common import small, small_batches, stage, temporary
 
 RUN, MIN_PAGES, PAGES = 8, 3, 4000
+RUNS = 2_000_000  # boilerplate runs (8 bytes each) up to which all tasks get them
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +55,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Elements that a part of a name makes furniture: containers, not the text itself.
+CONTAINERS = frozenset("div section ul ol dl table center details figure".split())
 NAMES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside cookie cookies consent notice banner ad ads advert adverts "
     "advertisement advertising sponsor sponsored promo promotion comment comments disqus respond newsletter subscribe share sharing "
@@ -77,7 +81,7 @@ class _Page(HTMLParser):
         self.round_main: set[int] = set()  # elements, furniture by name, that hold a main element
         self.round_article: set[int] = set()  # or an article
         self.blocks: list[tuple[str, str]] = []
-        self.held: list[str] = []
+        self.held: list[tuple[str, str]] = []  # (state, text) of the block so far
         self.has_article = False
 
     @property
@@ -85,14 +89,15 @@ class _Page(HTMLParser):
         return self.stack[-1][1] if self.stack else "open"
 
     def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        self.held = []
-        if text and self.state != "gone":
-            self.blocks.append((self.state, text))
+        held, self.held = self.held, []
+        for state in dict.fromkeys(k for k, _ in held):  # inline elements may be hidden, or furniture
+            text = " ".join("".join(t for k, t in held if k == state).split())
+            if text and state != "gone":
+                self.blocks.append((state, text))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
-            self.held.append("\n")
+            self.handle_data("\n")
             return
         if tag in BLOCKS or tag in INVISIBLE:
             self.flush()
@@ -118,7 +123,7 @@ class _Page(HTMLParser):
             parts = {n.lower() for n in _NAME.findall(token)}
             if token.lower() in NAMES:
                 return "whole"
-            if parts & NAMES and not parts & LAYOUT:
+            if tag in CONTAINERS and parts & NAMES and not parts & LAYOUT:
                 found = "part"
         return found
 
@@ -176,7 +181,7 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        self.held.append(data)
+        self.held.append((self.state, data))
 
     def close(self) -> None:
         super().close()
@@ -184,7 +189,10 @@ class _Page(HTMLParser):
 
 
 def parse(html: str | None) -> tuple[list[str], list[str], list[str]]:
-    """Main, open and furniture blocks; a page with an article has no open blocks, its loose text is furniture."""
+    """Main, open and furniture blocks; a page with an article has no open blocks, its loose text is furniture.
+
+    A block in which inline elements are hidden or furniture is a block of each kind.
+    """
     if not html:
         return [], [], []
     html = _CUT.sub("", html)  # a tag that the end of the input cuts off is markup, not text
@@ -245,81 +253,111 @@ def suffix_classes(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> tupl
     return array, new
 
 
+def run_keys(host: str, h: np.ndarray) -> np.ndarray:
+    """Hashes of a host's runs."""
+    return run_hashes(h) ^ np.int64(xxhash.xxh3_64_intdigest(host) - 2**63)
+
+
 def _repeats(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of a host: each run of its pages outside articles, with the number of pages that hold it."""
+    """One shard of a host: each run of its pages outside articles, with the number of pages that hold it.
+
+    Where the host has one shard only, runs of too few pages end here.
+    """
+    empty = pd.DataFrame({"host": pd.Series(dtype="str"), "run": pd.Series(dtype="int64"), "pages": pd.Series(dtype="int64")})
     streams = [token_hashes(t.split()) for t in pdf["stream"]]
     tokens = np.concatenate([*streams, np.empty(0, np.uint64)])
     page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
     array, new = suffix_classes(tokens, page)
     if not len(array):
-        return pd.DataFrame({"host": pd.Series(dtype="str"), "run": pd.Series(dtype="int64"), "pages": pd.Series(dtype="int64")})
+        return empty
     cls = np.cumsum(new) - 1
     pages = np.bincount(np.unique(cls * np.int64(len(streams)) + page[array]) // len(streams))
-    starts = array[new]
-    hashes = run_hashes(tokens)[starts]
-    return pd.DataFrame({"host": pdf["host"].iloc[0], "run": hashes, "pages": pages})
-
-
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, n_frame (tokens outside the article), n_covered (of these, in repeated runs)."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    out = pd.DataFrame({"host": pdf["host"].iloc[0], "run": run_keys(pdf["host"].iloc[0], tokens)[array[new]], "pages": pages})
+    return out if pdf["shards"].iloc[0] > 1 else out[out["pages"] >= MIN_PAGES]
+
+
+def covered(words: list[str], host: str, runs: np.ndarray) -> np.ndarray:
+    """Which of the words boilerplate runs (sorted keys) cover."""
+    out = np.zeros(len(words), bool)
+    if len(runs) and len(words) >= RUN:
+        keys = run_keys(host, token_hashes(words))
+        for s in np.nonzero(runs[np.minimum(np.searchsorted(runs, keys), len(runs) - 1)] == keys)[0]:
+            out[s : s + RUN] = True
+    return out
+
+
+def main_text(html: str | None, host: str, runs: np.ndarray) -> tuple[str, int, int]:
+    """The text; tokens outside the article, and how many of them boilerplate covers."""
+    main, open_, furniture = parse(html)
+    stream = " ".join(open_ + furniture).split()
+    cover = covered(stream, host, runs)
+    kept, at = main, 0
+    for block in open_:
+        w = block.split()
+        left = [x for x, c in zip(w, cover[at : at + len(w)], strict=True) if not c]
+        at += len(w)
+        if left:
+            kept.append(" ".join(left))
+    return "\n".join(kept), len(stream), int(cover.sum())
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """rows (host, shards, html) -> host, run: the runs that stand outside articles on MIN_PAGES of a host's pages or more."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parsed = [parse(h.as_py()) for h in b.column("html")]
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), b.column("host"), pa.array(["\n".join(m) for m, _, _ in parsed], pa.string()),
-                 pa.array([o for _, o, _ in parsed], kind), pa.array([" ".join(o + f) for _, o, f in parsed], pa.string())],
-                names=["page_id", "url", "host", "main", "open", "stream"])
-
-    id_type = dict(rows.dtypes)["page_id"]
-    parsed = rows.withColumn("host", host).mapInArrow(
-        read, f"page_id {id_type}, url string, host string, main string, open array<string>, stream string")
-    parsed = stage(parsed.withColumn("row", F.monotonically_increasing_id()), "html-parsed")
-    shards = parsed.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("shards"))
-    dealt = parsed.where("stream <> ''").select("host", "row", "stream").join(shards, "host")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
-    classes = dealt.select("host", "shard", "stream").groupBy("host", "shard").applyInPandas(_repeats, "host string, run long, pages long")
-    repeated = classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "run")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            runs = [run_hashes(token_hashes(s.split())) for s in b.column("stream").to_pylist()]
-            n = [len(r) for r in runs]
-            at = np.repeat(np.arange(len(runs)), n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row").take(pa.array(at)), b.column("host").take(pa.array(at)), pa.array(np.concatenate([np.arange(k) for k in n] + [np.empty(0, int)]).astype(np.int32)),
-                 pa.array(np.concatenate([*runs, np.empty(0, np.int64)]))], names=["row", "host", "at", "run"])
+            streams = []
+            for h in b.column("html"):
+                _, open_, furniture = parse(h.as_py())
+                streams.append(" ".join(open_ + furniture))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shards"), pa.array(streams, pa.string())], names=["host", "shards", "stream"])
 
-    placed = parsed.where("stream <> ''").select("row", "host", "stream").mapInArrow(windows, "row long, host string, at int, run long")
-    covered = placed.join(repeated, ["host", "run"]).groupBy("row").agg(F.collect_list("at").alias("starts"))
+    streams = rows.mapInArrow(read, "host string, shards int, stream string")
+    dealt = streams.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards")).cast("int")).where("stream <> ''")
+    classes = dealt.groupBy("host", "shard").applyInPandas(_repeats, "host string, run long, pages long")
+    return classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "run")
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, frame, hidden = [], [], []
-            for main, open_, stream, starts in zip(*(b.column(c).to_pylist() for c in ("main", "open", "stream", "starts")), strict=True):
-                words = stream.split()
-                cover = np.zeros(len(words), bool)
-                for s in starts or ():
-                    cover[s : s + RUN] = True
-                at, kept = 0, [main] if main else []
-                for block in open_:
-                    w = block.split()
-                    left = [x for x, c in zip(w, cover[at : at + len(w)], strict=True) if not c]
-                    at += len(w)
-                    if left:
-                        kept.append(" ".join(left))
-                texts.append("\n".join(kept))
-                frame.append(len(words))
-                hidden.append(int(cover.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(frame, pa.int64()), pa.array(hidden, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_frame", "n_covered"])
-
-    joined = parsed.join(covered, "row", "left").select("page_id", "url", "main", "open", "stream", "starts")
-    return joined.mapInArrow(assemble, f"page_id {id_type}, url string, text string, n_chars long, n_frame long, n_covered long")
+
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, n_frame (tokens outside the article), n_covered (of these, in boilerplate runs)."""
+    small_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    rows = rows.withColumn("host", host)
+    with temporary(pages.sparkSession):
+        # Hosts of more than PAGES pages: few.
+        shards = stage(rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("shards")).where("shards > 1"), "html-hosts")
+        runs = stage(boilerplate(_dealt(rows.select("host", "html"), shards)), "html-runs", keep=True)
+        kinds = dict(rows.dtypes)
+        out = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_frame long, n_covered long"
+        if runs.count() <= RUNS:
+            keys = np.sort(runs.select("run").toPandas()["run"].to_numpy(np.int64))
+
+            def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    found = [main_text(h.as_py(), at.as_py(), keys) for h, at in zip(b.column("html"), b.column("host"), strict=True)]
+                    columns = [pa.array([f[0] for f in found], pa.string()), pa.array([len(f[0]) for f in found], pa.int64())]
+                    columns += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_frame", "n_covered"])
+
+            return rows.mapInArrow(assemble, out)
+
+        def one_shard(page: pa.Table, run: pa.Table) -> pa.Table:
+            keys = np.sort(run.column("run").to_numpy())
+            found = [main_text(h.as_py(), at.as_py(), keys) for h, at in zip(page.column("html"), page.column("host"), strict=True)]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([len(f[0]) for f in found], pa.int64())]
+            columns += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)]
+            return pa.table([page.column("page_id"), page.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_frame", "n_covered"])
+
+        shards = stage(shards, "html-hosts", keep=True)
+        dealt = _dealt(rows, shards).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards")).cast("int"))
+        each = _dealt(runs, shards).select("host", "run", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        return dealt.groupBy("host", "shard").cogroup(each.groupBy("host", "shard")).applyInArrow(one_shard, out)
+
+
+def _dealt(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """rows with the number of their host's shards."""
+    return rows.join(small(shards), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

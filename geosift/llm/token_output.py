@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geosift.llm import rans
-from geosift.llm.common import BATCH_ROWS, new_path, small_batches, stage
+from geosift.llm.common import BATCH_ROWS, new_path, qualified, small_batches, stage
 
 FILE_IDS = 4_000_000
 MEMORY = 24 << 20  # bytes of a generation of remembered pieces, all kinds together
@@ -150,13 +150,6 @@ def encoder_of(tokenizer_path: str) -> PieceEncoder:
     return PieceEncoder(tokenizer_path)
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """path with its file system: one without a scheme is in Spark's default one."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return re.sub(r"^file:/(?!/)", "file:///", full)
-
-
 MANIFEST = "path string, part int, piece int, n_docs long, n_ids long, n_bytes long"
 
 
@@ -164,7 +157,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
                  text_col: str = "text") -> DataFrame:
     """Write docs' ids to files below path; the manifest, with each file's global start."""
     small_batches(docs.sparkSession)
-    path = _qualified(docs.sparkSession, path)
+    path = qualified(docs.sparkSession, path)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     slim = slim.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     end = np.array([end_id], "<u4").tobytes()

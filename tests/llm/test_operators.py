@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -118,6 +119,52 @@ def test_embedding_links(spark):
         assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == expected
         assert all(r.kept == (None if r.vec_id is None else r.vec_id == r.component_id) for r in got)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+    _, audits = embeddings.search(df, shard_size=20)
+    pairs = [(r.grp, r.shard, r.queries) for r in audits.collect()]
+    assert len(pairs) == len(set(pairs)) and all((g, b, a) in pairs for g, a, b in pairs)  # every shard queries every shard
+    assert all(r.recall >= embeddings.RECALL for r in audits.collect())
+
+
+def shard_of(vectors):
+    n = len(vectors)
+    unit = embeddings.unit_rows(vectors.tolist())
+    return embeddings.Shard(np.arange(n), np.ones(n, np.int64), unit, embeddings.Hnsw(unit, embeddings.levels(np.arange(n) * 7919)))
+
+
+def true_links(x, y, same):
+    sims = x.unit @ y.unit.T >= 0.93
+    if same:
+        np.fill_diagonal(sims, False)
+    return sims
+
+
+def test_embedding_graph_that_falls_apart(monkeypatch):
+    """Without links between its vectors the graph finds what it enters by only: the audit sees it, and the product does the rest."""
+    rng = np.random.default_rng(3)
+    x = shard_of(np.repeat(rng.normal(size=(150, 24)), 2, 0) + rng.normal(size=(300, 24)) * 0.05)
+    for _, links in x.graph.layers:
+        links[:] = -1
+    found, (audit,) = embeddings.link_shards(x, x, 0.93, True)
+    truth = true_links(x, x, True)
+    assert audit["exact"] and audit["recall"] == 1.0
+    assert {u: n for u, n, _ in found} == {i: int(k) for i, k in enumerate(truth.sum(1)) if k}
+
+
+def test_embedding_rare_links():
+    """Two shards with very few links between them: probes are the evidence, and both shards query."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(1500, 32)), rng.normal(size=(1300, 32))
+    b[[3, 700, 1299]] = a[[1, 900, 1400]] + rng.normal(size=(3, 32)) * 0.1
+    x, y = shard_of(a), shard_of(b)
+    y.uid += 10_000
+    y = embeddings.Shard.from_bytes(y.to_bytes())
+    found, audits = embeddings.link_shards(x, y, 0.93, False)
+    truth = true_links(x, y, False)
+    want = {i: int(k) for i, k in enumerate(truth.sum(1)) if k} | {10_000 + i: int(k) for i, k in enumerate(truth.sum(0)) if k}
+    assert truth.sum() >= 3 and {u: n for u, n, _ in found} == want
+    assert len(audits) == 2 and all(r["recall"] >= 0.995 for r in audits)
+    root = {u: r for u, _, r in found}
+    assert all(root[i] == root[10_000 + j] for i, j in zip(*np.nonzero(truth)))
 
 
 def test_components(spark):
@@ -190,7 +237,7 @@ def test_jaccard_join(spark, width, percent, seed):
     df = clash(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = jaccard.jaccard_join(df, width=width, percent=percent).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == jaccard_truth(rows, width, percent)
-    kept = jaccard.keep_one(df, width=width, percent=percent)
+    kept = jaccard.keep_one(df.withColumn("gone_id", F.lit(1)), width=width, percent=percent).drop("gone_id")
     assert kept.columns == df.columns
     linked = {r.component_id for r in got if r.n_shingles and r.doc_id is not None}
     alone = sum(1 for r in got if not r.n_shingles or r.doc_id is None)
@@ -215,6 +262,25 @@ def test_jaccard_join_of_short_texts(spark, width, percent):
     assert kept == {r.component_id for r in got}
 
 
+def test_jaccard_group_of_near_copies(spark, monkeypatch):
+    """A long list, many of whose sets are no partners of its head; shingles that come last by join and in tasks."""
+    rng = random.Random(8)
+    base = words(rng, 60, 9000)
+    texts = []
+    for i in range(90):
+        now = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 5])):
+            now[rng.randrange(len(now))] = f"e{rng.randrange(12)}"
+        texts.append(" ".join(now[: rng.choice([60, 60, 57, 52])]))
+    rows = list(enumerate(texts + [" ".join(words(rng, 40, 9000) + base[:12]) for _ in range(30)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = jaccard_truth(rows, 4, 85)
+    for tokens in (jaccard.TOKENS, 0):
+        monkeypatch.setattr(jaccard, "TOKENS", tokens)
+        got = jaccard.jaccard_join(df, width=4, percent=85).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_join(df).count() == 0 and jaccard.keep_one(df).count() == 0
@@ -267,6 +333,12 @@ def test_secrets(spark):
         assert set(filter(None, text.split(","))) <= set(rows[i].spans.split(","))
     assert rows[2].spans == "" and rows[2].n_example == 1  # two owners hold it
     assert rows[8].spans == "issued:0:40" and rows[8].n_live == 1
+    # One owner that has a value in many repositories: an example; rows of one repository count once.
+    many = spark.createDataFrame([(i, f"x {key} y", "en", "one", 1) for i in range(10)] + [(i, "x ghp_" + "c2D" * 12, "en", "one", 1) for i in [20] * 12 + [None]], DOCS)
+    assert {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan_secrets(many).collect()} == {i: (0, 1) for i in range(10)} | {20: (1, 0), None: (1, 0)}
+    long = "password=" + "b" * 40 + " " + f"x {key} " * 3000 + "AKIA" + "Q" * 500_000
+    row = secrets.scan_secrets(table(spark, [long])).first()
+    assert (row.n_assign, row.n_access, row.n_hex, row.n_live) == (1, 1, 1, 3003)
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
@@ -282,6 +354,8 @@ def test_html_parse():
     assert main('<article class="post"><header><h1>H</h1><span>by me</span></header><p>z') == "H\nz"
     assert html_text.parse(None) == html_text.parse("") == ([], [], [])
     assert html_text.parse("<body><div>Loose  one</div><p>x")[1] == ["Loose one", "x"]
+    assert main('<article><p>a <span style="display:none">HIDDEN</span> b <span class="advert">AD</span> <b hidden>h</b>c<br>d</article>') == "a b c d"
+    assert main('<article><p class="notice-period">kept<p>See the <a class="social-link">page</a>.<h2 class="menu-title">t</h2></article>') == "kept\nSee the page.\nt"
 
 
 def test_html_names_do_not_take_articles():
@@ -324,6 +398,9 @@ def test_html_extract(spark, monkeypatch):
     want = [(i, t, len(t)) for i, t in enumerate(own)] + [(9, frame, len(frame))] * 2 + [(10, "", 0), (11, "", 0)]
     assert got == want
     assert html_text.extract(df.limit(0)).count() == 0
+    monkeypatch.setattr(html_text, "RUNS", 0)  # too many runs for all tasks
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == want
+    assert html_text.extract(df.limit(0)).count() == 0
 
 
 # Decontamination.
@@ -390,6 +467,24 @@ def test_rans_round_trip():
         rans.File(bytes(data)).ids()
 
 
+def test_other_tokenizers(monkeypatch, tmp_path):
+    """A file that splits otherwise is never cut; and the memory of pieces may be lost at any time."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    text = "Some words,  and some more words   here; Some WORDS " * 20
+    spec = json.loads(Path(token_output.default_tokenizer()).read_text("utf-8"))
+    monkeypatch.setattr(token_output, "MEMORY", 700)
+    for change in ({}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}},
+                   {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}):
+        f = tmp_path / "t.json"
+        f.write_text(json.dumps(spec | change), "utf-8")
+        encoder = token_output.PieceEncoder(str(f))
+        assert encoder.splits == (not change)
+        assert np.frombuffer(encoder(text), "<u4").tolist() == Tokenizer.from_file(str(f)).encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_output, "FILE_IDS", 50)  # several files a task
     from tokenizers import Tokenizer
@@ -398,7 +493,7 @@ def test_token_files(spark, monkeypatch):
     t.encode_special_tokens = True
     rng = random.Random(4)
     texts = [" ".join(words(rng, rng.randint(0, 40))) for _ in range(40)]
-    texts += [None, "", " ", "  a  b ", "a\n b", "a \n b\n", "it's  'll x　z", "<|endoftext|> a", "é́ ü ²x x²y", "x foo\nbar baz.\nÜber ñ!! a_b", "\x1c a \x1c"]
+    texts += [None, "", " ", "  a  b ", "a\n b", "a \n b\n", "it's  'll x　z", "<|endoftext|> a", "é́ ü ²x x²y", "x foo\nbar baz.\nÜber ñ!! a_b", "\x1c a \x1c", "a   b", "   a", "a   ", "x \t  y\n\n   z", " " * 70 + "end" + " " * 3]
     rows = [(7 * i % 51, x) for i, x in enumerate(texts)] + [(3, "again"), (None, "no id"), (3, "again")]
     df = clash(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     got = token_output.token_rows(df).orderBy("start").collect()
