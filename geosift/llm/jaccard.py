@@ -3,21 +3,22 @@
 A text's set is its distinct word shingles. Relations between sets save most of the work of a prefix join:
 
 - Equal sets have equal answers: they become one class, and the join runs over classes.
-- A set that is highly similar to another one (its pivot) is described by the difference to it: the shingles it
-  has besides, and those it lacks. Shingles of the pivots of long lists come last in the global order, so a
-  set that is no partner of its pivot is indexed by what it does not share with it; and for two sets of one
-  pivot the overlap is derived from the pivot's answers and the two differences, without the sets.
+- Sets that share much with a common one, their pivot, are ordered by what they do not share with it. In lists of HOT
+  sets or more the set most of whose tokens stand in such lists is the pivot; those of the pivots' shingles that
+  HOT sets or more hold come last in the global order, the more sets hold them the later. So a set that is
+  no partner of its pivot is indexed by its difference to it.
+- A set that was compared with another one is described by the difference to that: what it has besides, and what
+  it lacks. For two sets of one pivot the overlap is derived from the pivot's answers and the two differences.
 
 Index lists hold the first tokens of each set in a global order, rare ones first. A list entry carries the
-set's size and the token's position. A set indexes its first n - ceil(t n) + L tokens only; lists are cut into
-blocks by size, and a set skips the blocks of sizes for which its token stands too far back (its n - need +
-L first tokens meet all partners that share `need`, see _needed). A pair is a candidate if it meets in at
-least L = 3 lists (fewer at thresholds under 2/3) and the tokens that are left at its last meeting suffice.
-Sets too small for an unequal partner at the threshold (least_shared) are in no list.
+set's size and the token's position. A set indexes its first n - ceil(t n) + 1 tokens only; lists are cut into
+blocks by size, and a set skips the blocks of sizes for which its token stands too far back: a partner with
+which it must share `need` tokens is met within the first n - need + 1 (see _needed). A pair is a candidate if
+its meetings and the tokens that are left after the last one suffice. Sets too small for an unequal
+partner at the threshold (least_shared) are in no list.
 
 The order decides cost, never results. A shingle's place comes from the frequencies of its words, counted over all
-documents, and from the pivots: in a list of HOT sets or more, the set in which the token stands furthest
-in front is the pivot (the list's head).
+documents, and from the pivots.
 
 Sets are first compared with the heads of their lists, which unites near copies without comparing them with each
 other. Then pairs of sets in different components are, those that meet most often first. No pair of
@@ -46,10 +47,8 @@ from pyspark.sql import functions as F
 from geosift.llm.common import small, small_batches, stage, temporary, unused
 from geosift.llm.graph import components
 
-MEET = 3  # lists in which a pair must meet; fewer at low thresholds, see meetings
-HOT = 16  # sets of a list from which on its head's shingles come last
-ROUNDS = 4  # of looking for such lists
-TOKENS = 500_000  # shingles (8 bytes each) up to which those that come last are sent to all tasks
+HOT = 16  # sets of a list from which on it has a pivot, and that hold a shingle which comes last
+TOKENS = 2_000_000  # shingles (16 bytes each) up to which the pivots' ones are sent to all tasks
 BAND = 1.05  # sizes of a block differ by this factor at most
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
 CACHE = 200_000  # words a task remembers
@@ -115,21 +114,10 @@ def least_shared(percent: int) -> int | None:
     return -(-percent // (100 - percent)) if percent < 100 else None
 
 
-def meetings(percent: int) -> int:
-    """Lists in which unequal partners meet at least: MEET, or all they share if that may be less."""
-    return max(1, min(MEET, least_shared(percent) or MEET))
-
-
 def prefix_size(n: int, percent: int) -> int:
-    """Tokens a set of n indexes: none where only equal sets can be partners.
-
-    Partners share at least ceil(t n) tokens and meetings(percent) at least, so that many of them are here.
-    """
+    """Tokens a set of n indexes, at least one of those it shares with any partner; none where only equal sets can be partners."""
     least = least_shared(percent)
-    if least is None or n < least:
-        return 0
-    need = -(-percent * n // 100)
-    return min(n, n - need + meetings(percent))
+    return 0 if least is None or n < least else n + percent * -n // 100 + 1
 
 
 def common_words(docs: DataFrame) -> dict[bytes, int]:
@@ -191,7 +179,7 @@ def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
 
 
 def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
-    """owners (cid, digest, doc_id, text_hash) -> cid, n, keys: the sets, made again from these texts; no others are moved."""
+    """owners (cid, digest, doc_id, text_hash, ...) -> cid, n, keys: the sets, made again from these texts; no others are moved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(*shingler)
@@ -204,9 +192,13 @@ def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame
                     keys.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(list(map(len, keys)), pa.int64()), _lists(keys)], names=["cid", "n", "keys"])
 
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(owners, ["doc_id", "text_hash"])
+    wanted = small(stage(owners.select("cid", "digest", "doc_id", "text_hash"), "jac-wanted"))
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
     once = rows.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("cid", "digest", "text")])  # repeated rows
-    return once.select("cid", "digest", "text").mapInArrow(make, "cid long, n long, keys array<long>")
+    return stage(once.select("cid", "digest", "text").mapInArrow(make, SETS), "jac-sets")
+
+
+SETS = "cid long, n long, keys array<long>"
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
@@ -220,54 +212,87 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.join(more, "token", "left_semi")
 
 
-def _prefixes(sets: DataFrame, last: DataFrame, n_last: int, percent: int) -> DataFrame:
-    """cid, n, prefix of sets (cid, n, keys) in the order in which the shingles of last (token) come last."""
-    if n_last <= TOKENS:
-        late = np.sort(last.toPandas()["token"].to_numpy(np.int64))
+def _places(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted array; -1: it is not there."""
+    if not len(sorted_):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
+
 
-        def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _holders(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """token, sets: how many of sets (cid, n, keys) hold each of the tokens."""
+    tokens = stage(tokens.select("token").distinct(), "jac-tokens")
+    if tokens.count() > TOKENS:
+        return sets.select(F.explode("keys").alias("token")).join(tokens, "token").groupBy("token").agg(F.count("*").alias("sets"))
+    wanted = np.sort(tokens.toPandas()["token"].to_numpy(np.int64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(wanted) + 1, np.int64)  # the last for those not wanted
+        for b in batches:
+            np.add.at(held, _places(wanted, b.column("keys").flatten().to_numpy(zero_copy_only=False)), 1)
+        some = np.nonzero(held[:-1])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[some]), pa.array(held[some])], names=["token", "sets"])
+
+    return sets.select("keys").mapInArrow(count, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
+
+
+def _prefixes(sets: DataFrame, last: DataFrame, late: tuple[np.ndarray, np.ndarray] | None, percent: int) -> DataFrame:
+    """cid, n, prefix of sets in the order in which the shingles of last (token, sets) come last; late: the same, sorted, if it is small."""
+    if late is None:
+        keys = sets.select("cid", "n", F.explode("keys").alias("token")).join(last, "token", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "token")))  # one set, no more
+        size = F.when(F.col("n") < (least_shared(percent) or 2**62), F.lit(0)).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+        return keys.groupBy("cid", "n").agg(order.alias("k")).select("cid", "n", F.transform(F.slice("k", F.lit(1), size.cast("int")), lambda k: k["token"]).alias("prefix"))
+    tokens, held = late
+
+    def order_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k in b.column("keys"):
+                v = k.values.to_numpy(zero_copy_only=False)
+                at = _places(tokens, v)
+                rank = np.where(at >= 0, held[at], 0)
+                rows.append(v[np.lexsort((v, rank))[: prefix_size(len(v), percent)]])
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), _lists(rows)], names=["cid", "n", "prefix"])
+
+    return sets.mapInArrow(order_, "cid long, n long, prefix array<long>")
+
+
+def ordered_prefixes(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> tuple[DataFrame, DataFrame]:
+    """owners (cid, digest, doc_id, text_hash, n, prefix) -> cid, n, prefix in the order with the pivots' shingles last; and the
+    sets that this took (cid, n, keys)."""
+    lists = _shared(_entries(owners))
+    sizes = lists.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") >= HOT)
+    hot = stage(lists.join(sizes.select("token"), "token", "left_semi").select("cid", "n", "token"), "jac-hot")
+    share = hot.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
+    pivots = hot.join(share, "cid").groupBy("token").agg(F.max(F.struct("share", "cid")).alias("p")).select("p.cid").distinct()
+    sets = class_sets(owners.join(hot.select("cid").distinct(), "cid", "left_semi"), docs, shingler)
+    held = _holders(sets, sets.join(pivots, "cid", "left_semi").select(F.explode("keys").alias("token")))
+    last = stage(held.where(F.col("sets") >= HOT), "jac-last")
+    late = None
+    if last.count() <= TOKENS:
+        rows = last.orderBy("token").toPandas()
+        late = rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(np.int64)
+
+        def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
-                for k in b.column("keys"):
-                    v = k.values.to_numpy(zero_copy_only=False)
-                    is_late = late[np.minimum(np.searchsorted(late, v), max(0, len(late) - 1))] == v if len(late) else np.zeros(len(v), bool)
-                    rows.append(np.concatenate([v[~is_late], v[is_late]])[: prefix_size(len(v), percent)])
-                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), _lists(rows)], names=["cid", "n", "prefix"])
-
-        return sets.mapInArrow(order, "cid long, n long, prefix array<long>")
-    none = F.array().cast("array<bigint>")
-    early = sets.select("cid", F.explode("keys").alias("token")).join(last, "token", "left_anti")
-    early = early.groupBy("cid").agg(F.array_sort(F.collect_list("token")).alias("early"))  # one set, no more
-    size = F.when(F.col("n") < (least_shared(percent) or 2**62), F.lit(0)).otherwise(
-        F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * percent / 100) + meetings(percent)))
-    both = sets.join(early, "cid", "left").withColumn("early", F.coalesce("early", none))
-    return both.select("cid", "n", F.slice(F.concat("early", F.array_except("keys", "early")), F.lit(1), size.cast("int")).alias("prefix"))
-
-
-def ordered_prefixes(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """prefixes in the order in which the shingles of the heads of long lists come last; see the module's text."""
-    last, n_last = None, 0
-    for _ in range(ROUNDS):
-        entries = _entries(prefixes)
-        if last is not None:
-            entries = entries.join(small(last, TOKENS), "token", "left_anti")
-        hot = entries.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("pos", "n", "cid")).alias("head")).where(F.col("sets") >= HOT)
-        heads = hot.select("head.cid").distinct()
-        tokens = sets.join(heads, "cid", "left_semi").select(F.explode("keys").alias("token"))
-        tokens = stage((tokens if last is None else tokens.unionByName(last)).distinct(), "jac-last")
-        n = tokens.count()
-        if n == n_last:
-            break
-        last, n_last = tokens, n
-        prefixes = stage(_prefixes(sets, last, n, percent), "jac-prefixes")
-    return prefixes
+                yield pa.RecordBatch.from_arrays([b.column("cid").filter(pa.array([bool((_places(late[0], p.values.to_numpy(zero_copy_only=False)) >= 0).any()) for p in b.column("prefix")]))], names=["cid"])
+
+        changed = owners.select("cid", "prefix").mapInArrow(touched, "cid long")
+    else:
+        changed = _entries(owners).join(last, "token", "left_semi").select("cid").distinct()
+    changed = stage(changed.join(sets.select("cid"), "cid", "left_anti"), "jac-changed")
+    sets = sets.unionByName(class_sets(owners.join(changed, "cid", "left_semi"), docs, shingler))
+    same = owners.select("cid", "n", "prefix").join(sets.select("cid"), "cid", "left_anti")
+    return stage(same.unionByName(_prefixes(sets, last, late, percent)), "jac-prefixes"), sets
 
 
 def _needed(n1: Column, n2: Column, percent: int) -> Column:
     """Tokens that sets of these sizes share at least if they are partners.
 
-    A set of n has at most n - need tokens of its own, so L = meetings(percent) of the shared ones are among its
-    first n - need + L: an entry further back is skipped for this partner.
+    A set of n has at most n - need tokens of its own, so one of the shared ones is among its first n - need + 1: an
+    entry further back is skipped for this partner.
     """
     return F.ceil((n1 + n2) * percent / (100 + percent))
 
@@ -277,22 +302,26 @@ def _similar(percent: int) -> Column:
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
-    """met (a, na, pa, b, nb, pb), a row a meeting -> a, b, k: pairs that meet often enough and have enough tokens left."""
+    """met (a, na, pa, b, nb, pb), a row a meeting -> a, b, k (meetings): pairs that have enough tokens left after the last one."""
     k = met.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    return k.where((F.col("k") >= meetings(percent)) & (F.col("k") + left >= _needed(F.col("na"), F.col("nb"), percent))).select("a", "b", "k")
+    return k.where(F.col("k") + left >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "k")
+
+
+def _in_front(percent: int) -> Column:
+    """Whether both positions are among those in which partners of these sizes meet."""
+    na, nb = F.col("na"), F.col("nb")
+    need = _needed(na, nb, percent)
+    return (need <= na - F.col("pa")) & (need <= nb - F.col("pb"))
 
 
 def head_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidates a, b, k of each set with the heads of its lists."""
-    meet = meetings(percent)
+    """Candidates a, b, k of each set with the heads of its lists, the sets in which the token stands furthest in front."""
     heads = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("h"))
     met = lists.join(heads, "token").select(
         F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("h.cid").alias("b"), F.col("h.n").alias("nb"), F.col("h.pos").alias("pb"))
-    need = _needed(F.col("na"), F.col("nb"), percent)
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    front = (need < F.col("na") - F.col("pa") + meet) & (need < F.col("nb") - F.col("pb") + meet)
-    return _candidates(met.where((F.col("a") != F.col("b")) & fits & front), percent)
+    return _candidates(met.where((F.col("a") != F.col("b")) & fits & _in_front(percent)), percent)
 
 
 def block_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -301,23 +330,20 @@ def block_pairs(lists: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     A block is a list's entries of one size band that can meet a set of their size or more. The larger set looks
     into the blocks of those sizes for which its own entry is in front enough.
     """
-    meet = meetings(percent)
     band = lambda size: F.floor(F.log(size) / math.log(BAND)).cast("int")
     placed = lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ = placed.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     placed = stage(placed.join(open_, "token", "left_semi"), "jac-open")
     n, pos = F.col("n"), F.col("pos")
-    blocks = placed.where(_needed(n, n, percent) < n - pos + meet).select(
+    blocks = placed.where(_needed(n, n, percent) <= n - pos).select(
         "token", band(n).alias("band"), F.col("cid").alias("b"), n.alias("nb"), pos.alias("pb"), F.col("comp").alias("cb"))
-    most = F.floor((n - pos + meet - 1) * (100 + percent) / percent) - n  # the largest partner that this entry can meet
+    most = F.floor((n - pos) * (100 + percent) / percent) - n  # the largest partner that this entry can meet
     least = F.ceil(n * percent / 100)
     probes = placed.withColumn("most", F.least(n, most)).where(F.col("most") >= least).select(
         "token", F.explode(F.sequence(band(least), band(F.col("most")))).alias("band"), F.col("cid").alias("a"), n.alias("na"), pos.alias("pa"), F.col("comp").alias("ca"))
     na, nb = F.col("na"), F.col("nb")
-    need = _needed(na, nb, percent)
     larger = (na > nb) | ((na == nb) & (F.col("a") > F.col("b")))
-    front = (need < na - F.col("pa") + meet) & (need < nb - F.col("pb") + meet)
-    met = probes.join(blocks, ["token", "band"]).where((F.col("ca") != F.col("cb")) & larger & (nb * 100 >= na * percent) & front)
+    met = probes.join(blocks, ["token", "band"]).where((F.col("ca") != F.col("cb")) & larger & (nb * 100 >= na * percent) & _in_front(percent))
     return _candidates(met.select("a", "na", "pa", "b", "nb", "pb"), percent)
 
 
@@ -391,23 +417,25 @@ def settle(pairs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, piv
 
 def class_components(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
     """owners (cid, digest, doc_id, text_hash, n, prefix) -> id, comp of the classes that have links (see components)."""
-    spark = docs.sparkSession
-    comp = spark.createDataFrame([], "id long, comp long")
-    often = _shared(_entries(owners)).groupBy("cid").agg(F.count("*").alias("k")).where(F.col("k") >= meetings(percent))
-    owners = stage(owners.join(often.select("cid"), "cid", "left_semi"), "jac-owners")
-    if owners.isEmpty():
-        return comp
-    sets = stage(class_sets(owners.select("cid", "digest", "doc_id", "text_hash"), docs, shingler), "jac-sets")
-    prefixes = ordered_prefixes(owners.select("cid", "n", "prefix"), sets, percent)
+    comp = docs.sparkSession.createDataFrame([], "id long, comp long")
+    prefixes, sets = ordered_prefixes(owners, docs, shingler, percent)
     lists = stage(_shared(_entries(prefixes)), "jac-lists")
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        missing = ends.join(sets.select("cid"), "cid", "left_anti")
+        return sets.unionByName(class_sets(owners.join(missing, "cid", "left_semi"), docs, shingler))
+
     heads = stage(head_pairs(lists, percent), "jac-heads")
+    sets = with_sets(heads)
     comp, first = settle(heads, comp, sets, percent)
     pivots = first.where("own is not null").select(
         F.col("a").alias("cid"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("nb").alias("size"), "own", "lost")
-    # Every pair of heads is compared, or in one component.
-    ends = lambda df: df.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    # Every pair with a head is compared, or in one component.
     pairs = block_pairs(lists, comp, percent).withColumns({"hi": F.greatest("a", "b"), "lo": F.least("a", "b")})
-    pairs = stage(pairs.join(ends(heads), ["hi", "lo"], "left_anti").select("a", "b", "k"), "jac-pairs")
+    done = heads.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    pairs = stage(pairs.join(done, ["hi", "lo"], "left_anti").select("a", "b", "k"), "jac-pairs")
+    sets = with_sets(pairs)
     return settle(pairs, comp, sets, percent, pivots)[0]
 
 
