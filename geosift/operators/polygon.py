@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geosift.schema import POLYGON
-from geosift.staging import small
+from geosift.staging import small, unused
 
 UNROLL = 200
 LEVEL = 7  # the grid has 2**LEVEL cells to a side
@@ -57,13 +58,13 @@ class Polygon:
             raise ValueError("an empty ring")
         object.__setattr__(self, "ring", tuple((float(x), float(y)) for x, y in self.ring))
 
-    @property
+    @cached_property
     def edges(self) -> list[Edge]:
         """Consecutive pairs of the closed ring; edges without length are dropped."""
         ring = self.ring if self.ring[0] == self.ring[-1] else (self.ring[-1], *self.ring)
         return [Edge(*p, *q) for p, q in zip(ring, ring[1:], strict=False) if p != q]
 
-    @property
+    @cached_property
     def box(self) -> tuple[float, float, float, float]:
         xs, ys = zip(*self.ring, strict=True)
         return min(xs), min(ys), max(xs), max(ys)
@@ -175,50 +176,64 @@ def ring_tests(points: DataFrame, edges: DataFrame, id_col: str = "id", x: str =
     return hit.groupBy(id_col).agg(F.bool_or(F.col("kind") == "include").alias("i"), F.bool_or(F.col("kind") == "exclude").alias("e")).where("i and not e").select(id_col)
 
 
-def _point_inside(x: float, y: float, polygons: Sequence[Polygon]) -> bool:
-    """The test for a single point, on the driver: cells are classified with it."""
-    def within(p: Polygon) -> bool:
-        if not (p.box[0] <= x <= p.box[2] and p.box[1] <= y <= p.box[3]):
-            return False
-        n = 0
-        for e in p.edges:
-            r = e.a * x + e.b * y + e.c
-            if r == 0 and e.box[0] <= x <= e.box[2] and e.box[1] <= y <= e.box[3]:
-                return True
-            n += e.box[1] <= y < e.box[3] and (-r if e.a > 0 else r) > 0
-        return n % 2 == 1
+def _edge_arrays(polygon: Polygon) -> tuple[np.ndarray, ...]:
+    """a, b, c, xmin, ymin, xmax, ymax of the edges."""
+    rows = np.array([(e.a, e.b, e.c, *e.box) for e in polygon.edges], np.float64).reshape(-1, 7)
+    return tuple(rows.T)
+
+
+def _span(lo: np.ndarray, hi: np.ndarray, start: float, step: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of n cells that [lo, hi] meets, with a hair's breadth to spare for rounding."""
+    return (np.maximum(0, np.trunc((lo - start) / step - 1e-6)).astype(int), np.minimum(n - 1, np.trunc((hi - start) / step + 1e-6)).astype(int))
 
-    return any(within(p) for p in polygons if p.kind == "include") and not any(within(p) for p in polygons if p.kind == "exclude")
+
+def _mixed(polygons: Sequence[Polygon], box: tuple[float, float, float, float], n: int) -> np.ndarray:
+    """Cells (cx, cy) that an edge meets; of a long edge only the part over a column counts there."""
+    w, h = (box[2] - box[0]) / n or 1.0, (box[3] - box[1]) / n or 1.0
+    edge = np.zeros((n, n + 1), int)  # ends of the runs of cells of each column
+    for p in polygons:
+        a, b, c, x1, y1, x2, y2 = _edge_arrays(p)
+        first, last = _span(x1, x2, box[0], w, n)
+        for cx in range(n):
+            at = (first <= cx) & (cx <= last)
+            if not at.any():
+                continue
+            lo, hi = y1[at], y2[at]
+            slope = b[at] != 0
+            ends = [-(a[at] * np.minimum(np.maximum(box[0] + k * w, x1[at]), x2[at]) + c[at]) / np.where(slope, b[at], 1.0) for k in (cx - 1e-6, cx + 1 + 1e-6)]
+            lo = np.where(slope, np.maximum(lo, np.minimum(*ends)), lo)
+            hi = np.where(slope, np.minimum(hi, np.maximum(*ends)), hi)
+            bottom, top = _span(lo, hi, box[1], h, n)
+            some = bottom <= top
+            np.add.at(edge[cx], bottom[some], 1)
+            np.add.at(edge[cx], top[some] + 1, -1)
+    return np.cumsum(edge, axis=1)[:, :n] > 0
+
+
+def _centres_inside(polygon: Polygon, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """(x, y) -> whether the ray to the right crosses the ring an odd number of times; only cells without edges are asked about."""
+    a, b, c, _, y1, x2, y2 = _edge_arrays(polygon)
+    out = np.zeros((len(xs), len(ys)), bool)
+    for i, y in enumerate(ys):
+        at = (y1 <= y) & (y < y2)  # edges with a != 0
+        crossings = np.sort(-(b[at] * y + c[at]) / a[at])
+        out[:, i] = (len(crossings) - np.searchsorted(crossings, xs)) % 2 == 1
+    return out
 
 
 def grid_cells(polygons: Sequence[Polygon], level: int = LEVEL) -> list[tuple[int, int, str]]:
-    """(cx, cy, in | out | mixed) for all cells of the grid over the include rings.
+    """(cx, cy, in | out | mixed) for all cells of the grid over the include rings: mixed where an edge meets the cell.
 
-    A cell is mixed if the box of an edge meets it, with a hair's breadth to spare for rounding.
+    A scan by columns for the edges and by rows for the centres: time grows with edges times 2**level at most.
     """
     box = include_box(polygons)
     n = 1 << level
+    mixed = _mixed(polygons, box, n)
     w, h = (box[2] - box[0]) / n or 1.0, (box[3] - box[1]) / n or 1.0
-    mixed = set()
-    for p in polygons:
-        for e in p.edges:
-            x1, y1, x2, y2 = e.box
-            for cx in range(max(0, int((x1 - box[0]) / w - 1e-6)), min(n - 1, int((x2 - box[0]) / w + 1e-6)) + 1):
-                # Only the part of the edge over this column, so long edges touch few cells.
-                lo, hi = y1, y2
-                if e.b:
-                    at = sorted(-(e.a * min(max(box[0] + k * w, x1), x2) + e.c) / e.b for k in (cx - 1e-6, cx + 1 + 1e-6))
-                    lo, hi = max(lo, at[0]), min(hi, at[1])
-                for cy in range(max(0, int((lo - box[1]) / h - 1e-6)), min(n - 1, int((hi - box[1]) / h + 1e-6)) + 1):
-                    mixed.add((cx, cy))
-    out = []
-    for cx in range(n):
-        for cy in range(n):
-            if (cx, cy) in mixed:
-                out.append((cx, cy, "mixed"))
-            else:
-                out.append((cx, cy, "in" if _point_inside(box[0] + (cx + 0.5) * w, box[1] + (cy + 0.5) * h, polygons) else "out"))
-    return out
+    xs, ys = box[0] + (np.arange(n) + 0.5) * w, box[1] + (np.arange(n) + 0.5) * h
+    any_of = lambda kind: reduce(np.logical_or, (_centres_inside(p, xs, ys) for p in polygons if p.kind == kind), np.zeros((n, n), bool))
+    names = np.where(mixed, "mixed", np.where(any_of("include") & ~any_of("exclude"), "in", "out"))
+    return [(cx, cy, str(names[cx, cy])) for cx in range(n) for cy in range(n)]
 
 
 def cell_of(x: Column, y: Column, box: tuple[float, float, float, float], level: int = LEVEL) -> tuple[Column, Column]:
@@ -236,27 +251,35 @@ def grid_join(points: DataFrame, polygons: Sequence[Polygon], x: str = "x", y: s
         return points.where(F.lit(False))
     n = 1 << level
     h = (box[3] - box[1]) / n or 1.0
-    rows: list[list[tuple]] = [[] for _ in range(n)]  # edges that reach each row of cells
-    for i, p in enumerate(polygons):
-        for e in p.edges:
-            for cy in range(max(0, int((e.box[1] - box[1]) / h - 1e-6)), min(n - 1, int((e.box[3] - box[1]) / h + 1e-6)) + 1):
-                rows[cy].append((i, p.kind == "include", e.a, e.b, e.c, *e.box))
-    edge = "struct<p:int,inc:boolean,a:double,b:double,c:double,xmin:double,ymin:double,xmax:double,ymax:double>"
+    rings: list[list[tuple]] = [[] for _ in range(n)]  # the rings, with those of their edges that reach each row of cells
+    for p in polygons:
+        bottom, top = _span(*(_edge_arrays(p)[k] for k in (4, 6)), box[1], h, n)
+        own: list[list[tuple]] = [[] for _ in range(n)]
+        for e, lo, hi in zip(p.edges, bottom, top, strict=True):
+            for cy in range(lo, hi + 1):
+                own[cy].append((e.a, e.b, e.c, *e.box))
+        for cy in range(n):
+            if own[cy]:
+                rings[cy].append((p.kind == "include", *p.box, own[cy]))
+    box_of = "xmin:double,ymin:double,xmax:double,ymax:double"
+    ring_of = f"struct<inc:boolean,{box_of},edges:array<struct<a:double,b:double,c:double,{box_of}>>>"
+    cx_, cy_, mixed_, rings_ = (unused(c, points) for c in ("cx", "cy", "mixed", "rings"))
     cells = [(cx, cy, c == "mixed") for cx, cy, c in grid_cells(polygons, level) if c != "out"]
-    cell_df = F.broadcast(spark.createDataFrame(cells, "__cx int, __cy int, __mixed boolean"))
-    row_df = small(spark.createDataFrame(list(enumerate(rows)), f"__cy int, __edges array<{edge}>"))
-    cx, cy = cell_of(F.col(x), F.col(y), box, level)
-    at = points.where(box_filter(F.col(x), F.col(y), box)).withColumns({"__cx": cx, "__cy": cy}).join(cell_df, ["__cx", "__cy"])
-    sure = at.where(~F.col("__mixed")).select(*points.columns)
-    maybe = at.where("__mixed").join(row_df, "__cy")
+    cell_df = F.broadcast(spark.createDataFrame(cells, f"{cx_} int, {cy_} int, {mixed_} boolean"))
+    row_df = small(spark.createDataFrame(list(enumerate(rings)), f"{cy_} int, {rings_} array<{ring_of}>"))
     px, py = F.col(x), F.col(y)
-
-    def ring(i: int) -> Column:
-        own = F.filter("__edges", lambda e: e["p"] == i)
-        r = lambda e: e["a"] * px + e["b"] * py + e["c"]
-        on = F.exists(own, lambda e: (r(e) == 0) & (px >= e["xmin"]) & (px <= e["xmax"]) & (py >= e["ymin"]) & (py <= e["ymax"]))
-        cross = F.size(F.filter(own, lambda e: (e["ymin"] <= py) & (py < e["ymax"]) & (F.when(e["a"] > 0, -r(e)).otherwise(r(e)) > 0)))
-        return box_filter(px, py, polygons[i].box) & (on | (cross % 2 == 1))
-
-    of = lambda kind: reduce(lambda p, q: p | q, (ring(i) for i, p in enumerate(polygons) if p.kind == kind), F.lit(False))
-    return sure.unionByName(maybe.where(of("include") & ~of("exclude")).select(*points.columns))
+    cx, cy = cell_of(px, py, box, level)
+    at = points.where(box_filter(px, py, box)).withColumns({cx_: cx, cy_: cy}).join(cell_df, [cx_, cy_])
+    sure = at.where(~F.col(mixed_)).select(*points.columns)
+    maybe = at.where(mixed_).join(row_df, cy_)
+
+    def within(r: Column) -> Column:
+        """A ring whose edges do not reach the row has no point of it inside."""
+        value = lambda e: e["a"] * px + e["b"] * py + e["c"]
+        boxed = lambda b: (px >= b["xmin"]) & (px <= b["xmax"]) & (py >= b["ymin"]) & (py <= b["ymax"])
+        on = F.exists(r["edges"], lambda e: (value(e) == 0) & boxed(e))
+        cross = F.size(F.filter(r["edges"], lambda e: (e["ymin"] <= py) & (py < e["ymax"]) & (F.when(e["a"] > 0, -value(e)).otherwise(value(e)) > 0)))
+        return boxed(r) & (on | (cross % 2 == 1))
+
+    any_of = lambda include_: F.exists(rings_, lambda r: (r["inc"] == F.lit(include_)) & within(r))
+    return sure.unionByName(maybe.where(any_of(True) & ~any_of(False)).select(*points.columns))

@@ -196,7 +196,26 @@ def pip_events(spark, sf):
     return P.inside(rows, EVENT_AREA).select("id")
 
 
-@query()
+def _sql_grid(polygons: Sequence[P.Polygon], n: int = 128) -> str:
+    """Counts of cells by class: an edge's part over a column makes the cells it meets mixed; the others have the class of their centre."""
+    x0, y0, x1, y1 = (f"(SELECT {f}({c}) FROM e WHERE kind = 'include')" for f, c in (("min", "xmin"), ("min", "ymin"), ("max", "xmax"), ("max", "ymax")))
+    clip = lambda k: f"-(a * least(greatest(x0 + (cx {k}) * w, xmin), xmax) + c) / b"
+    lo, hi = clip("- 1e-6::DOUBLE"), clip("+ 1 + 1e-6::DOUBLE")
+    r = "(a * x + b * y + c)"
+    return f"""WITH e AS (SELECT * FROM {sql_edges(polygons)}),
+  g AS (SELECT {x0} AS x0, {y0} AS y0, ({x1} - {x0}) / {n} AS w, ({y1} - {y0}) / {n} AS h),
+  cells AS (SELECT cx.range AS cx, cy.range AS cy, x0 + (cx.range + 0.5::DOUBLE) * w AS x, y0 + (cy.range + 0.5::DOUBLE) * h AS y FROM range({n}) cx, range({n}) cy, g),
+  part AS (SELECT cx, y0, h, CASE WHEN b <> 0 THEN greatest(ymin, least({lo}, {hi})) ELSE ymin END AS lo, CASE WHEN b <> 0 THEN least(ymax, greatest({lo}, {hi})) ELSE ymax END AS hi
+    FROM (SELECT range::DOUBLE AS cx FROM range({n})), e, g WHERE cx BETWEEN trunc((xmin - x0) / w - 1e-6::DOUBLE) AND trunc((xmax - x0) / w + 1e-6::DOUBLE)),
+  mixed AS (SELECT DISTINCT c.cx, c.cy FROM cells c JOIN part p ON c.cx = p.cx AND c.cy BETWEEN trunc((lo - y0) / h - 1e-6::DOUBLE) AND trunc((hi - y0) / h + 1e-6::DOUBLE)),
+  ring AS (SELECT cx, cy, kind, sum(CASE WHEN ymin <= y AND y < ymax AND (CASE WHEN a > 0 THEN -{r} ELSE {r} END) > 0 THEN 1 ELSE 0 END) % 2 = 1 AS inside
+    FROM cells, e GROUP BY cx, cy, kind, poly_id),
+  centre AS (SELECT cx, cy, bool_or(kind = 'include' AND inside) AND NOT bool_or(kind = 'exclude' AND inside) AS inside FROM ring GROUP BY cx, cy)
+  SELECT CASE WHEN m.cx IS NOT NULL THEN 'mixed' WHEN inside THEN 'in' ELSE 'out' END AS class, count(*) AS n
+  FROM centre LEFT JOIN mixed m USING (cx, cy) GROUP BY 1"""
+
+
+@query(_sql_grid(DISC))
 def grid_cell_classes(spark, sf):
     cells = spark.createDataFrame(P.grid_cells(DISC), "cx int, cy int, class string")
     return cells.groupBy("class").agg(F.count("*").alias("n"))
