@@ -23,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import ascii_lower, row_key, small, stage
+from geosift.llm.common import ascii_lower, row_key, small, stage, unused
 
+HASHES = 500_000  # shingle hashes (8 bytes each) up to which they are broadcast
+PROBES = 100_000  # anchors with the words around them, likewise
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 
@@ -82,11 +84,11 @@ def contained_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not lengths:
         lengths = [SHINGLE]
     # Rarity: how often each benchmark shingle occurs over all documents.
-    wanted = small(shingles.select("h").distinct(), 2_000_000)
+    wanted = small(shingles.select("h").distinct(), HASHES)
     counts = doc_shingles(docs, lengths).select("h").join(wanted, "h").groupBy("h").agg(F.count("*").alias("n"))
     counts = stage(counts, "decon-counts")
     # A window whose shingles do not all occur cannot occur: such windows need no anchor.
-    ranked = shingles.join(small(counts, 2_000_000), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ranked = shingles.join(small(counts, HASHES), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first, last = F.greatest(F.lit(0), F.col("ipos") - (F.col("w") - F.col("k"))), F.least(F.col("ipos"), F.col("m") - F.col("w"))
     windows = ranked.select("item_id", "iwords", "m", "w", "h", "ipos", "n", F.explode(F.sequence(first, last)).alias("wstart"))
     rarest = windows.groupBy("item_id", "iwords", "m", "w", "wstart").agg(F.min(F.struct("n", "ipos", "h")).alias("a"))
@@ -96,8 +98,12 @@ def contained_runs(docs: DataFrame, items: DataFrame) -> DataFrame:
     anchors = rarest.where(F.col("a.n") > 0).select(F.col("a.h").alias("h"), F.struct(
         "item_id", "w", F.reverse(F.slice("iwords", ipos - back + 1, back)).alias("before"),
         F.slice("iwords", ipos + 1, F.least(F.col("m") - ipos, w)).alias("after")).alias("a")).distinct()
-    probes = small(stage(anchors, "decon-anchors"), 500_000)
-    hit = doc_shingles(docs, lengths).join(probes, "h")
+    probes = stage(anchors, "decon-anchors")
+    if probes.count() <= PROBES:
+        hit = doc_shingles(docs, lengths).join(F.broadcast(probes), "h")
+    else:  # positions alone are dealt out; the words of documents with matches come back to them
+        hit = doc_shingles(docs, lengths).select("key", "pos", "h").join(probes, "h").select("key", "pos", "a")
+        hit = hit.distinct().join(docs.dropDuplicates(["key"]), "key")
     # The explode keeps whole texts out of the rows that leave this step: only the words around the match do.
     pos, words = F.col("pos"), F.col("words")
     back = F.least(pos, F.size("a.before"))
@@ -143,8 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without its contaminated rows, with the columns of docs."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("key").alias("__bad")).distinct()
-    return docs.withColumn("__key", row_key(id_col, text_col)).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    key, bad = unused("decon_key", docs), unused("decon_bad", docs)
+    found = contamination(docs, benchmark, **options).where("contaminated").select(F.col("key").alias(bad)).distinct()
+    return docs.withColumn(key, row_key(id_col, text_col)).join(found, F.col(key) == F.col(bad), "left_anti").drop(key)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from geosift.llm.common import small, small_batches, stage, temporary
 
-RUN, MIN_PAGES, PAGES = 8, 3, 4000
+RUN, MIN_PAGES, PAGES = 8, 3, 1000
 RUNS = 2_000_000  # boilerplate runs (8 bytes each) up to which all tasks get them
 
 # Elements of HTML.

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document gets a 60-bit hash of its id. A source that needs only part of its words takes the
+Every document gets a 60-bit hash of its id and text. A source that needs only part of its words takes the
 documents below a hash threshold. The threshold is found by histograms: words are summed by source and
 hash bucket (4096 buckets a level), the bucket in which the budget runs out is found from the running
 sum of at most 4096 rows, and only that bucket is divided again on the next level. After the last level
@@ -10,7 +10,7 @@ pre-aggregated group-by.
 Defined results:
 - null text and empty text: size 0, taken 0.
 - null source: a source of its own, ordered last. null id: hashed as the text "~".
-- rows with equal ids in a source share a hash and are taken or left together.
+- rows with equal id and text in a source share a hash and are taken or left together.
 - empty table: no rows. A source without words has target 0.
 - extra columns are ignored, whatever their names.
 """
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geosift.llm.common import small, stage
+from geosift.llm.common import small, stage, unused
 
 BITS, LEVELS = 12, 5  # 60 bits of hash
 
@@ -32,10 +32,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def id_hash(id_: Column) -> Column:
-    """60 bits of the MD5 of the id's text: the same in every run and on every engine."""
-    text = F.coalesce(id_.cast("string"), F.lit("~"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def row_hash(id_: Column, text: Column) -> Column:
+    """60 bits of the MD5 of id and text: the same in every run and on every engine."""
+    both = F.concat(F.coalesce(id_.cast("string"), F.lit("~")), F.lit("\n"), F.coalesce(text, F.lit("~")))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
@@ -108,7 +108,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     source = F.col(source_col)
     base = stage(docs.select(
         F.col(id_col).alias("doc_id"), source.cast("string").alias("source"), source_key(source).alias("skey"),
-        word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h")), "mix-base")
+        word_count(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col)).alias("h")), "mix-base")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat)
     targets = stage(targets.withColumn("skey", source_key(F.col("source"))).drop("source"), "mix-targets")
@@ -132,12 +132,13 @@ def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, with the columns of docs."""
     _, per_source = plan_mix(docs, id_col, text_col, source_col, weights, max_repeat)
-    per_source = per_source.select(F.struct("copies", "threshold").alias("__mix"), F.col("skey").alias("__mix_key"))
-    rows = docs.join(small(per_source), source_key(docs[source_col]) == F.col("__mix_key"))
-    more = (id_hash(docs[id_col]) <= F.coalesce(F.col("__mix.threshold"), F.lit(-1))).cast("int")
-    times = F.col("__mix.copies").cast("int") + more
-    rows = rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("__mix_copy"))
-    return rows.drop("__mix_copy")
+    mix_, key, copy = unused("mix_plan", docs), unused("mix_key", docs), unused("mix_copy", docs)
+    per_source = per_source.select(F.struct("copies", "threshold").alias(mix_), F.col("skey").alias(key))
+    rows = docs.join(small(per_source), source_key(docs[source_col]) == F.col(key))
+    more = (row_hash(docs[id_col], docs[text_col]) <= F.coalesce(F.col(f"{mix_}.threshold"), F.lit(-1))).cast("int")
+    times = F.col(f"{mix_}.copies").cast("int") + more
+    rows = rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias(copy))
+    return rows.drop(copy)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +150,7 @@ OP10_SQL = r"""
 WITH base AS (
   SELECT doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '~') || chr(10) || coalesce(text, '~')), 1, 15))::BIGINT AS h
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 weighed AS (

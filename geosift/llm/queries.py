@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_duplicates": embeddings.OP2_SQL,
+    "op3_jaccard_join": jaccard.OP3_SQL,
     "op9_license_scan": licenses.OP9_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,

@@ -36,9 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import stage
+from geosift.llm.common import small_batches, stage
 
 FIT_ROWS = 10_000  # labelled rows of each class that the fit reads at most
+COPY_HASHES = 3  # minima by which near copies are known
 MAX_ENTRIES = 5_000  # lexicon entries and exceptions that a model holds at most
 PREFIXES = range(4, 8)  # lengths of word beginnings
 MIN_WEIGHT = 2.5  # log-odds of an entry at least
@@ -108,10 +109,15 @@ def hits(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, float
                 spared.append((start, end))
             elif n > found.get(start, (0, 0.0))[0]:
                 found[start] = (n, w)
-    for a, b in spared:
-        for s in [s for s in found if a <= s < b]:
-            del found[s]
-    return [(s, w) for s, (_, w) in found.items()]
+    if not spared or not found:
+        return [(s, w) for s, (_, w) in found.items()]
+    starts, ends = np.array(spared).T
+    order = np.argsort(starts)
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    at = np.array(list(found))
+    i = np.searchsorted(starts, at, "right") - 1  # of the phrases that begin up to there, the furthest end counts
+    free = (i < 0) | (ends[np.maximum(i, 0)] <= at)
+    return [(s, w) for (s, (_, w)), ok in zip(found.items(), free, strict=True) if ok]
 
 
 def held_out(id_: Column) -> Column:
@@ -126,18 +132,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     pick = [known.where(F.col("toxic") == y).orderBy("h", "lid").limit(rows) for y in (0, 1)]
     pick = stage(pick[0].unionByName(pick[1]).select("lid", "toxic"), "tox-ids")
     # At most 2 * rows ids: bounded, so broadcast. Near copies would count their every word several times
-    # over, so of the texts with the same smallest shingle hash one is kept.
-    found = docs.join(F.broadcast(pick), docs["doc_id"] == pick["lid"]).select("toxic", "text")
+    # over, so of the texts that agree in the smallest of their shingle hashes by each of COPY_HASHES functions
+    # one is kept: that of the smallest id.
+    found = docs.join(F.broadcast(pick), docs["doc_id"] == pick["lid"]).select("toxic", "lid", "text")
+    kind = dict(found.dtypes)["lid"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             low = []
             for t in b.column("text"):
                 w = fold(t.as_py()).split()
-                low.append(min((xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("text"), pa.array(low, pa.int64())], names=["toxic", "text", "low"])
+                h = np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64))
+                low.append(xxhash.xxh3_64_intdigest(np.array([((h ^ (h >> np.uint64(29))) * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() for k in range(COPY_HASHES)]).tobytes()) >> 1)
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("lid"), b.column("text"), pa.array(low, pa.int64())], names=["toxic", "lid", "text", "low"])
 
-    return stage(found.mapInArrow(mark, "toxic int, text string, low long").dropDuplicates(["toxic", "low"]).drop("low"), "tox-rows")
+    marked = found.mapInArrow(mark, f"toxic int, lid {kind}, text string, low long")
+    one = marked.groupBy("toxic", "low").agg(F.min(F.struct("lid", "text")).alias("row"))
+    return stage(one.select("toxic", "row.text"), "tox-rows")
 
 
 def _counts(rows: DataFrame, terms_of, wanted: Column) -> dict[str, tuple[int, int]]:
@@ -165,6 +176,7 @@ def word_terms(folded: str) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     train = training_rows(docs, labels, rows)
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):

@@ -1,13 +1,14 @@
 """Token counts by a linear longest-match automaton.
 
-Words (between ASCII white space) are cut greedily into the longest vocabulary entries, as word pieces are.
-The automaton is a trie of the vocabulary's byte strings. Where the trie has no edge for the next byte, the
+Words (between ASCII white space) are cut greedily into the longest vocabulary entries, as word pieces are: a word's
+first piece is a word-initial entry, the others are continuing entries. In a byte-level vocabulary the entries that
+begin with a space are the word-initial ones (without that space), and the others continue a word.
+The automaton is a trie of byte strings for either kind. Where the trie has no edge for the next byte, the
 failure link leads to the state for what is left after the pieces that longest match would take, and the
 link's precomputed count says how many these are. So each byte is read once, and pieces are counted
-without being built. Every byte is an entry here (a byte-level vocabulary), so each word can be cut.
+without being built. Every byte is an entry of both kinds (a byte-level vocabulary), so each word can be cut.
 
-States are made on demand from the sorted vocabulary: edges come from the trie, links and counts from
-the rule below, each computed once. A task remembers the counts of up to CACHE words.
+A task remembers the counts of up to CACHE words.
 
 Defined results:
 - null, empty and blank texts: 0 words, 0 tokens. null ids are kept; repeated rows have equal results.
@@ -25,76 +26,81 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geosift.llm.common import small_batches
 from geosift.llm.token_output import byte_letters, default_tokenizer
 
-CACHE = 500_000
+CACHE = 100_000
 
 
 class LongestMatch:
-    """Greedy longest-match piece counts over a vocabulary of byte strings; single bytes are always entries."""
-
-    def __init__(self, vocabulary: Iterable[bytes]):
-        self.edges: list[dict[int, int]] = [{}]
-        self.depth, self.last, self.parent = [0], [-1], [-1]
-        self.entry = [False]
-        for word in [bytes([b]) for b in range(256)] + [w for w in vocabulary if w]:
-            at = 0
-            for b in word:
-                to = self.edges[at].get(b)
-                if to is None:
-                    to = self.edges[at][b] = len(self.edges)
-                    self.edges.append({})
-                    self.depth.append(self.depth[at] + 1)
-                    self.last.append(b)
-                    self.parent.append(at)
-                    self.entry.append(False)
-                at = to
-            self.entry[at] = True
+    """Greedy longest-match piece counts over vocabularies of byte strings; single bytes are always entries.
+
+    initial: the entries a word may begin with; None: the same as for what follows.
+    """
+
+    def __init__(self, vocabulary: Iterable[bytes], initial: Iterable[bytes] | None = None):
+        self.edges: dict[int, int] = {}  # state << 8 | byte -> state; state 0 goes on with a word, state 1 begins one
+        self.entry, path = [False, False], [b"", b""]
+        self.start = 0 if initial is None else 1
+        for root, words in ((0, vocabulary), (1, initial or ())):
+            for word in [bytes([b]) for b in range(256)] + [w for w in words if w]:
+                at = root
+                for i, b in enumerate(word):
+                    to = self.edges.get(at << 8 | b)
+                    if to is None:
+                        to = self.edges[at << 8 | b] = len(self.entry)
+                        self.entry.append(False)
+                        path.append((at, b, i + 1))
+                    at = to
+                self.entry[at] = True
         # link[v], popped[v]: the state and the number of pieces once no longer match can start with v's bytes.
-        self.link, self.popped = [0] * len(self.edges), [0] * len(self.edges)
-        for v in sorted(range(1, len(self.edges)), key=self.depth.__getitem__):
+        self.link, self.popped = [0] * len(self.entry), [0] * len(self.entry)
+        for v in sorted(range(2, len(self.entry)), key=lambda v: path[v][2]):
+            parent, b, _ = path[v]
             if self.entry[v]:
-                self.link[v], self.popped[v] = 0, 1
+                self.popped[v] = 1
                 continue
-            at, n = self.link[self.parent[v]], self.popped[self.parent[v]]
-            while (to := self.edges[at].get(self.last[v])) is None:
+            at, n = self.link[parent], self.popped[parent]
+            while (to := self.edges.get(at << 8 | b)) is None:
                 n += self.popped[at]
                 at = self.link[at]
             self.link[v], self.popped[v] = to, n
 
     def count(self, word: bytes) -> int:
         edges, link, popped = self.edges, self.link, self.popped
-        at = n = 0
+        at, n = self.start, 0
         for b in word:
-            while (to := edges[at].get(b)) is None:
+            while (to := edges.get(at << 8 | b)) is None:
                 n += popped[at]
                 at = link[at]
             at = to
-        while at:
+        while at > 1:
             n += popped[at]
             at = link[at]
         return n
 
 
-def byte_vocabulary(path: str) -> list[bytes]:
-    """The entries of a byte-level tokenizer file as byte strings, without special tokens."""
+def byte_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
+    """The continuing and the word-initial entries of a byte-level tokenizer file, without special tokens."""
     fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
     with fs.open_input_stream(name) as f:
         spec = json.loads(f.read())
     back = {c: b for b, c in byte_letters().items()}
     special = {t["content"] for t in spec.get("added_tokens", [])}
-    return [bytes(back[c] for c in w) for w in spec["model"]["vocab"] if w not in special and all(c in back for c in w)]
+    entries = [bytes(back[c] for c in w) for w in spec["model"]["vocab"] if w not in special and all(c in back for c in w)]
+    return [w for w in entries if not w.startswith(b" ")], [w[1:] for w in entries if w.startswith(b" ") and len(w) > 1]
 
 
 @functools.cache
 def automaton_of(path: str) -> LongestMatch:
     """One automaton a worker process."""
-    return LongestMatch(byte_vocabulary(path))
+    return LongestMatch(*byte_vocabulary(path))
 
 
 def token_counts(docs: DataFrame, *, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens for every row of docs."""
     path = vocabulary_path or default_tokenizer()
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,20 @@ def test_toxicity_without_labels_and_exceptions(spark):
     lex = toxicity.Lexicon({" trash": 3.0, " trash ": 4.0}, [" trash can "])
     a = lex.automaton()
     assert toxicity.hits(a, " trash can trash trashy ") == [(10, 4.0), (16, 3.0)]
+    # Brute force, and a long text.
+    lex = toxicity.Lexicon({" a": 1.0, " ab ": 2.0, " c ": 3.0}, [" a b ", " c a ", " c "])
+    rng = random.Random(1)
+    for n in (30, 30, 30, 60_000):
+        text = f" {' '.join(rng.choice(['a', 'ab', 'b', 'c', 'd']) for _ in range(n))} "
+        got = dict(toxicity.hits(lex.automaton(), text))
+        if n == 30:
+            spans = [(m, m + len(e) - 1) for e in lex.exceptions for m in range(len(text)) if text.startswith(e, m)]
+            best = {}
+            for e, w in lex.entries.items():
+                for m in range(len(text)):
+                    if text.startswith(e, m) and len(e) > best.get(m, (0, 0))[0]:
+                        best[m] = (len(e), w)
+            assert got == {m: w for m, (_, w) in best.items() if not any(x <= m < y for x, y in spans)}
     assert toxicity.score(docs.limit(0), lexicon).count() == 0
 
 
@@ -305,9 +319,37 @@ def test_longest_match():
             assert m.count(w) == n
 
 
+def test_longest_match_with_two_vocabularies():
+    rng = random.Random(2)
+    piece = lambda: bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 6)))
+    for _ in range(60):
+        first, more = ({piece() for _ in range(rng.randint(0, 15))} for _ in range(2))
+        m = wordpiece.LongestMatch(more, first)
+        for _ in range(30):
+            w = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 20)))
+            assert m.count(w) == greedy(w, first, more)
+
+
+def greedy(word, first, more):
+    n = i = 0
+    while i < len(word):
+        v, j = (more if i else first), min(len(word), i + 40)
+        while j > i + 1 and word[i:j] not in v:
+            j -= 1
+        i, n = j, n + 1
+    return n
+
+
 def test_token_counts(spark):
-    rows = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpiece.token_counts(clash(table(spark, ["the the", "", None, "é" * 5000, "a\tb\nc"]))).collect()}
-    assert rows[0] == (2, 2) and rows[1] == rows[2] == (0, 0) and rows[4] == (3, 3) and rows[3][0] == 1 and rows[3][1] >= 1
+    rng = random.Random(6)
+    more, first = (frozenset(v) for v in wordpiece.byte_vocabulary(token_output.default_tokenizer()))
+    pool = [w.decode("utf-8", "ignore").strip() for w in rng.sample(sorted(more), 300) + rng.sample(sorted(first), 300)]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "", "", "\n", "\t "]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    texts += ["the the", "", None, "é" * 5000, "a\tb\nc", " \n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "unbelievable")]
+    want = Counter((i, len((t or "").encode().split()), sum(greedy(w, first, more) for w in (t or "").encode().split())) for i, t in rows)
+    got = wordpiece.token_counts(clash(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in got) == want
     assert wordpiece.token_counts(table(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -424,7 +466,7 @@ def decon_truth(docs, items, width=13, share=20):
     return sorted(out)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, " ".join(words(rng, rng.choice([1, 2, 3, 7, 12, 13, 14, 40]), 60))) for i in range(30)] + [(50, None), (51, "?!"), (52, "w1"), (None, "Zeta eta")]
     items += [(60, items[3][1]), (3, items[3][1])]
@@ -444,6 +486,10 @@ def test_decontamination(spark):
     assert got == decon_truth(docs, items)
     kept = decontaminate.drop_contaminated(d, b)
     assert kept.columns == d.columns and kept.count() == sum(not r[5] for r in got)
+    monkeypatch.setattr(decontaminate, "PROBES", 0)  # too many anchors to broadcast
+    monkeypatch.setattr(decontaminate, "HASHES", 0)
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(d, b).collect())
+    assert got == decon_truth(docs, items)
     for x, y in ((d.limit(0), b), (d, b.limit(0))):
         assert decontaminate.contamination(x, y).where("n_hit > 0").count() == 0
 
@@ -569,7 +615,7 @@ def test_mixing(spark):
 def test_mixing_budget_ends_with_a_document(spark):
     """The rest of a source equals the words of its first documents in hash order, of one or more words each."""
     rng = random.Random(4)
-    ids = spark.range(1200).select("id", mixing.id_hash(F.col("id")).alias("h")).collect()
+    ids = spark.range(1200).select("id", mixing.row_hash(F.col("id"), F.lit("x")).alias("h")).collect()
     rows, rest, want = [], [], {}
     for k in range(20):
         mine = sorted((r.h, rng.randint(1, 30) if k % 2 else 1) for r in ids[k * 60 : k * 60 + 60])
