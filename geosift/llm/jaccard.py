@@ -506,8 +506,8 @@ WITH RECURSIVE w AS (
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 0) + 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS k FROM w),
 n AS (SELECT doc_id, len(k)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, unnest(k) AS g FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
 t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(x, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT t.b, r.c FROM r JOIN t ON t.a = r.x WHERE r.c < t.b)
 SELECT n.doc_id, n.n AS n_shingles, c.c AS component_id FROM n JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) c ON c.x = n.doc_id
