@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import xml.sax
 import xml.sax.handler
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geosift.functions.text import expanded_name
@@ -19,9 +21,11 @@ EVENTS = "seq int, event string, uri string, local_name string, prefix string, a
 class _Collector(xml.sax.handler.ContentHandler):
     def __init__(self) -> None:
         self.rows: list[tuple] = []
+        self.joined = False  # whether more text belongs to the last event
 
     def _add(self, event: str, uri: str | None = None, local: str | None = None, prefix: str | None = None, attrs: list | None = None, text: str | None = None) -> None:
         self.rows.append((len(self.rows), event, uri, local, prefix, attrs or [], text))
+        self.joined = text is not None and event != "processingInstruction"
 
     def startDocument(self) -> None:  # noqa: N802
         self._add("startDocument")
@@ -44,11 +48,26 @@ class _Collector(xml.sax.handler.ContentHandler):
 
     def characters(self, content: str) -> None:
         kind = "characters" if content.strip() else "ignorableWhitespace"
-        if self.rows and self.rows[-1][1] in ("characters", "ignorableWhitespace"):
+        if self.joined:
             content = self.rows.pop()[6] + content
             kind = "characters" if content.strip() else "ignorableWhitespace"
         self._add(kind, text=content)
 
+    def startCDATA(self) -> None:  # noqa: N802
+        """A CDATA section is an event of its own."""
+        self.joined = False
+
+    endCDATA = startCDATA  # noqa: N815
+
+    def comment(self, content: str) -> None:
+        """Comments are no events; they do not part the text around them."""
+
+    def startDTD(self, name: str, public: str | None, system: str | None) -> None:  # noqa: N802
+        pass
+
+    def endDTD(self) -> None:  # noqa: N802
+        pass
+
     def processingInstruction(self, target: str, data: str) -> None:  # noqa: N802
         self._add("processingInstruction", local=target, text=data)
 
@@ -60,6 +79,7 @@ def events_of(document: str | bytes) -> list[tuple]:
     parser.setFeature(xml.sax.handler.feature_external_ges, False)
     handler = _Collector()
     parser.setContentHandler(handler)
+    parser.setProperty(xml.sax.handler.property_lexical_handler, handler)
     source = xml.sax.xmlreader.InputSource()
     source.setByteStream(io.BytesIO(document.encode() if isinstance(document, str) else document))
     parser.parse(source)
@@ -84,20 +104,48 @@ def sax_events(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(xml_col).alias("xml")).mapInArrow(run, f"id {kind}, {EVENTS}")
 
 
-def simple_form(events: DataFrame) -> DataFrame:
-    """sax_events -> id, seq, depth, name ({uri}local), attrs, text: an element a row, in document order.
+def fold_events(docs: DataFrame, step: Callable[[Any, tuple], Any], initial: Callable[[], Any], result: str, finish: Callable[[Any], Any] = lambda state: state,
+                id_col: str = "id", xml_col: str = "xml") -> DataFrame:
+    """docs -> id, value (of the type `result`): each document's events folded by step(state, event), from initial() on.
 
-    A recursive tree has no Spark type; depth and order give the tree back. text is the element's own first text.
+    An event is a tuple in the order of EVENTS. null documents give null.
     """
-    from pyspark.sql import Window
 
+    @F.pandas_udf(result)
+    def fold(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            state = initial()
+            for event in events_of(t):
+                state = step(state, event)
+            out.append(finish(state))
+        return pd.Series(out, dtype="object")
+
+    return docs.select(F.col(id_col).alias("id"), fold(F.col(xml_col)).alias("value"))
+
+
+def simple_form(events: DataFrame, rename: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """sax_events -> id, seq, depth, name ({uri}local), attrs, text, texts: an element a row, in document order.
+
+    A recursive tree has no Spark type; depth and order give the tree back. text is the element's own first text if that
+    follows its start tag, texts all of its own texts in order. rename(uri, local name, prefix) makes the names.
+    """
     w = Window.partitionBy("id").orderBy("seq")
     step = F.when(F.col("event") == "startElement", 1).when(F.col("event") == "endElement", -1).otherwise(0)
     rows = events.withColumn("depth", F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.where(F.col("event").isin("startElement", "endElement", "characters"))
-    follows = F.lead("event").over(w)
-    rows = rows.withColumn("own", F.when(follows == "characters", F.lead("text").over(w)))
-    return rows.where("event = 'startElement'").select("id", "seq", "depth", expanded_name(F.col("uri"), F.col("local_name")).alias("name"), "attrs", F.col("own").alias("text"))
+    rows = rows.withColumn("own", F.when(F.lead("event").over(w) == "characters", F.lead("text").over(w)))
+    # The element a text stands in: the last one that began at the text's depth.
+    level = Window.partitionBy("id", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("parent", F.last(F.when(F.col("event") == "startElement", F.col("seq")), ignorenulls=True).over(level))
+    texts = rows.where("event = 'characters'").groupBy("id", F.col("parent").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("t"))
+    name = rename(F.col("uri"), F.col("local_name"), F.col("prefix")) if rename else expanded_name(F.col("uri"), F.col("local_name"))
+    form = rows.where("event = 'startElement'").select("id", "seq", "depth", name.alias("name"), "attrs", F.col("own").alias("text"))
+    none = F.array().cast("array<string>")
+    return form.join(texts, ["id", "seq"], "left").select(*form.columns, F.coalesce(F.transform("t", lambda t: t["text"]), none).alias("texts"))
 
 
 def select_path(document: Column, path: str) -> Column:

@@ -11,9 +11,9 @@ relations' members is on (type, ref), so an unknown member type is in no set.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geosift.operators import idset
@@ -23,6 +23,19 @@ from geosift.schema import Elements
 from geosift.staging import stage
 
 
+#: An area: polygons, or the predicate itself, as a column of x and y or a function that makes one of them.
+Area = Sequence[Polygon] | Column | Callable[[Column, Column], Column]
+
+
+def nodes_inside(nodes: DataFrame, area: Area) -> DataFrame:
+    """id of the nodes (id, x, y) in the area; where the predicate is null a node is outside."""
+    points = nodes.select("id", "x", "y")
+    if isinstance(area, Sequence):
+        return inside(points, area).select("id").distinct()
+    test = area if isinstance(area, Column) else area(F.col("x"), F.col("y"))
+    return points.where(test).select("id").distinct()
+
+
 def way_nodes(ways: DataFrame) -> DataFrame:
     """way_id, pos, node_id."""
     return ways.select(F.col("id").alias("way_id"), F.posexplode("nodes").alias("pos", "node_id"))
@@ -78,8 +91,8 @@ def trim_relations(relations: DataFrame, kept: DataFrame) -> DataFrame:
     return relations.drop("members").join(lists.withColumnRenamed("rel_id", "id"), "id").select(*relations.columns)
 
 
-def cut_complete(map_: Elements, polygons: Sequence[Polygon]) -> Elements:
-    n_in = stage(inside(map_.nodes.select("id", "x", "y"), polygons).select("id").distinct(), "cut-nodes")
+def cut_complete(map_: Elements, area: Area) -> Elements:
+    n_in = stage(nodes_inside(map_.nodes, area), "cut-nodes")
     refs = way_nodes(map_.ways.select("id", "nodes"))
     way_ids = stage(select_ways(refs, n_in), "cut-ways")
     # Only nodes that exist are completed: a reference to an absent node selects nothing.
@@ -96,11 +109,11 @@ def cut_complete(map_: Elements, polygons: Sequence[Polygon]) -> Elements:
                     trim_relations(map_.relations, kept), map_.root)
 
 
-def cut_simple(map_: Elements, polygons: Sequence[Polygon], order_col: str = "pos") -> Elements:
+def cut_simple(map_: Elements, area: Area, order_col: str = "pos") -> Elements:
     """order_col of the relations is their place in the file; where it is absent their id is taken for it."""
     relations = map_.relations
     order = order_col if order_col in relations.columns else "id"
-    n_in = stage(inside(map_.nodes.select("id", "x", "y"), polygons).select("id").distinct(), "cut-nodes")
+    n_in = stage(nodes_inside(map_.nodes, area), "cut-nodes")
     ways = trim_ways(map_.ways, n_in)
     members = relation_members(relations.select("id", "members"))
     chosen = typed(n_in, "node").unionByName(typed(stage(ways.select("id"), "cut-ways"), "way"))
@@ -113,8 +126,8 @@ def cut_simple(map_: Elements, polygons: Sequence[Polygon], order_col: str = "po
     return Elements(idset.members(map_.nodes, n_in, "id"), ways, trim_relations(relations, direct.unionByName(nested.select(*direct.columns))), map_.root)
 
 
-def cut(map_: Elements, polygons: Sequence[Polygon], mode: str = "complete") -> Elements:
+def cut(map_: Elements, area: Area, mode: str = "complete") -> Elements:
     """The extract of a map. Empty tables are legal in any place; elements may come in any order."""
     if mode not in ("complete", "simple"):
         raise ValueError(f"mode {mode!r}: complete or simple")
-    return cut_complete(map_, polygons) if mode == "complete" else cut_simple(map_, polygons)
+    return cut_complete(map_, area) if mode == "complete" else cut_simple(map_, area)

@@ -16,7 +16,7 @@ from geosift.functions import text as X
 from geosift.functions import xml as XML
 from geosift.operators import closure, extract, idset
 from geosift.operators import polygon as P
-from geosift.plans import xsd
+from geosift.plans import xsd, xsd_rules
 from geosift.schema import META, Elements
 from geosift.sources import osm_xml, sinks
 from geosift.staging import new_path, stage
@@ -443,6 +443,65 @@ def xsd_typed_scan(spark, sf):
                        F.coalesce(F.size("value.line"), F.lit(0)).cast("long").alias("n"), parts.alias("parts"), "fault")
 
 
+FAULTS_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:o" xmlns="urn:o">
+  <xs:complexType name="Base"><xs:sequence><xs:element name="key" type="xs:integer"/></xs:sequence></xs:complexType>
+  <xs:complexType name="More"><xs:complexContent><xs:extension base="Base"><xs:sequence><xs:element name="extra" type="xs:string"/></xs:sequence></xs:extension></xs:complexContent></xs:complexType>
+  <xs:element name="mark" type="xs:string"/><xs:element name="red" type="xs:string" substitutionGroup="mark"/><xs:element name="dark" type="xs:string" substitutionGroup="red"/>
+  <xs:element name="order"><xs:complexType><xs:sequence><xs:element name="head" type="Base" nillable="true"/>
+  <xs:choice><xs:element name="open" type="xs:string"/><xs:element name="done" type="xs:string"/></xs:choice><xs:element ref="mark" minOccurs="0"/>
+  <xs:any namespace="##other" minOccurs="0"/></xs:sequence><xs:attribute name="k" type="xs:string"/></xs:complexType></xs:element></xs:schema>"""
+
+# A document's content by the order's key modulo their number, and its fault.
+_HEAD = "<head><key>{k}</key></head>"
+FAULT_CASES = (
+    (f'<order k="1">{_HEAD}<open>a</open></order>', None),
+    (f"<order>{_HEAD}<open>a</open><done>b</done></order>", "wrong content of order: head open done"),
+    (f"<order><open>a</open>{_HEAD}</order>", "wrong content of order: open head"),
+    (f"<order>{_HEAD}<done>b</done><odd/></order>", "unexpected order/odd"),
+    (f'<order j="1">{_HEAD}<open>a</open></order>', "unexpected order/@j"),
+    ('<order xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><head xsi:type="More"><key>{k}</key><extra>x</extra></head><open/></order>', None),
+    ('<order xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><head xsi:type="Other"><key>{k}</key></head><open/></order>', "wrong type Other of order/head"),
+    ('<order xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><head xsi:nil="true"/><open/></order>', None),
+    (f'<order>{_HEAD}<open/><dark>m</dark><w:any xmlns:w="urn:w"><w:x/></w:any></order>', None),
+    (f'<o:order xmlns:o="urn:o">{_HEAD.replace("<", "<o:").replace("<o:/", "</o:")}<o:open/><o:any/></o:order>', "unexpected order/any"),
+    ("<other/>", "unexpected root other"),
+    (f"<order>{_HEAD}text<open/></order>", "unexpected text in order"),
+)
+
+
+def _sql_text(text: str | None) -> str:
+    return "NULL::VARCHAR" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query(f"SELECT o_orderkey AS id, CASE o_orderkey % {len(FAULT_CASES)} {' '.join(f'WHEN {i} THEN {_sql_text(t)}' for i, (_, t) in enumerate(FAULT_CASES))} END AS fault FROM orders")
+def xsd_faults(spark, sf):
+    """Order, exclusive choices, unexpected content, wildcards, substitutes of substitutes, derived types, nil and namespaces."""
+    rules = xsd.compile_xsd(FAULTS_XSD).rules
+    key = F.col("o_orderkey")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in FAULT_CASES]), (key % len(FAULT_CASES) + 1).cast("int"))
+    rows = read(spark, sf, "orders").select(key.alias("id"), F.replace(text, F.lit("{k}"), key.cast("string")).alias("xml"))
+    return rows.select("id", xsd_rules.first_fault(F.col("xml"), rules, "order").alias("fault"))
+
+
+@query("SELECT o_orderkey AS id, 'O' || o_orderstatus || repeat('.', CAST(count(l_partkey) AS INT)) AS value FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus")
+def sax_fold(spark, sf):
+    """A function folded over each document's events: the status, and a dot a line."""
+    def step(state: str, event: tuple) -> str:
+        if event[1] == "startElement":
+            return state + {"order": "O", "line": "."}.get(event[3], "")
+        return state + event[6] if event[1] == "characters" and len(state) == 1 else state
+
+    return XML.fold_events(order_xml(spark, sf), step, str, "string")
+
+
+@query(f"""{sql_cut(MAIN).replace(sql_inside(SQL_POINTS, MAIN), f"SELECT id FROM ({SQL_POINTS}) WHERE x * x + y < 500")} SELECT 'node' AS kind, id FROM n UNION ALL SELECT 'way', id FROM w
+  UNION ALL SELECT 'relation', rel_id FROM (SELECT DISTINCT rel_id FROM kept)""")
+def cut_predicate(spark, sf):
+    """An extract by a predicate of x and y instead of polygons."""
+    out = extract.cut(map_of(spark, sf), lambda x, y: x * x + y < 500)
+    return tagged(out).select("kind", "id")
+
+
 @query("SELECT o_orderkey AS id, o_orderstatus AS status, count(l_partkey) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def xsd_typed_write(spark, sf):
     """Typed values written as XML and read again."""
@@ -506,7 +565,7 @@ def type_ancestors(spark, sf):
 
 
 @query(f"""WITH RECURSIVE l AS ({_PARENTS} UNION ALL SELECT n_nationkey, n_regionkey + 1000000 FROM nation UNION ALL SELECT n_regionkey + 1000000, min(n_nationkey) FROM nation GROUP BY 1),
-  t AS (SELECT child, parent FROM l WHERE child < 25 OR child >= 1000000 UNION SELECT t.child, l.parent FROM t JOIN l ON t.parent = l.child) SELECT DISTINCT child AS id FROM t WHERE child = parent""")
+  t AS (SELECT child, parent FROM l UNION SELECT t.child, l.parent FROM t JOIN l ON t.parent = l.child) SELECT DISTINCT child AS id FROM t WHERE child = parent""")
 def find_cycles(spark, sf):
     nation = read(spark, sf, "nation")
     region = (F.col("n_regionkey") + F.lit(1000000)).cast("long")
@@ -534,8 +593,8 @@ def name_split(spark, sf):
 
 @query("""SELECT doc_id, ['utf-8', 'utf-16be', 'utf-16le', 'iso-8859-1', 'utf-8'][CAST(doc_id % 5 AS INT) + 1] AS encoding FROM documents""")
 def encoding_detect(spark, sf):
-    xml = F.concat(F.lit('<?xml version="1.0"?><d>'), F.substring("lang", 1, 2), F.lit("</d>"))
-    latin = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><d>'), F.substring("lang", 1, 2), F.lit("</d>"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><d>'), X.escape_text(F.col("text")), F.lit("</d>"))
+    latin = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><d>'), X.escape_text(F.regexp_replace("text", r"[^\x{00}-\x{FF}]", "?")), F.lit("</d>"))
     n = F.col("doc_id") % 5
     content = (F.when(n == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(xml, "UTF-8"))).when(n == 1, F.encode(xml, "UTF-16BE"))
                .when(n == 2, F.encode(xml, "UTF-16LE")).when(n == 3, F.encode(latin, "ISO-8859-1")).otherwise(F.encode(xml, "UTF-8")))

@@ -7,7 +7,7 @@ nor required attributes, so these are columns computed from the parsed value.
 Mapping: sequence, all and choice -> struct fields (alternatives of a choice are nullable); maxOccurs > 1 ->
 array; attributes -> `_name`; simple content and mixed text -> `_VALUE`; integer and int -> bigint, boolean -> boolean, all
 other simple types -> string; any -> dropped. Recursive types end at MAX_DEPTH. Mixed content loses the places of
-its text; the order of a sequence is not checked.
+its text. Order, exclusive choices, unexpected content, wildcards, xsi:type and xsi:nil are checked by plans.xsd_rules.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geosift.plans.xsd_rules import RuleCompiler, Rules, first_fault
+
 XS = "{http://www.w3.org/2001/XMLSchema}"
 MAX_DEPTH = 10
 INTEGERS = frozenset("integer int long short byte nonNegativeInteger positiveInteger unsignedInt unsignedLong negativeInteger nonPositiveInteger".split())
@@ -64,6 +66,7 @@ class Model:
     elements: dict[str, Field] = field(default_factory=dict)
     bases: dict[str, str] = field(default_factory=dict)  # derived type -> base type
     namespace: str = ""
+    rules: Rules | None = None
 
     def schema(self, element: str) -> T.StructType:
         """The row schema of documents with that root element."""
@@ -78,7 +81,12 @@ class Model:
 
     def merge(self, other: Model) -> Model:
         """Both models' elements and types; the first one's definition counts where both have one."""
-        return Model({**other.elements, **self.elements}, {**other.bases, **self.bases}, self.namespace or other.namespace)
+        rules = None
+        if self.rules and other.rules:
+            # Names of inline types may be used in both: they are told apart.
+            kinds, elements = other.rules.renamed("'")
+            rules = Rules({**kinds, **self.rules.kinds}, {**elements, **self.rules.elements}, {**other.bases, **self.bases}, self.namespace or other.namespace)
+        return Model({**other.elements, **self.elements}, {**other.bases, **self.bases}, self.namespace or other.namespace, rules)
 
 
 def _local(name: str) -> str:
@@ -147,7 +155,9 @@ class _Compiler:
         low, high = self.occurs(node)
         if node.get("ref"):
             target = self.get("element", node.get("ref"))
-            names = [target, *(self.get("element", s) for s in self.substitutes.get(target.get("name"), []))]
+            names = [target]
+            for n in names:  # substitutes of substitutes, too
+                names += [e for e in (self.get("element", s) for s in self.substitutes.get(n.get("name"), [])) if e not in names]
             out = [replace(f, low=low if len(names) == 1 else 0, high=high) for n in names for f in self.element(n, depth)]
             return self._alternatives(out) if len(names) > 1 else out
         one = Field(node.get("name"), low=low, high=high, nillable=node.get("nillable") == "true")
@@ -239,7 +249,8 @@ def compile_xsd(text: str, resolve: Callable[[str, str], str] | None = None) ->
             if step.tag in (f"{XS}extension", f"{XS}restriction") and step.get("base"):
                 bases[name] = _local(step.get("base"))
                 break
-    return Model({n: replace(c.element(node, 0)[0], low=1, high=1) for n, node in c.found["element"].items()}, bases, namespace)
+    elements = {n: replace(c.element(node, 0)[0], low=1, high=1) for n, node in c.found["element"].items()}
+    return Model(elements, bases, namespace, RuleCompiler(c.found, c.substitutes, namespace).compile())
 
 
 def _first_fault(fields: tuple[Field, ...], path: str) -> Callable[[Column], Column]:
@@ -273,12 +284,14 @@ def _faults(value: Column, fields: tuple[Field, ...], path: str) -> list[Column]
 def scan(docs: DataFrame, model: Model, element: str, column: str = "xml", mode: str = "FAILFAST") -> DataFrame:
     """docs with `value`, the typed content of the XML text in column, and `fault`, the first broken rule or null.
 
-    FAILFAST raises on bad XML or a value of the wrong type; PERMISSIVE gives nulls.
+    FAILFAST raises on bad XML or a value of the wrong type; PERMISSIVE gives nulls. Occurrence and required attributes are
+    judged by expressions on the value; the rest by xsd_rules on the text, where the query asks for `fault`.
     """
     value = F.from_xml(F.col(column), model.schema(element), {"mode": mode, "rowTag": element, "ignoreNamespace": "true"})
     rows = docs.withColumn("value", value)
     rules = _faults(F.col("value"), model.elements[element].fields or (), element)
-    return rows.withColumn("fault", F.coalesce(*rules, F.lit(None).cast("string")) if rules else F.lit(None).cast("string"))
+    more = [first_fault(F.col(column), model.rules, element)] if model.rules else []
+    return rows.withColumn("fault", F.coalesce(*rules, *more, F.lit(None).cast("string")))
 
 
 def write(rows: DataFrame, model: Model, element: str, column: str = "value", *, strict: bool = True) -> Column:

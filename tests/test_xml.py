@@ -44,6 +44,8 @@ def test_types_attributes_choices_and_faults(spark):
                          '<r k="x"><n>1</n><p>a</p><m>1</m><m>2</m><m>3</m></r>'), model, "r").orderBy("id").collect()
     assert (rows[0].value.n, rows[0].value.q, rows[0].value["_w"], rows[0].fault) == (5, 7, True, None)
     assert [r.fault for r in rows[1:]] == ["missing r/@k", "missing r/p or r/q", "too many r/m"]
+    late = xsd.scan(docs(spark, '<r k="x"><n>1</n><p>a</p><q>2</q></r>', '<r k="x" y="z"><n>1</n><p>a</p></r>'), model, "r").orderBy("id").collect()
+    assert [r.fault for r in late] == ["wrong content of r: n p q", "unexpected r/@y"]
     with pytest.raises(Exception, match="five"):  # the reader's own error
         xsd.scan(docs(spark, '<r k="x"><n>five</n><p/></r>'), model, "r").collect()
     assert model.ddl("r").startswith("struct<n:bigint")
@@ -74,6 +76,38 @@ def test_includes_substitution_and_merge():
         xsd.compile_xsd(f'{HEAD}<xs:attributeGroup name="A"><xs:attributeGroup ref="A"/></xs:attributeGroup><xs:element name="r"><xs:complexType><xs:attributeGroup ref="A"/></xs:complexType></xs:element></xs:schema>')
 
 
+def fault(xsd_body, xml, element="r", head=HEAD):
+    return xsd.compile_xsd(f"{head}{xsd_body}</xs:schema>").rules.fault(xml, element)
+
+
+def test_rules_of_groups():
+    body = ('<xs:group name="G"><xs:sequence><xs:element name="a" type="xs:string"/><xs:choice maxOccurs="2"><xs:element name="b" type="xs:string"/><xs:element name="c" type="xs:string"/></xs:choice>'
+            '</xs:sequence></xs:group><xs:element name="r"><xs:complexType><xs:sequence><xs:group ref="G" minOccurs="0" maxOccurs="2"/><xs:element name="z" type="xs:string"/></xs:sequence></xs:complexType></xs:element>')
+    for good in ("<z/>", "<a/><b/><z/>", "<a/><c/><b/><a/><b/><z/>"):
+        assert fault(body, f"<r>{good}</r>") is None
+    for bad in ("", "<a/><z/>", "<b/><a/><z/>", "<a/><b/><c/><b/><z/>", "<z/><z/>", "<a/><b/>" * 3 + "<z/>"):
+        assert fault(body, f"<r>{bad}</r>").startswith("wrong content of r")
+    assert fault(body, "<r><a><x/></a><b/><z/></r>") == "unexpected r/a/x" and fault(body, "<r>") .startswith("not well-formed") and fault(body, None) is None
+    all_ = '<xs:element name="r"><xs:complexType><xs:all><xs:element name="a" type="xs:string"/><xs:element name="b" type="xs:string" minOccurs="0"/></xs:all></xs:complexType></xs:element>'
+    assert fault(all_, "<r><b/><a/></r>") is None and fault(all_, "<r><b/></r>") == "missing r/a" and fault(all_, "<r><a/><a/></r>") == "too many r/a"
+    assert fault(all_, "<r><a/><q/></r>") == "unexpected r/q"
+
+
+def test_rules_of_wildcards_mixed_and_recursive_types():
+    any_ = '<xs:element name="r"><xs:complexType{}><xs:sequence><xs:element name="a" type="xs:string"/><xs:any namespace="{}" maxOccurs="2"/></xs:sequence><xs:anyAttribute namespace="##other"/></xs:complexType></xs:element>'
+    for spaces, good, bad in (("##any", '<q/><w:x xmlns:w="urn:w"/>', "<q/>" * 3), ("##other", '<w:x xmlns:w="urn:w"><w:y/></w:x>', "<q/>"), ("##local", "<q/>", '<w:x xmlns:w="urn:w"/>'),
+                              ("urn:v ##targetNamespace", '<w:x xmlns:w="urn:v"/><t:x xmlns:t="urn:t"/>', '<w:x xmlns:w="urn:w"/>')):
+        assert fault(any_.format("", spaces), f"<r><a/>{good}</r>") is None and fault(any_.format("", spaces), f"<r><a/>{bad}</r>") is not None
+    assert fault(any_.format("", "##any"), '<r w:k="1" xmlns:w="urn:w"><a/><q/></r>') is None and fault(any_.format("", "##any"), '<r k="1"><a/><q/></r>') == "unexpected r/@k"
+    assert fault(any_.format("", "##any"), "<r>t<a/><q/></r>") == "unexpected text in r" and fault(any_.format(' mixed="true"', "##any"), "<r>t<a/>u<q/>v</r>") is None
+    deep = '<xs:complexType name="N"><xs:sequence><xs:element name="c" type="N" minOccurs="0"/></xs:sequence></xs:complexType><xs:element name="r" type="N"/>'
+    assert fault(deep, f"<r>{'<c>' * 50}{'</c>' * 50}</r>") is None and fault(deep, f"<r>{'<c>' * 20}<x/>{'</c>' * 20}</r>") == f"unexpected r{'/c' * 20}/x"
+    one, two = (xsd.compile_xsd(f'{HEAD}<xs:element name="{n}"><xs:complexType><xs:sequence><xs:element name="{m}" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+                for n, m in (("p", "a"), ("q", "b")))
+    both = one.merge(two).rules
+    assert both.fault("<p><a/></p>", "p") is both.fault("<q><b/></q>", "q") is None and both.fault("<q><a/></q>", "q") == "unexpected q/a"
+
+
 def test_recursive_types_end():
     model = xsd.compile_xsd(f'{HEAD}<xs:complexType name="N"><xs:sequence><xs:element name="c" type="N" minOccurs="0"/></xs:sequence></xs:complexType><xs:element name="r" type="N"/></xs:schema>')
     assert model.schema("r").fieldNames() == ["c"]
@@ -87,6 +121,12 @@ def test_events_and_simple_form(spark):
     assert {(a.name, a.uri, a.value) for r in rows if r.local_name == "a" for a in r.attrs} == {("k", "urn:p", "v"), ("l", "", "w")}
     form = XML.simple_form(events).orderBy("seq").collect()
     assert [(r.depth, r.name, r.text) for r in form] == [(1, "{urn:d}a", None), (2, "{urn:d}b", "x < Aent"), (2, "{urn:p}c", None)]
+    mixed = XML.sax_events(docs(spark, "<a>x<!-- c -->y<b>in</b>z<![CDATA[<raw>]]>w<b/></a>"))
+    assert [r.text for r in mixed.where("event = 'characters'").orderBy("seq").collect()] == ["xy", "in", "z", "<raw>", "w"]
+    rows = XML.simple_form(mixed, rename=lambda uri, local, prefix: F.upper(local)).orderBy("seq").collect()
+    assert [(r.name, r.text, r.texts) for r in rows] == [("A", "xy", ["xy", "z", "<raw>", "w"]), ("B", "in", ["in"]), ("B", None, [])]
+    count = XML.fold_events(docs(spark, "<a><b/><b/></a>", None), lambda n, e: n + (e[1] == "startElement"), int, "long", lambda n: n * 10)
+    assert [r.value for r in count.orderBy("id").collect()] == [30, None]
     with pytest.raises(PySparkException):
         XML.sax_events(docs(spark, "<a><b></a>")).collect()
 
