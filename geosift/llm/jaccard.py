@@ -3,10 +3,10 @@
 A text's set is its distinct word shingles. Relations between sets save most of the work of a prefix join:
 
 - Equal sets have equal answers: they become one class, and the join runs over classes.
-- Sets that share much with a common one, their pivot, are ordered by what they do not share with it. In lists of HOT
-  sets or more the set most of whose tokens stand in such lists is the pivot; those of the pivots' shingles that
-  HOT sets or more hold come last in the global order, the more sets hold them the later. So a set that is
-  no partner of its pivot is indexed by its difference to it.
+- Tokens of lists of HOT sets or more come last in the global order, the more sets hold them the later. Sets that have
+  hardly any others are near copies: of those in one such list the one with the largest share of such tokens is
+  the pivot, and the pivots' shingles that HOT of these sets or more hold come last, too. So a set that is no
+  partner of its pivot is indexed by its difference to it.
 - A set that was compared with another one is described by the difference to that: what it has besides, and what
   it lacks. For two sets of one pivot the overlap is derived from the pivot's answers and the two differences.
 
@@ -47,8 +47,9 @@ from pyspark.sql import functions as F
 from geosift.llm.common import small, small_batches, stage, temporary, unused
 from geosift.llm.graph import components
 
-HOT = 16  # sets of a list from which on it has a pivot, and that hold a shingle which comes last
-TOKENS = 2_000_000  # shingles (16 bytes each) up to which the pivots' ones are sent to all tasks
+HOT = 16  # sets of a list from which on its token comes last
+ROUNDS = 3  # of looking for such lists
+TOKENS = 500_000  # shingles (16 bytes each) up to which those that come last are sent to all tasks
 BAND = 1.05  # sizes of a block differ by this factor at most
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
 CACHE = 200_000  # words a task remembers
@@ -120,6 +121,12 @@ def prefix_size(n: int, percent: int) -> int:
     return 0 if least is None or n < least else n + percent * -n // 100 + 1
 
 
+def front_size(n: int, percent: int) -> int:
+    """First tokens of a set of n that are kept at hand: enough for its index in most orders."""
+    size = prefix_size(n, percent)
+    return min(n, 2 * size + 8) if size else 0
+
+
 def common_words(docs: DataFrame) -> dict[bytes, int]:
     """Words that make up at least 1 / COMMON_WORD of all words, with -log2 of their share.
 
@@ -159,23 +166,23 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
-    """doc_id, text_hash, n, digest of the set, prefix (index tokens; none where only equal sets can be partners)."""
+    """doc_id, text_hash, n, digest of the set, front (first tokens; none where only equal sets can be partners)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(*shingler)
         for batch in batches:
-            n, digest, prefix = [], [], []
+            n, digest, front = [], [], []
             for t in batch.column("text"):
                 k = s.keys(t.as_py())
                 n.append(len(k))
                 digest.append(xxhash.xxh3_128_digest(k.tobytes()))
-                prefix.append(k[: prefix_size(len(k), percent)].copy())
+                front.append(k[: front_size(len(k), percent)].copy())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(prefix)],
-                names=["doc_id", "text_hash", "n", "digest", "prefix"])
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(front)],
+                names=["doc_id", "text_hash", "n", "digest", "front"])
 
     return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-        sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, digest binary, prefix array<long>")
+        sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, digest binary, front array<long>")
 
 
 def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
@@ -237,55 +244,74 @@ def _holders(sets: DataFrame, tokens: DataFrame) -> DataFrame:
     return sets.select("keys").mapInArrow(count, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets"))
 
 
-def _prefixes(sets: DataFrame, last: DataFrame, late: tuple[np.ndarray, np.ndarray] | None, percent: int) -> DataFrame:
-    """cid, n, prefix of sets in the order in which the shingles of last (token, sets) come last; late: the same, sorted, if it is small."""
-    if late is None:
-        keys = sets.select("cid", "n", F.explode("keys").alias("token")).join(last, "token", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "token")))  # one set, no more
-        size = F.when(F.col("n") < (least_shared(percent) or 2**62), F.lit(0)).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-        return keys.groupBy("cid", "n").agg(order.alias("k")).select("cid", "n", F.transform(F.slice("k", F.lit(1), size.cast("int")), lambda k: k["token"]).alias("prefix"))
-    tokens, held = late
+class _Late:
+    """Shingles that come last (token, sets), as a table, and sorted at hand if they are not too many."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.n = table, table.count()
+        self.tokens = self.sets = None
+        if self.n <= TOKENS:
+            rows = table.orderBy("token").toPandas()
+            self.tokens, self.sets = rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(np.int64)
+
+    def prefixes(self, rows: DataFrame, column: str, percent: int) -> DataFrame:
+        """cid, n, prefix, short of sets (cid, n, column: all of its tokens or the first ones); short: these do not suffice."""
+        if self.tokens is None:
+            each = rows.select("cid", "n", F.explode(column).alias("token")).join(self.table, "token", "left")
+            order = F.array_sort(F.collect_list(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "token")))  # one set, no more
+            size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+            each = each.groupBy("cid", "n").agg(order.alias("k"), F.sum(F.col("sets").isNull().cast("int")).alias("early"))
+            prefix = F.transform(F.slice("k", F.lit(1), size.cast("int")), lambda k: k["token"])
+            return each.select("cid", "n", prefix.alias("prefix"), ((F.col("early") < size) & (F.size("k") < F.col("n"))).alias("short"))
+        tokens, sets = self.tokens, np.append(self.sets, 0)
+
+        def order_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out, short = [], []
+                for n, k in zip(b.column("n").to_pylist(), b.column(column), strict=True):
+                    v, size = k.values.to_numpy(zero_copy_only=False), prefix_size(n, percent)
+                    rank = sets[_places(tokens, v)]
+                    out.append(v[np.lexsort((v, rank))[:size]])
+                    short.append(len(v) < n and int((rank == 0).sum()) < size)
+                yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), _lists(out), pa.array(short, pa.bool_())], names=["cid", "n", "prefix", "short"])
 
-    def order_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k in b.column("keys"):
-                v = k.values.to_numpy(zero_copy_only=False)
-                at = _places(tokens, v)
-                rank = np.where(at >= 0, held[at], 0)
-                rows.append(v[np.lexsort((v, rank))[: prefix_size(len(v), percent)]])
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("n"), _lists(rows)], names=["cid", "n", "prefix"])
+        return rows.select("cid", "n", column).mapInArrow(order_, "cid long, n long, prefix array<long>, short boolean")
 
-    return sets.mapInArrow(order_, "cid long, n long, prefix array<long>")
+
+def _more(last: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Both tables (token, sets) in one; of two counts the larger."""
+    both = found if last is None else last.unionByName(found)
+    return stage(both.groupBy("token").agg(F.max("sets").alias("sets")), "jac-last")
 
 
 def ordered_prefixes(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> tuple[DataFrame, DataFrame]:
-    """owners (cid, digest, doc_id, text_hash, n, prefix) -> cid, n, prefix in the order with the pivots' shingles last; and the
-    sets that this took (cid, n, keys)."""
-    lists = _shared(_entries(owners))
-    sizes = lists.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") >= HOT)
-    hot = stage(lists.join(sizes.select("token"), "token", "left_semi").select("cid", "n", "token"), "jac-hot")
-    share = hot.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
+    """owners (cid, digest, doc_id, text_hash, n, front) -> cid, n, prefix in the final order; and the sets that this took
+    (cid, n, keys)."""
+    last = stage(docs.sparkSession.createDataFrame([], "token long, sets long"), "jac-last")
+    late = _Late(last)
+    for _ in range(ROUNDS):
+        prefixes = stage(late.prefixes(owners, "front", percent), "jac-prefixes")
+        sizes = _entries(prefixes.where("not short")).groupBy("token").agg(F.count("*").alias("sets"))
+        last = _more(last, sizes.where(F.col("sets") >= HOT))
+        before, late = late, _Late(last)
+        if late.n == before.n:
+            break
+    # Near copies: sets that have too few other tokens in front.
+    prefixes = stage(late.prefixes(owners, "front", percent), "jac-prefixes")
+    near = owners.join(prefixes.where("short").select("cid"), "cid", "left_semi")
+    sets = class_sets(near, docs, shingler)
+    hot = near.select("cid", F.size("front").alias("size"), F.explode("front").alias("token")).join(small(last, TOKENS), "token")
+    hot = stage(hot.select("cid", "size", "token"), "jac-hot")
+    share = hot.groupBy("cid").agg((F.count("*") / F.max("size")).alias("share"))
     pivots = hot.join(share, "cid").groupBy("token").agg(F.max(F.struct("share", "cid")).alias("p")).select("p.cid").distinct()
-    sets = class_sets(owners.join(hot.select("cid").distinct(), "cid", "left_semi"), docs, shingler)
     held = _holders(sets, sets.join(pivots, "cid", "left_semi").select(F.explode("keys").alias("token")))
-    last = stage(held.where(F.col("sets") >= HOT), "jac-last")
-    late = None
-    if last.count() <= TOKENS:
-        rows = last.orderBy("token").toPandas()
-        late = rows["token"].to_numpy(np.int64), rows["sets"].to_numpy(np.int64)
-
-        def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("cid").filter(pa.array([bool((_places(late[0], p.values.to_numpy(zero_copy_only=False)) >= 0).any()) for p in b.column("prefix")]))], names=["cid"])
-
-        changed = owners.select("cid", "prefix").mapInArrow(touched, "cid long")
-    else:
-        changed = _entries(owners).join(last, "token", "left_semi").select("cid").distinct()
-    changed = stage(changed.join(sets.select("cid"), "cid", "left_anti"), "jac-changed")
-    sets = sets.unionByName(class_sets(owners.join(changed, "cid", "left_semi"), docs, shingler))
-    same = owners.select("cid", "n", "prefix").join(sets.select("cid"), "cid", "left_anti")
-    return stage(same.unionByName(_prefixes(sets, last, late, percent)), "jac-prefixes"), sets
+    late = _Late(_more(last, held.where(F.col("sets") >= HOT)))
+    others = owners.join(sets.select("cid"), "cid", "left_anti")
+    prefixes = stage(late.prefixes(others, "front", percent), "jac-prefixes")
+    more = class_sets(owners.join(prefixes.where("short").select("cid"), "cid", "left_semi"), docs, shingler)
+    sets = sets.unionByName(more)
+    whole = late.prefixes(sets, "keys", percent)
+    return stage(prefixes.where("not short").unionByName(whole).drop("short"), "jac-prefixes"), sets
 
 
 def _needed(n1: Column, n2: Column, percent: int) -> Column:
@@ -416,7 +442,7 @@ def settle(pairs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, piv
 
 
 def class_components(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
-    """owners (cid, digest, doc_id, text_hash, n, prefix) -> id, comp of the classes that have links (see components)."""
+    """owners (cid, digest, doc_id, text_hash, n, front) -> id, comp of the classes that have links (see components)."""
     comp = docs.sparkSession.createDataFrame([], "id long, comp long")
     prefixes, sets = ordered_prefixes(owners, docs, shingler, percent)
     lists = stage(_shared(_entries(prefixes)), "jac-lists")
@@ -450,7 +476,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
         sig = stage(signatures(docs, shingler, percent).withColumn("row", F.monotonically_increasing_id()), "jac-sig", keep=True)
         classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("o"))
         classes = stage(classes.select("digest", F.col("o.doc_id").alias("owner"), F.col("o.row").alias("row"), F.monotonically_increasing_id().alias("cid")), "jac-classes")
-        owners = sig.where("size(prefix) > 0").select("row", "digest", "doc_id", "text_hash", "n", "prefix").join(classes.select("row", "cid"), "row")
+        owners = sig.where("size(front) > 0").select("row", "digest", "doc_id", "text_hash", "n", "front").join(classes.select("row", "cid"), "row")
         comp = class_components(stage(owners.drop("row"), "jac-owners"), docs, shingler, percent)
         out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
         return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps", keep=True)
