@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,20 @@ def stage(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     owners = _open.get()[:-1] if keep else _open.get()
     if owners:
         owners[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the table of a DataFrame that `stage` returned: nothing that is still to run may read it."""
+    delete(df.sparkSession, df._staged_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps that are done: they go when the driver's garbage does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
