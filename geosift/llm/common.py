@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.staging import new_path, scratch_dir, small, stage, temporary, unused
+from geosift.staging import new_path, release, scratch_dir, small, stage, temporary, unstage, unused
 
-__all__ = ["ascii_lower", "new_path", "qualified", "row_key", "scratch_dir", "small", "small_batches", "stage", "temporary", "unused"]
+__all__ = ["ascii_lower", "new_path", "qualified", "release", "row_key", "scratch_dir", "small", "small_batches", "stage", "temporary", "unstage", "unused"]
 
 #: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20

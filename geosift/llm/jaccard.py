@@ -44,11 +44,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geosift.llm.common import small, small_batches, stage, temporary, unused
+from geosift.llm.common import release, small, small_batches, stage, temporary, unstage, unused
 from geosift.llm.graph import components
 
 HOT = 16  # sets of a list from which on its token comes last
-ROUNDS = 3  # of looking for such lists
+ROUNDS = 2  # of looking for such lists
 TOKENS = 500_000  # shingles (16 bytes each) up to which those that come last are sent to all tasks
 BAND = 1.05  # sizes of a block differ by this factor at most
 COMMON_WORD = 20_000  # a word is common from one in so many words on: at most so many words are
@@ -185,8 +185,16 @@ def signatures(docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
         sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, digest binary, front array<long>")
 
 
-def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame:
+class Texts:
+    """The documents, what their shingles are made with, and whether rows of equal id and text occur."""
+
+    def __init__(self, docs: DataFrame, shingler: tuple, repeated: bool):
+        self.docs, self.shingler, self.repeated, self.spark = docs, shingler, repeated, docs.sparkSession
+
+
+def class_sets(owners: DataFrame, texts: Texts) -> DataFrame:
     """owners (cid, digest, doc_id, text_hash, ...) -> cid, n, keys: the sets, made again from these texts; no others are moved."""
+    shingler = texts.shingler
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(*shingler)
@@ -200,9 +208,10 @@ def class_sets(owners: DataFrame, docs: DataFrame, shingler: tuple) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(list(map(len, keys)), pa.int64()), _lists(keys)], names=["cid", "n", "keys"])
 
     wanted = small(stage(owners.select("cid", "digest", "doc_id", "text_hash"), "jac-wanted"))
-    rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
-    once = rows.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("cid", "digest", "text")])  # repeated rows
-    return stage(once.select("cid", "digest", "text").mapInArrow(make, SETS), "jac-sets")
+    rows = texts.docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+    if texts.repeated:
+        rows = rows.groupBy("doc_id", "text_hash").agg(*[F.first(c).alias(c) for c in ("cid", "digest", "text")])
+    return stage(rows.select("cid", "digest", "text").mapInArrow(make, SETS), "jac-sets")
 
 
 SETS = "cid long, n long, keys array<long>"
@@ -284,22 +293,24 @@ def _more(last: DataFrame | None, found: DataFrame) -> DataFrame:
     return stage(both.groupBy("token").agg(F.max("sets").alias("sets")), "jac-last")
 
 
-def ordered_prefixes(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> tuple[DataFrame, DataFrame]:
+def ordered_prefixes(owners: DataFrame, texts: Texts, percent: int) -> tuple[DataFrame, DataFrame]:
     """owners (cid, digest, doc_id, text_hash, n, front) -> cid, n, prefix in the final order; and the sets that this took
     (cid, n, keys)."""
-    last = stage(docs.sparkSession.createDataFrame([], "token long, sets long"), "jac-last")
+    last = stage(texts.spark.createDataFrame([], "token long, sets long"), "jac-last")
     late = _Late(last)
     for _ in range(ROUNDS):
         prefixes = stage(late.prefixes(owners, "front", percent), "jac-prefixes")
         sizes = _entries(prefixes.where("not short")).groupBy("token").agg(F.count("*").alias("sets"))
         last = _more(last, sizes.where(F.col("sets") >= HOT))
         before, late = late, _Late(last)
+        unstage(prefixes)
         if late.n == before.n:
             break
     # Near copies: sets that have too few other tokens in front.
-    prefixes = stage(late.prefixes(owners, "front", percent), "jac-prefixes")
-    near = owners.join(prefixes.where("short").select("cid"), "cid", "left_semi")
-    sets = class_sets(near, docs, shingler)
+    short = stage(late.prefixes(owners, "front", percent).where("short").select("cid"), "jac-short")
+    near = owners.join(short, "cid", "left_semi")
+    sets = class_sets(near, texts)
+    release(texts.spark)
     hot = near.select("cid", F.size("front").alias("size"), F.explode("front").alias("token")).join(small(last, TOKENS), "token")
     hot = stage(hot.select("cid", "size", "token"), "jac-hot")
     share = hot.groupBy("cid").agg((F.count("*") / F.max("size")).alias("share"))
@@ -308,7 +319,7 @@ def ordered_prefixes(owners: DataFrame, docs: DataFrame, shingler: tuple, percen
     late = _Late(_more(last, held.where(F.col("sets") >= HOT)))
     others = owners.join(sets.select("cid"), "cid", "left_anti")
     prefixes = stage(late.prefixes(others, "front", percent), "jac-prefixes")
-    more = class_sets(owners.join(prefixes.where("short").select("cid"), "cid", "left_semi"), docs, shingler)
+    more = class_sets(owners.join(prefixes.where("short").select("cid"), "cid", "left_semi"), texts)
     sets = sets.unionByName(more)
     whole = late.prefixes(sets, "keys", percent)
     return stage(prefixes.where("not short").unionByName(whole).drop("short"), "jac-prefixes"), sets
@@ -441,20 +452,23 @@ def settle(pairs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, piv
     return comp, first
 
 
-def class_components(owners: DataFrame, docs: DataFrame, shingler: tuple, percent: int) -> DataFrame:
+def class_components(owners: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """owners (cid, digest, doc_id, text_hash, n, front) -> id, comp of the classes that have links (see components)."""
-    comp = docs.sparkSession.createDataFrame([], "id long, comp long")
-    prefixes, sets = ordered_prefixes(owners, docs, shingler, percent)
+    comp = texts.spark.createDataFrame([], "id long, comp long")
+    prefixes, sets = ordered_prefixes(owners, texts, percent)
     lists = stage(_shared(_entries(prefixes)), "jac-lists")
+    owners = owners.select("cid", "digest", "doc_id", "text_hash")
+    release(texts.spark)
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         missing = ends.join(sets.select("cid"), "cid", "left_anti")
-        return sets.unionByName(class_sets(owners.join(missing, "cid", "left_semi"), docs, shingler))
+        return sets.unionByName(class_sets(owners.join(missing, "cid", "left_semi"), texts))
 
     heads = stage(head_pairs(lists, percent), "jac-heads")
     sets = with_sets(heads)
     comp, first = settle(heads, comp, sets, percent)
+    release(texts.spark)
     pivots = first.where("own is not null").select(
         F.col("a").alias("cid"), F.col("b").alias("pivot"), F.col("na").alias("n"), F.col("nb").alias("size"), "own", "lost")
     # Every pair with a head is compared, or in one component.
@@ -473,11 +487,16 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
     small_batches(docs.sparkSession)
     with temporary(docs.sparkSession):
         shingler = (width, common_words(docs))
-        sig = stage(signatures(docs, shingler, percent).withColumn("row", F.monotonically_increasing_id()), "jac-sig", keep=True)
-        classes = sig.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("o"))
+        full = stage(signatures(docs, shingler, percent).withColumn("row", F.monotonically_increasing_id()), "jac-full")
+        sig = stage(full.drop("front"), "jac-sig", keep=True)
+        known = sig.where("doc_id is not null")
+        classes = known.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("o"))
         classes = stage(classes.select("digest", F.col("o.doc_id").alias("owner"), F.col("o.row").alias("row"), F.monotonically_increasing_id().alias("cid")), "jac-classes")
-        owners = sig.where("size(front) > 0").select("row", "digest", "doc_id", "text_hash", "n", "front").join(classes.select("row", "cid"), "row")
-        comp = class_components(stage(owners.drop("row"), "jac-owners"), docs, shingler, percent)
+        owners = full.where("size(front) > 0").select("row", "digest", "doc_id", "text_hash", "n", "front").join(classes.select("row", "cid"), "row")
+        owners = stage(owners.drop("row"), "jac-owners")
+        unstage(full)
+        repeated = not known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+        comp = class_components(owners, Texts(docs, shingler, repeated), percent)
         out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
         return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps", keep=True)
 
