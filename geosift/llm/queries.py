@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geosift.llm import decontaminate, embeddings, html_text, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
+from geosift.llm import byte_bpe, conversations, decontaminate, embeddings, html_text, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
 
 QUERIES = {
     "op6_html_text": html_text.op6_html_text,
@@ -15,6 +15,8 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
 ORACLE_SQL = {
