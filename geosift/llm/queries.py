@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geosift.llm import byte_bpe, conversations, decontaminate, embeddings, html_text, jaccard, licenses, mixing, secrets, token_output, toxicity, wordpiece
+from geosift.llm import byte_bpe, conversations, decontaminate, embeddings, html_text, jaccard, licenses, mixing, search, secrets, token_output, toxicity, wordpiece
 
 QUERIES = {
     "op6_html_text": html_text.op6_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_ranked_search": search.op12_ranked_search,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op9_license_scan": licenses.OP9_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op12_ranked_search": search.OP12_SQL,
 }
