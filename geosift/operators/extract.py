@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 from geosift.operators import idset
 from geosift.operators.closure import ancestors, ordered_ancestors
 from geosift.operators.polygon import Polygon, inside
+from geosift.operators.spatial import inside_areas
 from geosift.schema import Elements
 from geosift.staging import stage
 
 
-#: An area: polygons, or the predicate itself, as a column of x and y or a function that makes one of them.
-Area = Sequence[Polygon] | Column | Callable[[Column, Column], Column]
+#: An area: polygons, a polygon table of any size, or the predicate itself, as a column of x and y or a function that makes one of them.
+Area = Sequence[Polygon] | DataFrame | Column | Callable[[Column, Column], Column]
 
 
 def nodes_inside(nodes: DataFrame, area: Area) -> DataFrame:
     """id of the nodes (id, x, y) in the area; where the predicate is null a node is outside."""
     points = nodes.select("id", "x", "y")
+    if isinstance(area, DataFrame):
+        return inside_areas(points, area)
     if isinstance(area, Sequence):
         return inside(points, area).select("id").distinct()
     test = area if isinstance(area, Column) else area(F.col("x"), F.col("y"))

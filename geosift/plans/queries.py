@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geosift.functions import text as X
 from geosift.functions import xml as XML
 from geosift.operators import closure, extract, idset
 from geosift.operators import polygon as P
+from geosift.operators import spatial as SP
 from geosift.plans import xsd, xsd_rules
 from geosift.schema import META, Elements
 from geosift.sources import osm_xml, sinks
@@ -196,6 +197,62 @@ def pip_events(spark, sf):
     return P.inside(rows, EVENT_AREA).select("id")
 
 
+def order_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """A rhombus for each order, three of four included."""
+    x, y = F.col("o_custkey").cast("double"), F.col("o_totalprice") / F.lit(1000.0)
+    dx, dy = (F.col("o_orderkey") % 7 + 2).cast("double"), (F.col("o_orderkey") % 11 + 1).cast("double")
+    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("poly_id"), F.when(F.col("o_orderkey") % 4 == 0, "exclude").otherwise("include").alias("kind"),
+                                            F.array(point(x - dx, y), point(x, y - dy), point(x + dx, y), point(x, y + dy)).alias("ring"))
+
+
+def event_points(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "events").select(F.col("event_id").alias("id"), (F.col("user_id") * 10).cast("double").alias("x"), F.col("value").alias("y"))
+
+
+def nation_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    """A jagged ring for each nation: its customers by key, at the height of their balance."""
+    own = read(spark, sf, "customer").select(F.col("c_nationkey").alias("poly_id"), F.col("c_custkey").cast("double").alias("x"), (F.col("c_acctbal") / F.lit(20.0)).alias("y"))
+    return own.withColumn("pos", F.row_number().over(Window.partitionBy("poly_id").orderBy("x", "y")) - 1)
+
+
+SQL_RHOMBS = """SELECT o_orderkey AS poly_id, CASE WHEN o_orderkey % 4 = 0 THEN 'exclude' ELSE 'include' END AS kind,
+    CAST(o_custkey AS DOUBLE) AS x, o_totalprice / 1000.0::DOUBLE AS y, CAST(o_orderkey % 7 + 2 AS DOUBLE) AS dx, CAST(o_orderkey % 11 + 1 AS DOUBLE) AS dy FROM orders"""
+SQL_TABLE_EDGES = """SELECT *, y2 - y1 AS a, x1 - x2 AS b, -((y2 - y1) * x1 + (x1 - x2) * y1) AS c,
+    least(x1, x2) AS xmin, least(y1, y2) AS ymin, greatest(x1, x2) AS xmax, greatest(y1, y2) AS ymax FROM s WHERE x1 <> x2 OR y1 <> y2"""
+SQL_TABLE_EVENTS = "SELECT event_id AS id, CAST(user_id * 10 AS DOUBLE) AS x, value AS y FROM events"
+SQL_TABLE_PAIRS = """SELECT id, poly_id FROM p JOIN e ON y BETWEEN ymin AND ymax AND x <= xmax GROUP BY id, poly_id
+    HAVING bool_or(a * x + b * y + c = 0 AND x >= xmin) OR sum(CASE WHEN y < ymax AND (CASE WHEN a > 0 THEN -(a * x + b * y + c) ELSE a * x + b * y + c END) > 0 THEN 1 ELSE 0 END) % 2 = 1"""
+SQL_RHOMB_CTES = f"""r AS ({SQL_RHOMBS}),
+  s AS (SELECT poly_id, kind, x - dx AS x1, y AS y1, x AS x2, y - dy AS y2 FROM r UNION ALL SELECT poly_id, kind, x, y - dy, x + dx, y FROM r
+    UNION ALL SELECT poly_id, kind, x + dx, y, x, y + dy FROM r UNION ALL SELECT poly_id, kind, x, y + dy, x - dx, y FROM r),
+  e AS ({SQL_TABLE_EDGES}),
+  b AS (SELECT poly_id, kind, min(xmin) AS x0, max(xmax) AS x1, min(ymin) AS y0, max(ymax) AS y1 FROM e GROUP BY 1, 2),
+  near AS (SELECT id, x, y, poly_id, kind FROM ({SQL_TABLE_EVENTS}) JOIN b ON x BETWEEN x0 AND b.x1 AND y BETWEEN y0 AND b.y1),
+  t AS (SELECT id, poly_id, n.kind FROM near n JOIN e USING (poly_id) GROUP BY id, poly_id, n.kind
+    HAVING bool_or(a * x + b * y + c = 0 AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax)
+      OR sum(CASE WHEN ymin <= y AND y < ymax AND (CASE WHEN a > 0 THEN -(a * x + b * y + c) ELSE a * x + b * y + c END) > 0 THEN 1 ELSE 0 END) % 2 = 1)"""
+
+
+@query(f"WITH {SQL_RHOMB_CTES} SELECT id, poly_id FROM t")
+def pip_polygon_table(spark, sf):
+    tree = SP.quadtree(SP.ring_edges(order_polygons(spark, sf)))
+    return SP.contains(event_points(spark, sf), tree)
+
+
+@query(f"WITH {SQL_RHOMB_CTES} SELECT id FROM t GROUP BY id HAVING bool_or(kind = 'include') AND NOT bool_or(kind = 'exclude')")
+def pip_area_table(spark, sf):
+    return SP.inside_areas(event_points(spark, sf), order_polygons(spark, sf))
+
+
+@query(f"""WITH v AS (SELECT c_nationkey AS poly_id, CAST(c_custkey AS DOUBLE) AS x, c_acctbal / 20.0::DOUBLE AS y FROM customer),
+  s AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY poly_id ORDER BY x, y)),
+  e AS ({SQL_TABLE_EDGES}), p AS ({SQL_TABLE_EVENTS}) {SQL_TABLE_PAIRS}""")
+def pip_quadtree_rings(spark, sf):
+    tree = SP.quadtree(SP.chain_edges(nation_vertices(spark, sf)), depth=12)
+    return SP.contains(event_points(spark, sf), tree)
+
+
 def _sql_grid(polygons: Sequence[P.Polygon], n: int = 128) -> str:
     """Counts of cells by class: an edge's part over a column makes the cells it meets mixed; the others have the class of their centre."""
     x0, y0, x1, y1 = (f"(SELECT {f}({c}) FROM e WHERE kind = 'include')" for f, c in (("min", "xmin"), ("min", "ymin"), ("max", "xmax"), ("max", "ymax")))
