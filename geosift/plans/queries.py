@@ -540,6 +540,24 @@ def xsd_faults(spark, sf):
     return rows.select("id", xsd_rules.first_fault(F.col("xml"), rules, "order").alias("fault"))
 
 
+LINES_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="order"><xs:complexType><xs:choice minOccurs="0" maxOccurs="unbounded">
+  <xs:sequence><xs:element name="A" type="xs:string" minOccurs="0" maxOccurs="2"/><xs:element name="N" type="xs:string" maxOccurs="unbounded"/></xs:sequence>
+  <xs:element name="R" type="xs:string" minOccurs="2" maxOccurs="3"/></xs:choice></xs:complexType></xs:element></xs:schema>"""
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, coalesce(string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag), '') AS w
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
+  SELECT id, CASE WHEN regexp_full_match(replace(w, ' ', ''), '(A{0,2}N+|R{2,3})*') THEN NULL ELSE 'wrong content of order: ' || w END AS fault FROM d""")
+def xsd_content_models(spark, sf):
+    """Nested and counted groups over documents made from the lines of each order."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("l"))
+    tags = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<"), x["l_returnflag"], F.lit("/>"))), "")
+    rows = read(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    xml = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("<order>"), F.coalesce(tags, F.lit("")), F.lit("</order>")).alias("xml"))
+    return xml.select("id", xsd_rules.first_fault(F.col("xml"), xsd.compile_xsd(LINES_XSD).rules, "order").alias("fault"))
+
+
 @query("SELECT o_orderkey AS id, 'O' || o_orderstatus || repeat('.', CAST(count(l_partkey) AS INT)) AS value FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderstatus")
 def sax_fold(spark, sf):
     """A function folded over each document's events: the status, and a dot a line."""

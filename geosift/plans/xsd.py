@@ -44,6 +44,7 @@ class Field:
     mixed: bool = False
     nillable: bool = False
     choice: int = 0  # alternatives of the same choice share a number; 0: none
+    space: str = ""  # the namespace of an element's schema
 
     @property
     def column(self) -> str:
@@ -81,56 +82,90 @@ class Model:
 
     def merge(self, other: Model) -> Model:
         """Both models' elements and types; the first one's definition counts where both have one."""
-        rules = None
-        if self.rules and other.rules:
-            # Names of inline types may be used in both: they are told apart.
-            kinds, elements = other.rules.renamed("'")
-            rules = Rules({**kinds, **self.rules.kinds}, {**elements, **self.rules.elements}, {**other.bases, **self.bases}, self.namespace or other.namespace)
+        rules = self.rules.merged(other.rules) if self.rules and other.rules else None
         return Model({**other.elements, **self.elements}, {**other.bases, **self.bases}, self.namespace or other.namespace, rules)
 
 
 def _local(name: str) -> str:
-    return name.rpartition(":")[2]
+    return name.rpartition("}")[2].rpartition(":")[2]
 
 
 class _Compiler:
+    """Definitions are kept by `{namespace}name`; names in attributes are resolved by the prefixes in scope where they stand."""
+
     KINDS = ("element", "complexType", "simpleType", "group", "attributeGroup", "attribute")
+    NAMES = ("type", "ref", "base", "substitutionGroup")
 
     def __init__(self, resolve: Callable[[str, str], str] | None):
         self.resolve = resolve
         self.found: dict[str, dict[str, ET.Element]] = {k: {} for k in self.KINDS}
         self.substitutes: dict[str, list[str]] = {}
-        self.loaded: set[str] = set()
+        self.loaded: set[tuple[str, str]] = set()
         self.choices = 0
 
-    def load(self, text: str) -> str:
-        root = ET.fromstring(text)
+    def load(self, text: str, around: str = "") -> str:
+        """Keep a schema's definitions; around: the target namespace of one that includes it. Its own target namespace."""
+        parser, scopes, root, target = ET.XMLPullParser(("start-ns", "end-ns", "start")), [{}], None, ""
+        parser.feed(text)
+        parser.close()
+        for event, node in parser.read_events():
+            if event == "start-ns":
+                scopes.append({**scopes[-1], node[0]: node[1]})
+            elif event == "end-ns":
+                scopes.pop()
+            else:
+                if root is None:
+                    root, target = node, node.get("targetNamespace") or around
+                node.set("_space", target)
+                for key in self.NAMES:
+                    if node.get(key):
+                        prefix, _, name = node.get(key).rpartition(":")
+                        node.set(key, f"{{{scopes[-1].get(prefix, '' if not prefix else prefix)}}}{name}")
         if root.tag != f"{XS}schema":
             raise SchemaError(f"not a schema: {root.tag}")
         for child in root:
             tag = child.tag.removeprefix(XS)
             if tag in ("include", "import", "redefine"):
                 where = child.get("schemaLocation") or child.get("namespace") or ""
-                if self.resolve and where and where not in self.loaded:
-                    self.loaded.add(where)
-                    self.load(self.resolve(child.get("namespace") or "", where))
+                key = (child.get("namespace") or "" if tag == "import" else target, where)
+                if self.resolve and where and key not in self.loaded:
+                    self.loaded.add(key)
+                    self.load(self.resolve(child.get("namespace") or "", where), "" if tag == "import" else target)
                 for own in child:  # redefine
                     self._keep(own)
             else:
                 self._keep(child)
-        return root.get("targetNamespace") or ""
+        return target
 
     def _keep(self, node: ET.Element) -> None:
         tag = node.tag.removeprefix(XS)
         if tag in self.found and node.get("name"):
-            self.found[tag][node.get("name")] = node
-            if tag == "element" and node.get("substitutionGroup"):
-                self.substitutes.setdefault(_local(node.get("substitutionGroup")), []).append(node.get("name"))
+            name = f"{{{node.get('_space')}}}{node.get('name')}"
+            node.set("_name", name)
+            self.found[tag][name] = node
+
+    def link(self) -> None:
+        """Substitution groups, once all definitions are known."""
+        for name, node in self.found["element"].items():
+            if node.get("substitutionGroup"):
+                head = self.find("element", node.get("substitutionGroup"))
+                if head is not None:
+                    self.substitutes.setdefault(head.get("_name"), []).append(name)
+
+    def find(self, kind: str, name: str | None) -> ET.Element | None:
+        """A definition. A name without namespace may mean one of any namespace (a schema without prefixes), if there is but one."""
+        node = self.found[kind].get(name or "")
+        if node is None and name and name.startswith("{}"):
+            same = [n for k, n in self.found[kind].items() if k.rpartition("}")[2] == name[2:]]
+            if len(same) > 1:
+                raise SchemaError(f"{kind} {name[2:]!r} is in several namespaces")
+            node = same[0] if same else None
+        return node
 
     def get(self, kind: str, name: str) -> ET.Element:
-        node = self.found[kind].get(_local(name))
+        node = self.find(kind, name)
         if node is None:
-            raise SchemaError(f"no {kind} {name!r}")
+            raise SchemaError(f"no {kind} {_local(name)!r}")
         return node
 
     @staticmethod
@@ -142,7 +177,7 @@ class _Compiler:
         """The scalar kind of a simple type, through restrictions."""
         for _ in range(MAX_DEPTH):
             local = _local(name)
-            node = self.found["simpleType"].get(local)
+            node = self.find("simpleType", name)
             if node is None:
                 return "bigint" if local in INTEGERS else "boolean" if local == "boolean" else "string"
             rest = node.find(f"{XS}restriction")
@@ -157,13 +192,13 @@ class _Compiler:
             target = self.get("element", node.get("ref"))
             names = [target]
             for n in names:  # substitutes of substitutes, too
-                names += [e for e in (self.get("element", s) for s in self.substitutes.get(n.get("name"), [])) if e not in names]
+                names += [e for e in (self.found["element"][s] for s in self.substitutes.get(n.get("_name"), [])) if e not in names]
             out = [replace(f, low=low if len(names) == 1 else 0, high=high) for n in names for f in self.element(n, depth)]
             return self._alternatives(out) if len(names) > 1 else out
-        one = Field(node.get("name"), low=low, high=high, nillable=node.get("nillable") == "true")
+        one = Field(node.get("name"), low=low, high=high, nillable=node.get("nillable") == "true", space=node.get("_space"))
         inner = node.find(f"{XS}complexType")
-        if inner is None and node.get("type") and _local(node.get("type")) in self.found["complexType"]:
-            inner = self.get("complexType", node.get("type"))
+        if inner is None and node.get("type"):
+            inner = self.find("complexType", node.get("type"))
         if inner is not None:
             kind, fields, mixed = self.complex(inner, depth + 1)
             return [replace(one, kind=kind, fields=tuple(fields), mixed=mixed)]
@@ -179,12 +214,12 @@ class _Compiler:
         if content is None:
             return "struct", [*self.particles(node, depth), *self.attributes(node, depth)], mixed
         step = next(c for c in content if c.tag in (f"{XS}extension", f"{XS}restriction"))
-        base = _local(step.get("base") or "")
+        base = self.find("complexType", step.get("base"))
         kind, inherited, base_mixed = "struct", [], False
-        if base in self.found["complexType"]:
-            kind, inherited, base_mixed = self.complex(self.found["complexType"][base], depth + 1)
+        if base is not None:
+            kind, inherited, base_mixed = self.complex(base, depth + 1)
         elif content.tag == f"{XS}simpleContent":
-            kind = self.simple(base)
+            kind = self.simple(step.get("base") or "")
         own = self.particles(step, depth)
         attributes = {f.name: f for f in [*(f for f in inherited if f.attribute), *self.attributes(step, depth)]}
         elements = [f for f in inherited if not f.attribute] + own if step.tag == f"{XS}extension" else own
@@ -220,6 +255,8 @@ class _Compiler:
         for f in fields:
             if f.name in out:
                 a = out[f.name]
+                if a.space != f.space and not f.attribute:
+                    raise SchemaError(f"elements {f.name!r} of two namespaces in one type have no columns of their own")
                 f = replace(a, low=min(a.low, f.low), high=None)
             out[f.name] = f
         return list(out.values())
@@ -243,14 +280,18 @@ def compile_xsd(text: str, resolve: Callable[[str, str], str] | None = None) ->
     """resolve(namespace, location) gives the text of an included, imported or redefined schema; each is loaded once."""
     c = _Compiler(resolve)
     namespace = c.load(text)
+    c.link()
     bases = {}
-    for name, node in c.found["complexType"].items():
+    for node in c.found["complexType"].values():
         for step in node.iter():
             if step.tag in (f"{XS}extension", f"{XS}restriction") and step.get("base"):
-                bases[name] = _local(step.get("base"))
+                bases[node.get("name")] = _local(step.get("base"))
                 break
-    elements = {n: replace(c.element(node, 0)[0], low=1, high=1) for n, node in c.found["element"].items()}
-    return Model(elements, bases, namespace, RuleCompiler(c.found, c.substitutes, namespace).compile())
+    # Elements go by their local names; one of an imported schema by `{namespace}name` where the main schema has its name, too.
+    taken = {n.get("name") for n in c.found["element"].values() if n.get("_space") == namespace}
+    name_of = lambda n: n.get("name") if n.get("_space") == namespace or n.get("name") not in taken else n.get("_name")
+    elements = {name_of(n): replace(c.element(n, 0)[0], low=1, high=1) for n in c.found["element"].values()}
+    return Model(elements, bases, namespace, RuleCompiler(c.found, c.substitutes, c.find).compile(name_of))
 
 
 def _first_fault(fields: tuple[Field, ...], path: str) -> Callable[[Column], Column]:

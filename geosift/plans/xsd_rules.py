@@ -1,56 +1,124 @@
 """The rules of an XML schema that a Spark schema cannot hold: order, exclusive choices, unexpected content, wildcards, derived types.
 
-A content model becomes a regular expression over the names of an element's children, `namespace|name ` each: a
-sequence is a concatenation, a choice an alternation, occurrence a quantifier, a wildcard a pattern of
-namespaces. So one match per element tells whether its children are right. A document is walked once; types are
-looked up by name, so recursive ones have no end to be set.
-
-Decisions: an element may have the target namespace or none, whatever the schema's form; an element that only a wildcard
-admits is not looked into; xsi:type must name the declared type or one derived from it; xsi:nil needs a nillable
-element without content; other xsi: attributes are ignored; xml: attributes are free.
+Content models become automata when a schema is compiled: the states are the derivatives of a model, with counters for
+occurrence, and a state's transitions are a small map from child names to states. All types of a schema share one table of states. Documents become
+arrays of their elements (names of the ancestors, of the children, of the attributes), and the rules are Column expressions
+over these: a fold over the ancestors' names gives an element's type, a fold over the children's names runs the
+automaton, one step a child, whatever the nesting of groups and occurrences. Types are looked up by name, so recursive ones have no end to be set.
+
+Decisions: names are pairs of namespace and local name; an element may have its schema's target namespace or none, whatever the
+form; an element that only a wildcard admits is not looked into; xsi:type must name the declared type or one derived from it; xsi:nil
+needs a nillable element without content; other xsi: attributes are ignored; xml: attributes are free. A schema whose
+automata have over STATES states (occurrence counted to such a height) is an error when it is compiled.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import json
 import xml.etree.ElementTree as ET
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 XS = "{http://www.w3.org/2001/XMLSchema}"
 XSI = "{http://www.w3.org/2001/XMLSchema-instance}"
+XML_ATTRIBUTE = "{http://www.w3.org/XML/1998/namespace}"
+STATES = 50_000
+OTHER = "!}*"  # any name of a namespace that the schema does not mention
+
+# Content models: EMPTY, NOTHING (no children), ("name", tokens), ("any", spaces), ("seq", a, b), ("alt", models), ("rep", model, low, high).
+# A token is `namespace}name`. Spaces of a wildcard: "*", "=namespace", "!namespace" (any other one, but not none).
+EMPTY, NOTHING = ("empty",), ("nothing",)
+Content = tuple
+
+
+def seq(a: Content, b: Content) -> Content:
+    if EMPTY in (a, b):
+        return EMPTY
+    if a == NOTHING or b == NOTHING:
+        return b if a == NOTHING else a
+    return seq(a[1], seq(a[2], b)) if a[0] == "seq" else ("seq", a, b)
+
+
+def alt(models: Iterable[Content]) -> Content:
+    flat = frozenset(x for m in models for x in (m[1] if m[0] == "alt" else (m,)) if x != EMPTY)
+    return EMPTY if not flat else next(iter(flat)) if len(flat) == 1 else ("alt", flat)
+
+
+def rep(model: Content, low: int, high: int | None) -> Content:
+    if high == 0 or model == NOTHING or model == EMPTY and low == 0:
+        return NOTHING
+    return model if (low, high) == (1, 1) or model == EMPTY else ("rep", model, low, high)
+
+
+@functools.cache
+def may_end(m: Content) -> bool:
+    kind = m[0]
+    return kind == "nothing" or kind == "seq" and may_end(m[1]) and may_end(m[2]) or kind == "alt" and any(map(may_end, m[1])) or kind == "rep" and (m[2] == 0 or may_end(m[1]))
+
+
+def admits(spaces: frozenset[str], token: str) -> bool:
+    space = token.partition("}")[0]
+    if token == OTHER:
+        return any(s[0] in "*!" for s in spaces)
+    return any(s == "*" or s == f"={space}" or s[0] == "!" and space and s[1:] != space for s in spaces)
+
+
+@functools.cache
+def after(m: Content, token: str) -> Content:
+    """What may follow once a child with this name has been read."""
+    kind = m[0]
+    if kind == "name":
+        return NOTHING if token in m[1] else EMPTY
+    if kind == "any":
+        return NOTHING if admits(m[1], token) else EMPTY
+    if kind == "seq":
+        first = seq(after(m[1], token), m[2])
+        return alt((first, after(m[2], token))) if may_end(m[1]) else first
+    if kind == "alt":
+        return alt(after(x, token) for x in m[1])
+    if kind == "rep":
+        return seq(after(m[1], token), rep(m[1], max(m[2] - 1, 0), None if m[3] is None else m[3] - 1))
+    return EMPTY
+
+
+def tokens_of(m: Content) -> set[str]:
+    if m[0] == "name":
+        return set(m[1])
+    return set().union(*map(tokens_of, m[1] if m[0] == "alt" else m[1:3] if m[0] == "seq" else m[1:2])) if m[0] in ("seq", "alt", "rep") else set()
 
 
 @dataclass
 class Kind:
-    """A type: the pattern of its children (None: simple content), what it knows by name, and what it allows besides."""
+    """A type: its content model (None: simple content), what it knows by name, and what it allows besides."""
 
-    pattern: str | None = None
-    children: dict[str, tuple[str, bool]] = field(default_factory=dict)  # name -> type, nillable
+    content: Content | None = None
+    space: str = ""
+    children: dict[str, tuple[str, bool]] = field(default_factory=dict)  # token -> type, nillable
     attributes: dict[str, bool] = field(default_factory=dict)  # name -> required
-    any_attribute: str | None = None
-    wildcards: list[str] = field(default_factory=list)
+    any_attribute: frozenset[str] = frozenset()
+    wildcards: list[frozenset[str]] = field(default_factory=list)
     mixed: bool = False
     unordered: tuple[tuple[str, bool], ...] | None = None  # of `all`: name, required
 
 
 @dataclass
 class Rules:
-    """Types by name; "" is free text. Global elements: name -> type, nillable."""
+    """Types by name; "" is free text. Global elements: name -> type, nillable, namespace."""
 
     kinds: dict[str, Kind]
-    elements: dict[str, tuple[str, bool]]
+    elements: dict[str, tuple[str, bool, str]]
     bases: dict[str, str]
-    namespace: str
 
-    def renamed(self, mark: str) -> tuple[dict[str, Kind], dict[str, tuple[str, bool]]]:
-        """Types and elements with the mark behind the names of inline types."""
-        name = lambda n: n + mark if "#" in n else n
-        of = lambda known: {k: (name(t), nil) for k, (t, nil) in known.items()}
-        return {name(n): replace(k, children=of(k.children)) for n, k in self.kinds.items()}, of(self.elements)
+    def merged(self, other: Rules) -> Rules:
+        """Both; the first one's definition counts. Names of inline types may be used in both: they are told apart."""
+        name = lambda n: n + "'" if "#" in n else n
+        kinds = {name(n): Kind(k.content, k.space, {c: (name(t), nil) for c, (t, nil) in k.children.items()}, k.attributes, k.any_attribute, k.wildcards, k.mixed, k.unordered) for n, k in other.kinds.items()}
+        return Rules({**kinds, **self.kinds}, {**{e: (name(t), nil, s) for e, (t, nil, s) in other.elements.items()}, **self.elements}, {**other.bases, **self.bases})
 
     def is_kind_of(self, name: str, base: str) -> bool:
         seen = set()
@@ -61,101 +129,176 @@ class Rules:
             name = self.bases.get(name, name)
         return False
 
-    def fault(self, document: str | None, root: str) -> str | None:
-        """The first broken rule in document order, or None."""
-        if document is None:
-            return None
-        try:
-            node = ET.fromstring(document)
-        except ET.ParseError as e:
-            return f"not well-formed: {e}"
-        space, name = _split(node.tag)
-        if name != root or root not in self.elements or space not in ("", self.namespace):
-            return f"unexpected root {name}"
-        return self._element(node, *self.elements[root], root)
-
-    def _element(self, node: ET.Element, kind: str, nillable: bool, path: str) -> str | None:
-        own = node.get(f"{XSI}type")
-        if own is not None:
-            own = own.rpartition(":")[2]
-            if own not in self.kinds or not self.is_kind_of(own, kind):
-                return f"wrong type {own} of {path}"
-            kind = own
-        type_ = self.kinds.get(kind) or Kind()
-        for name, required in type_.attributes.items():
-            if required and name not in node.attrib and f"{{{self.namespace}}}{name}" not in node.attrib:
-                return f"missing {path}/@{name}"
-        for key in node.attrib:
-            space, name = _split(key)
-            known = name in type_.attributes and space in ("", self.namespace)
-            if not known and not key.startswith((XSI, "{http://www.w3.org/XML/1998/namespace}")) and not (
-                    type_.any_attribute and re.fullmatch(type_.any_attribute, f"{space}|{name} ")):
-                return f"unexpected {path}/@{name}"
-        if node.get(f"{XSI}nil") in ("true", "1"):
-            return None if nillable and not len(node) and not (node.text or "").strip() else f"wrong nil {path}"
-        names = [_split(c.tag) for c in node]
-        if type_.pattern is None:
-            return f"unexpected {path}/{names[0][1]}" if names else None
-        if not type_.mixed and "".join([node.text or "", *(c.tail or "" for c in node)]).strip():
-            return f"unexpected text in {path}"
-        tokens = [f"{space}|{name} " for space, name in names]
-        if type_.unordered is not None:
-            found = [name for _, name in names]
-            for name, required in type_.unordered:
-                if required and name not in found:
-                    return f"missing {path}/{name}"
-            for i, name in enumerate(found):
-                if name not in type_.children:
-                    return f"unexpected {path}/{name}"
-                if name in found[:i]:
-                    return f"too many {path}/{name}"
-        elif not re.fullmatch(type_.pattern, "".join(tokens)):
-            for (space, name), token in zip(names, tokens, strict=True):
-                if (name not in type_.children or space not in ("", self.namespace)) and not any(re.fullmatch(w, token) for w in type_.wildcards):
-                    return f"unexpected {path}/{name}"
-            return f"wrong content of {path}: {' '.join(n for _, n in names)}".rstrip(": ")
-        for child, (space, name) in zip(node, names, strict=True):
-            if name in type_.children and space in ("", self.namespace):
-                fault = self._element(child, *type_.children[name], f"{path}/{name}")
-                if fault:
-                    return fault
+    def tables(self, root: str) -> dict:
+        """All that the expressions look up, by type number and state; type 0 stands for the document."""
+        names = ["", *(n for n in self.kinds if n)]
+        number = {n: i + 1 for i, n in enumerate(names)}
+        kinds = [Kind(), *(self.kinds.get(n) or Kind() for n in names)]
+        if root in self.elements:
+            kind, nil, space = self.elements[root]
+            kinds[0].children = dict.fromkeys((f"}}{root}", f"{space}}}{root}"), (kind, nil))
+        spaces = sorted({"", *(k.space for k in kinds), *(s[1:] for k in kinds for w in [*k.wildcards, k.any_attribute] for s in w if s[0] in "=!")})
+        rows: list[dict[str, int]] = []
+        ends: list[bool] = []
+        starts = []
+        for k in kinds:
+            if k.content is None or k.unordered is not None:
+                starts.append(-1)
+                continue
+            letters, own, todo = [*sorted(tokens_of(k.content)), *(f"{s}}}*" for s in spaces), OTHER], {}, [k.content]
+            starts.append(len(rows))
+            own[k.content] = len(rows)
+            for m in todo:  # grows
+                if own[m] >= STATES:
+                    raise ValueError(f"the content models need over {STATES} states")
+                row: dict[str, int] = {}
+                rows.append(row)
+                ends.append(may_end(m))
+                for letter in letters:
+                    to = after(m, letter)
+                    if to != EMPTY:
+                        if to not in own:
+                            own[to] = own[k.content] + len(own)
+                            todo.append(to)
+                        row[letter] = own[to]
+        local = lambda n: n.rpartition("}")[2]
+        return {
+            "kids": [{c: number.get(t, 1) for c, (t, _) in k.children.items()} for k in kinds], "nils": [{c: nil for c, (_, nil) in k.children.items()} for k in kinds],
+            "required": [[a for a, r in k.attributes.items() if r] for k in kinds], "attributes": [[f"{s}}}{a}" for a in k.attributes for s in dict.fromkeys(("", k.space))] for k in kinds],
+            "any_attribute": [sorted(k.any_attribute) for k in kinds], "wildcards": [sorted(set().union(*k.wildcards)) for k in kinds], "space": [k.space for k in kinds],
+            "simple": [k.content is None for k in kinds], "mixed": [k.mixed for k in kinds], "start": starts, "rows": rows, "ends": ends,
+            "unordered": [k.unordered is not None for k in kinds], "all_required": [[n for n, r in k.unordered or () if r] for k in kinds], "all_names": [[n for n, _ in k.unordered or ()] for k in kinds],
+            "derived": [{}, *({local(n): number[n] for n in reversed(names) if n and "#" not in n and self.is_kind_of(n, base)} for base in names)], "spaces": spaces}
+
+
+TABLES = ("struct<kids:array<map<string,int>>,nils:array<map<string,boolean>>,required:array<array<string>>,attributes:array<array<string>>,any_attribute:array<array<string>>,"
+          "wildcards:array<array<string>>,space:array<string>,simple:array<boolean>,mixed:array<boolean>,start:array<int>,rows:array<map<string,int>>,ends:array<boolean>,"
+          "unordered:array<boolean>,all_required:array<array<string>>,all_names:array<array<string>>,derived:array<map<string,int>>,spaces:array<string>>")
+_STEP = pa.struct([("name", pa.string()), ("own", pa.string())])
+_ELEMENT = pa.struct([("above", pa.list_(_STEP)), ("name", pa.string()), ("own", pa.string()), ("kids", pa.list_(pa.string())), ("attributes", pa.list_(pa.string())), ("text", pa.bool_()), ("nil", pa.bool_())])
+_DOCUMENT = pa.struct([("error", pa.string()), ("elements", pa.list_(_ELEMENT))])
+ELEMENTS = ("struct<error:string,elements:array<struct<above:array<struct<name:string,own:string>>,name:string,own:string,kids:array<string>,"
+            "attributes:array<string>,text:boolean,nil:boolean>>>")
+
+
+def _token(tag: str) -> str:
+    return tag[1:] if tag[0] == "{" else f"}}{tag}"
+
+
+def _elements(text: str | None) -> dict | None:
+    if text is None:
         return None
+    try:
+        root = ET.fromstring(text)
+    except ET.ParseError as e:
+        return {"error": f"not well-formed: {e}", "elements": None}
+    out, stack = [], [(root, [])]
+    while stack:
+        node, above = stack.pop()
+        name, own = _token(node.tag), (node.get(f"{XSI}type") or "").rpartition(":")[2]
+        out.append({"above": above, "name": name, "own": own, "kids": [_token(c.tag) for c in node], "attributes": [_token(a) for a in node.attrib if not a.startswith((XSI, XML_ATTRIBUTE))],
+                    "text": bool("".join([node.text or "", *(c.tail or "" for c in node)]).strip()), "nil": node.get(f"{XSI}nil") in ("true", "1")})
+        inner = [*above, {"name": name, "own": own}]
+        stack += [(c, inner) for c in reversed(node)]
+    return {"error": None, "elements": out}
+
+
+def elements_of(document: Column) -> Column:
+    """An XML text's elements in document order: the names above each, of its children and attributes; or why it cannot be read."""
+    @F.arrow_udf(ELEMENTS)
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.array([_elements(t) for t in texts.to_pylist()], _DOCUMENT)
+
+    return parse(document)
+
+
+def _local(token: Column) -> Column:
+    return F.substring_index(token, "}", -1)
+
+
+def _admitted(spaces: Column, token: Column) -> Column:
+    space = F.substring_index(token, "}", 1)
+    return F.exists(spaces, lambda s: (s == "*") | (s == F.concat(F.lit("="), space)) | (s.startswith("!") & (space != "") & (F.substr(s, F.lit(2)) != space)))
+
+
+def fault_of(elements: Column, rules: Rules, root: str) -> Column:
+    """The first broken rule of a document (a column of `elements_of`), null where there is none."""
+    r = F.from_json(F.lit(json.dumps(rules.tables(root))), TABLES)  # a constant: folded once
+    none = F.lit(None).cast("string")
+
+    def typed(parent: Column, name: Column, own: Column) -> Column:
+        """The type of a child, by its parent's; null: not looked into, or a wrong xsi:type."""
+        declared = F.get(r["kids"], parent)[name]
+        return F.when(own == "", declared).otherwise(F.get(r["derived"], declared)[own])
+
+    def content(e: Column, t: Column, path: Column) -> Column:
+        kids = e["kids"]
+
+        def step(state: Column, kid: Column) -> Column:
+            row, space = F.get(r["rows"], state), F.substring_index(kid, "}", 1)
+            group = F.when(F.array_contains(r["spaces"], space), F.concat(space, F.lit("}*"))).otherwise(F.lit(OTHER))
+            return F.when(state < 0, state).otherwise(F.coalesce(row[kid], row[group], F.lit(-1)))
+
+        end = F.aggregate(kids, F.get(r["start"], t), step)
+        stray = F.get(F.filter(kids, lambda k: ~F.map_contains_key(F.get(r["kids"], t), k) & ~_admitted(F.get(r["wildcards"], t), k)), F.lit(0))
+        names = F.array_join(F.transform(kids, _local), " ")
+        wrong = F.when(stray.isNotNull(), F.concat(F.lit("unexpected "), path, F.lit("/"), _local(stray))).otherwise(
+            F.concat(F.lit("wrong content of "), path, F.when(F.size(kids) > 0, F.concat(F.lit(": "), names)).otherwise("")))
+        # A repeat or a stranger is among the first children, one more than there are names.
+        allowed = F.get(r["all_names"], t)
+        first = F.slice(F.transform(kids, _local), F.lit(1), F.size(allowed) + 1)
+        missing = F.get(F.filter(F.get(r["all_required"], t), lambda n: ~F.exists(kids, lambda k: _local(k) == n)), F.lit(0))
+        odd = F.get(F.filter(F.transform(first, lambda n, i: F.when(~F.map_contains_key(F.get(r["kids"], t), F.get(kids, i)), F.concat(F.lit("unexpected "), path, F.lit("/"), n)).when(
+            F.array_position(first, n) <= i, F.concat(F.lit("too many "), path, F.lit("/"), n))), lambda x: x.isNotNull()), F.lit(0))
+        free = F.coalesce(F.when(missing.isNotNull(), F.concat(F.lit("missing "), path, F.lit("/"), missing)), odd)
+        return F.when(F.get(r["unordered"], t), free).when(~F.coalesce(F.get(r["ends"], end), F.lit(False)), wrong)
+
+    def of_element(e: Column) -> Column:
+        parent = F.aggregate(e["above"], F.lit(0), lambda t, s: F.coalesce(typed(t, s["name"], s["own"]), F.lit(-1)))
+        path = F.concat(F.array_join(F.transform(e["above"], lambda s: F.concat(_local(s["name"]), F.lit("/"))), ""), _local(e["name"]))
+        declared, t = F.get(r["kids"], parent)[e["name"]], typed(parent, e["name"], e["own"])
+        lacks = F.get(F.filter(F.get(r["required"], t), lambda a: ~F.array_contains(e["attributes"], F.concat(F.lit("}"), a)) & ~F.array_contains(e["attributes"], F.concat(F.get(r["space"], t), F.lit("}"), a))), F.lit(0))
+        extra = F.get(F.filter(e["attributes"], lambda a: ~F.array_contains(F.get(r["attributes"], t), a) & ~_admitted(F.get(r["any_attribute"], t), a)), F.lit(0))
+        nil = F.get(r["nils"], parent)[e["name"]] & (F.size(e["kids"]) == 0) & ~e["text"]
+        return (F.when(declared.isNull(), F.when(F.size(e["above"]) == 0, F.concat(F.lit("unexpected root "), _local(e["name"]))))
+                .when(t.isNull(), F.concat(F.lit("wrong type "), e["own"], F.lit(" of "), path))
+                .when(lacks.isNotNull(), F.concat(F.lit("missing "), path, F.lit("/@"), lacks))
+                .when(extra.isNotNull(), F.concat(F.lit("unexpected "), path, F.lit("/@"), _local(extra)))
+                .when(e["nil"], F.when(~nil, F.concat(F.lit("wrong nil "), path)))
+                .when(F.get(r["simple"], t), F.when(F.size(e["kids"]) > 0, F.concat(F.lit("unexpected "), path, F.lit("/"), _local(F.get(e["kids"], F.lit(0))))))
+                .when(e["text"] & ~F.get(r["mixed"], t), F.concat(F.lit("unexpected text in "), path))
+                .otherwise(content(e, t, path)))
+
+    first = F.get(F.filter(F.transform(elements["elements"], of_element), lambda f: f.isNotNull()), F.lit(0))
+    return F.coalesce(elements["error"], first, none)
 
 
-def _split(tag: str) -> tuple[str, str]:
-    space, _, name = tag.rpartition("}")
-    return space.removeprefix("{"), name
-
-
-def _times(pattern: str, low: int, high: int | None) -> str:
-    if (low, high) == (1, 1) or not pattern:
-        return pattern
-    return f"(?:{pattern}){{{low},{'' if high is None else high}}}"
+def first_fault(document: Column, rules: Rules, element: str) -> Column:
+    """The first broken rule of each XML text, null where there is none."""
+    return fault_of(elements_of(document), rules, element)
 
 
-def _wildcard(spaces: str, target: str) -> str:
-    own = re.escape(target)
+def _wildcard(spaces: str, target: str) -> frozenset[str]:
     if spaces == "##any":
-        return r"[^ ]+ "
+        return frozenset("*")
     if spaces == "##other":
-        return rf"(?!{own}\|)(?!\|)[^ ]+ "
-    names = ["" if s == "##local" else own if s == "##targetNamespace" else re.escape(s) for s in spaces.split()]
-    return rf"(?:{'|'.join(names)})\|[^ ]+ "
+        return frozenset((f"!{target}",))
+    return frozenset("=" + ("" if s == "##local" else target if s == "##targetNamespace" else s) for s in spaces.split())
 
 
 class RuleCompiler:
-    """Rules of the schemas that `found` holds (as plans.xsd keeps them: kind -> name -> node)."""
+    """Rules of the schemas that `found` holds: find(kind, name) gives a node, named by namespace and local name; nodes know their schema's target namespace."""
 
-    def __init__(self, found: dict[str, dict[str, ET.Element]], substitutes: dict[str, list[str]], namespace: str):
-        self.found, self.substitutes, self.namespace = found, substitutes, namespace
+    def __init__(self, found: dict[str, dict[str, ET.Element]], substitutes: dict[str, list[str]], find: Callable[[str, str | None], ET.Element | None]):
+        self.found, self.substitutes, self.find = found, substitutes, find
         self.kinds: dict[str, Kind] = {"": Kind()}
         self.bases: dict[str, str] = {}
 
-    def compile(self) -> Rules:
+    def compile(self, name_of: Callable[[ET.Element], str]) -> Rules:
+        """name_of: the name that a global element goes by among all."""
         for name, node in self.found["complexType"].items():
             self.kind(name, node)
-        elements = {n: self.typed(node, n) for n, node in self.found["element"].items()}
-        return Rules(self.kinds, elements, self.bases, self.namespace)
+        return Rules(self.kinds, {name_of(node): (*self.typed(node, name), node.get("_space")) for name, node in self.found["element"].items()}, self.bases)
 
     def typed(self, node: ET.Element, path: str) -> tuple[str, bool]:
         nillable = node.get("nillable") == "true"
@@ -164,95 +307,86 @@ class RuleCompiler:
             name = f"{path}#{len(self.kinds)}"
             self.kind(name, inner)
             return name, nillable
-        name = (node.get("type") or "").rpartition(":")[2]
         if not node.get("type") and node.get("substitutionGroup"):
-            head = self.found["element"].get(node.get("substitutionGroup").rpartition(":")[2])
+            head = self.find("element", node.get("substitutionGroup"))
             return (self.typed(head, path)[0] if head is not None else ""), nillable
-        return (name if name in self.found["complexType"] else ""), nillable
+        type_ = self.find("complexType", node.get("type"))
+        return (type_.get("_name") if type_ is not None else ""), nillable
 
     def kind(self, name: str, node: ET.Element) -> Kind:
         if name in self.kinds:
             return self.kinds[name]
-        kind = self.kinds[name] = Kind(mixed=node.get("mixed") == "true")
+        kind = self.kinds[name] = Kind(space=node.get("_space"), mixed=node.get("mixed") == "true")
         step = node
         for content in (node.find(f"{XS}simpleContent"), node.find(f"{XS}complexContent")):
             if content is not None:
                 kind.mixed = kind.mixed or content.get("mixed") == "true"
                 step = next(c for c in content if c.tag in (f"{XS}extension", f"{XS}restriction"))
         if step is node:
-            kind.pattern = self.particles(node, kind, name)
+            kind.content = self.particles(node, kind, name)
             self.attributes(node, kind)
             return kind
-        base = (step.get("base") or "").rpartition(":")[2]
-        parent = self.kind(base, self.found["complexType"][base]) if base in self.found["complexType"] else Kind()
-        if base in self.found["complexType"]:
-            self.bases[name] = base
+        base = self.find("complexType", step.get("base"))
+        parent = self.kind(base.get("_name"), base) if base is not None else Kind()
+        if base is not None:
+            self.bases[name] = base.get("_name")
         kind.attributes, kind.any_attribute, kind.mixed = dict(parent.attributes), parent.any_attribute, kind.mixed or parent.mixed
         own = self.particles(step, kind, name)
         if node.find(f"{XS}complexContent") is not None:
             if step.tag == f"{XS}extension":
                 kind.children, kind.wildcards = {**parent.children, **kind.children}, parent.wildcards + kind.wildcards
-                own = (parent.pattern or "") + own
-            kind.pattern = own
+                own = seq(parent.content or NOTHING, own)
+                kind.unordered = kind.unordered or parent.unordered
+            kind.content = own
         self.attributes(step, kind)
         return kind
 
-    def particles(self, node: ET.Element, kind: Kind, path: str) -> str:
-        """The pattern of the groups and elements in node, one after the other; what they name goes to kind."""
-        return "".join(self.particle(c, kind, path) for c in node)
+    def particles(self, node: ET.Element, kind: Kind, path: str) -> Content:
+        """The model of the groups and elements in node, one after the other; what they name goes to kind."""
+        return functools.reduce(lambda rest, m: seq(m, rest), [self.particle(c, kind, path) for c in node][::-1], NOTHING)
 
-    def particle(self, c: ET.Element, kind: Kind, path: str) -> str:
+    def particle(self, c: ET.Element, kind: Kind, path: str) -> Content:
         tag = c.tag.removeprefix(XS)
         if tag not in ("element", "sequence", "choice", "all", "group", "any"):
-            return ""
+            return NOTHING
         high = c.get("maxOccurs", "1")
         low, most = int(c.get("minOccurs", "1")), None if high == "unbounded" else int(high)
         if tag == "element":
-            return _times(self.element(c, kind, path), low, most)
+            return rep(self.element(c, kind, path), low, most)
         if tag == "any":
-            kind.wildcards.append(_wildcard(c.get("namespace", "##any"), self.namespace))
-            return _times(kind.wildcards[-1], low, most)
+            kind.wildcards.append(_wildcard(c.get("namespace", "##any"), c.get("_space")))
+            return rep(("any", kind.wildcards[-1]), low, most)
         if tag == "group":
-            return _times(self.particles(self.found["group"][c.get("ref").rpartition(":")[2]], kind, path), low, most)
+            return rep(self.particles(self.find("group", c.get("ref")), kind, path), low, most)
         if tag == "choice":
-            return _times(f"(?:{'|'.join(self.particle(x, kind, path) for x in c)})", low, most)
+            return rep(alt([self.particle(x, kind, path) for x in c if x.tag != f"{XS}annotation"]), low, most)
         inner = self.particles(c, kind, path)
         if tag == "all":
-            kind.unordered = tuple(((x.get("name") or x.get("ref").rpartition(":")[2]), x.get("minOccurs", "1") != "0" and low > 0) for x in c if x.tag == f"{XS}element")
-        return _times(inner, low, most)
-
-    def element(self, c: ET.Element, kind: Kind, path: str) -> str:
-        names = [c.get("name")]
-        if c.get("ref"):
-            names = self.all_substitutes(c.get("ref").rpartition(":")[2])
-            for n in names:
-                kind.children[n] = self.typed(self.found["element"][n], n)
-        else:
-            kind.children[c.get("name")] = self.typed(c, f"{path}/{c.get('name')}")
-        return f"(?:{re.escape(self.namespace)})?\\|(?:{'|'.join(map(re.escape, names))}) "
-
-    def all_substitutes(self, name: str) -> list[str]:
+            kind.unordered = tuple(((x.get("name") or x.get("ref").rpartition("}")[2]), x.get("minOccurs", "1") != "0" and low > 0) for x in c if x.tag == f"{XS}element")
+        return rep(inner, low, most)
+
+    def element(self, c: ET.Element, kind: Kind, path: str) -> Content:
+        nodes = self.all_substitutes(self.find("element", c.get("ref"))) if c.get("ref") else [c]
+        out = set()
+        for n in nodes:
+            known = self.typed(n, n.get("_name") if c.get("ref") else f"{path}/{c.get('name')}")
+            for token in (f"}}{n.get('name')}", f"{n.get('_space')}}}{n.get('name')}"):
+                out.add(token)
+                kind.children[token] = known
+        return "name", frozenset(out)
+
+    def all_substitutes(self, node: ET.Element) -> list[ET.Element]:
         """An element and all that may stand for it, over any number of steps."""
-        out = [name]
+        out = [node]
         for n in out:
-            out += [s for s in self.substitutes.get(n, []) if s not in out]
-        return [n for n in out if self.found["element"][n].get("abstract") != "true"] or out
+            out += [s for s in (self.found["element"][x] for x in self.substitutes.get(n.get("_name"), [])) if s not in out]
+        return [n for n in out if n.get("abstract") != "true"] or out
 
     def attributes(self, node: ET.Element, kind: Kind) -> None:
         for c in node:
             if c.tag == f"{XS}attribute":
-                kind.attributes[c.get("name") or c.get("ref").rpartition(":")[2]] = c.get("use") == "required"
+                kind.attributes[c.get("name") or c.get("ref").rpartition("}")[2]] = c.get("use") == "required"
             elif c.tag == f"{XS}attributeGroup":
-                self.attributes(self.found["attributeGroup"][c.get("ref").rpartition(":")[2]], kind)
+                self.attributes(self.find("attributeGroup", c.get("ref")), kind)
             elif c.tag == f"{XS}anyAttribute":
-                kind.any_attribute = _wildcard(c.get("namespace", "##any"), self.namespace)
-
-
-def first_fault(document: Column, rules: Rules, element: str) -> Column:
-    """The first broken rule of each XML text, null where there is none."""
-
-    @F.pandas_udf("string")
-    def fault(texts: pd.Series) -> pd.Series:
-        return pd.Series([rules.fault(t, element) for t in texts], dtype="object")
-
-    return fault(document)
+                kind.any_attribute = _wildcard(c.get("namespace", "##any"), c.get("_space"))

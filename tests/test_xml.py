@@ -1,12 +1,18 @@
 """Schemas, typed scans and writes, events, scalar functions."""
 
+import itertools
+import random
+import re
+import time
+
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from geosift.functions import text as X
 from geosift.functions import xml as XML
-from geosift.plans import xsd
+from geosift.plans import xsd, xsd_rules
 
 HEAD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="urn:t" targetNamespace="urn:t">'
 SEQ = '<xs:sequence><xs:element name="a" type="xs:string"/><xs:element name="b" type="xs:string" maxOccurs="3"/></xs:sequence>'
@@ -76,11 +82,17 @@ def test_includes_substitution_and_merge():
         xsd.compile_xsd(f'{HEAD}<xs:attributeGroup name="A"><xs:attributeGroup ref="A"/></xs:attributeGroup><xs:element name="r"><xs:complexType><xs:attributeGroup ref="A"/></xs:complexType></xs:element></xs:schema>')
 
 
+def faults(rules, texts, element):
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, xml string").coalesce(1)
+    return [r.fault for r in rows.select("id", xsd_rules.first_fault(F.col("xml"), rules, element).alias("fault")).orderBy("id").collect()]
+
+
 def fault(xsd_body, xml, element="r", head=HEAD):
-    return xsd.compile_xsd(f"{head}{xsd_body}</xs:schema>").rules.fault(xml, element)
+    return faults(xsd.compile_xsd(f"{head}{xsd_body}</xs:schema>").rules, [xml], element)[0]
 
 
-def test_rules_of_groups():
+def test_rules_of_groups(spark):
     body = ('<xs:group name="G"><xs:sequence><xs:element name="a" type="xs:string"/><xs:choice maxOccurs="2"><xs:element name="b" type="xs:string"/><xs:element name="c" type="xs:string"/></xs:choice>'
             '</xs:sequence></xs:group><xs:element name="r"><xs:complexType><xs:sequence><xs:group ref="G" minOccurs="0" maxOccurs="2"/><xs:element name="z" type="xs:string"/></xs:sequence></xs:complexType></xs:element>')
     for good in ("<z/>", "<a/><b/><z/>", "<a/><c/><b/><a/><b/><z/>"):
@@ -93,7 +105,7 @@ def test_rules_of_groups():
     assert fault(all_, "<r><a/><q/></r>") == "unexpected r/q"
 
 
-def test_rules_of_wildcards_mixed_and_recursive_types():
+def test_rules_of_wildcards_mixed_and_recursive_types(spark):
     any_ = '<xs:element name="r"><xs:complexType{}><xs:sequence><xs:element name="a" type="xs:string"/><xs:any namespace="{}" maxOccurs="2"/></xs:sequence><xs:anyAttribute namespace="##other"/></xs:complexType></xs:element>'
     for spaces, good, bad in (("##any", '<q/><w:x xmlns:w="urn:w"/>', "<q/>" * 3), ("##other", '<w:x xmlns:w="urn:w"><w:y/></w:x>', "<q/>"), ("##local", "<q/>", '<w:x xmlns:w="urn:w"/>'),
                               ("urn:v ##targetNamespace", '<w:x xmlns:w="urn:v"/><t:x xmlns:t="urn:t"/>', '<w:x xmlns:w="urn:w"/>')):
@@ -105,7 +117,65 @@ def test_rules_of_wildcards_mixed_and_recursive_types():
     one, two = (xsd.compile_xsd(f'{HEAD}<xs:element name="{n}"><xs:complexType><xs:sequence><xs:element name="{m}" type="xs:int"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
                 for n, m in (("p", "a"), ("q", "b")))
     both = one.merge(two).rules
-    assert both.fault("<p><a/></p>", "p") is both.fault("<q><b/></q>", "q") is None and both.fault("<q><a/></q>", "q") == "unexpected q/a"
+    assert faults(both, ["<p><a/></p>"], "p") == [None] and faults(both, ["<q><b/></q>", "<q><a/></q>"], "q") == [None, "unexpected q/a"]
+
+
+def test_nested_occurrence_is_linear(spark):
+    body = ('<xs:element name="r"><xs:complexType><xs:sequence maxOccurs="unbounded"><xs:sequence minOccurs="0" maxOccurs="unbounded"><xs:element name="a" type="xs:string" minOccurs="0" maxOccurs="unbounded"/>'
+            '<xs:element name="b" type="xs:string" minOccurs="0" maxOccurs="3"/></xs:sequence></xs:sequence></xs:complexType></xs:element>')
+    rules = xsd.compile_xsd(f"{HEAD}{body}</xs:schema>").rules
+    assert faults(rules, ["<r>" + "<a/>" * 14 + "<c/></r>", "<r/>", "<r><b/><a/><b/><b/></r>"], "r") == ["unexpected r/c", None, None]
+    began = time.perf_counter()
+    assert faults(rules, ["<r>" + "<a/><b/>" * 50_000 + "</r>", "<r>" + "<a/>" * 100_000 + "<c/></r>"], "r") == [None, "unexpected r/c"]
+    assert time.perf_counter() - began < 20
+    model = rules.kinds[rules.elements["r"][0]].content
+    at, began = model, time.perf_counter()
+    for _ in range(100_000):
+        at = xsd_rules.after(at, "}a")
+    assert xsd_rules.may_end(at) and time.perf_counter() - began < 1
+
+
+def test_content_models_equal_regular_expressions():
+    """Automata against Python's matching, on short words of nested groups and counters."""
+    rng = random.Random(3)
+
+    def model(depth):
+        if depth == 0 or rng.random() < 0.3:
+            x = rng.choice("abc")
+            return ("name", frozenset((f"}}{x}",))), x
+        kind = rng.choice(["seq", "alt", "rep"])
+        (m, p), (n, q) = model(depth - 1), model(depth - 1)
+        if kind == "seq":
+            return xsd_rules.seq(m, n), p + q
+        if kind == "alt":
+            return xsd_rules.alt((m, n)), f"(?:{p}|{q})"
+        low, high = rng.choice([(0, 1), (0, None), (1, None), (2, 3), (0, 2)])
+        return xsd_rules.rep(m, low, high), f"(?:{p}){{{low},{'' if high is None else high}}}"
+
+    for _ in range(150):
+        m, pattern = model(4)
+        for n in range(5):
+            for word in itertools.product("abc", repeat=n):
+                at = m
+                for x in word:
+                    at = xsd_rules.after(at, f"}}{x}")
+                assert xsd_rules.may_end(at) == bool(re.fullmatch(pattern, "".join(word))), (pattern, word)
+
+
+def test_names_of_two_namespaces(spark):
+    other = ('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:b" xmlns="urn:b"><xs:complexType name="T"><xs:sequence><xs:element name="y" type="xs:string"/></xs:sequence></xs:complexType>'
+             '<xs:element name="r" type="T"/></xs:schema>')
+    main = ('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="urn:a" xmlns:a="urn:a" xmlns:b="urn:b"><xs:import namespace="urn:b" schemaLocation="b.xsd"/>'
+            '<xs:complexType name="T"><xs:sequence><xs:element name="x" type="xs:int"/></xs:sequence></xs:complexType>'
+            '<xs:element name="r"><xs:complexType><xs:sequence><xs:element name="t" type="b:T"/><xs:element name="u" type="a:T"/><xs:element ref="b:r" minOccurs="0"/></xs:sequence></xs:complexType></xs:element></xs:schema>')
+    model = xsd.compile_xsd(main, lambda ns, where: other)
+    assert model.ddl("r") == "struct<t:struct<y:string>,u:struct<x:bigint>,r:struct<y:string>>" and model.ddl("{urn:b}r") == "struct<y:string>"
+    good = '<a:r xmlns:a="urn:a" xmlns:b="urn:b"><a:t><b:y/></a:t><a:u><a:x>1</a:x></a:u><b:r><y/></b:r></a:r>'
+    assert faults(model.rules, [good, good.replace("b:y", "a:y"), good.replace("<b:r>", "<a:r>").replace("</b:r>", "</a:r>")], "r") == [None, "unexpected r/t/y", "unexpected r/r"]
+    with pytest.raises(xsd.SchemaError, match="several namespaces"):
+        xsd.compile_xsd(main.replace('type="b:T"', 'type="T"'), lambda ns, where: other)
+    with pytest.raises(xsd.SchemaError, match="two namespaces"):
+        xsd.compile_xsd(main.replace('name="t" type="b:T"', 'name="r" type="a:T"'), lambda ns, where: other)
 
 
 def test_recursive_types_end():
