@@ -162,58 +162,87 @@ class Rules:
                             todo.append(to)
                         row[letter] = own[to]
         local = lambda n: n.rpartition("}")[2]
-        return {
-            "kids": [{c: number.get(t, 1) for c, (t, _) in k.children.items()} for k in kinds], "nils": [{c: nil for c, (_, nil) in k.children.items()} for k in kinds],
-            "required": [[a for a, r in k.attributes.items() if r] for k in kinds], "attributes": [[f"{s}}}{a}" for a in k.attributes for s in dict.fromkeys(("", k.space))] for k in kinds],
-            "any_attribute": [sorted(k.any_attribute) for k in kinds], "wildcards": [sorted(set().union(*k.wildcards)) for k in kinds], "space": [k.space for k in kinds],
-            "simple": [k.content is None for k in kinds], "mixed": [k.mixed for k in kinds], "start": starts, "rows": rows, "ends": ends,
-            "unordered": [k.unordered is not None for k in kinds], "all_required": [[n for n, r in k.unordered or () if r] for k in kinds], "all_names": [[n for n, _ in k.unordered or ()] for k in kinds],
-            "derived": [{}, *({local(n): number[n] for n in reversed(names) if n and "#" not in n and self.is_kind_of(n, base)} for base in names)], "spaces": spaces}
+        derived = [{}, *({local(n): number[n] for n in reversed(names) if n and "#" not in n and self.is_kind_of(n, base)} for base in names)]
+        return {"rows": rows, "ends": ends, "spaces": spaces, "kinds": [{
+            "kids": {c: number.get(t, 1) for c, (t, _) in k.children.items()}, "nils": {c: nil for c, (_, nil) in k.children.items()}, "required": [a for a, r in k.attributes.items() if r],
+            "attributes": [f"{s}}}{a}" for a in k.attributes for s in dict.fromkeys(("", k.space))], "any_attribute": sorted(k.any_attribute), "wildcards": sorted(set().union(*k.wildcards)),
+            "space": k.space, "simple": k.content is None, "mixed": k.mixed, "start": start, "unordered": k.unordered is not None, "all_required": [n for n, r in k.unordered or () if r],
+            "all_names": [n for n, _ in k.unordered or ()], "derived": own} for k, start, own in zip(kinds, starts, derived, strict=True)]}
 
 
-TABLES = ("struct<kids:array<map<string,int>>,nils:array<map<string,boolean>>,required:array<array<string>>,attributes:array<array<string>>,any_attribute:array<array<string>>,"
-          "wildcards:array<array<string>>,space:array<string>,simple:array<boolean>,mixed:array<boolean>,start:array<int>,rows:array<map<string,int>>,ends:array<boolean>,"
-          "unordered:array<boolean>,all_required:array<array<string>>,all_names:array<array<string>>,derived:array<map<string,int>>,spaces:array<string>>")
-_STEP = pa.struct([("name", pa.string()), ("own", pa.string())])
-_ELEMENT = pa.struct([("above", pa.list_(_STEP)), ("name", pa.string()), ("own", pa.string()), ("kids", pa.list_(pa.string())), ("attributes", pa.list_(pa.string())), ("text", pa.bool_()), ("nil", pa.bool_())])
-_DOCUMENT = pa.struct([("error", pa.string()), ("elements", pa.list_(_ELEMENT))])
-ELEMENTS = ("struct<error:string,elements:array<struct<above:array<struct<name:string,own:string>>,name:string,own:string,kids:array<string>,"
-            "attributes:array<string>,text:boolean,nil:boolean>>>")
+TABLES = ("struct<rows:array<map<string,int>>,ends:array<boolean>,spaces:array<string>,kinds:array<struct<kids:map<string,int>,nils:map<string,boolean>,required:array<string>,"
+          "attributes:array<string>,any_attribute:array<string>,wildcards:array<string>,space:string,simple:boolean,mixed:boolean,start:int,unordered:boolean,"
+          "all_required:array<string>,all_names:array<string>,derived:map<string,int>>>>")
+ELEMENTS = "struct<error:string,elements:array<struct<above:array<string>,name:string,kids:array<string>,attributes:array<string>,text:boolean,nil:boolean>>>"
 
 
 def _token(tag: str) -> str:
     return tag[1:] if tag[0] == "{" else f"}}{tag}"
 
 
-def _elements(text: str | None) -> dict | None:
-    if text is None:
-        return None
-    try:
-        root = ET.fromstring(text)
-    except ET.ParseError as e:
-        return {"error": f"not well-formed: {e}", "elements": None}
-    out, stack = [], [(root, [])]
-    while stack:
-        node, above = stack.pop()
-        name, own = _token(node.tag), (node.get(f"{XSI}type") or "").rpartition(":")[2]
-        out.append({"above": above, "name": name, "own": own, "kids": [_token(c.tag) for c in node], "attributes": [_token(a) for a in node.attrib if not a.startswith((XSI, XML_ATTRIBUTE))],
-                    "text": bool("".join([node.text or "", *(c.tail or "" for c in node)]).strip()), "nil": node.get(f"{XSI}nil") in ("true", "1")})
-        inner = [*above, {"name": name, "own": own}]
-        stack += [(c, inner) for c in reversed(node)]
-    return {"error": None, "elements": out}
+class _Lists:
+    """Lists of one column, one after the other."""
+
+    def __init__(self) -> None:
+        self.flat: list[str] = []
+        self.ends = [0]
+
+    def add(self, items: Iterable[str]) -> None:
+        self.flat.extend(items)
+        self.ends.append(len(self.flat))
+
+    def array(self) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat, pa.string()))
 
 
 def elements_of(document: Column) -> Column:
-    """An XML text's elements in document order: the names above each, of its children and attributes; or why it cannot be read."""
+    """An XML text's elements in document order: the names above each, of itself, its children and attributes; or why it cannot be read.
+
+    A name is `namespace}local`, with a space and the local name of its xsi:type behind it where it has one.
+    """
     @F.arrow_udf(ELEMENTS)
     def parse(texts: pa.Array) -> pa.Array:
-        return pa.array([_elements(t) for t in texts.to_pylist()], _DOCUMENT)
+        above, kids, attributes = _Lists(), _Lists(), _Lists()
+        names, text, nil, ends, errors = [], [], [], [0], []
+        for document in texts.to_pylist():
+            errors.append(None)
+            try:
+                stack = [] if document is None else [(ET.fromstring(document), ())]
+            except ET.ParseError as e:
+                errors[-1], stack = f"not well-formed: {e}", []
+            while stack:
+                node, over = stack.pop()
+                name, own = _token(node.tag), node.get(f"{XSI}type")
+                if own:
+                    name = f"{name} {own.rpartition(':')[2]}"
+                names.append(name)
+                above.add(over)
+                kids.add(_token(c.tag) for c in node)
+                attributes.add(_token(a) for a in node.attrib if not a.startswith((XSI, XML_ATTRIBUTE)))
+                text.append(bool((node.text or "").strip()) or any((c.tail or "").strip() for c in node))
+                nil.append(node.get(f"{XSI}nil") in ("true", "1"))
+                if len(node):
+                    inner = (*over, name)
+                    stack += [(c, inner) for c in reversed(node)]
+            ends.append(len(names))
+        rows = pa.StructArray.from_arrays([above.array(), pa.array(names, pa.string()), kids.array(), attributes.array(), pa.array(text, pa.bool_()), pa.array(nil, pa.bool_())],
+                                          names=["above", "name", "kids", "attributes", "text", "nil"])
+        return pa.StructArray.from_arrays([pa.array(errors, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["error", "elements"])
 
     return parse(document)
 
 
+def _name(step: Column) -> Column:
+    return F.substring_index(step, " ", 1)
+
+
+def _own(step: Column) -> Column:
+    """The xsi:type of a name, or null."""
+    return F.when(F.contains(step, F.lit(" ")), F.substring_index(step, " ", -1))
+
+
 def _local(token: Column) -> Column:
-    return F.substring_index(token, "}", -1)
+    return F.substring_index(_name(token), "}", -1)
 
 
 def _admitted(spaces: Column, token: Column) -> Column:
@@ -226,10 +255,12 @@ def fault_of(elements: Column, rules: Rules, root: str) -> Column:
     r = F.from_json(F.lit(json.dumps(rules.tables(root))), TABLES)  # a constant: folded once
     none = F.lit(None).cast("string")
 
-    def typed(parent: Column, name: Column, own: Column) -> Column:
-        """The type of a child, by its parent's; null: not looked into, or a wrong xsi:type."""
-        declared = F.get(r["kids"], parent)[name]
-        return F.when(own == "", declared).otherwise(F.get(r["derived"], declared)[own])
+    kind_at = lambda number: F.get(r["kinds"], number)
+
+    def above(number: Column, step: Column) -> Column:
+        """The type of a child by its parent's; -1: not looked into, or a wrong xsi:type."""
+        declared = kind_at(number)["kids"][_name(step)]
+        return F.coalesce(F.when(_own(step).isNull(), declared).otherwise(kind_at(declared)["derived"][_own(step)]), F.lit(-1))
 
     def content(e: Column, t: Column, path: Column) -> Column:
         kids = e["kids"]
@@ -239,37 +270,40 @@ def fault_of(elements: Column, rules: Rules, root: str) -> Column:
             group = F.when(F.array_contains(r["spaces"], space), F.concat(space, F.lit("}*"))).otherwise(F.lit(OTHER))
             return F.when(state < 0, state).otherwise(F.coalesce(row[kid], row[group], F.lit(-1)))
 
-        end = F.aggregate(kids, F.get(r["start"], t), step)
-        stray = F.get(F.filter(kids, lambda k: ~F.map_contains_key(F.get(r["kids"], t), k) & ~_admitted(F.get(r["wildcards"], t), k)), F.lit(0))
+        end = F.aggregate(kids, t["start"], step)
+        stray = F.get(F.filter(kids, lambda k: ~F.map_contains_key(t["kids"], k) & ~_admitted(t["wildcards"], k)), F.lit(0))
         names = F.array_join(F.transform(kids, _local), " ")
-        wrong = F.when(stray.isNotNull(), F.concat(F.lit("unexpected "), path, F.lit("/"), _local(stray))).otherwise(
-            F.concat(F.lit("wrong content of "), path, F.when(F.size(kids) > 0, F.concat(F.lit(": "), names)).otherwise("")))
+        wrong = F.coalesce(F.concat(F.lit("unexpected "), path, F.lit("/"), _local(stray)),
+                           F.concat(F.lit("wrong content of "), path, F.when(F.size(kids) > 0, F.concat(F.lit(": "), names)).otherwise("")))
         # A repeat or a stranger is among the first children, one more than there are names.
-        allowed = F.get(r["all_names"], t)
-        first = F.slice(F.transform(kids, _local), F.lit(1), F.size(allowed) + 1)
-        missing = F.get(F.filter(F.get(r["all_required"], t), lambda n: ~F.exists(kids, lambda k: _local(k) == n)), F.lit(0))
-        odd = F.get(F.filter(F.transform(first, lambda n, i: F.when(~F.map_contains_key(F.get(r["kids"], t), F.get(kids, i)), F.concat(F.lit("unexpected "), path, F.lit("/"), n)).when(
+        first = F.slice(F.transform(kids, _local), F.lit(1), F.size(t["all_names"]) + 1)
+        missing = F.get(F.filter(t["all_required"], lambda n: ~F.exists(kids, lambda k: _local(k) == n)), F.lit(0))
+        odd = F.get(F.filter(F.transform(first, lambda n, i: F.when(~F.map_contains_key(t["kids"], F.get(kids, i)), F.concat(F.lit("unexpected "), path, F.lit("/"), n)).when(
             F.array_position(first, n) <= i, F.concat(F.lit("too many "), path, F.lit("/"), n))), lambda x: x.isNotNull()), F.lit(0))
-        free = F.coalesce(F.when(missing.isNotNull(), F.concat(F.lit("missing "), path, F.lit("/"), missing)), odd)
-        return F.when(F.get(r["unordered"], t), free).when(~F.coalesce(F.get(r["ends"], end), F.lit(False)), wrong)
-
-    def of_element(e: Column) -> Column:
-        parent = F.aggregate(e["above"], F.lit(0), lambda t, s: F.coalesce(typed(t, s["name"], s["own"]), F.lit(-1)))
-        path = F.concat(F.array_join(F.transform(e["above"], lambda s: F.concat(_local(s["name"]), F.lit("/"))), ""), _local(e["name"]))
-        declared, t = F.get(r["kids"], parent)[e["name"]], typed(parent, e["name"], e["own"])
-        lacks = F.get(F.filter(F.get(r["required"], t), lambda a: ~F.array_contains(e["attributes"], F.concat(F.lit("}"), a)) & ~F.array_contains(e["attributes"], F.concat(F.get(r["space"], t), F.lit("}"), a))), F.lit(0))
-        extra = F.get(F.filter(e["attributes"], lambda a: ~F.array_contains(F.get(r["attributes"], t), a) & ~_admitted(F.get(r["any_attribute"], t), a)), F.lit(0))
-        nil = F.get(r["nils"], parent)[e["name"]] & (F.size(e["kids"]) == 0) & ~e["text"]
-        return (F.when(declared.isNull(), F.when(F.size(e["above"]) == 0, F.concat(F.lit("unexpected root "), _local(e["name"]))))
-                .when(t.isNull(), F.concat(F.lit("wrong type "), e["own"], F.lit(" of "), path))
-                .when(lacks.isNotNull(), F.concat(F.lit("missing "), path, F.lit("/@"), lacks))
-                .when(extra.isNotNull(), F.concat(F.lit("unexpected "), path, F.lit("/@"), _local(extra)))
+        return F.when(t["unordered"], F.coalesce(F.concat(F.lit("missing "), path, F.lit("/"), missing), odd)).when(~F.coalesce(F.get(r["ends"], end), F.lit(False)), wrong)
+
+    def of_element(x: Column) -> Column:
+        """x: an element e with its declared type and its own."""
+        e, t = x["e"], x["t"]
+        path = F.concat(F.array_join(F.transform(e["above"], lambda s: F.concat(_local(s), F.lit("/"))), ""), _local(e["name"]))
+        lacks = F.get(F.filter(t["required"], lambda a: ~F.array_contains(e["attributes"], F.concat(F.lit("}"), a)) & ~F.array_contains(e["attributes"], F.concat(t["space"], F.lit("}"), a))), F.lit(0))
+        extra = F.get(F.filter(e["attributes"], lambda a: ~F.array_contains(t["attributes"], a) & ~_admitted(t["any_attribute"], a)), F.lit(0))
+        nil = x["nillable"] & (F.size(e["kids"]) == 0) & ~e["text"]
+        return (F.when(x["unknown"], F.when(F.size(e["above"]) == 0, F.concat(F.lit("unexpected root "), _local(e["name"]))))
+                .when(t.isNull(), F.concat(F.lit("wrong type "), _own(e["name"]), F.lit(" of "), path))
+                .when((F.size(t["required"]) > 0) & lacks.isNotNull(), F.concat(F.lit("missing "), path, F.lit("/@"), lacks))
+                .when((F.size(e["attributes"]) > 0) & extra.isNotNull(), F.concat(F.lit("unexpected "), path, F.lit("/@"), _local(extra)))
                 .when(e["nil"], F.when(~nil, F.concat(F.lit("wrong nil "), path)))
-                .when(F.get(r["simple"], t), F.when(F.size(e["kids"]) > 0, F.concat(F.lit("unexpected "), path, F.lit("/"), _local(F.get(e["kids"], F.lit(0))))))
-                .when(e["text"] & ~F.get(r["mixed"], t), F.concat(F.lit("unexpected text in "), path))
+                .when(t["simple"], F.when(F.size(e["kids"]) > 0, F.concat(F.lit("unexpected "), path, F.lit("/"), _local(F.get(e["kids"], F.lit(0))))))
+                .when(e["text"] & ~t["mixed"], F.concat(F.lit("unexpected text in "), path))
                 .otherwise(content(e, t, path)))
 
-    first = F.get(F.filter(F.transform(elements["elements"], of_element), lambda f: f.isNotNull()), F.lit(0))
+    # Each step's result is a field of the next one's struct, so that it is computed once.
+    placed = F.transform(elements["elements"], lambda e: F.struct(e.alias("e"), kind_at(F.aggregate(e["above"], F.lit(0), above)).alias("parent")))
+    named = F.transform(placed, lambda x: F.struct(x["e"].alias("e"), kind_at(x["parent"]["kids"][_name(x["e"]["name"])]).alias("declared"), x["parent"]["nils"][_name(x["e"]["name"])].alias("nillable")))
+    typed = F.transform(named, lambda x: F.struct(x["e"].alias("e"), x["nillable"].alias("nillable"), x["declared"].isNull().alias("unknown"),
+                                                  F.when(_own(x["e"]["name"]).isNull(), x["declared"]).otherwise(kind_at(x["declared"]["derived"][_own(x["e"]["name"])])).alias("t")))
+    first = F.get(F.filter(F.transform(typed, of_element), lambda f: f.isNotNull()), F.lit(0))
     return F.coalesce(elements["error"], first, none)
 
 
