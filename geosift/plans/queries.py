@@ -21,6 +21,7 @@ from geosift.plans import xsd, xsd_rules
 from geosift.schema import META, Elements
 from geosift.sources import osm_xml, sinks
 from geosift.staging import new_path, stage
+from geosift.streaming import extract as stream_states
 from geosift.streaming import nodes as streams
 
 CUSTOMER, NATION, REGION = 10**12, 2 * 10**12, 3 * 10**12
@@ -693,3 +694,17 @@ def stream_nodes(spark, sf):
     rows = rows.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") - F.lit(900.0)).alias("y"))
     streams.stream_inside(rows, MAIN, out, checkpoint).awaitTermination()
     return spark.read.schema("id long, x double, y double").parquet(out).select("id")
+
+
+@query(f"{sql_cut(MAIN)} SELECT 'node' AS kind, id FROM n UNION ALL SELECT 'way', id FROM w")
+def stream_extract(spark, sf):
+    """Nodes and ways arrive in micro-batches of some files each; the keyed states give what the batch extract gives."""
+    base = new_path(spark, "stream-extract")
+    elements = map_of(spark, sf)
+    parts = {"nodes": elements.nodes.select("id", "x", "y"), "ways": elements.ways.select("id", "nodes")}
+    arriving = {}
+    for name, df in parts.items():
+        df.repartition(6).write.parquet(f"{base}/{name}")
+        arriving[name] = streams.stream_points(spark, f"{base}/{name}", df.schema, max_files=2)
+    stream_states.start_cut(arriving["nodes"], arriving["ways"], MAIN, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("kind string, id long").parquet(f"{base}/out")
