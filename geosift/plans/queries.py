@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -141,16 +142,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@query(f"SELECT poly_id, kind, edge_no, x1, y1, x2, y2, a, b, c, xmin, ymin, xmax, ymax FROM {sql_edges(DISC)}")
-def ring_edges(spark, sf):
-    return P.edge_table(P.polygons_df(spark, DISC))
-
-
-@query(f"SELECT poly_id, kind, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM {sql_edges(HOLE)} GROUP BY 1, 2")
-def polygon_bbox(spark, sf):
-    return P.bounding_boxes(P.polygons_df(spark, HOLE))
-
-
 @query(sql_inside(SQL_POINTS, MAIN))
 def pip_include(spark, sf):
     return P.inside(points(spark, sf), MAIN).select("id")
@@ -235,6 +226,17 @@ SQL_RHOMB_CTES = f"""r AS ({SQL_RHOMBS}),
       OR sum(CASE WHEN ymin <= y AND y < ymax AND (CASE WHEN a > 0 THEN -(a * x + b * y + c) ELSE a * x + b * y + c END) > 0 THEN 1 ELSE 0 END) % 2 = 1)"""
 
 
+@query(f"""WITH r AS ({SQL_RHOMBS}), s AS (SELECT poly_id, kind, 0 AS edge_no, x AS x1, y + dy AS y1, x - dx AS x2, y AS y2 FROM r UNION ALL SELECT poly_id, kind, 1, x - dx, y, x, y - dy FROM r
+    UNION ALL SELECT poly_id, kind, 2, x, y - dy, x + dx, y FROM r UNION ALL SELECT poly_id, kind, 3, x + dx, y, x, y + dy FROM r) {SQL_TABLE_EDGES}""")
+def ring_edges(spark, sf):
+    return P.edge_table(order_polygons(spark, sf))
+
+
+@query(f"SELECT poly_id, kind, x - dx AS xmin, y - dy AS ymin, x + dx AS xmax, y + dy AS ymax FROM ({SQL_RHOMBS})")
+def polygon_bbox(spark, sf):
+    return P.bounding_boxes(order_polygons(spark, sf))
+
+
 @query(f"WITH {SQL_RHOMB_CTES} SELECT id, poly_id FROM t")
 def pip_polygon_table(spark, sf):
     tree = SP.quadtree(SP.ring_edges(order_polygons(spark, sf)))
@@ -263,20 +265,26 @@ def _sql_grid(polygons: Sequence[P.Polygon], n: int = 128) -> str:
     return f"""WITH e AS (SELECT * FROM {sql_edges(polygons)}),
   g AS (SELECT {x0} AS x0, {y0} AS y0, ({x1} - {x0}) / {n} AS w, ({y1} - {y0}) / {n} AS h),
   cells AS (SELECT cx.range AS cx, cy.range AS cy, x0 + (cx.range + 0.5::DOUBLE) * w AS x, y0 + (cy.range + 0.5::DOUBLE) * h AS y FROM range({n}) cx, range({n}) cy, g),
-  part AS (SELECT cx, y0, h, CASE WHEN b <> 0 THEN greatest(ymin, least({lo}, {hi})) ELSE ymin END AS lo, CASE WHEN b <> 0 THEN least(ymax, greatest({lo}, {hi})) ELSE ymax END AS hi
+  strip AS (SELECT cx, y0, h, CASE WHEN b <> 0 THEN greatest(ymin, least({lo}, {hi})) ELSE ymin END AS lo, CASE WHEN b <> 0 THEN least(ymax, greatest({lo}, {hi})) ELSE ymax END AS hi
     FROM (SELECT range::DOUBLE AS cx FROM range({n})), e, g WHERE cx BETWEEN trunc((xmin - x0) / w - 1e-6::DOUBLE) AND trunc((xmax - x0) / w + 1e-6::DOUBLE)),
-  mixed AS (SELECT DISTINCT c.cx, c.cy FROM cells c JOIN part p ON c.cx = p.cx AND c.cy BETWEEN trunc((lo - y0) / h - 1e-6::DOUBLE) AND trunc((hi - y0) / h + 1e-6::DOUBLE)),
+  mixed AS (SELECT DISTINCT c.cx, c.cy FROM cells c JOIN strip p ON c.cx = p.cx AND c.cy BETWEEN trunc((lo - y0) / h - 1e-6::DOUBLE) AND trunc((hi - y0) / h + 1e-6::DOUBLE)),
   ring AS (SELECT cx, cy, kind, sum(CASE WHEN ymin <= y AND y < ymax AND (CASE WHEN a > 0 THEN -{r} ELSE {r} END) > 0 THEN 1 ELSE 0 END) % 2 = 1 AS inside
     FROM cells, e GROUP BY cx, cy, kind, poly_id),
+  pts AS (SELECT cx, cy, count(*) AS points FROM (SELECT greatest(0, least({n} - 1, floor((x - x0) / w))) AS cx, greatest(0, least({n} - 1, floor((y - y0) / h))) AS cy
+    FROM ({SQL_POINTS}), g WHERE x BETWEEN x0 AND x0 + w * {n} AND y BETWEEN y0 AND y0 + h * {n}) GROUP BY 1, 2),
   centre AS (SELECT cx, cy, bool_or(kind = 'include' AND inside) AND NOT bool_or(kind = 'exclude' AND inside) AS inside FROM ring GROUP BY cx, cy)
-  SELECT CASE WHEN m.cx IS NOT NULL THEN 'mixed' WHEN inside THEN 'in' ELSE 'out' END AS class, count(*) AS n
-  FROM centre LEFT JOIN mixed m USING (cx, cy) GROUP BY 1"""
+  SELECT CASE WHEN m.cx IS NOT NULL THEN 'mixed' WHEN inside THEN 'in' ELSE 'out' END AS class, count(*) AS n, coalesce(sum(points), 0)::BIGINT AS points
+  FROM centre LEFT JOIN mixed m USING (cx, cy) LEFT JOIN pts USING (cx, cy) GROUP BY 1"""
 
 
 @query(_sql_grid(DISC))
 def grid_cell_classes(spark, sf):
-    cells = spark.createDataFrame(P.grid_cells(DISC), "cx int, cy int, class string")
-    return cells.groupBy("class").agg(F.count("*").alias("n"))
+    """Cells of each class, and the points in them."""
+    box = P.include_box(DISC)
+    cx, cy = P.cell_of(F.col("x"), F.col("y"), box)
+    held = points(spark, sf).where(P.box_filter(F.col("x"), F.col("y"), box)).groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.count("*").alias("points"))
+    cells = spark.createDataFrame(P.grid_cells(DISC), "cx int, cy int, class string").join(held, ["cx", "cy"], "left")
+    return cells.groupBy("class").agg(F.count("*").alias("n"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"))
 
 
 @query(f"WITH n AS ({sql_inside(SQL_POINTS, MAIN)}) SELECT DISTINCT l_orderkey AS way_id FROM lineitem WHERE l_partkey IN (SELECT id FROM n)")
@@ -443,14 +451,17 @@ def xml_roundtrip(spark, sf):
     return tagged(extract.cut(osm_xml.read_osm_xml(spark, _written(spark, sf)), MAIN))
 
 
-POLY_TEXT = "area\n1\n\t4 10\n   9.0   1.0E1\n 9 40.0\nEND\n!2\n 5 12\n 6 12\n 6 13\nEND\nEND\n"
-
-
-@query("SELECT * FROM (VALUES (0, 'include', '4.0/10.0,9.0/10.0,9.0/40.0'), (1, 'exclude', '5.0/12.0,6.0/12.0,6.0/13.0')) AS t(poly_id, kind, ring)")
+@query("""SELECT c_nationkey AS nation, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS INTEGER) AS poly_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'exclude' ELSE 'include' END AS kind,
+    CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey, c_acctbal) - 1 AS INTEGER) AS pos, CAST(c_custkey AS DOUBLE) AS x, c_acctbal AS y FROM customer""")
 def read_poly(spark, sf):
-    files = spark.createDataFrame([("a", POLY_TEXT)], "path string, value string")
-    ring = F.array_join(F.transform("ring", lambda p: F.concat_ws("/", p["x"].cast("string"), p["y"].cast("string"))), ",")
-    return osm_xml.parse_poly(files).select("poly_id", "kind", ring.alias("ring"))
+    """A polygon file for each nation, a section for each market segment, parsed again."""
+    own = read(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_acctbal"))).alias("p"))
+    lines = F.array_join(F.transform("p", lambda p: F.concat(F.lit("\t"), p["c_custkey"].cast("string"), F.lit("   "), p["c_acctbal"].cast("string"))), "\n")
+    section = F.concat(F.when(F.col("c_mktsegment") == "BUILDING", "!").otherwise(""), F.size("p").cast("string"), F.lit("\n"), lines, F.lit("\nEND\n")).alias("text")
+    texts = own.select("c_nationkey", F.struct("c_mktsegment", section).alias("s")).groupBy("c_nationkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    files = texts.select(F.col("c_nationkey").cast("string").alias("path"), F.concat(F.lit("nation\n"), F.array_join(F.transform("s", lambda x: x["text"]), ""), F.lit("END\nnot read\n")).alias("value"))
+    rings = osm_xml.parse_poly(files)
+    return rings.select(F.col("path").cast("int").alias("nation"), "poly_id", "kind", F.posexplode("ring").alias("pos", "p")).select("nation", "poly_id", "kind", "pos", "p.x", "p.y")
 
 
 @query(f"SELECT doc_id, {_ESC.format('text')} AS attribute, replace(replace(replace(text, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;') AS content FROM documents")
@@ -619,13 +630,20 @@ def xml_sax_events(spark, sf):
     return XML.sax_events(order_xml(spark, sf)).groupBy("event").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'bigint'), ('b', 'array<string>'), ('c', 'boolean')) AS t(name, type)")
+_PRIORITIES = {"1": ("xs:int", "bigint"), "5": ("xs:boolean", "boolean")}  # other priorities: repeated text
+
+
+@query("""SELECT DISTINCT 'order' || o_orderstatus AS element, 'p' || left(o_orderpriority, 1) AS name,
+    CASE left(o_orderpriority, 1) WHEN '1' THEN 'bigint' WHEN '5' THEN 'boolean' ELSE 'array<string>' END AS type FROM orders""")
 def schema_merge(spark, sf):
-    one, two = (xsd.compile_xsd(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="{e}"><xs:complexType><xs:sequence>{body}</xs:sequence></xs:complexType></xs:element></xs:schema>')
-                for e, body in (("p", '<xs:element name="a" type="xs:int"/><xs:element name="b" type="xs:string" maxOccurs="3"/>'), ("q", '<xs:element name="c" type="xs:boolean"/>')))
-    model = one.merge(two)
-    rows = [(f.name, f.dataType.simpleString()) for e in ("p", "q") for f in model.schema(e).fields]
-    return spark.createDataFrame(rows, "name string, type string")
+    """A schema for each status of orders, with a field for each priority they have, merged into one model."""
+    groups = read(spark, sf, "orders").select("o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("p")).groupBy("o_orderstatus").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    models = []
+    for status, priorities in groups.collect():  # a row a status
+        fields = "".join(f'<xs:element name="p{p}" type="{_PRIORITIES[p][0]}"/>' if p in _PRIORITIES else f'<xs:element name="p{p}" type="xs:string" maxOccurs="unbounded"/>' for p in priorities)
+        models.append(xsd.compile_xsd(f'<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="order{status}"><xs:complexType><xs:sequence>{fields}</xs:sequence></xs:complexType></xs:element></xs:schema>'))
+    model = reduce(lambda one, two: one.merge(two), models, xsd.Model())
+    return spark.createDataFrame([(e, f.name, f.dataType.simpleString()) for e in model.elements for f in model.schema(e).fields], "element string, name string, type string")
 
 
 _PARENTS = "SELECT c_custkey AS child, c_custkey // 10 AS parent FROM customer WHERE c_custkey >= 10"
