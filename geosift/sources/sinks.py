@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geosift.functions.text import escape_attribute, number_text
-from geosift.schema import META, Elements
+from geosift.schema import META, NODE, RELATION, WAY, Elements
 
 HEADER = '<?xml version="1.0"?>'
 
@@ -38,20 +38,31 @@ def _attributes(*own: Column) -> Column:
     return F.concat(attribute("id", F.col("id")), *own, *[attribute(c, F.col(c)) for c in META])
 
 
+def _node() -> Column:
+    at = [attribute("lat", number_text(F.col("y"))), attribute("lon", number_text(F.col("x")))]
+    return element("node", _attributes(*at), _tags())
+
+
+def _way() -> Column:
+    return element("way", _attributes(), F.concat(F.transform("nodes", lambda n: child("nd", attribute("ref", n))), _tags()))
+
+
+def _relation() -> Column:
+    members = F.transform("members", lambda m: child("member", F.concat(attribute("type", m["type"]), attribute("ref", m["ref"]), attribute("role", m["role"]))))
+    return element("relation", _attributes(), F.concat(members, _tags()))
+
+
 def render_nodes(nodes: DataFrame) -> DataFrame:
     """id, value: the node's XML."""
-    at = [attribute("lat", number_text(F.col("y"))), attribute("lon", number_text(F.col("x")))]
-    return nodes.select("id", element("node", _attributes(*at), _tags()).alias("value"))
+    return nodes.select("id", _node().alias("value"))
 
 
 def render_ways(ways: DataFrame) -> DataFrame:
-    refs = F.transform("nodes", lambda n: child("nd", attribute("ref", n)))
-    return ways.select("id", element("way", _attributes(), F.concat(refs, _tags())).alias("value"))
+    return ways.select("id", _way().alias("value"))
 
 
 def render_relations(relations: DataFrame) -> DataFrame:
-    members = F.transform("members", lambda m: child("member", F.concat(attribute("type", m["type"]), attribute("ref", m["ref"]), attribute("role", m["role"]))))
-    return relations.select("id", element("relation", _attributes(), F.concat(members, _tags())).alias("value"))
+    return relations.select("id", _relation().alias("value"))
 
 
 def root_tag(root: dict[str, str]) -> str:
@@ -87,7 +98,13 @@ def write_osm(map_: Elements, path: str, *, files: int | None = None) -> None:
         if not empty:
             yield line(end)
 
-    # The header's row makes a document of an empty map, too; the writer ends each line.
-    lines = render_xml(map_).where("rank < 9").select("rank", "id", F.regexp_replace("value", r"\A\n", "").alias("value"), (F.col("rank") > 0).alias("body"))
-    lines = lines.repartitionByRange(files, "rank", "id").sortWithinPartitions("rank", "id") if files else lines.orderBy("rank", "id")
-    lines.select("value", "body").mapInArrow(document, "value string").write.text(path)
+    # Elements are dealt and sorted by range as they are, and rendered where they are written: what Spark samples and shuffles is no text.
+    # The header's row (rank 0) makes a document of an empty map, too; the writer ends each line.
+    rows = map_.nodes.sparkSession.createDataFrame([(0, None)], "rank int, id long")
+    for rank, part in enumerate((map_.nodes.select(*NODE.fieldNames()), map_.ways.select(*WAY.fieldNames()), map_.relations.select(*RELATION.fieldNames())), 1):
+        rows = rows.unionByName(part.withColumn("rank", F.lit(rank)), allowMissingColumns=True)
+    keys = ("rank", "id")
+    placed = rows.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys)
+    xml = F.when(F.col("rank") == 1, _node()).when(F.col("rank") == 2, _way()).when(F.col("rank") == 3, _relation()).otherwise("")
+    lines = placed.select(F.regexp_replace(xml, r"\A\n", "").alias("value"), (F.col("rank") > 0).alias("body"))
+    lines.mapInArrow(document, "value string").write.text(path)
