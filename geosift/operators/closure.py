@@ -24,7 +24,7 @@ def _jumps(links: DataFrame) -> DataFrame:
 def _doubled(jumps: DataFrame) -> DataFrame:
     """Jumps of twice the length; they end where there is more than one parent, or none."""
     further = jumps.select(F.col("id").alias("to"), F.col("to").alias("next"))
-    return stage(jumps.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "jumps")
+    return stage(jumps.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "jumps")
 
 
 def ancestors(seeds: DataFrame, links: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def ancestors(seeds: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         step = frontier.join(links, frontier["id"] == links["child"]).select(F.col("parent").alias("id"))
         if rounds >= PATIENCE:
-            jumps = _doubled(jumps) if jumps else stage(_jumps(links), "jumps")
+            jumps = _doubled(jumps).select("id", "to") if jumps else stage(_jumps(links), "jumps")
             # A jump of 2 ** k from all that lie within 2 ** k: nothing in between is passed over.
             step = step.unionByName(visited.join(jumps, "id").select(F.col("to").alias("id")))
         frontier = stage(step.distinct().join(visited, "id", "left_anti"), "closure")
@@ -68,7 +68,9 @@ def _without_tails(links: DataFrame) -> DataFrame:
     """Links whose ends may lie on cycles: chains and trees that lead to a dead end go, in a logarithm of rounds, whatever their length."""
     jumps, n = stage(_jumps(links), "jumps"), links.select("child").distinct().count()
     while n > 1:
-        jumps, n = _doubled(jumps), n // 2 + n % 2
+        jumps, n = _doubled(jumps.select("id", "to")), n // 2 + n % 2
+        if jumps.where("moved").isEmpty():  # all chains end; those on rings never do
+            break
     dead = links.select(F.col("parent").alias("to")).distinct().join(links.select(F.col("child").alias("to")), "to", "left_anti")
     gone = stage(jumps.join(dead, "to").select("id").unionByName(dead.select(F.col("to").alias("id"))).distinct(), "tails")
     rest = links.join(gone.select(F.col("id").alias("child")), "child", "left_anti").join(gone.select(F.col("id").alias("parent")), "parent", "left_anti")
@@ -101,7 +103,7 @@ def _least_below(links: DataFrame) -> DataFrame:
         labels = after.select("id", "label")
         if after.where("label < old").isEmpty():
             return labels
-        jumps = _doubled(jumps)
+        jumps = _doubled(jumps).select("id", "to")
 
 
 def strong_components(links: DataFrame) -> DataFrame:
