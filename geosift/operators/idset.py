@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geosift.staging import unused
+
 
 def id_set(ids: DataFrame, *columns: str) -> DataFrame:
     """The distinct non-null ids."""
@@ -44,7 +46,8 @@ def bitmap_counts(bits: DataFrame) -> DataFrame:
 def bitmap_members(rows: DataFrame, bits: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose id has its bit set: an equi-join on the bucket, then one byte is looked at."""
     pos = F.bitmap_bit_position(F.col(column))
-    keyed = rows.withColumn("__bucket", F.bitmap_bucket_number(F.col(column)))
-    joined = keyed.join(bits.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")), "__bucket")
-    byte = F.conv(F.hex(F.substring("__bits", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bucket, own = unused("bucket", rows), unused("bits", rows)
+    keyed = rows.withColumn(bucket, F.bitmap_bucket_number(F.col(column)))
+    joined = keyed.join(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(own)), bucket)
+    byte = F.conv(F.hex(F.substring(own, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return joined.where(F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)

@@ -34,6 +34,7 @@ CHUNK = 64  # edges and heights of a leaf's row at most
 MARGIN = 1e-9  # of the whole's side: parts are taken so much larger, for rounding
 LEAF_ROWS = 20_000  # leaves (a few kB each) up to which they are broadcast
 _ITEM = ("t", "a", "b", "c", "xmin", "ymin", "xmax", "ymax")  # a height, or an edge
+_BOX = ("left", "low", "high")  # of the whole polygon
 
 
 @dataclass(frozen=True)
@@ -86,14 +87,16 @@ def _split(items: DataFrame, box: tuple[float, float, float, float], level: int)
     meets = (F.col("i") >= F.col("i0")) & (spot | (low <= 0) & (high >= 0))
     is_left = (F.col("a") != 0) & ((F.col("i") < F.col("i0")) | (F.when(F.col("a") > 0, -high).otherwise(low) > 0))
     child = [(F.col("z") * 16 + F.col("i").bitwiseAND(F.lit(1)) + F.col("j").bitwiseAND(F.lit(1)) * 2 + F.shiftright("i", 1) * 4 + F.shiftright("j", 1) * 8).alias("z"),
-             (F.col("nx") * 4 + F.col("i")).alias("nx"), (F.col("ny") * 4 + F.col("j")).alias("ny"), "poly_id"]
-    tested = edges.select("*", meets.alias("meets"), is_left.alias("is_left"), y0.alias("y0"), y1.alias("y1"))
+             (F.col("nx") * 4 + F.col("i")).alias("nx"), (F.col("ny") * 4 + F.col("j")).alias("ny"), "poly_id", *_BOX]
+    # A part that lies wholly to the left of a polygon, or above or below it, needs nothing of it: all its heights would cancel out.
+    near = (F.col("left") <= x1) & (F.col("low") <= y1) & (F.col("high") >= y0)
+    tested = edges.where(near).select("*", meets.alias("meets"), is_left.alias("is_left"), y0.alias("y0"), y1.alias("y1"))
     kept = tested.where("meets").select(*child, *_ITEM)
     ends = tested.where("not meets and is_left").select(*child, "y0", "y1", F.explode(F.array("ymin", "ymax")).alias("t"))
-    old = items.where("t is not null").select("z", "nx", "ny", "poly_id", "t", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
-    old = old.select(*child, y0.alias("y0"), y1.alias("y1"), "t")
+    old = items.where("t is not null").select("z", "nx", "ny", "poly_id", *_BOX, "t", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    old = old.where(near).select(*child, y0.alias("y0"), y1.alias("y1"), "t")
     heights = ends.unionByName(old).where("t >= y0").withColumn("t", F.when(F.col("t") > F.col("y1"), float("inf")).otherwise(F.col("t")))
-    odd = heights.groupBy("z", "nx", "ny", "poly_id", "t").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
+    odd = heights.groupBy("z", "nx", "ny", "poly_id", *_BOX, "t").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
     return kept.unionByName(odd, allowMissingColumns=True)
 
 
@@ -114,7 +117,8 @@ def quadtree(edges: DataFrame, depth: int = DEPTH, leaf: int = LEAF) -> Quadtree
         raise ValueError(f"depth {depth}: an even number from 2 to 20")
     left, bottom, right, top = edges.agg(F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
-    items = edges.select(zero.alias("z"), zero.alias("nx"), zero.alias("ny"), "poly_id", none.alias("t"), *_ITEM[1:])
+    boxes = edges.groupBy("poly_id").agg(F.min("xmin").alias("left"), F.min("ymin").alias("low"), F.max("ymax").alias("high"))
+    items = edges.join(boxes, "poly_id").select(zero.alias("z"), zero.alias("nx"), zero.alias("ny"), "poly_id", *_BOX, none.alias("t"), *_ITEM[1:])
     if left is None:
         return Quadtree((0.0, 0.0, 1.0, 1.0), depth, _leaf_rows(items, 0, False))
     box = (left, bottom, right - left or 1.0, top - bottom or 1.0)

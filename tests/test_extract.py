@@ -13,6 +13,8 @@ from geosift.schema import NODE, RELATION, WAY, Elements
 from geosift.sources import osm_xml, sinks
 
 AREA = [P.include((0, 0), (5, 0), (10, 5))]
+# Places and ids of nodes 1 to 5, the references of ways 1 and 2 and the members of relations 1 to 4, which decide the
+# counts asserted below. Added cases: tags with escapes, node -6, reference 99, way 3, relations 5 and 6, the member of type area.
 MAP = """<?xml version="1.0" encoding="UTF-8"?>
 <osm version="0.6" generator="hand">
   <bounds minlat="0" minlon="0" maxlat="1" maxlon="1"/>

@@ -11,6 +11,7 @@ SQUARE = ((0, 0), (10, 0), (10, 10), (0, 10))
 TRIANGLE = ((0, 0), (10, 0), (10, 10))
 BOW = ((-5, 0), (5, 0), (-5, 10), (5, 10))
 THIN = ((0, 0), (5, 0), (10, 5))
+# Rings and the points that must lie in and outside them.
 PROBES = [
     (SQUARE, [(5, 5), (0, 0), (10, 5)], [(-5, 0), (15, 5), (5, -5), (5, 15)]),
     (TRIANGLE, [(0, 0), (5, 5), (3, 3)], [(0, 10), (3, 7)]),
