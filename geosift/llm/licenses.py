@@ -1,9 +1,14 @@
 """License scans by canonical digest: whole units of text against digests of known licence texts.
 
 A unit is a whole document, and each line of it that is not blank: a licence notice mostly stands on a
-line of its own. Canonical form: lower case; lines that only state a copyright go; equivalent spellings
-become one; everything but letters and digits becomes one space. Its SHA-256 is hash-joined with the
-digests of the known texts. There is no partial match: a unit equals a known text or it does not.
+line of its own. Canonical form: lower case; copyright statements and "all rights reserved" go; everything but
+letters and digits (line breaks and comment leaders, too) becomes one space; equivalent spellings become one, and
+so does the holder that a licence names in its text. Its SHA-256 is hash-joined with the digests of the known texts.
+There is no partial match: a unit equals a known text or it does not.
+
+A copyright statement is "copyright", "(c)" or the sign with a year or a place for one, or "copyright (c)", and the
+holder behind it: up to the words with which a licence begins, on the same or the next line, else up to the end of the
+line. Other uses of these words ("(c) You must ...", "copyright notice") stay, wherever a line begins.
 
 A line that a third of all rows hold counts once in each document and is never gathered; the known texts
 are broadcast only if their number is small.
@@ -11,6 +16,7 @@ are broadcast only if their number is small.
 Defined results:
 - null, empty and blank texts have no unit: license null, no licence line.
 - known texts with equal digests: the smallest name counts. Null known texts or names are ignored.
+- line breaks and comment leaders of punctuation do not count in whole texts; a line is a unit by itself.
 - repeated rows have equal results; null ids are kept. Empty tables: no rows, or no licence.
 - texts are taken whole. Extra columns are ignored, whatever their names.
 """
@@ -46,18 +52,34 @@ SPELLINGS = (
 )
 TEXTS = Path(__file__).parent / "license_texts"
 END = "END OF TERMS AND CONDITIONS"
-COPYRIGHT_LINE = r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
-
-
-def canonical(text: Column, *, keep_copyright: bool = False) -> Column:
+# Words with which a licence or notice begins behind a copyright statement, and words of no effect.
+OPENINGS = (
+    "all rights reserved", "permission is hereby", "permission to use", "redistribution and use",
+    "licensed under", "released under", "this work is", "this program is", "this program comes", "gnomovision comes", "this file is", "this software is", "this source code",
+)
+DOCUMENT_OPENING = "everyone is permitted to copy"  # behind holders with an address of some lines
+IDLE = "all rights reserved"
+# Patterns that Java and RE2 read alike, on lower-cased text.
+YEAR = r"(?:[0-9]{4}|[<\[{](?:year|yyyy)[^>\]}\n]*[>\]}]|19yy)"
+SIGN = r"(?:\(c\)|©|&copy;)"
+MARK = rf"(?:copyright[\s:]*{SIGN}|copyright[\s:]*{YEAR}|{SIGN}[\s]*(?:copyright[\s]*)?{YEAR})"
+_words = lambda *phrases: "|".join(p.replace(" ", "[^a-z0-9]+") for p in phrases)
+# Between the mark and an opening: some of its line, and the start of the next one or a place for a holder, which may be broken.
+BETWEEN = r"[^\n]{0,200}?(?:\n[^\n]{0,80}?|<[^<>\n]*(?:\n[^<>\n]*)?>\s*)?"
+TO_OPENING = rf"{MARK}(?:[\s\S]{{0,200}}?\b({_words(DOCUMENT_OPENING)})|{BETWEEN}\b({_words(*OPENINGS)}))"
+TO_LINE_END = rf"{MARK}[^\n]*"
+HOLDER = r"(neither the name of) .{1,120}? (nor the names of)"
+
+
+def canonical(text: Column) -> Column:
     """The canonical form; '' for null."""
-    t = F.coalesce(text, F.lit(""))
-    if not keep_copyright:
-        t = F.regexp_replace(t, COPYRIGHT_LINE, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for a, b in SPELLINGS:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.regexp_replace(t, TO_OPENING, "$1$2"), TO_LINE_END, " ")
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    for a, b in ((IDLE, ""), *SPELLINGS):
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    t = F.trim(F.regexp_replace(t, " +", " "))
+    return F.regexp_replace(t, HOLDER, "$1 the copyright holder $2")
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -101,16 +123,21 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql_canonical(text: str) -> str:
-    t = f"' ' || regexp_replace(lower(regexp_replace({text}, '(?im)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
-    for a, b in SPELLINGS:
+    t = f"regexp_replace(lower({text}), {_sql_text(TO_OPENING)}, '\\1\\2', 'g')"
+    t = f"' ' || regexp_replace(regexp_replace({t}, {_sql_text(TO_LINE_END)}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for a, b in ((IDLE, ""), *SPELLINGS):
         t = f"replace({t}, ' {a} ', ' {b} ')"
-    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+    return f"regexp_replace(trim(regexp_replace({t}, ' +', ' ', 'g')), {_sql_text(HOLDER)}, '\\1 the copyright holder \\2', 'g')"
 
 
 OP9_SQL = f"""
 WITH k AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(l) AS license
-  FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in KNOWN)}) AS v(l, t) GROUP BY 1),
+  FROM (VALUES {', '.join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in [*KNOWN, *full_texts()])}) AS v(l, t) GROUP BY 1),
 d AS (SELECT doc_id, text, {_sql_canonical("coalesce(text, '')")} AS c FROM documents),
 l AS (SELECT DISTINCT doc_id, {_sql_canonical('line')} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 p AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS line_licenses

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import re
 import zlib
 from collections import Counter
@@ -577,6 +578,32 @@ def test_full_license_texts(spark):
     assert [rows[i] for i in range(len(texts))] == [*names, "MIT", None]
 
 
+def refilled(text, width):
+    """The text with its paragraphs filled to the width."""
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False) for p in text.split("\n\n"))
+
+
+def test_license_line_breaks(spark):
+    full = {p.stem: p.read_text("utf-8") for p in licenses.TEXTS.glob("*.txt")}
+    forms = [lambda t, w=w: refilled(t, w) for w in range(50, 80)]
+    forms += [lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n")]
+    forms += [lambda t, c=c: "\n".join(c + x for x in t.split("\n")) for c in ("# ", "// ", " * ", ";; ")]
+    forms += [lambda t: "/*\n" + "\n".join(" * " + x for x in refilled(t, 60).split("\n")) + "\n */"]
+    cases = [(name, form(text)) for name, text in full.items() for form in forms]
+    mit, bsd = full["MIT"], full["BSD-3-Clause"]
+    cases += [("MIT", mit.replace("<year> <copyright holders>", "2001-2020 Jane Doe\nAll rights reserved.")), ("MIT", " ".join(mit.replace("<year> <copyright holders>", "2020, J. Doe (j@d.org)").split())),
+              ("BSD-3-Clause", bsd.replace("the copyright holder nor", "Doe & Sons, Inc. nor")), (None, mit.replace("without restriction", "with restriction")),
+              (None, full["Apache-2.0"].replace("(c) You must retain", "(c) You may drop"))]
+    rows = {r.doc_id: r.license for r in licenses.scan_licenses(table(spark, [t for _, t in cases])).collect()}
+    assert [(i, rows[i]) for i in range(len(cases))] == [(i, name) for i, (name, _) in enumerate(cases)]
+
+
+def test_license_rows(spark):
+    df = spark.createDataFrame([(None, "Released under CC0 1.0."), (None, "Released under CC0 1.0."), (1, "(c) You must\nReleased under CC0 1.0."), (2, "x " * 300_000 + "(c) 2020 " + "<y " * 100_000)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.license, r.line_licenses) for r in licenses.scan_licenses(df).collect()) == {
+        (None, "CC0-1.0", "CC0-1.0"): 2, (1, None, "CC0-1.0"): 1, (2, None, ""): 1}
+
+
 # Mixing.
 
 
