@@ -10,7 +10,8 @@ pre-aggregated group-by.
 Defined results:
 - null text and empty text: size 0, taken 0.
 - null source: a source of its own, ordered last. null id: hashed as the text "~".
-- rows with equal id and text in a source share a hash and are taken or left together.
+- rows with equal id and text in a source share a hash. Where the budget runs out among them, as many are taken as come
+  nearest to it: they are numbered by file and row of a staged table, and each file's rows are numbered by themselves.
 - empty table: no rows. A source without words has target 0.
 - extra columns are ignored, whatever their names.
 """
@@ -75,7 +76,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeat: int) ->
 
 
 def hash_thresholds(base: DataFrame, targets: DataFrame) -> DataFrame:
-    """base (skey, size, h); targets (skey, rest) -> skey, threshold: rows with h <= threshold are taken once more.
+    """base (skey, size, h); targets (skey, rest) -> skey, threshold, edge, extra: rows with h <= threshold are taken once more,
+    and of those with h = edge (equal rows, fewer than all of them; else null) as many as extra says.
 
     One nested histogram a level; `prefix` and `left` hold each source's boundary bucket and what of the
     budget remains for it. A budget that ends with a bucket leaves 0 for the next one, which is divided
@@ -86,16 +88,37 @@ def hash_thresholds(base: DataFrame, targets: DataFrame) -> DataFrame:
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         inside = base.join(small(state.select("skey", "prefix", "left")), "skey").where(F.shiftright("h", shift + BITS) == F.col("prefix"))
-        hist = inside.groupBy("skey", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+        hist = inside.groupBy("skey", "left", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         over = hist.withColumn("upto", F.sum("words").over(run)).where(F.col("upto") > F.col("left"))
-        first = over.groupBy("skey", "left").agg(F.min(F.struct("bucket", "upto", "words")).alias("b"))
+        first = over.groupBy("skey", "left").agg(F.min(F.struct("bucket", "upto", "words", "n")).alias("b"))
         # At most one row a source, so the next level's check of its size is cheap.
         state = stage(first.select(
-            "skey", F.col("b.bucket").alias("prefix"), F.col("b.words").alias("words"),
+            "skey", F.col("b.bucket").alias("prefix"), F.col("b.words").alias("words"), F.col("b.n").alias("n"),
             (F.col("left") - (F.col("b.upto") - F.col("b.words")).cast("double")).alias("left")), f"mix-level{level}")
-    # The boundary is one hash value now: taken if that ends nearer to the budget.
-    nearer = (F.col("words").cast("double") - F.col("left")) < F.col("left")
-    return state.select("skey", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
+    # The boundary is one hash value now, mostly one row: as many of its rows as end nearest to the budget.
+    take = F.ceil(F.col("left") * F.col("n") / F.col("words") - 0.5)
+    some = (take > 0) & (take < F.col("n"))
+    return state.select(
+        "skey", F.when(take >= F.col("n"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"),
+        F.when(some, F.col("prefix")).alias("edge"), F.when(some, take).alias("extra"))
+
+
+def number_equals(rows: DataFrame) -> DataFrame:
+    """rows (skey, extra, file, at, ...) of the boundary hashes -> with `more`: 1 for `extra` rows of each skey, else 0.
+
+    Rows are numbered within their file, and files by a running sum over their counts.
+    """
+    files = rows.groupBy("skey", "file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("skey").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(F.col("skey").alias("of"), F.col("file").alias("of_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = rows.withColumn("number", F.row_number().over(Window.partitionBy("skey", "file").orderBy("at")))
+    both = own.join(small(files), (F.col("skey") == F.col("of")) & (F.col("file") == F.col("of_file")))
+    return both.withColumn("more", (F.col("before") + F.col("number") <= F.col("extra")).cast("long")).drop("of", "of_file", "before", "number")
+
+
+def placed(staged: DataFrame) -> DataFrame:
+    """A staged table with each row's file and place in it."""
+    return staged.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
 
 
 def source_key(source: Column) -> Column:
@@ -104,7 +127,7 @@ def source_key(source: Column) -> Column:
 
 def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int],
              max_repeat: int) -> tuple[DataFrame, DataFrame]:
-    """The slim table (doc_id, source, skey, size, h) and, for each source, source_size, target, copies, threshold."""
+    """The slim table (doc_id, source, skey, size, h) and, for each source, source_size, target, copies, threshold, edge, extra."""
     source = F.col(source_col)
     base = stage(docs.select(
         F.col(id_col).alias("doc_id"), source.cast("string").alias("source"), source_key(source).alias("skey"),
@@ -112,7 +135,7 @@ def plan_mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weigh
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeat)
     targets = stage(targets.withColumn("skey", source_key(F.col("source"))).drop("source"), "mix-targets")
-    cut = hash_thresholds(base.select("skey", "size", "h"), targets)
+    cut = stage(hash_thresholds(base.select("skey", "size", "h"), targets), "mix-cuts")
     return base, targets.drop("rest").join(small(cut), "skey", "left")
 
 
@@ -124,8 +147,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes), times (how often it takes the row)."""
     base, per_source = plan_mix(docs, id_col, text_col, source_col, weights, max_repeat)
-    rows = base.join(small(per_source), "skey").withColumn("times", times_taken(F.col("h")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
+    per_source = small(per_source)
+    out = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times"]
+    rows = base.join(per_source, "skey")
+    if per_source.where("extra > 0").isEmpty():
+        return rows.withColumn("times", times_taken(F.col("h"))).select(*out)
+    edge = number_equals(placed(base).join(per_source, "skey").where("h = edge"))
+    rest = rows.where("edge is null or h <> edge").withColumn("times", times_taken(F.col("h")))
+    return rest.select(*out).unionByName(edge.withColumn("times", F.col("copies") + F.col("more")).select(*out))
 
 
 def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -133,12 +162,19 @@ def repeat_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The mix itself: each row of docs as often as the mix takes it, with the columns of docs."""
     _, per_source = plan_mix(docs, id_col, text_col, source_col, weights, max_repeat)
     mix_, key, copy = unused("mix_plan", docs), unused("mix_key", docs), unused("mix_copy", docs)
-    per_source = per_source.select(F.struct("copies", "threshold").alias(mix_), F.col("skey").alias(key))
-    rows = docs.join(small(per_source), source_key(docs[source_col]) == F.col(key))
-    more = (row_hash(docs[id_col], docs[text_col]) <= F.coalesce(F.col(f"{mix_}.threshold"), F.lit(-1))).cast("int")
+    per_source = small(per_source.select(F.struct("copies", "threshold", "edge", "extra").alias(mix_), F.col("skey").alias(key)))
+    rows = docs.join(per_source, source_key(docs[source_col]) == F.col(key))
+    h, columns = row_hash(docs[id_col], docs[text_col]), [docs[c] for c in docs.columns]
+    more = (h <= F.coalesce(F.col(f"{mix_}.threshold"), F.lit(-1))).cast("int")
     times = F.col(f"{mix_}.copies").cast("int") + more
-    rows = rows.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias(copy))
-    return rows.drop(copy)
+    at_edge = F.coalesce(h == F.col(f"{mix_}.edge"), F.lit(False))
+    some = not per_source.where(f"{mix_}.extra > 0").isEmpty()
+    main = (rows.where(~at_edge) if some else rows).select(*columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy)).drop(copy)
+    if not some:
+        return main
+    edge = stage(rows.where(at_edge).select(F.struct(*columns).alias("row"), F.col(key).alias("skey"), f"{mix_}.copies", f"{mix_}.extra"), "mix-edge")
+    edge = number_equals(placed(edge)).withColumn("times", (F.col("copies") + F.col("more")).cast("int"))
+    return main.unionByName(edge.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +213,10 @@ ran AS (
   SELECT b.doc_id, b.size, p.source_size, p.target, p.copies,
     p.target - (p.copies * p.source_size)::DOUBLE AS rest,
     sum(b.size) OVER (PARTITION BY b.source ORDER BY b.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    sum(b.size) OVER (PARTITION BY b.source, b.h) AS tied
+    sum(b.size) OVER (PARTITION BY b.source, b.h) AS tied,
+    count(*) OVER (PARTITION BY b.source, b.h) AS n, row_number() OVER (PARTITION BY b.source, b.h) AS number
   FROM base b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-  (size * (copies + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - tied)) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (copies + CASE WHEN rest > 0 AND (upto <= rest OR number <= ceil((rest - (upto - tied)) * n / nullif(tied, 0) - 0.5)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ran
 """

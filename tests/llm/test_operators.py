@@ -654,6 +654,19 @@ def test_mixing_budget_ends_with_a_document(spark):
     cut = {r.skey: r.threshold for r in mixing.hash_thresholds(base, spark.createDataFrame(rest, "skey string, rest double")).collect()}
     assert {s: sum(1 for k, _, h in rows if k == s and h <= cut.get(s, -1)) for s in want} == want
 
+    # A budget that runs out among equal rows takes some of them; null ids and texts of no words are equal rows, too.
+    equal = spark.createDataFrame([(7, "a b c d", "s0")] * 1000 + [(None, None, "s0")] * 9 + [(i, "x y z", f"s{i % 3}") for i in range(2000)], "doc_id long, text string, source string")
+    equal = clash(equal.repartition(6))
+    got = mixing.mix(equal, weights=(3, 4, 5)).collect()
+    assert len(got) == 3009 and len({r.times for r in got if r.doc_id == 7}) > 1
+    for s in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == s) - s) <= 4
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.times
+    out = mixing.repeat_rows(equal, weights=(3, 4, 5))
+    assert out.columns == equal.columns and Counter(r.doc_id for r in out.collect()) == +want
+
     one_word = table(spark, ["word"] * 2400)
     taken, target = Counter(), {}
     for r in mixing.mix(one_word).collect():
