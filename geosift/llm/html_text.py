@@ -9,12 +9,15 @@ more: the host's boilerplate. In open blocks covered tokens are removed and the
 Covered blocks inside articles are not removed, not even those that are boilerplate elsewhere: pages share articles,
 and sidebars and teasers quote whole sentences of them, so that would take away main text (see README for figures).
 
-Names of classes and ids judge less than elements and roles do. An article or main element is never furniture by its
-name, nor is what holds the page's main element or its only articles. A whole class or id (`sidebar`) makes furniture; one with a
+Furniture that holds the page's main element is given back, whatever made it furniture. On a page without another article
+so is what names or forms make furniture round an article, and a form round the page's frame (a menu, header or footer); and where
+nothing else is left, all that is round an article, and forms with paragraphs. An article named as a reader's comment is
+furniture wherever something else is left; no other name makes an article or main element furniture. A whole class or id (`sidebar`) makes furniture; one with a
 part that tells of a layout (`no-sidebar`) says nothing; another with a part of that kind (`main-widget`) makes furniture of a
 container (not of a paragraph, a heading or an inline element) in an article that has other text, and is open on a page without an article.
+An article in such a container counts only on pages that have no other and less text outside: else it is open like its container.
 
-A host's pages are dealt by number into shards of about PAGES pages, and each shard gets a suffix array of
+A host's pages are dealt by a hash of id and html into shards of about PAGES pages, and each shard gets a suffix array of
 its own. Its classes of equal run prefixes are merged over the shards by their content hash, with page counts
 that add up as shards share no page. So a host with a third of all pages is no hot group. Pages are parsed twice: for
 the streams, and for the result; their texts are never moved. Only if the boilerplate runs are more than RUNS
@@ -29,8 +32,9 @@ Defined results:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,7 +54,7 @@ INVISIBLE = frozenset("script style head title template noscript iframe object s
 FURNITURE = frozenset("nav header footer aside form menu dialog button select textarea fieldset".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre "
-    "section summary table tbody td tfoot th thead tr ul caption".split()) | FURNITURE
+    "section summary table tbody td tfoot th thead tr ul caption".split()) | FURNITURE - {"button", "select", "textarea"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,31 +66,62 @@ NAMES = frozenset(
     "advertisement advertising sponsor sponsored promo promotion comment comments disqus respond newsletter subscribe share sharing "
     "social related breadcrumb breadcrumbs popup modal overlay login signup widget toolbar pagination pager skip".split())
 LAYOUT = frozenset("no not with without has have is open opened closed enabled disabled layout".split())
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+POSTS = frozenset("post hentry entry story".split())
+FRAME = frozenset("nav header footer main article".split())
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _CUT = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
+class _Frame(NamedTuple):
+    """An element that makes furniture of its content, and those around it."""
+
+    number: int
+    tag: str
+    mild: bool  # made so by a name that is not one of comments, or a form; and so are those around it
+    around: _Frame | None
+
+
+class _Open(NamedTuple):
+    """An open element: what it makes of its content, and what is around its content."""
+
+    tag: str
+    state: str
+    block: int  # place of the innermost block that is no paragraph, or -1
+    article: str  # state of the article or main element, or ''
+    frame: _Frame | None
+
+
+_ROOT = _Open("", "open", -1, "", None)
+
+
 class _Page(HTMLParser):
     """Collects blocks as (kind, text): 'main' in an article, 'open' outside, 'furniture' where the page's frame is;
-    'soft main' and 'soft open' where only a part of a name speaks for furniture.
+    'soft main' and 'soft open' where only a part of a name speaks for furniture, 'soft article' in an article there.
 
-    spared: numbers of elements that their names do not judge.
+    spared: numbers of elements that make no furniture. Time is linear in the page, however deep it nests.
     """
 
     def __init__(self, spared: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        # (tag, state, why): what the element makes of its content; why it is furniture: its number if by name, else -1.
-        self.stack: list[tuple[str, str, int | None]] = []
+        self.stack: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # tag -> its places in the stack
         self.spared, self.count = spared, 0
-        self.round_main: set[int] = set()  # elements, furniture by name, that hold a main element
-        self.round_article: set[int] = set()  # or an article
+        # Furniture that holds a main element, an article (mildly, or at all), a part of the page's frame, a paragraph.
+        self.round_main: set[int] = set()
+        self.round_article: set[int] = set()
+        self.round_any: set[int] = set()
+        self.round_frame: set[int] = set()
+        self.round_text: set[int] = set()
+        self.forms: set[int] = set()  # outside articles
         self.blocks: list[tuple[str, str]] = []
         self.held: list[tuple[str, str]] = []  # (state, text) of the block so far
         self.has_article = False
 
     @property
-    def state(self) -> str:
-        return self.stack[-1][1] if self.stack else "open"
+    def inner(self) -> _Open:
+        return self.stack[-1] if self.stack else _ROOT
 
     def flush(self) -> None:
         held, self.held = self.held, []
@@ -102,17 +137,38 @@ class _Page(HTMLParser):
         if tag in BLOCKS or tag in INVISIBLE:
             self.flush()
         if tag in CLOSES_P:
-            self._close({"p"}, BLOCKS - {"p"})
+            self._close(("p",), self.inner.block)
         if tag in SIBLINGS:
-            self._close(SIBLINGS[tag], {"ul", "ol", "dl", "table", "select"} | ({"tr"} if tag in ("td", "th") else set()))
+            self._close(SIBLINGS[tag], self._last("ul", "ol", "dl", "table", "select", *(("tr",) if tag in ("td", "th") else ())))
         if tag in VOID:
             return
         self.count += 1
-        a = dict(attrs)
-        state = self._state(tag, a)
-        hard = tag in FURNITURE or (a.get("role") or "").lower() in ROLES
-        by_name = state == "furniture" and self._named(tag, a) == "whole" and self.count not in self.spared
-        self.stack.append((tag, state, -1 if hard else self.count if by_name else None))
+        a, around = dict(attrs), self.inner
+        state, frame = self._state(tag, a, around)
+        at = len(self.stack)
+        self.places.setdefault(tag, []).append(at)
+        article = state if state in ("main", "soft article") else around.article
+        self.stack.append(_Open(tag, state, at if tag in BLOCKS and tag != "p" else around.block, article, frame))
+
+    def _last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _pop(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    @staticmethod
+    def _mark(frame: _Frame | None, into: set[int]) -> None:
+        while frame and frame.number not in into:
+            into.add(frame.number)
+            frame = frame.around
+
+    @staticmethod
+    def _comment(attrs: dict[str, str | None]) -> bool:
+        """Whether names tell of a reader's comment, and none of a post."""
+        names = [{n.lower() for n in _NAME.findall(t)} for t in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split()]
+        return any(n & COMMENTS and not n & LAYOUT for n in names) and not any(n & POSTS and not n & COMMENTS for n in names)
 
     def _named(self, tag: str, attrs: dict[str, str | None]) -> str:
         """'whole' if a class or the id is a name of furniture, 'part' if a part of one is, else ''."""
@@ -127,53 +183,67 @@ class _Page(HTMLParser):
                 found = "part"
         return found
 
-    def _state(self, tag: str, attrs: dict[str, str | None]) -> str:
-        now = self.state
+    def _state(self, tag: str, attrs: dict[str, str | None], around: _Open) -> tuple[str, _Frame | None]:
+        """What the element makes of its content, and the furniture around that."""
+        now, frame = around.state, around.frame
         role = (attrs.get("role") or "").lower()
+        if now == "gone" or tag in INVISIBLE or "hidden" in attrs or _UNSEEN.search(attrs.get("style") or ""):
+            return "gone", frame
         is_main, is_article = tag == "main" or role == "main", tag == "article" or role == "article"
-        if now == "gone" or tag in INVISIBLE or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
-            return "gone"
+        comment = is_article and not is_main and self._comment(attrs)
+        hard = tag in FURNITURE or role in ROLES
+        named = "" if is_main or is_article and not comment else self._named(tag, attrs)
+        spared = self.count in self.spared
+        if tag == "form" and not around.article:
+            self.forms.add(self.count)
+        mild = not comment and (tag == "form" and not around.article if hard else not self._comment(attrs))
+        own = _Frame(self.count, tag, mild and (frame is None or frame.mild), frame)
         if now == "furniture":
-            why = {w for _, s, w in self.stack if s == "furniture" and w is not None}
-            if -1 not in why and is_main and not any(s == "main" for _, s, _ in self.stack):
-                self.round_main |= why
-            elif -1 not in why and is_article and self._named(tag, attrs) != "whole":
-                self.round_article |= why
-            return "main" if tag in HEADINGS and any(t == "header" for t, _, _ in self.stack) and any(s == "main" for _, s, _ in self.stack) else now
-        if tag in FURNITURE or role in ROLES:
-            return "furniture"
-        inside = now in ("main", "soft main")
+            if is_main and not around.article:
+                self._mark(frame, self.round_main)
+            elif is_article and not comment:
+                self._mark(frame, self.round_any)
+                if frame.mild:
+                    self._mark(frame, self.round_article)
+            if tag in FRAME and not comment:
+                self._mark(frame, self.round_frame)
+            if tag == "p":
+                self._mark(frame, self.round_text)
+            if tag in HEADINGS and frame.tag == "header" and frame.around is None and around.article:
+                return around.article, frame
+            return now, own if hard or named == "whole" else frame
+        if comment and not spared:
+            self.round_any.add(self.count)
+            return "furniture", own
+        if hard and not spared:
+            return "furniture", own
+        inside = now in ("main", "soft main", "soft article")
         if is_main or (is_article and not inside):
+            if now == "soft open" and not is_main:
+                return "soft article", frame
             self.has_article = True
-            return "main"
-        named = "" if self.count in self.spared else self._named(tag, attrs)
-        if named == "whole":
-            return "furniture"
-        if named == "part":
-            return "soft main" if inside else "soft open"
-        return now
-
-    def _close(self, tags: set[str], stop: frozenset[str] | set[str]) -> None:
-        """Close the innermost element of tags, unless one of stop is around it first."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in stop:
-                return
+            return "main", frame
+        if named and not spared:
+            if named == "whole":
+                return "furniture", own
+            return "soft main" if inside else "soft open", frame
+        return now, frame
+
+    def _close(self, tags: Iterable[str], stop: int) -> None:
+        """Close the innermost element of tags, if it is inside the place `stop`."""
+        at = self._last(*tags)
+        if at > stop:
+            self.flush()
+            self._pop(at)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
         if tag in BLOCKS or tag in INVISIBLE:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in ("article", "main", "table") and tag not in BLOCKS:
-                return
+        at = self._last(tag)
+        if at >= 0 and (tag in BLOCKS or at > self._last("article", "main", "table")):
+            self._pop(at)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -181,7 +251,7 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        self.held.append((self.state, data))
+        self.held.append((self.inner.state, data))
 
     def close(self) -> None:
         super().close()
@@ -197,14 +267,21 @@ def parse(html: str | None) -> tuple[list[str], list[str], list[str]]:
         return [], [], []
     html = _CUT.sub("", html)  # a tag that the end of the input cuts off is markup, not text
     page = _read(html)
-    spared = page.round_main if page.has_article else page.round_main | page.round_article
+    spared = page.round_main if page.has_article else page.round_main | page.round_article | page.round_frame & page.forms
     if spared:
         page = _read(html, frozenset(spared))
+    if all(k == "furniture" for k, _ in page.blocks):
+        more = page.round_main | page.round_any | page.round_text & page.forms
+        if more - spared:
+            page = _read(html, frozenset(spared | more))
     of = lambda *kinds: [t for k, t in page.blocks if k in kinds]
-    if page.has_article:
-        main = "main" if of("main") else "soft main"
+    length = lambda blocks: sum(map(len, blocks))
+    main = "main" if of("main") else "soft main"
+    if not page.has_article and length(of("soft article")) > length(of("open")):
+        main = "soft article"
+    if page.has_article or main == "soft article":
         return of(main), [], [t for k, t in page.blocks if k != main]
-    return [], of("open", "soft open"), of("furniture")
+    return [], [t for k, t in page.blocks if k != "furniture"], of("furniture")
 
 
 def _read(html: str, spared: frozenset[int] = frozenset()) -> _Page:
@@ -302,7 +379,7 @@ def main_text(html: str | None, host: str, runs: np.ndarray) -> tuple[str, int,
 
 
 def boilerplate(rows: DataFrame) -> DataFrame:
-    """rows (host, shards, html) -> host, run: the runs that stand outside articles on MIN_PAGES of a host's pages or more."""
+    """rows (host, shards, html, deal) -> host, run: the runs that stand outside articles on MIN_PAGES of a host's pages or more."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -310,10 +387,10 @@ def boilerplate(rows: DataFrame) -> DataFrame:
             for h in b.column("html"):
                 _, open_, furniture = parse(h.as_py())
                 streams.append(" ".join(open_ + furniture))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shards"), pa.array(streams, pa.string())], names=["host", "shards", "stream"])
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shards"), b.column("deal"), pa.array(streams, pa.string())], names=["host", "shards", "deal", "stream"])
 
-    streams = rows.mapInArrow(read, "host string, shards int, stream string")
-    dealt = streams.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards")).cast("int")).where("stream <> ''")
+    streams = rows.mapInArrow(read, "host string, shards int, deal long, stream string")
+    dealt = streams.withColumn("shard", F.pmod("deal", F.col("shards")).cast("int")).drop("deal").where("stream <> ''")
     classes = dealt.groupBy("host", "shard").applyInPandas(_repeats, "host string, run long, pages long")
     return classes.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= MIN_PAGES).select("host", "run")
 
@@ -324,10 +401,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = rows.withColumn("host", host)
+    deal = F.xxhash64("page_id", "html").alias("deal")  # the same in a task that runs again
     with temporary(pages.sparkSession):
         # Hosts of more than PAGES pages: few.
         shards = stage(rows.groupBy("host").agg(F.ceil(F.count("*") / PAGES).cast("int").alias("shards")).where("shards > 1"), "html-hosts")
-        runs = stage(boilerplate(_dealt(rows.select("host", "html"), shards)), "html-runs", keep=True)
+        runs = stage(boilerplate(_dealt(rows.select("host", "html", deal), shards)), "html-runs", keep=True)
         kinds = dict(rows.dtypes)
         out = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_frame long, n_covered long"
         if runs.count() <= RUNS:
@@ -350,7 +428,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             return pa.table([page.column("page_id"), page.column("url"), *columns], names=["page_id", "url", "text", "n_chars", "n_frame", "n_covered"])
 
         shards = stage(shards, "html-hosts", keep=True)
-        dealt = _dealt(rows, shards).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("shards")).cast("int"))
+        dealt = _dealt(rows.withColumn("deal", deal), shards).withColumn("shard", F.pmod("deal", F.col("shards")).cast("int")).drop("deal")
         each = _dealt(runs, shards).select("host", "run", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
         return dealt.groupBy("host", "shard").cogroup(each.groupBy("host", "shard")).applyInArrow(one_shard, out)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import textwrap
+import time
 import re
 import zlib
 from collections import Counter
@@ -430,6 +431,45 @@ def test_suffix_classes():
         assert sorted(sorted(v) for v in got.values()) == sorted(want.values())
 
 
+def test_html_gives_furniture_back():
+    text = lambda h: "\n".join(sum(html_text.parse(h)[:2], []))
+    article = "<article><h1>A</h1><p>one</p></article>"
+    # A form, aside, header or dialog round the page's only main region.
+    for open_, close in (('<form id="aspnetForm">', "</form>"), ("<aside>", "</aside>"), ("<header>", "</header>"), ('<div role="search">', "</div>"), ('<div role="dialog">', "</div>")):
+        assert text(f"<nav>menu</nav>{open_}<main><p>x</p><form><p>f</p></form></main>{close}<footer>end</footer>") == "x"
+        assert text(f"<nav>menu</nav>{open_}{article}{close}<footer>end</footer>") == "A\none"
+        assert text(f"{article}{open_}<article>teaser</article>{close}") == "A\none"
+    assert text('<form id="aspnetForm"><nav>menu</nav><div class="post"><p>one</p><form><input><p>search</p></form></div></form>') == "one"
+    assert text('<form id="f"><div><h1>A</h1><p>one</p></div></form>') == "A\none"
+    assert text('<form><label>Name</label><input></form>') == ""
+    assert text(f'<div class="post">one</div><form><label>Mail</label></form>') == "one"
+    # Readers' comments are not the page's article; a post whose names tell of comments is.
+    post = '<div class="post"><p>one</p></div>'
+    assert text(f'{post}<div id="comments"><article class="comment-body">c</article></div>') == "one"
+    assert text(f'{post}<div class="comments-area"><article class="comment-body">c</article></div>') == "one"
+    assert text(f'{article}<div class="comments-area"><article class="comment-body">c</article></div>') == "A\none"
+    assert text(f'{article}<article class="user-comment"><header><h4>Bob</h4></header>c</article>') == "A\none"
+    assert text('<article id="post-1" class="post comments">one<div class="comments"><article class="comment">c</article></div></article>') == "one"
+    # Other stories.
+    assert text(f'{article}<div class="related-posts"><article class="teaser">t</article></div>') == "A\none"
+    assert text('<div class="main-widget"><article><p>long enough</p></article></div><p>Skip</p>') == "long enough"
+    assert text('<p>a long post outside of articles</p><div class="related-posts"><article>t</article></div>') == "a long post outside of articles\nt"
+    # Inline controls do not part a block; unseen text goes.
+    assert text("<article><p>See <button>Copy</button> code</p></article>") == "See code"
+    assert text('<article><p>a</p><p style="visibility: hidden">b</p><p style="DISPLAY:none">c</p></article>') == "a"
+
+
+def test_html_deep_nesting():
+    n = 20_000
+    pages = [f"<nav>{'<a>' * n}</nav><article>x</article>", f"<nav>{'<article>' * n}", f"<p>{'<b>' * n}{'<hr>' * n}x", f"<ul>{'<b>' * n}{'<li>y</li>' * n}</ul>",
+             f"<article>{'<div class=comments>' * n}", f"{'<i></b>' * n}x", f"<form>{'<aside>' * n}<main>x"]
+    began = time.perf_counter()
+    assert [len(html_text.parse(p)[0]) for p in pages[:1]] == [1]
+    for p in pages:
+        html_text.parse(p)
+    assert time.perf_counter() - began < 20  # the square of n would take many minutes
+
+
 def test_html_extract(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES", 2)  # several shards of the host
     frame = "this line stands on every page of the host and says nothing"
