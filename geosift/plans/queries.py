@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from geosift.functions import text as X
 from geosift.functions import xml as XML
-from geosift.operators import closure, extract, idset
+from geosift.operators import closure, extract, idset, trees
 from geosift.operators import polygon as P
 from geosift.operators import spatial as SP
 from geosift.plans import xsd, xsd_rules
@@ -630,6 +630,51 @@ def xml_sax_events(spark, sf):
     return XML.sax_events(order_xml(spark, sf)).groupBy("event").agg(F.count("*").alias("n"))
 
 
+# Lines of each order's document, in its order; b is the place of a line's start among the document's events.
+_SQL_TREE = """WITH l AS (SELECT o_orderkey AS id, l_partkey::VARCHAR AS p, l_returnflag AS f, CAST(8 * row_number() OVER (PARTITION BY o_orderkey ORDER BY l_partkey, l_returnflag, l_linenumber) - 3 AS INTEGER) AS b
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey), r AS (SELECT id, min(b) AS first, max(b) AS last FROM l WHERE f = 'R' GROUP BY id)"""
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.label(XML.sax_events(order_xml(spark, sf)))
+
+
+@query(f"""{_SQL_TREE} SELECT o_orderkey AS id, 'element' AS kind, 1 AS pre, CAST(5 + 8 * (SELECT count(*) FROM l WHERE l.id = o_orderkey) AS INTEGER) AS post, 1 AS level, NULL::INTEGER AS parent, 'order' AS name, NULL::VARCHAR AS text FROM orders
+  UNION ALL SELECT o_orderkey, 'element', 2, 4, 2, 1, 'status', NULL FROM orders UNION ALL SELECT o_orderkey, 'text', 3, 3, 3, 2, NULL, o_orderstatus FROM orders
+  UNION ALL SELECT id, 'element', b, b + 7, 2, 1, 'line', NULL FROM l UNION ALL SELECT id, 'element', b + 1, b + 3, 3, b, 'part', NULL FROM l UNION ALL SELECT id, 'text', b + 2, b + 2, 4, b + 1, NULL, p FROM l
+  UNION ALL SELECT id, 'element', b + 4, b + 6, 3, b, 'flag', NULL FROM l UNION ALL SELECT id, 'text', b + 5, b + 5, 4, b + 4, NULL, f FROM l""")
+def tree_labels(spark, sf):
+    """Elements and texts of each order's document as intervals."""
+    return _tree(spark, sf).select("id", "kind", "pre", "post", "level", "parent", "name", "text")
+
+
+@query(f"""{_SQL_TREE} SELECT 'second' AS path, id, b + 1 AS pre FROM l WHERE b = 13
+  UNION ALL SELECT 'after', l.id, b + 1 FROM l JOIN r ON l.id = r.id AND b > first UNION ALL SELECT 'before', l.id, b + 1 FROM l JOIN r ON l.id = r.id AND b < last
+  UNION ALL SELECT 'round', id, b FROM l WHERE f = 'R' UNION ALL SELECT 'round', id, 1 FROM r""")
+def tree_steps(spark, sf):
+    """/order/line[2]/part, //line[flag = 'R']/following-sibling::line/part, //line[flag = 'R'][last()]/preceding::part and //flag[. = 'R']/ancestor::*."""
+    nodes = stage(_tree(spark, sf), "tree")
+    lines, parts, flags = (trees.elements(nodes, n) for n in ("line", "part", "flag"))
+    flags = trees.having(flags, trees.texts(nodes).where("text = 'R'"), "child")
+    returned = trees.having(lines, flags, "child")
+    order = trees.elements(nodes, "order").where("parent IS NULL")
+    found = {
+        "second": trees.step(trees.nth(trees.step(order, lines, "child"), 2), parts, "child"),
+        "after": trees.step(trees.step(returned, lines, "following-sibling"), parts, "child"),
+        "before": trees.step(trees.nth(returned, -1), parts, "preceding"),
+        "round": trees.step(flags, trees.elements(nodes), "ancestor"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(path).alias("path"), "id", "pre") for path, df in found.items()])
+
+
+@query(f"""{_SQL_TREE} SELECT o_orderkey AS id, 'order' AS name, 1 AS pre, o_orderstatus || coalesce((SELECT string_agg(p || f, '' ORDER BY b) FROM l WHERE l.id = o_orderkey), '') AS value FROM orders
+  UNION ALL SELECT id, 'line', b, p || f FROM l""")
+def tree_string_values(spark, sf):
+    """All text inside each order and line."""
+    nodes = _tree(spark, sf)
+    return trees.string_values(nodes.where("name IN ('order', 'line')"), nodes).select("id", "name", "pre", "value")
+
+
 _PRIORITIES = {"1": ("xs:int", "bigint"), "5": ("xs:boolean", "boolean")}  # other priorities: repeated text
 
 
