@@ -61,6 +61,7 @@ DOCUMENT_OPENING = "everyone is permitted to copy"  # behind holders with an add
 IDLE = "all rights reserved"
 # Patterns that Java and RE2 read alike, on lower-cased text.
 YEAR = r"(?:[0-9]{4}|[<\[{](?:year|yyyy)[^>\]}\n]*[>\]}]|19yy)"
+SIGNS = ("copyright", "(c)", "©", "&copy;")  # one of them is in all that MARK matches
 SIGN = r"(?:\(c\)|©|&copy;)"
 MARK = rf"(?:copyright[\s:]*{SIGN}|copyright[\s:]*{YEAR}|{SIGN}[\s]*(?:copyright[\s]*)?{YEAR})"
 _words = lambda *phrases: "|".join(p.replace(" ", "[^a-z0-9]+") for p in phrases)
@@ -74,12 +75,16 @@ HOLDER = r"(neither the name of) .{1,120}? (nor the names of)"
 def canonical(text: Column) -> Column:
     """The canonical form; '' for null."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(F.regexp_replace(t, TO_OPENING, "$1$2"), TO_LINE_END, " ")
+    marked = F.lit(False)
+    for sign in SIGNS:  # most texts have none, and need no pattern
+        marked |= F.contains(t, F.lit(sign))
+    t = F.when(marked, F.regexp_replace(F.regexp_replace(t, TO_OPENING, "$1$2"), TO_LINE_END, " ")).otherwise(t)
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    for a, b in ((IDLE, ""), *SPELLINGS):
+    t = F.replace(t, F.lit(f" {IDLE} "), F.lit(" "))
+    for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    t = F.trim(F.regexp_replace(t, " +", " "))
-    return F.regexp_replace(t, HOLDER, "$1 the copyright holder $2")
+    t = F.trim(t)
+    return F.when(F.contains(t, F.lit("neither the name of")), F.regexp_replace(t, HOLDER, "$1 the copyright holder $2")).otherwise(t)
 
 
 def full_texts() -> list[tuple[str, str]]:
