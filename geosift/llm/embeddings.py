@@ -6,10 +6,10 @@ graph, written once as a file in the shared folder. Every vector queries every s
 takes a pair of shards, reads both graphs by path, and searches each with the vectors of the other, so its
 memory is bounded whatever the group's size, and no vector is shuffled more than once.
 
-The beam starts at EF and doubles until an audit finds at least RECALL of the links. An audit compares AUDIT of the
+The beam starts at EF and doubles up to MOST until an audit finds at least RECALL of the links. An audit compares AUDIT of the
 queries with the whole shard by brute force, and besides searches as many probes: vectors made to have just the
 least cosine with a known vector of the shard, so that shards without links give evidence, too. If the audit
-still fails at a beam of the shard's size (the graph is not connected), that search is a matrix product.
+still fails at MOST (a large group of near copies parts from the graph), that search is a matrix product, which costs less than a wider beam.
 `search` returns the audits as a table. Links are verified by cosine in double precision, in blocks of rows.
 A task gives, for each vector, its number of links and a vector it is connected with there, never pairs; the
 components of these are united over all tasks.
@@ -39,7 +39,8 @@ from geosift.llm.common import new_path, qualified, small_batches, stage
 from geosift.llm.graph import components
 from geosift.llm.hnsw import Hnsw, levels
 
-SHARD, EF, AUDIT, RECALL = 8192, 32, 512, 0.995
+SHARD, EF, MOST, AUDIT, RECALL = 8192, 32, 128, 512, 0.995
+TASKS = 10_000  # of a stage at most
 BLOCK = 512  # rows of a shard that are verified at a time; a multiple of 8
 SLACK = 1e-4  # the walk works in single precision; verification is in double
 
@@ -109,7 +110,7 @@ def find(x: Shard, y: Shard, least: float, same: bool) -> tuple[np.ndarray, dict
         got = y.graph.within(probes, least - SLACK, ef)[np.arange(len(known)), known].mean()
         of_links = (y.graph.within(x.unit[rows], least - SLACK, ef) & truth).sum() / links if links else 1.0
         recall = float(min(got, of_links))
-        if recall >= RECALL or ef >= len(y.unit):
+        if recall >= RECALL or ef >= min(MOST, len(y.unit)):
             break
         ef = min(2 * ef, len(y.unit))
     exact = recall < RECALL
@@ -206,6 +207,9 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     uniq = stage(uniq.withColumn("uid", F.monotonically_increasing_id()), "emb-unique")
     shards = uniq.groupBy("grp").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
     dealt = uniq.join(shards, "grp").withColumn("shard", F.pmod("vec", F.col("shards")).cast("int"))
+    # Numbers of tasks are given: by bytes Spark would put many graphs, and all pairs of paths, into one task.
+    n_shards, n_pairs = shards.agg(F.sum("shards"), F.sum(F.expr("shards * (shards + 1L) div 2"))).first()
+    tasks = lambda n, each: min(max(1, -(-(n or 0) // each)), TASKS)
     folder = qualified(spark, new_path(spark, "emb-graphs"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +223,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
         fs.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.npz")
         return pd.DataFrame({"grp": pdf["grp"].iloc[:1], "shard": pdf["shard"].iloc[:1], "path": [f"{folder}/{name.rsplit('/', 1)[1]}.npz"]})
 
-    graphs = dealt.select("grp", "shard", "uid", "vec", "vec2", "copies", "vector").groupBy("grp", "shard").applyInPandas(build, "grp string, shard int, path string")
+    graphs = dealt.select("grp", "shard", "uid", "vec", "vec2", "copies", "vector").repartition(tasks(n_shards, 1), "grp", "shard").groupBy("grp", "shard").applyInPandas(build, "grp string, shard int, path string")
     graphs = stage(graphs, "emb-graphs")
     other = graphs.select("grp", F.col("shard").alias("queries"), F.col("path").alias("path2"))
     pairs = graphs.join(other, "grp").where("queries >= shard")  # of shards: paths, no vectors
@@ -244,7 +248,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                     + [{"grp": grp, "shard": s, "queries": q, **a} for (s, q), a in zip(((y, x), (x, y)), audits, strict=False)], schema=FOUND_SCHEMA)
 
     # A few pairs of one shard a task, so that its graph is read once.
-    pairs = pairs.repartition("grp", "shard", (F.col("queries") / 4).cast("int")).sortWithinPartitions("grp", "shard", "queries")
+    pairs = pairs.repartition(tasks(n_pairs, 2), "grp", "shard", (F.col("queries") / 4).cast("int")).sortWithinPartitions("grp", "shard", "queries")
     found = stage(pairs.mapInArrow(query, FOUND), "emb-found")
     audits = found.where("recall is not null").drop("uid", "n", "root")
     found = found.where("uid is not null").select("uid", "n", "root")

@@ -166,6 +166,21 @@ def test_embedding_graph_that_falls_apart(monkeypatch):
     assert {u: n for u, n, _ in found} == {i: int(k) for i, k in enumerate(truth.sum(1)) if k}
 
 
+def test_embedding_group_of_near_copies_keeps_the_beam_bounded():
+    """A large group of near copies parts from the graph: the search ends as a product instead of a beam as wide as the shard."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    v = np.concatenate([rng.normal(size=(900, 64)), base + 0.1 * rng.normal(size=(500, 64))])
+    unit = embeddings.unit_rows(list(v))
+    graph_ = embeddings.Hnsw(unit, embeddings.levels(np.arange(1400)))
+    graph_.layers = [(nodes, np.where((links >= 900) == (nodes[:, None] >= 900), links, -1)) for nodes, links in graph_.layers[-1:]]
+    x = embeddings.Shard(np.arange(1400), np.ones(1400, int), unit, graph_)
+    found, (audit,) = embeddings.link_shards(x, x, 0.93, True)
+    want = unit @ unit.T >= 0.93
+    assert {u: n for u, n, _ in found} == {i: n for i, n in enumerate((want.sum(1) - 1).tolist()) if n}
+    assert audit["ef"] <= 128 and audit["exact"]
+
+
 def test_embedding_rare_links():
     """Two shards with very few links between them: probes are the evidence, and both shards query."""
     rng = np.random.default_rng(4)
