@@ -1,4 +1,5 @@
-"""Points with polygons, both tables of any size: an adaptive quadtree over all edges, and an equi-join on its leaves.
+"""Points with polygons, both tables of any size: one equi-join with pieces of polygons on grids (`holding`), and an adaptive quadtree
+over all edges with an equi-join on its leaves (`contains`), which `holding` uses for polygons that do not go apart into strips.
 
 A node of the tree that more than LEAF edges meet is split into 4 x 4 parts, level by level, until `depth`; its parts are key ranges of a
 Z-curve. A part keeps an edge that meets it. Of an edge to its right it keeps the two ends' heights only: a ray to the right
@@ -20,6 +21,7 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +34,12 @@ LEAF = 20  # edges of a leaf at most, but at the last level
 DEPTH = 14  # levels; a leaf's side is 2 ** -DEPTH of the whole at least
 CHUNK = 64  # edges and heights of a leaf's row at most
 MARGIN = 1e-9  # of the whole's side: parts are taken so much larger, for rounding
-LEAF_ROWS = 20_000  # leaves (a few kB each) up to which they are broadcast
+LEAF_ROWS = 2_000  # leaves (a few kB each) up to which they are broadcast
+WHOLE = 24  # edges of a polygon up to which it is one piece
+PIECE = 8  # edges for which a larger polygon gets one more strip
+ACROSS = 64  # edges that a line across a polygon may meet on average, or the polygon goes into the tree
+CROWD = 4096  # edges of a strip at most, or the polygon goes into the tree
+FINE = 20  # halvings of the whole's side down to the smallest cell
 _ITEM = ("t", "a", "b", "c", "xmin", "ymin", "xmax", "ymax")  # a height, or an edge
 _BOX = ("left", "low", "high")  # of the whole polygon
 
@@ -162,13 +169,103 @@ def contains(points: DataFrame, tree: Quadtree, id_col: str = "id", x: str = "x"
     return whole.unionByName(summed)
 
 
+def _pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Strips of polygons (poly_id, axis, strip, strips, left, low, w, h, box of the strip, items, parts); the edges of those that have too many in a strip (None: no polygon).
+
+    A ray along the strip crosses edges of that strip only. The strips lie across the axis along which lines meet fewer edges.
+    """
+    per = edges.groupBy("poly_id").agg(F.min("xmin").alias("left"), F.min("ymin").alias("low"), F.max("xmax").alias("right"), F.max("ymax").alias("high"), F.count("*").alias("n"),
+                                       F.sum(F.col("xmax") - F.col("xmin")).alias("dx"), F.sum(F.col("ymax") - F.col("ymin")).alias("dy"))
+    w, h = F.col("right") - F.col("left"), F.col("high") - F.col("low")
+    across = lambda d, side: F.when(side > 0, F.col(d) / side).otherwise(F.col("n"))
+    per = per.select("poly_id", "left", "low", w.alias("w"), h.alias("h"), "n", across("dx", w).alias("ax"), across("dy", h).alias("ay"))
+    per = stage(per.where(F.col("n") > WHOLE), "large-polygons")
+    item = F.struct(*_ITEM[1:])
+    bounds = [F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1")]
+    columns = ["poly_id", "axis", "strip", "strips", "left", "low", "w", "h", "x0", "x1", "y0", "y1", "items", "parts"]
+    zero = F.lit(0).cast("long")
+    if per.isEmpty():
+        few, large = edges, None
+    else:
+        few, large = edges.join(small(per.select("poly_id")), "poly_id", "left_anti"), small(per)
+    pieces = few.groupBy("poly_id").agg(*bounds, F.collect_list(item).alias("items")).select(
+        "*", F.lit("y").alias("axis"), zero.alias("strip"), F.lit(1).cast("long").alias("strips"), F.col("x0").alias("left"), F.col("y0").alias("low"),
+        (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), F.lit(1).alias("parts")).select(*columns)
+    if large is None:
+        return pieces, None
+    by_x = F.col("ax") <= F.col("ay")
+    plain = edges.join(large, "poly_id").where(F.least("ax", "ay") <= ACROSS).withColumns(
+        {"axis": F.when(by_x, "x").otherwise("y"), "strips": F.ceil(F.col("n") / PIECE).cast("long")})
+    least, most = (F.when(by_x, strip_of(F.col(x), "left", "w")).otherwise(strip_of(F.col(y), "low", "h")) for x, y in (("xmin", "ymin"), ("xmax", "ymax")))
+    plain = plain.select("*", F.explode(F.sequence(least, most)).alias("strip"))
+    sizes = stage(plain.groupBy("poly_id", "strip").agg(F.count("*").alias("held")), "strip-sizes")
+    crowded = sizes.where(F.col("held") > CROWD).select("poly_id").distinct()
+    tree = stage(per.where(F.least("ax", "ay") > ACROSS).select("poly_id").unionByName(crowded), "tree-polygons")
+    sized = plain.join(small(tree), "poly_id", "left_anti").join(sizes, ["poly_id", "strip"])
+    sized = sized.withColumn("parts", F.ceil(F.col("held") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64(*_ITEM[1:]), "parts"))
+    strips = sized.groupBy("poly_id", "axis", "strip", "strips", "left", "low", "w", "h", "parts", "chunk").agg(F.collect_list(item).alias("items"))
+    # The box of a strip, a little larger for rounding; its own test follows.
+    start = lambda o, side, k, sign: F.col(o) + F.col(side) * ((F.col("strip") + k) / F.col("strips")) + sign * MARGIN * (F.col(side) + F.abs(o))
+    x_axis = F.col("axis") == "x"
+    strips = strips.select("*", *[F.when(x_axis if axis == "x" else ~x_axis, start(o, side, k, sign)).otherwise(F.col(o) + k * F.col(side) + sign * MARGIN * (F.col(side) + F.abs(o))).alias(name)
+                                  for axis, o, side, k, sign, name in (("x", "left", "w", 0, -1, "x0"), ("x", "left", "w", 1, 1, "x1"), ("y", "low", "h", 0, -1, "y0"), ("y", "low", "h", 1, 1, "y1"))])
+    return pieces.unionByName(strips.select(*columns)), None if tree.isEmpty() else edges.join(small(tree), "poly_id", "left_semi")
+
+
+def strip_of(v: Column, start: str, side: str) -> Column:
+    """The strip of a place: never falls as the place rises, whatever is rounded."""
+    return F.greatest(F.lit(0), F.least(F.col("strips") - 1, F.floor((v - F.col(start)) / F.col(side) * F.col("strips")))).cast("long")
+
+
+def holding(points: DataFrame, edges: DataFrame, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """id, poly_id for each point and each polygon (edges as of `ring_edges`) that it lies in, in one equi-join.
+
+    A polygon is one piece, or strips of some edges each. A piece lies in 2 x 2 cells at most of a grid of about its own width and height; a point has one cell in
+    each grid in use. Polygons whose strips would hold very many edges go into a quadtree instead.
+    """
+    pieces, rest = _pieces(edges)
+    pieces = stage(pieces, "pieces")
+    left, right, low, high = pieces.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    place = points.select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
+    if left is None:
+        return contains(place, quadtree(edges), "id", "px", "py")
+
+    def level(a: str, b: str, whole: float) -> Column:
+        """An even power of two that is no less than the piece's side."""
+        top = math.ceil(math.log2(whole)) if whole > 0 else 0
+        side = F.greatest(F.col(b) - F.col(a), F.lit(2.0 ** (top - FINE)))
+        return (2 * F.ceil(F.log2(side) / 2)).cast("int")
+
+    cell = lambda v, k: F.floor(v * F.pow(F.lit(2.0), -k)).cast("long")
+    keyed = pieces.withColumns({"kx": level("x0", "x1", right - left), "ky": level("y0", "y1", high - low)})
+    grids = [(r.kx, r.ky) for r in keyed.select("kx", "ky").distinct().collect()]  # (FINE / 2 + 1) ** 2 at most
+    keyed = keyed.select("*", F.explode(F.sequence(cell(F.col("x0"), F.col("kx")), cell(F.col("x1"), F.col("kx")))).alias("ix"))
+    keyed = keyed.select("*", F.explode(F.sequence(cell(F.col("y0"), F.col("ky")), cell(F.col("y1"), F.col("ky")))).alias("iy"))
+    px, py = F.col("px"), F.col("py")
+    boxed = place.where((px >= left) & (px <= right) & (py >= low) & (py <= high))
+    keys = F.array(*[F.struct(F.lit(kx).alias("kx"), F.lit(ky).alias("ky"), cell(px, F.lit(kx)).alias("ix"), cell(py, F.lit(ky)).alias("iy")) for kx, ky in grids])
+    at = boxed.select("id", "px", "py", F.explode(keys).alias("k")).select("id", "px", "py", "k.*").join(keyed, ["kx", "ky", "ix", "iy"]).where(
+        px.between(F.col("x0"), F.col("x1")) & py.between(F.col("y0"), F.col("y1")))
+    by_x = F.col("axis") == "x"
+    at = at.where((F.col("strips") == 1) | (F.when(by_x, strip_of(px, "left", "w")).otherwise(strip_of(py, "low", "h")) == F.col("strip")))
+    value = lambda e: e["a"] * px + e["b"] * py + e["c"]
+    on = F.exists("items", lambda e: (value(e) == 0) & px.between(e["xmin"], e["xmax"]) & py.between(e["ymin"], e["ymax"]))
+    crossed = F.when(by_x, F.size(F.filter("items", lambda e: (e["xmin"] <= px) & (px < e["xmax"]) & (F.when(e["b"] > 0, -value(e)).otherwise(value(e)) > 0)))).otherwise(
+        F.size(F.filter("items", lambda e: (e["ymin"] <= py) & (py < e["ymax"]) & (F.when(e["a"] > 0, -value(e)).otherwise(value(e)) > 0))))
+    tested = at.select("id", "poly_id", "parts", on.alias("on"), crossed.alias("n"))
+    whole = tested.where("parts = 1").where("on or n % 2 = 1").select("id", "poly_id")
+    summed = tested.where("parts > 1").groupBy("id", "poly_id").agg(F.bool_or("on").alias("on"), F.sum("n").alias("n")).where("on or n % 2 = 1").select("id", "poly_id")
+    found = whole if pieces.where("parts > 1").isEmpty() else whole.unionByName(summed)
+    return found if rest is None else found.unionByName(contains(place, quadtree(rest), "id", "px", "py"))
+
+
 def inside_areas(points: DataFrame, polygons: DataFrame, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """id of the points that lie in any include ring and no exclude ring of a polygon table (poly_id, kind, ring)."""
     if not polygons.where("kind is null or kind not in ('include', 'exclude')").isEmpty():
         raise ValueError("a polygon's kind is include or exclude")
     # A polygon's rings count each for itself here, as in `polygon`.
     rings = stage(polygons.withColumn("poly_id", F.monotonically_increasing_id()), "areas")
-    pairs = contains(points, quadtree(ring_edges(rings)), id_col, x, y).join(small(rings.select("poly_id", "kind")), "poly_id")
+    pairs = holding(points, ring_edges(rings), id_col, x, y).join(small(rings.select("poly_id", "kind")), "poly_id")
     kinds = pairs.groupBy("id").agg(F.bool_or(F.col("kind") == "include").alias("i"), F.bool_or(F.col("kind") == "exclude").alias("e"))
     return kinds.where("i and not e").select("id")
 

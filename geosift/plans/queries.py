@@ -239,8 +239,7 @@ def polygon_bbox(spark, sf):
 
 @query(f"WITH {SQL_RHOMB_CTES} SELECT id, poly_id FROM t")
 def pip_polygon_table(spark, sf):
-    tree = SP.quadtree(SP.ring_edges(order_polygons(spark, sf)))
-    return SP.contains(event_points(spark, sf), tree)
+    return SP.holding(event_points(spark, sf), SP.ring_edges(order_polygons(spark, sf)))
 
 
 @query(f"WITH {SQL_RHOMB_CTES} SELECT id FROM t GROUP BY id HAVING bool_or(kind = 'include') AND NOT bool_or(kind = 'exclude')")
@@ -252,8 +251,7 @@ def pip_area_table(spark, sf):
   s AS (SELECT poly_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first(x) OVER w) AS x2, coalesce(lead(y) OVER w, first(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY poly_id ORDER BY x, y)),
   e AS ({SQL_TABLE_EDGES}), p AS ({SQL_TABLE_EVENTS}) {SQL_TABLE_PAIRS}""")
 def pip_quadtree_rings(spark, sf):
-    tree = SP.quadtree(SP.chain_edges(nation_vertices(spark, sf)), depth=12)
-    return SP.contains(event_points(spark, sf), tree)
+    return SP.holding(event_points(spark, sf), stage(SP.chain_edges(nation_vertices(spark, sf)), "ring-edges"))
 
 
 def _sql_grid(polygons: Sequence[P.Polygon], n: int = 128) -> str:

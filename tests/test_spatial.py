@@ -60,6 +60,22 @@ def test_pairs_equal_the_formula(spark, monkeypatch, depth, leaf, chunk):
         assert tree.leaves.where("level < 14").groupBy("level", "z").agg(F.sum(edges).alias("n")).agg(F.max("n")).first()[0] <= leaf
 
 
+@pytest.mark.parametrize("sizes", [{}, {"WHOLE": 2, "PIECE": 1, "CHUNK": 2, "ACROSS": 1e9}, {"WHOLE": 2, "PIECE": 1, "CROWD": 4, "ACROSS": 6}])
+def test_pieces_equal_the_formula(spark, monkeypatch, sizes):
+    """Whole polygons, strips, chunks of strips, and polygons that the tree takes: the same pairs in one join."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(8)
+    rings = rings_of(rng)
+    at = [(rng.randint(-5, 110), rng.randint(-5, 66)) for _ in range(500)] + [(rng.uniform(0, 100), rng.uniform(0, 60)) for _ in range(800)]
+    at += [p for _, r in rings for p in r][:300]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(at)]
+    frame = spark.createDataFrame([*points, (-1, None, 1.0), (-2, float("nan"), 1.0), (-3, 1.0, None)], "id long, x double, y double").repartition(4)
+    got = [tuple(r) for r in S.holding(frame, S.ring_edges(polygons(spark, rings))).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == plain(points, rings)
+
+
 def test_long_ring_is_dealt_over_leaves(spark):
     n = 20_000
     k = F.col("id")
