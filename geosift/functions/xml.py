@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geosift.functions.text import expanded_name
 
+BATCH_EVENTS, BATCH_CHARS = 10_000, 4 << 20  # from which a batch of events goes out
 EVENTS = "seq int, event string, uri string, local_name string, prefix string, attrs array<struct<name:string,uri:string,value:string>>, text string"
 
 
@@ -72,11 +73,16 @@ class _Collector(xml.sax.handler.ContentHandler):
         self._add("processingInstruction", local=target, text=data)
 
 
-def events_of(document: str | bytes) -> list[tuple]:
-    """The events of one document; external entities are not read."""
+def _reader() -> xml.sax.xmlreader.XMLReader:
     parser = xml.sax.make_parser()
     parser.setFeature(xml.sax.handler.feature_namespaces, True)
     parser.setFeature(xml.sax.handler.feature_external_ges, False)
+    return parser
+
+
+def events_of(document: str | bytes, parser: xml.sax.xmlreader.XMLReader | None = None) -> list[tuple]:
+    """The events of one document; external entities are not read. parser: one of `_reader` that is used again."""
+    parser = parser or _reader()
     handler = _Collector()
     parser.setContentHandler(handler)
     parser.setProperty(xml.sax.handler.property_lexical_handler, handler)
@@ -91,14 +97,34 @@ def sax_events(docs: DataFrame, id_col: str = "id", xml_col: str = "xml") -> Dat
     attr = pa.list_(pa.struct([("name", pa.string()), ("uri", pa.string()), ("value", pa.string())]))
     kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), attr, pa.string()]
 
+    names = ["id", *[f.split()[0] for f in EVENTS.replace("array<struct<name:string,uri:string,value:string>>", "x").split(", ")]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _reader()
         for b in batches:
+            at: list[int] = []  # the document of each event
+            rows: list[tuple] = []
+
+            def out(b: pa.RecordBatch = b, at: list[int] = at, rows: list[tuple] = rows) -> pa.RecordBatch:
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                batch = pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), *cols], names=names)
+                at.clear()
+                rows.clear()
+                return batch
+
+            size = 0
             for i, doc in enumerate(b.column("xml")):
                 if doc.is_valid:
-                    rows = events_of(doc.as_py())
-                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    ids = b.column("id").take(pa.array([i] * len(rows)))
-                    yield pa.RecordBatch.from_arrays([ids, *cols], names=["id", *[f.split()[0] for f in EVENTS.replace("array<struct<name:string,uri:string,value:string>>", "x").split(", ")]])
+                    text = doc.as_py()
+                    events = events_of(text, parser)
+                    rows += events
+                    at += [i] * len(events)
+                    size += len(text)
+                    if len(rows) >= BATCH_EVENTS or size >= BATCH_CHARS:
+                        yield out()
+                        size = 0
+            if rows:
+                yield out()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(xml_col).alias("xml")).mapInArrow(run, f"id {kind}, {EVENTS}")
@@ -113,13 +139,13 @@ def fold_events(docs: DataFrame, step: Callable[[Any, tuple], Any], initial: Cal
 
     @F.pandas_udf(result)
     def fold(texts: pd.Series) -> pd.Series:
-        out = []
+        out, parser = [], _reader()
         for t in texts:
             if t is None:
                 out.append(None)
                 continue
             state = initial()
-            for event in events_of(t):
+            for event in events_of(t, parser):
                 state = step(state, event)
             out.append(finish(state))
         return pd.Series(out, dtype="object")

@@ -218,3 +218,16 @@ def test_scalars(spark):
     assert [one(X.is_ascii(lit(t))) for t in ("a\nb", "é")] == [True, False]
     assert [one(X.is_latin1(lit(t))) for t in ("é", "Ж")] == [True, False]
     assert one(X.local_name(lit("p:q"))) == "q" and one(X.name_prefix(lit("q"))) == ""
+
+
+def test_a_reader_is_used_again(spark):
+    """One reader for all documents of a task, and batches of many documents: the same events as one by one."""
+    docs = ['<a x="1"><p:b xmlns:p="urn:p">t<!-- c -->u</p:b></a>', "<!DOCTYPE a [<!ENTITY e 'v'>]><a>&e;<![CDATA[w]]></a>", "<a>&#233; </a>", "<a/>"]
+    reader = XML._reader()
+    alone = [XML.events_of(d) for d in docs]
+    assert [XML.events_of(d, reader) for d in docs] == alone
+    rows = [(i, None if i % 7 == 6 else docs[i % 4]) for i in range(3000)]
+    got = XML.sax_events(spark.createDataFrame(rows, "id long, xml string").coalesce(1))
+    want = {e: sum(sum(x[1] == e for x in alone[i % 4]) for i, t in rows if t) for e in ("startElement", "endElement", "characters", "startDocument")}
+    assert {r.event: r["count"] for r in got.groupBy("event").count().collect() if r.event in want} == want
+    assert got.groupBy("id").count().count() == sum(t is not None for _, t in rows)
