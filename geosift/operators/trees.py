@@ -94,7 +94,8 @@ def step(context: DataFrame, nodes: DataFrame, axis: str) -> DataFrame:
     on = nodes["id"].eqNullSafe(c[of])
     if mine:
         on &= nodes[mine] == c[key]
-    out = nodes.join(c, on)
+    # By its bytes in a shuffle Spark would send a side through the driver that is many times larger there.
+    out = nodes.join(c.hint("merge"), on)
     return (out.where(test(F.col(least))) if test else out).select(*[nodes[x] for x in nodes.columns])
 
 
@@ -133,6 +134,6 @@ def string_values(context: DataFrame, nodes: DataFrame) -> DataFrame:
     """The context with `value`: all text inside each node, in document order. nodes: of whole documents."""
     whole, of = unused("whole", context), unused("of", context)
     all_texts = texts(nodes).groupBy(F.col("id").alias(of)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda t: t["text"]), "").alias(whole))
-    out = context.join(all_texts, context["id"].eqNullSafe(all_texts[of]), "left")
+    out = context.join(all_texts.hint("merge"), context["id"].eqNullSafe(all_texts[of]), "left")
     value = F.substring(F.coalesce(whole, F.lit("")), (F.col("text_from") + 1).cast("int"), (F.col("text_to") - F.col("text_from")).cast("int"))
     return out.select(*[context[c] for c in context.columns], value.alias("value"))

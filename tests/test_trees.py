@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geosift.functions import xml as X
 from geosift.operators import trees as T
+from geosift.staging import stage
 
 
 def random_xml(rng, depth=0):
@@ -108,3 +109,15 @@ def test_places_and_empty(forest):
     assert T.elements(nodes).where(T.attribute("k").isNull()).count() == 0
     with pytest.raises(ValueError):
         T.step(nodes, nodes, "namespace")
+
+
+def test_steps_send_no_side_through_the_driver(spark):
+    """A side that is small as shuffled bytes may be many times larger in the driver: steps are joined by shuffles."""
+    docs = spark.createDataFrame([(1, "<a><b>x</b><b>y</b></a>"), (2, "<a><b>z</b></a>")], "id long, xml string")
+    nodes = stage(T.label(X.sax_events(docs)), "step-plan")
+    found = T.step(T.elements(nodes, "a"), T.elements(nodes, "b"), "child")
+    assert found.count() == 3
+    values = T.string_values(T.elements(nodes, "a"), nodes)
+    assert {r.value for r in values.collect()} == {"xy", "z"}
+    for df in (found, values):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
