@@ -36,3 +36,22 @@ def test_any_order_gives_the_batch_extract(spark, tmp_path):
     assert len(shown) == len(set(shown))
     assert set(shown) == plain(nodes, ways)
     assert any(k == "way" for k, _ in shown)
+
+
+def test_states_are_kept_by_block_and_the_first_row_counts(spark, tmp_path):
+    schemas = {"nodes": "id long, x double, y double", "ways": "id long, nodes array<long>"}
+    streams = {}
+    for kind, schema in schemas.items():
+        (tmp_path / kind).mkdir()
+        streams[kind] = stream_points(spark, str(tmp_path / kind), spark.createDataFrame([], schema).schema, max_files=1)
+    first = {"ways": [(-7, [2**60 + 1, 8]), (3000, [2**60 + 5])], "nodes": [(i, 50.0, 5.0) for i in range(3000)] + [(2**60 + 1, 1.0, 1.0)]}
+    again = {"ways": [(4000, [9])], "nodes": [(7, 1.0, 1.0), (2**60 + 5, 50.0, 5.0)]}  # node 7 came outside before
+    for batch in (first, again):
+        for kind, rows in batch.items():
+            spark.createDataFrame(rows, schemas[kind]).coalesce(1).write.mode("append").parquet(str(tmp_path / kind))
+        query = S.start_cut(streams["nodes"], streams["ways"], AREA, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        kept = [o["numRowsTotal"] for o in query.lastProgress["stateOperators"]]
+        assert max(kept) < 50  # a row a block, not one an id
+    shown = {tuple(r) for r in spark.read.schema("kind string, id long").parquet(str(tmp_path / "out")).collect()}
+    assert shown == {("way", -7), ("node", 2**60 + 1), ("node", 8)}
