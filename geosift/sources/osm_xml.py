@@ -6,8 +6,10 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,25 +133,92 @@ class _Split:
         self.put("comment" if self.comment else "end", "")
 
 
+_OPEN, _CLOSE = (rf"^<{slash}({'|'.join(TOP)})(?:{end}|$)" for slash, end in (("", r"[\s/]"), ("/", r"[\s/]")))
+
+
+def _where(values: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False)
+
+
+def _plain(values: pa.Array) -> bool:
+    """Whether each value is white space and one whole tag that is neither of the root nor a comment, declaration or instruction."""
+    if _where(values, r"^<(?:[!?]|/?osm(?:[\s/]|$))|^[^<]|--$").any():
+        return False
+    odd = pc.bit_wise_and(pc.count_substring(values, '"'), 1).to_numpy() == 1
+    return not any(map(_unbalanced, values.filter(pa.array(odd | _where(values, "'"))).to_pylist()))
+
+
+def _elements(values: pa.Array) -> tuple[pa.Array, pa.Array, int] | None:
+    """Plain tags, no element open before them -> names and texts of the elements, and the place of the first tag of one still open.
+
+    As _Split does it, but by columns; None where elements are nested or closed by another name: _Split tells what is wrong.
+    """
+    top, close = _where(values, _OPEN), _where(values, _CLOSE)
+    alone = top & pc.ends_with(values, "/").to_numpy(zero_copy_only=False)
+    begin = top & ~alone
+    depth = np.cumsum(begin.astype(np.int64) - close)  # after each tag
+    if len(depth) and (depth.min() < 0 or depth.max() > 1 or depth[alone].any()):
+        return None
+    end = int(np.flatnonzero(begin)[-1]) if len(depth) and depth[-1] else len(values)
+    begin, close, top, alone, depth = (m[:end] for m in (begin, close, top, alone, depth))
+    names = lambda m: pc.struct_field(pc.extract_regex(values.slice(0, end).filter(pa.array(m)), r"^</?(?P<name>[^\s/<>]+)"), "name")
+    if not names(begin).equals(names(close)):
+        return None
+    inner = (depth == 1) | close | alone
+    first = np.flatnonzero(top[inner])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, inner.sum()), pa.int32()), values.slice(0, end).filter(pa.array(inner)))
+    return names(top), pc.binary_join_element_wise(pc.binary_join(lists, ">"), ">", ""), end
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = None
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["path", "block", "seq", "tag", "xml"]
 
     def rows() -> pa.RecordBatch:
         columns = list(zip(*split.rows, strict=True)) or [()] * 5
         split.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "block", "seq", "tag", "xml"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def run(values: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Tags of one split: the whole elements among them by columns, the others one by one."""
+        at = 0
+        trimmed = pc.utf8_ltrim_whitespace(values)
+        trimmed = trimmed.filter(pc.not_equal(trimmed, ""))
+        if split.begun and not split.comment and not split.cut and len(trimmed) and _plain(trimmed):
+            values = trimmed
+            while at < len(values) and (split.open or not split.started):
+                split.take(values[at].as_py())
+                at += 1
+            found = _elements(values.slice(at)) if at < len(values) else None
+            if split.rows:
+                yield rows()
+            if found:
+                tags, xml, end = found
+                n, at = len(tags), at + end
+                if n:
+                    seq = pa.array(np.arange(split.seq, split.seq + n))
+                    yield pa.RecordBatch.from_arrays([pa.repeat(split.path, n), pa.repeat(pa.scalar(split.block, pa.int64()), n), seq, tags, xml], names=names)
+                    split.seq += n
+        for value in values.slice(at).to_pylist():
+            split.take(value)
+        if split.rows:
+            yield rows()
 
     for b in batches:
-        for path, block, value in zip(*(b.column(c).to_pylist() for c in ("path", "block", "value")), strict=True):
-            if split is None or (path, block) != (split.path, split.block):
+        path, block, values = (b.column(c) for c in ("path", "block", "value"))
+        new = pc.or_(pc.not_equal(path.slice(1), path.slice(0, max(0, len(path) - 1))), pc.not_equal(block.slice(1), block.slice(0, max(0, len(block) - 1))))
+        cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows]
+        for a, e in zip(cuts, cuts[1:], strict=False):
+            if a == e:
+                continue
+            of = path[a].as_py(), block[a].as_py()
+            if split is None or of != (split.path, split.block):
                 if split is not None:
                     split.close()
                     yield rows()
-                split = _Split(path, block)
-            split.take(value)
-        if split is not None and split.rows:
-            yield rows()
+                split = _Split(*of)
+            yield from run(values.slice(a, e - a))
     if split is not None:
         split.close()
         yield rows()

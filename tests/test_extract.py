@@ -197,3 +197,19 @@ def test_polygon_files(spark, tmp_path):
     for bad in ("n\nname\n 0 0\nEND\nEND\n", "n\n1\n 0 x\nEND\nEND\n", "n\n1\nEND\nEND\n", "n\n1\n 0 0\n"):
         with pytest.raises(PySparkException):
             poly(spark, bad)
+
+
+def test_whole_elements_are_read_by_columns(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    take = osm_xml._Split.take
+    monkeypatch.setattr(osm_xml._Split, "take", lambda self, text: (calls.append(text), take(self, text))[1])
+    ways = [f'<way id="{i}">\n<nd ref="{i}"/>\n<tag k="n" v="o\'{i}"/>\n</way>' for i in range(500)]
+    values = ('<?xml version="1.0"?><osm><node id="7"/>' + "\n".join(ways) + '<node id="8"/><!-- <node id="9"/> --></osm>\n').split(">")
+    batches = [pa.RecordBatch.from_pydict({"path": ["f"] * len(v), "block": [0] * len(v), "value": v}) for v in (values[a : a + 300] for a in range(0, len(values), 300))]
+    rows = [r for b in osm_xml._assemble(iter(batches)) for r in b.to_pylist()]
+    assert [r["tag"] for r in rows] == ["osm", "node", *["way"] * 500, "node", "end"]
+    assert [r["seq"] for r in rows] == list(range(len(rows)))
+    assert [r["xml"] for r in rows[2:502]] == [w.replace("\n", "") for w in ways]
+    assert len(calls) < len(values) / 2  # the first and the last batch, and what batches cut
