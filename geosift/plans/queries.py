@@ -436,7 +436,7 @@ def _written(spark: SparkSession, sf: str) -> str:
 @query("""SELECT 'node' AS kind, p_partkey AS id, p_name || '|' || p_brand AS data, p_size::DOUBLE AS x, round(p_retailprice - 900.0::DOUBLE, 6) AS y FROM part
   UNION ALL SELECT 'way', o_orderkey, o_orderstatus, NULL, NULL FROM orders""")
 def read_osm_xml(spark, sf):
-    m = osm_xml.read_osm_xml(spark, _written(spark, sf))
+    m = osm_xml.read_osm_xml(spark, _written(spark, sf), once=True)
     data = F.array_join(F.transform("tags", lambda t: t["v"]), "|").alias("data")
     null = F.lit(None).cast("double")
     return m.nodes.select(F.lit("node").alias("kind"), "id", data, "x", F.round("y", 6).alias("y")).unionByName(

@@ -299,10 +299,11 @@ def _parsed(elements: DataFrame, tag: str, schema: T.StructType) -> DataFrame:
     return elements.where(F.col("tag") == tag).select(place, F.from_xml("xml", schema, options).alias("e")).select("pos", "e.*")
 
 
-def read_osm_xml(spark: SparkSession, path: str) -> Elements:
+def read_osm_xml(spark: SparkSession, path: str, *, once: bool = False) -> Elements:
     """Map files: every file a document. Relations get `pos`, their order: files in name order, then place in the file.
 
-    The files are read once; their elements are staged, so that each use of the map reads those.
+    The files are read and parsed once: nodes, ways and relations are staged as typed tables, so that each use of the map reads
+    the columns that it needs. once: each of them is used once and parsed there; only the elements' text is staged.
     """
     elements = read_elements(spark, path)
     nodes = _parsed(elements, "node", _NODE).select(_id(), F.col("_lon").alias("x"), F.col("_lat").alias("y"), *_meta(), _tags())
@@ -312,7 +313,8 @@ def read_osm_xml(spark: SparkSession, path: str) -> Elements:
     relations = _parsed(elements, "relation", _REL).select(
         _id(), F.coalesce(member, F.array().cast("array<struct<type:string,ref:bigint,role:string>>")).alias("members"), *_meta(), _tags(), "pos")
     root = elements.where("tag = 'osm'").orderBy("path", "block", "seq").select("xml").first()
-    return Elements(nodes, ways, relations, dict(ET.fromstring(root["xml"]).attrib) if root else {})
+    parts = (nodes, ways, relations) if once else (stage(p, f"map-{n}") for p, n in ((nodes, "nodes"), (ways, "ways"), (relations, "relations")))
+    return Elements(*parts, dict(ET.fromstring(root["xml"]).attrib) if root else {})
 
 
 NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"

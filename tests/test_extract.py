@@ -213,3 +213,9 @@ def test_whole_elements_are_read_by_columns(monkeypatch):
     assert [r["seq"] for r in rows] == list(range(len(rows)))
     assert [r["xml"] for r in rows[2:502]] == [w.replace("\n", "") for w in ways]
     assert len(calls) < len(values) / 2  # the first and the last batch, and what batches cut
+
+
+def test_a_map_is_parsed_once(spark, path):
+    m = osm_xml.read_osm_xml(spark, path)
+    for part in (m.nodes, m.ways, m.relations):
+        assert "from_xml" not in part._jdf.queryExecution().toString()
