@@ -7,11 +7,12 @@ temporary name and renamed, so a task that runs again after a lost executor repl
 one. A manifest (one row a file) is a Parquet table beside them; a document's global start is its file's
 start, the running sum of the manifest's totals, plus its place in the file.
 
-Tokenizing: the tokenizers library encodes pieces of the text. Its byte-level pre-tokenizer always splits before a space
-that has a character other than white space on either side, so the pieces are independent, and a
-worker remembers the ids of short ones, up to MEMORY bytes in two generations (the older one goes when the newer is
-full). A tokenizer file with another pre-tokenizer, a normalizer or a post-processor is never cut: there the
-library encodes whole texts.
+Tokenizing: texts of characters below U+0250 are cut into pre-tokens as the byte-level pre-tokenizer's pattern cuts them, about
+CHUNK characters of some texts at a time, by columns; the tokenizers library's model encodes each different pre-token, and a
+worker remembers the ids of short ones, up to MEMORY bytes in two generations (the older one goes when the newer is full).
+Other texts are cut where that pre-tokenizer always splits, before a space that has a character other than white space on
+either side, and the library encodes the pieces. A tokenizer file with another
+pre-tokenizer, a normalizer or a post-processor is never cut: there the library encodes whole texts.
 
 Defined results:
 - null and empty texts: the end id alone. null ids come first; repeated rows are kept, each with its own start.
@@ -21,12 +22,14 @@ Defined results:
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import AnyStr
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,28 @@ from geosift.llm import rans
 from geosift.llm.common import BATCH_ROWS, new_path, qualified, small_batches, stage
 
 FILE_IDS = 4_000_000
-MEMORY = 24 << 20  # bytes of a generation of remembered pieces, all kinds together
-SHORT = 48  # characters of a piece that is remembered at most
+CHUNK = 1 << 20  # characters that are cut into pre-tokens at once
+MEMORY = 48 << 20  # bytes of a generation of remembered pieces, all kinds together
+SHORT = 48  # characters of a piece, or bytes of a pre-token, that is remembered at most
 _SPACE = re.compile(r"(?<!\s) | (?=\S)")  # spaces that always begin a pre-token
 _RUN = re.compile(r"\s (?:\s|\Z)")
-_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s']*)(?:(\n)([^\W\d_]+)([^\w\s']*))?")
+_PLACE = re.compile(r"(?<=\S) (?=\S)")
+_HIGH = re.compile("[^\\x00-\u024f]")
+END = "\u0250"  # stands between texts of characters below it
+END_BYTES = END.encode()
+LETTER, NUMBER, MARK, WHITE, BETWEEN = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character up to END; no version of Unicode differs here."""
+    out = np.full(ord(END) + 1, MARK, np.uint8)
+    for kind, ranges in ((LETTER, "AZazªªµµººÀÖØöøɏ"), (NUMBER, "09²³¹¹¼¾"), (WHITE, "\t\r  \x85\x85\xa0\xa0"), (BETWEEN, END * 2)):
+        for first, last in itertools.batched(map(ord, ranges), 2):
+            out[first : last + 1] = kind
+    return out
+
+
+KINDS = _kinds()
 
 
 class _Budget:
@@ -64,17 +84,17 @@ class _Budget:
 class _Memory(dict):
     """A dict that makes missing values; what both generations have lost is made again."""
 
-    def __init__(self, make: Callable[[str], bytes], budget: _Budget):
+    def __init__(self, make: Callable[[AnyStr], bytes], budget: _Budget):
         super().__init__()
         self.make, self.budget, self.old = make, budget, {}
         budget.memories.append(self)
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: AnyStr) -> bytes:
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
         if len(key) <= SHORT:
-            self.budget.add(200 + len(key) + len(out))  # a str, a bytes object and their entry
+            self.budget.add(200 + len(key) + len(out))  # two objects and their entry
             self[key] = out
         return out
 
@@ -107,42 +127,101 @@ class PieceEncoder:
         self.model, letters = self.tokenizer.model, byte_letters()
         self.letters = {i: letters[i] for i in range(256)}
         budget = _Budget(MEMORY)
+        self.tokens = _Memory(self._token, budget)
         self.pieces = _Memory(self._piece, budget)  # with the space before it
-        self.words = _Memory(lambda w: self._word(w, ""), budget)  # without
-        self.marks = _Memory(self._encode, budget)
         self.splits = is_byte_level(json.loads(self.tokenizer.to_str()))
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str, before: str) -> bytes:
-        """Letters below U+0250 are one pre-token and go straight to the library's model."""
-        text = before + word
-        mapped = text.replace(" ", self.letters[32]) if word.isascii() else text.encode().decode("latin-1").translate(self.letters)
+    def _token(self, token: bytes) -> bytes:
+        """A pre-token goes straight to the library's model."""
+        if token == END_BYTES:
+            return b""
+        text = token.decode("latin-1")
+        mapped = text.replace(" ", self.letters[32]) if text.isascii() and text.isprintable() else text.translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _low(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts of characters below U+0250."""
+        words, at = pre_tokens(texts)
+        found = list(map(self.tokens.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins, known = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), "<u4")
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = known[np.repeat(begins[at] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(4 * ends[at == words.index(END_BYTES)]).tolist()]
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
+
     def _piece(self, piece: str) -> bytes:
-        """Letters, then marks, then perhaps a line feed and the same again: each is a pre-token of its own."""
-        m = _PLAIN.fullmatch(piece)
-        if not m or max(piece) >= "\u0250":
-            return self._encode(" " + piece)
-        word, marks, feed, word2, marks2 = m.groups()
-        if not marks and not feed:
-            return self._word(word, " ")
-        out = self.pieces[word] + (self.marks[marks] if marks else b"")
-        if feed:
-            out += self.marks[feed] + self.words[word2] + (self.marks[marks2] if marks2 else b"")
-        return out
+        return self._encode(" " + piece)
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _one(self, text: str) -> bytes:
+        """The ids of a text of any characters."""
         if not self.splits:
             return self._encode(text)
         # Without a run of white space every space is a place to cut.
         first, *rest = _SPACE.split(text) if _RUN.search(text) else text.split(" ")
         return (self._encode(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
 
+    def many(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            low = self.splits and (not text or text.isascii() or not _HIGH.search(text))
+            if low and len(text or "") <= CHUNK:
+                some.append(text or "")
+                size += len(some[-1])
+            if some and (not low or len(text or "") > CHUNK or size > CHUNK):
+                yield from self._low(some)
+                some, size = [], 0
+            if not low:
+                yield self._one(text) if text else b""
+            elif len(text or "") > CHUNK:
+                yield b"".join(self._low([part])[0] for part in parts(text))
+        if some:
+            yield from self._low(some)
+
+    def __call__(self, text: str | None) -> bytes:
+        return next(self.many([text]))
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts that begin with pre-tokens, each of about CHUNK characters, or more where no such place is near."""
+    a = 0
+    while a < len(text):
+        place = _PLACE.search(text, a + CHUNK)
+        b = place.start() if place else len(text)
+        yield text[a:b]
+        a = b
+
+
+def pre_tokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The different pre-tokens of texts of characters below U+0250, and each one's place among them in order; END follows each text."""
+    text = "".join(t + END for t in texts)
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    kind = KINDS[code]
+    before, own = kind[:-1], kind[1:]
+    starts = np.ones(len(code), bool)
+    # A space belongs to what follows it, so the last of some white space parts from the rest.
+    starts[1:] = (own != before) & ((code[:-1] != 32) | (own >= WHITE)) | (own == BETWEEN)
+    starts[1:-1] |= (kind[:-2] == WHITE) & (kind[1:-1] == WHITE) & (kind[2:] < WHITE)
+    # 's 't 'm 'd 're 've 'll, where the apostrophe begins a pre-token.
+    quote = np.flatnonzero((code == 39) & starts)
+    one, two = code[quote + 1], code[np.minimum(quote + 2, len(code) - 1)]
+    short = np.isin(one, list(map(ord, "stmd")))
+    long = (two == ord("e")) & np.isin(one, list(map(ord, "rv"))) | (one == ord("l")) & (two == ord("l"))
+    starts[quote[short | long] + 1] = False
+    starts[quote[short] + 2] = True
+    starts[quote[long] + 3] = True
+    at, wide = np.flatnonzero(starts), code >= 128
+    data = text.encode()
+    offsets = np.append(at + np.cumsum(wide, dtype=np.int32)[at] - wide[at], len(data)).astype("<i4")
+    coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
 
 @functools.cache
 def encoder_of(tokenizer_path: str) -> PieceEncoder:
@@ -182,8 +261,9 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer_path: str, end_id: int
             held, rows, size, piece = [], [], 0, piece + 1
 
         for batch in batches:
-            for d, t, h in zip(batch.column("doc_id"), batch.column("text"), batch.column("h"), strict=True):
-                ids = encoder(t.as_py()) + end
+            encoded = encoder.many(batch.column("text").to_pylist())
+            for d, ids, h in zip(batch.column("doc_id"), encoded, batch.column("h"), strict=True):
+                ids += end
                 held.append(ids)
                 size += len(ids) // 4
                 rows.append((d.as_py() or 0, int(not d.is_valid), len(ids) // 4, h.as_py()))

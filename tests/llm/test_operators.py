@@ -587,6 +587,23 @@ def test_other_tokenizers(monkeypatch, tmp_path):
         assert np.frombuffer(encoder(text), "<u4").tolist() == Tokenizer.from_file(str(f)).encode(text, add_special_tokens=False).ids
 
 
+def test_pre_tokens(monkeypatch):
+    """Texts of low characters cut by columns have the library's ids, and a pre-token is encoded once, whatever stands behind it."""
+    encoder = token_output.PieceEncoder(token_output.default_tokenizer())
+    marks = "!?.,;:)]}>*&%$#@~^|+"
+    encoder(" ".join(f"word{m}" for m in marks))
+    kept = sum(len(m) for m in vars(encoder).values() if isinstance(m, token_output._Memory))
+    assert kept <= len(marks) + 3, "besides the marks: a word with a space and without, and the place between texts"
+    t = encoder.tokenizer
+    texts = [x for c in map(chr, range(0x260)) for x in (c, f"x{c}", f" x{c}y", f"x {c}", f"x{c} ", f"x  {c}{c} y", f"a '{c}b", f"it'{c}e", f"a {c}\nb{c}  ", f"7{c}7", f"x一 é{c}")]
+    rng = random.Random(6)
+    texts += ["".join(rng.choices([*"ab zé'µ²½ \t\n\x1c\x85\xa0.,_0stlrev", "'ll", "'re", "  ", "word"], k=rng.randint(0, 90))) for _ in range(300)] + [None, ""]
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for size in (1 << 20, 16):  # in one piece, and long texts in parts
+        monkeypatch.setattr(token_output, "CHUNK", size)
+        assert list(encoder.many(texts)) == want
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_output, "FILE_IDS", 50)  # several files a task
     from tokenizers import Tokenizer
