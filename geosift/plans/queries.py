@@ -492,11 +492,12 @@ ORDER_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:elemen
 
 def order_xml(spark: SparkSession, sf: str) -> DataFrame:
     """id, xml: each order with its lines as a document."""
+    # Lines that were broadcast would leave all documents to the tasks that read orders, one for a small file.
     line = F.struct("l_partkey", "l_returnflag", "l_linenumber")
     lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
     orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     text = F.transform("l", lambda r: F.concat(F.lit("<line><part>"), r["l_partkey"].cast("string"), F.lit("</part><flag>"), r["l_returnflag"], F.lit("</flag></line>")))
-    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left").select(
+    return orders.join(lines.hint("merge"), orders["o_orderkey"] == lines["l_orderkey"], "left").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit('<order key="'), F.col("o_orderkey").cast("string"), F.lit('"><status>'), "o_orderstatus", F.lit("</status>"),
                                                   F.coalesce(F.array_join(text, ""), F.lit("")), F.lit("</order>")).alias("xml"))
 

@@ -15,6 +15,7 @@ automata have over STATES states (occurrence counted to such a height) is an err
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterable
@@ -180,19 +181,29 @@ def _token(tag: str) -> str:
     return tag[1:] if tag[0] == "{" else f"}}{tag}"
 
 
-class _Lists:
-    """Lists of one column, one after the other."""
+class _Tokens(dict):
+    """Tokens by the names that ElementTree gives, each made once."""
+
+    def __missing__(self, tag: str) -> str:
+        out = self[tag] = _token(tag)
+        return out
+
+
+class _Lists(dict):
+    """Different lists, numbered as they come; 0 is the empty one."""
 
     def __init__(self) -> None:
-        self.flat: list[str] = []
-        self.ends = [0]
+        super().__init__({(): 0})
 
-    def add(self, items: Iterable[str]) -> None:
-        self.flat.extend(items)
-        self.ends.append(len(self.flat))
+    def __missing__(self, items: tuple[str, ...]) -> int:
+        out = self[items] = len(self)
+        return out
 
-    def array(self) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat, pa.string()))
+    def array(self, at: list[int]) -> pa.Array:
+        """The lists with these numbers, one a row."""
+        flat = pa.array([x for items in self for x in items], pa.string())
+        ends = pa.array([0, *itertools.accumulate(map(len, self))], pa.int32())
+        return pa.ListArray.from_arrays(ends, flat).take(pa.array(at, pa.int64()))
 
 
 def elements_of(document: Column) -> Column:
@@ -202,30 +213,44 @@ def elements_of(document: Column) -> Column:
     """
     @F.arrow_udf(ELEMENTS)
     def parse(texts: pa.Array) -> pa.Array:
-        above, kids, attributes = _Lists(), _Lists(), _Lists()
-        names, text, nil, ends, errors = [], [], [], [0], []
+        paths, kids, attributes, token = _Lists(), _Lists(), _Lists(), _Tokens()
+        above, names, inside, marks, text, nil, ends, errors = [], [], [], [], [], [], [0], []
         for document in texts.to_pylist():
             errors.append(None)
             try:
-                stack = [] if document is None else [(ET.fromstring(document), ())]
+                todo = [] if document is None else [(iter((ET.fromstring(document),)), (), 0)]
             except ET.ParseError as e:
-                errors[-1], stack = f"not well-formed: {e}", []
-            while stack:
-                node, over = stack.pop()
-                name, own = _token(node.tag), node.get(f"{XSI}type")
-                if own:
-                    name = f"{name} {own.rpartition(':')[2]}"
-                names.append(name)
-                above.add(over)
-                kids.add(_token(c.tag) for c in node)
-                attributes.add(_token(a) for a in node.attrib if not a.startswith((XSI, XML_ATTRIBUTE)))
-                text.append(bool((node.text or "").strip()) or any((c.tail or "").strip() for c in node))
-                nil.append(node.get(f"{XSI}nil") in ("true", "1"))
-                if len(node):
-                    inner = (*over, name)
-                    stack += [(c, inner) for c in reversed(node)]
+                errors[-1], todo = f"not well-formed: {e}", []
+            while todo:
+                nodes, over, place = todo[-1]
+                for node in nodes:  # goes on where it was left
+                    name, own, inner = token[node.tag], node.keys(), len(node)
+                    if own:
+                        kind = node.get(f"{XSI}type")
+                        if kind:
+                            name = f"{name} {kind.rpartition(':')[2]}"
+                        marks.append(attributes[tuple(token[a] for a in own if not a.startswith((XSI, XML_ATTRIBUTE)))])
+                        nil.append(node.get(f"{XSI}nil") in ("true", "1"))
+                    else:
+                        marks.append(0)
+                        nil.append(False)
+                    above.append(place)
+                    names.append(name)
+                    said = node.text
+                    seen = bool(said) and not said.isspace()
+                    if not inner:
+                        inside.append(0)
+                        text.append(seen)
+                        continue
+                    inside.append(kids[tuple([token[c.tag] for c in node])])
+                    text.append(seen or any(c.tail and not c.tail.isspace() for c in node))
+                    path = (*over, name)
+                    todo.append((iter(node), path, paths[path]))
+                    break
+                else:
+                    todo.pop()
             ends.append(len(names))
-        rows = pa.StructArray.from_arrays([above.array(), pa.array(names, pa.string()), kids.array(), attributes.array(), pa.array(text, pa.bool_()), pa.array(nil, pa.bool_())],
+        rows = pa.StructArray.from_arrays([paths.array(above), pa.array(names, pa.string()), kids.array(inside), attributes.array(marks), pa.array(text, pa.bool_()), pa.array(nil, pa.bool_())],
                                           names=["above", "name", "kids", "attributes", "text", "nil"])
         return pa.StructArray.from_arrays([pa.array(errors, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], names=["error", "elements"])
 

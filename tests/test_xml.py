@@ -1,6 +1,7 @@
 """Schemas, typed scans and writes, events, scalar functions."""
 
 import itertools
+import os
 import random
 import re
 import time
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geosift.functions import text as X
 from geosift.functions import xml as XML
-from geosift.plans import xsd, xsd_rules
+from geosift.plans import queries, xsd, xsd_rules
 
 HEAD = '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns="urn:t" targetNamespace="urn:t">'
 SEQ = '<xs:sequence><xs:element name="a" type="xs:string"/><xs:element name="b" type="xs:string" maxOccurs="3"/></xs:sequence>'
@@ -231,3 +232,24 @@ def test_a_reader_is_used_again(spark):
     want = {e: sum(sum(x[1] == e for x in alone[i % 4]) for i, t in rows if t) for e in ("startElement", "endElement", "characters", "startDocument")}
     assert {r.event: r["count"] for r in got.groupBy("event").count().collect() if r.event in want} == want
     assert got.groupBy("id").count().count() == sum(t is not None for _, t in rows)
+
+
+def test_elements_of_documents(spark):
+    """Each element's names as the document has them; equal lists are kept once."""
+    lists = xsd_rules._Lists()
+    at = [lists[x] for x in (("a", "b"), (), ("c",), ("a", "b"))]
+    assert len(lists) == 3 and lists.array(at).to_pylist() == [["a", "b"], [], ["c"], ["a", "b"]]
+    xsi = 'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
+    texts = [(0, None), (1, "<a>"), (2, f'<a {xsi} k="1" xml:lang="e"><b xsi:type="p:T"><c> </c><!-- t --></b>t<b xsi:nil="1"/><c u:j="2" xmlns:u="u">\n<a>x</a></c></a>')]
+    found = spark.createDataFrame(texts, "id int, xml string").select("id", xsd_rules.elements_of(F.col("xml")).alias("v")).orderBy("id").collect()
+    assert [(r.v.error or "")[:15] for r in found] == ["", "not well-formed", ""] and [len(r.v.elements) for r in found] == [0, 0, 6]
+    assert [(list(e.above), e.name, list(e.kids), list(e.attributes), e.text, e.nil) for e in found[2].v.elements] == [
+        ([], "}a", ["}b", "}b", "}c"], ["}k"], True, False), (["}a"], "}b T", ["}c"], [], False, False), (["}a", "}b T"], "}c", [], [], False, False),
+        (["}a"], "}b", [], [], False, True), (["}a"], "}c", ["}a"], ["u}j"], False, False), (["}a", "}c"], "}a", [], [], True, False)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_order_documents_are_dealt_by_key(spark):
+    """Small lines are not broadcast: that left all documents to the tasks that read orders."""
+    plan = queries.order_xml(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
