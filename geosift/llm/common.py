@@ -13,14 +13,18 @@ __all__ = ["ascii_lower", "new_path", "qualified", "release", "row_key", "scratc
 
 #: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+#: Rows that a Parquet reader decodes at a time: of whole texts or sets, Spark's 4,096 are arrays of many MB, made anew as they grow.
+READ_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches, if they are larger."""
+    """Bound the session's Arrow batches, and the batches of its Parquet readers, if they are larger."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) > READ_ROWS:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def ascii_lower(c: Column) -> Column:

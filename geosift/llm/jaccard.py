@@ -302,6 +302,7 @@ def ordered_prefixes(owners: DataFrame, texts: Texts, percent: int) -> tuple[Dat
         prefixes = stage(late.prefixes(owners, "front", percent), "jac-prefixes")
         sizes = _entries(prefixes.where("not short")).groupBy("token").agg(F.count("*").alias("sets"))
         last = _more(last, sizes.where(F.col("sets") >= HOT))
+        release(texts.spark)
         before, late = late, _Late(last)
         unstage(prefixes)
         if late.n == before.n:
@@ -319,6 +320,7 @@ def ordered_prefixes(owners: DataFrame, texts: Texts, percent: int) -> tuple[Dat
     late = _Late(_more(last, held.where(F.col("sets") >= HOT)))
     others = owners.join(sets.select("cid"), "cid", "left_anti")
     prefixes = stage(late.prefixes(others, "front", percent), "jac-prefixes")
+    release(texts.spark)
     more = class_sets(owners.join(prefixes.where("short").select("cid"), "cid", "left_semi"), texts)
     sets = sets.unionByName(more)
     whole = late.prefixes(sets, "keys", percent)
@@ -448,6 +450,7 @@ def settle(pairs: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, piv
         found = stage(overlaps(pick, sets, pivots), "jac-overlaps")
         first = found if first is None else first
         comp = _merged(comp, found.where(_similar(percent)).select("a", "b"))
+        release(comp.sparkSession)  # what was broadcast stays on the executors until then
         pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
     return comp, first
 
@@ -467,6 +470,7 @@ def class_components(owners: DataFrame, texts: Texts, percent: int) -> DataFrame
 
     heads = stage(head_pairs(lists, percent), "jac-heads")
     sets = with_sets(heads)
+    release(texts.spark)
     comp, first = settle(heads, comp, sets, percent)
     release(texts.spark)
     pivots = first.where("own is not null").select(
@@ -475,6 +479,7 @@ def class_components(owners: DataFrame, texts: Texts, percent: int) -> DataFrame
     pairs = block_pairs(lists, comp, percent).withColumns({"hi": F.greatest("a", "b"), "lo": F.least("a", "b")})
     done = heads.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     pairs = stage(pairs.join(done, ["hi", "lo"], "left_anti").select("a", "b", "k"), "jac-pairs")
+    release(texts.spark)
     sets = with_sets(pairs)
     return settle(pairs, comp, sets, percent, pivots)[0]
 
@@ -496,6 +501,7 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tupl
         owners = stage(owners.drop("row"), "jac-owners")
         unstage(full)
         repeated = not known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
+        release(docs.sparkSession)
         comp = class_components(owners, Texts(docs, shingler, repeated), percent)
         out = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "digest", "owner", F.coalesce("comp", "cid").alias("comp"))
         return sig.select("doc_id", "text_hash", "n", "digest"), stage(out, "jac-comps", keep=True)

@@ -105,3 +105,16 @@ def test_query_equals_sql(spark, name):
     compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+
+
+def test_read_batches_are_bounded(spark):
+    from geosift.llm import common
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(key)
+    common.small_batches(spark)
+    assert int(spark.conf.get(key)) <= 512
+    spark.conf.set(key, "64")
+    common.small_batches(spark)
+    assert spark.conf.get(key) == "64"
+    spark.conf.unset(key)
