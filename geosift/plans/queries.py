@@ -10,12 +10,13 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geosift.functions import text as X
 from geosift.functions import xml as XML
-from geosift.operators import closure, extract, idset, trees
+from geosift.operators import closure, extract, idset, paths, trees
 from geosift.operators import polygon as P
 from geosift.operators import spatial as SP
 from geosift.plans import xsd, xsd_rules
@@ -652,18 +653,19 @@ def tree_labels(spark, sf):
   UNION ALL SELECT 'round', id, b FROM l WHERE f = 'R' UNION ALL SELECT 'round', id, 1 FROM r""")
 def tree_steps(spark, sf):
     """/order/line[2]/part, //line[flag = 'R']/following-sibling::line/part, //line[flag = 'R'][last()]/preceding::part and //flag[. = 'R']/ancestor::*."""
-    nodes = stage(_tree(spark, sf), "tree")
-    lines, parts, flags = (trees.elements(nodes, n) for n in ("line", "part", "flag"))
-    flags = trees.having(flags, trees.texts(nodes).where("text = 'R'"), "child")
-    returned = trees.having(lines, flags, "child")
-    order = trees.elements(nodes, "order").where("parent IS NULL")
-    found = {
-        "second": trees.step(trees.nth(trees.step(order, lines, "child"), 2), parts, "child"),
-        "after": trees.step(trees.step(returned, lines, "following-sibling"), parts, "child"),
-        "before": trees.step(trees.nth(returned, -1), parts, "preceding"),
-        "round": trees.step(flags, trees.elements(nodes), "ancestor"),
-    }
-    return reduce(DataFrame.unionByName, [df.select(F.lit(path).alias("path"), "id", "pre") for path, df in found.items()])
+    def found(tree: paths.Nodes) -> dict[str, np.ndarray]:
+        lines, parts, flags = (tree.elements(n) for n in ("line", "part", "flag"))
+        flags = tree.having(flags, tree.texts("R"), "child")
+        returned = tree.having(lines, flags, "child")
+        order = tree.elements("order") & tree.roots()
+        return {
+            "second": tree.step(tree.nth(tree.step(order, lines, "child"), 2), parts, "child"),
+            "after": tree.step(tree.step(returned, lines, "following-sibling"), parts, "child"),
+            "before": tree.step(tree.nth(returned, -1), parts, "preceding"),
+            "round": tree.step(flags, tree.elements(), "ancestor"),
+        }
+
+    return paths.select(order_xml(spark, sf), found).select("path", "id", "pre")
 
 
 @query(f"""{_SQL_TREE} SELECT o_orderkey AS id, 'order' AS name, 1 AS pre, o_orderstatus || coalesce((SELECT string_agg(p || f, '' ORDER BY b) FROM l WHERE l.id = o_orderkey), '') AS value FROM orders
